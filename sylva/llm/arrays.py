@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +38,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
-@lru_cache(maxsize=4)
+_made: dict[int, np.ndarray] = {}
+
+
 def _powers(size: int, base: int) -> np.ndarray:
-    """base**0 .. base**(size-1) modulo 2**64."""
-    out = np.full(size, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """base**0 .. base**(size-1) modulo 2**64, at least."""
+    if base not in _made or len(_made[base]) < size:
+        out = np.full(size, base, np.uint64)
+        out[0] = 1
+        _made[base] = np.cumprod(out, dtype=np.uint64)
+    return _made[base]
 
 
 def _room(n: int) -> int:
@@ -139,9 +142,9 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
         extra = np.zeros(len(short), np.uint64)
-        for k, d in enumerate(short):
-            for h in words.hash[bounds[d] : bounds[d + 1]]:
-                extra[k] = extra[k] * np.uint64(_BASE) + h
+        for i in range(size - 1):
+            has = counts[short] > i
+            extra[has] = extra[has] * np.uint64(_BASE) + words.hash[bounds[short[has]] + i]
         hashes = np.concatenate([full, mix(extra + counts[short].astype(np.uint64))])
         rows = np.concatenate([words.doc[keep], short])
         order = np.argsort(rows, kind="stable")

@@ -13,10 +13,11 @@ Long lists do not become all pairs:
   each class is listed only under its k - MIN_SHARED + 1 rarest values: by the
   pigeonhole principle, two classes that share MIN_SHARED values still meet.
   Passages that many documents quote are frequent values and drop out.
-* In every list the first class is compared with all others (a star, linear
-  in the list). Lists that then hold one component are finished. What is
-  left are pairs between components, joined with the size and sketch tests
-  inside the join condition.
+* In every list one typical class is compared with all others (a star, linear
+  in the list). Lists that then hold one component are finished. What is left
+  are pairs between components of one list, joined with the size test and a
+  bound on the symmetric difference inside the join condition. The bound comes
+  from a second sketch of 128 bytes and never rejects a similar pair.
 
 The chance that a pair at the threshold shares fewer than MIN_SHARED of K
 values is below 1e-7 (Chernoff), and falls fast above the threshold.
@@ -45,12 +46,14 @@ K = 40
 MIN_SHARED = 18
 #: Percent of the union that linked sets share.
 PERCENT = 85
+#: Bits of the sketch of symmetric differences.
+ODD_BITS = 1024
 #: Sketch estimate below which a candidate is dropped: about five standard errors under the threshold.
 MIN_ESTIMATE = 0.55
 
 
 def _sketches(docs: DataFrame, text: str, id_col: str, size: int, k: int) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the set, and its k smallest hashes in order."""
+    """doc_id, n_shingles, two fingerprints of the set, its k smallest hashes in order, and its odd sketch."""
     frame = docs.select(docs[id_col].alias("doc_id"), docs[text].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,13 +72,16 @@ def _sketches(docs: DataFrame, text: str, id_col: str, size: int, k: int) -> Dat
                 # Signed values sort in another order than the hashes; any fixed order will do.
                 sketch = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(h[at].view(np.int64)))
                 ids = batch.column(0).slice(words.first, words.docs)
+                bit = r * ODD_BITS + (h >> np.uint64(20)).astype(np.int64) % ODD_BITS
+                odd = np.packbits((np.bincount(bit, minlength=words.docs * ODD_BITS) & 1).astype(np.uint8)).view(np.int64)
+                odd = pa.FixedSizeListArray.from_arrays(pa.array(odd), ODD_BITS // 64).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(count.astype(np.int64)), *map(pa.array, prints), sketch],
-                    ["doc_id", "n_shingles", "f1", "f2", "sketch"],
+                    [ids, pa.array(count.astype(np.int64)), *map(pa.array, prints), sketch, odd],
+                    ["doc_id", "n_shingles", "f1", "f2", "sketch", "odd"],
                 )
 
     kind = frame.schema["doc_id"].dataType.simpleString()
-    return frame.mapInArrow(run, f"doc_id {kind}, n_shingles long, f1 long, f2 long, sketch array<bigint>")
+    return frame.mapInArrow(run, f"doc_id {kind}, n_shingles long, f1 long, f2 long, sketch array<bigint>, odd array<bigint>")
 
 
 def _full_sets(docs: DataFrame, text: str, size: int) -> DataFrame:
@@ -105,6 +111,16 @@ def _estimate(a: Column, b: Column, k: int) -> Column:
     return F.size(both) / F.greatest(F.size(union), F.lit(1))
 
 
+def _may_differ_little(a: str, b: str, percent: int) -> Column:
+    """False only for pairs whose sets are surely not similar enough.
+
+    Each element flips one bit of its set's odd sketch, so two sketches differ
+    in at most as many bits as the sets differ in elements.
+    """
+    bits = sum((F.bit_count(F.col(f"{a}.odd")[i].bitwiseXOR(F.col(f"{b}.odd")[i])) for i in range(ODD_BITS // 64)), F.lit(0))
+    return bits * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     a = sets.select(F.col("_class").alias("a"), F.col("set").alias("sa"))
@@ -154,9 +170,9 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", siz
     same = ["n_shingles", "f1", "f2"]
     # A class is named by the smallest row number of its documents; sketch and fingerprint go with the set.
     classes = checkpointed(
-        full.groupBy(*same).agg(F.min("_row").alias("_class"), F.min("doc_id").alias("_first"), F.min_by("sketch", "_row").alias("sketch"))
+        full.groupBy(*same).agg(F.min("_row").alias("_class"), F.min("doc_id").alias("_first"), F.min_by(F.struct("sketch", "odd"), "_row").alias("s"))
     )
-    values = classes.select("_class", "n_shingles", F.explode("sketch").alias("value"))
+    values = classes.select("_class", "n_shingles", F.explode("s.sketch").alias("value"))
     counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("freq"))
     shared = values.join(counts.where("freq > 1"), "value")
     # Values that nobody shares are the rarest; they take places of the prefix without needing a list.
@@ -164,9 +180,9 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", siz
     held = F.least(F.col("n_shingles"), F.lit(k)).cast("int")
     need = F.greatest(F.lit(1), F.floor(held * min_shared / k)).cast("int")
     room = held - need + 1 - (held - F.size("vs"))
-    lists = ranked.where(room > 0).select("_class", "n_shingles", F.explode(F.slice("vs", 1, room)).alias("v"))
-    lists = checkpointed(lists.select("_class", F.col("n_shingles").alias("n"), F.col("v.value").alias("value")))
-    sketch = classes.select("_class", "sketch")
+    listed = checkpointed(ranked.where(room > 0).select("_class", F.col("n_shingles").alias("n"), F.slice("vs", 1, room).alias("vs")))
+    lists = listed.select("_class", "n", F.explode("vs").alias("v"), "vs").select("_class", "n", F.col("v.value").alias("value"), "v.freq", "vs")
+    sketch = classes.select("_class", "s.sketch")
 
     def alike(pairs: DataFrame) -> DataFrame:
         """The pairs whose union sketches are similar enough."""
@@ -177,9 +193,14 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", siz
     def sizes(x: Column, y: Column) -> Column:
         return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
-    hubs = lists.groupBy("value").agg(F.min(F.struct("_class", "n")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    stars = lists.join(hubs, "value").where((F.col("_class") != F.col("h._class")) & sizes(F.col("n"), F.col("h.n")))
-    stars = checkpointed(alike(stars.select(F.col("h._class").alias("a"), F.col("_class").alias("b")).distinct()))
+    # A hub is a typical member: most of its listed values are about as frequent as this one. Ties fall
+    # differently in each list, so that a large group gets several hubs.
+    typical = F.size(F.filter("vs", lambda v: v["freq"] * 2 >= F.col("freq")))
+    hub = F.max(F.struct(typical.alias("t"), F.xxhash64("_class", "value").alias("h"), "_class", "n"))
+    hubs = lists.groupBy("value").agg(hub.alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1").select("value", "h")
+    stars = lists.select("value", "_class", "n").join(hubs, "value").where((F.col("_class") != F.col("h._class")) & sizes(F.col("n"), F.col("h.n")))
+    stars = stars.select(F.greatest("h._class", "_class").alias("a"), F.least("h._class", "_class").alias("b")).distinct()
+    stars = checkpointed(alike(stars))
     number = full.select("_row", "doc_id")
     texts = docs.select(docs[text].alias("_text"), docs[id_col].alias("_id"))
 
@@ -195,19 +216,24 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", siz
 
     links = confirm(stars)
     comp = components(links)
-    tagged = lists.join(comp, lists["_class"] == comp["node"], "left").select("value", "_class", "n", F.coalesce("component", "_class").alias("comp"))
+    tagged = listed.join(comp, listed["_class"] == comp["node"], "left")
+    tagged = tagged.select("_class", "n", F.coalesce("component", "_class").alias("comp"), F.col("vs.value").alias("vs"))
+    tagged = tagged.withColumn("value", F.explode("vs"))
     open_lists = tagged.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
     open_lists = open_lists.where("lo <> hi and c > 2").select("value")
-    tagged = checkpointed(tagged.join(open_lists, "value", "left_semi").join(sketch, "_class"))
+    tagged = checkpointed(tagged.join(open_lists, "value", "left_semi").join(classes.select("_class", "s.odd"), "_class"))
     x, y = tagged.alias("x"), tagged.alias("y")
+    # A pair that meets in several lists is taken from the first of them.
+    here = F.array_min(F.array_intersect(F.col("x.vs"), F.col("y.vs"))) == F.col("x.value")
     rest = x.join(
         y,
         (F.col("x.value") == F.col("y.value"))
-        & (F.col("x._class") < F.col("y._class"))
+        & (F.col("x._class") > F.col("y._class"))
         & (F.col("x.comp") != F.col("y.comp"))
         & sizes(F.col("x.n"), F.col("y.n"))
-        & (_estimate(F.col("x.sketch"), F.col("y.sketch"), k) >= MIN_ESTIMATE),
-    ).select(F.col("x._class").alias("a"), F.col("y._class").alias("b")).distinct()
+        & _may_differ_little("x", "y", percent)
+        & here,
+    ).select(F.col("x._class").alias("a"), F.col("y._class").alias("b"))
     rest = checkpointed(rest.join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         comp = components(links.unionByName(confirm(rest)))
