@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name: the module that holds the function of that name, and its SQL if it has any.
 MODULES = {
+    "op3_bpe_codec": "bpe_codec",
     "op5_mix_sources": "mixing",
     "op6_exact_dedup": "exact_dedup",
     "op7_chat_format": "chat_format",
