@@ -100,12 +100,12 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = to
 
 
-def split_words(first: int, data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Find and hash the words of one slice; lower maps A-Z to a-z first."""
+def split_words(first: int, data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = SPACE) -> Words:
+    """Find and hash the words of one slice; lower maps A-Z to a-z first, space says which bytes part words."""
     if lower:
         data = LOWER[data]
     full = offsets[:-1][offsets[1:] > offsets[:-1]]
-    word = ~SPACE[data]
+    word = ~space[data]
     starts, ends = word.copy(), word.copy()
     starts[1:] &= ~word[:-1]
     ends[:-1] &= ~word[1:]

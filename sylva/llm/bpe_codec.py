@@ -34,7 +34,7 @@ from .arrays import _BASE, _BYTE, _UNBASE, LOWER, SPACE, _powers, _room, mix, sl
 from .common import table
 
 #: Raw text that shares one list of words.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
 
 _ALNUM = np.zeros(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
@@ -87,46 +87,50 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return data, start, end, np.searchsorted(offsets, start, "right") - 1, h
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Cut a partition's batches into blocks; the same rows in the same order give the same blocks."""
-    part = TaskContext.get().partitionId() << 24
-    block = held = 0
+def _blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Cut a partition's rows into blocks; the same rows in the same order give the same blocks."""
+    number, held, block = TaskContext.get().partitionId() << 24, 0, []
     for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         at = 0
         while at < batch.num_rows:
-            sizes = pc.fill_null(pc.binary_length(batch.column(text).slice(at)), 0).to_numpy(zero_copy_only=False)
-            fit = int(np.searchsorted(np.cumsum(sizes), BLOCK_BYTES - held, "right"))
+            fit = int(np.searchsorted(np.cumsum(sizes[at:]), BLOCK_BYTES - held, "right"))
             if fit == 0 and held:
-                block, held = block + 1, 0
+                yield number, block
+                number, held, block = number + 1, 0, []
                 continue
             fit = max(1, fit)
-            held += int(sizes[:fit].sum())
-            yield part + block, batch.slice(at, fit)
+            held += int(sizes[at : at + fit].sum())
+            block.append(batch.slice(at, fit))
             at += fit
+    if block:
+        yield number, block
 
 
-def _word_lists(text: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen = None, np.zeros(0, np.int64)
-        for block, batch in _blocks(batches, text):
-            if block != now:
-                now, seen = block, np.zeros(0, np.int64)
-            for _, data, offsets in slices(batch.column(text)):
+def _name(number: int, hashes: np.ndarray) -> int:
+    """A block's name follows from its place and its distinct words, so that a list is only ever used for the
+    words that it was made from, in the order of their hashes."""
+    parts = np.append(mix(hashes.view(np.uint64)), np.array([number + 1, len(hashes)], np.uint64) * np.uint64(_BASE))
+    return int(mix(parts.sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
+
+
+def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for number, block in _blocks(batches, 0):
+        seen, words = np.zeros(0, np.int64), []
+        for batch in block:
+            for _, data, offsets in slices(batch.column(0)):
                 data, start, end, _, h = _pieces(data, offsets)
                 h, at = np.unique(h, return_index=True)
                 fresh = ~np.isin(h, seen, assume_unique=True, kind="sort")
-                h, at = h[fresh], at[fresh]
-                if not len(h):
-                    continue
-                seen = np.concatenate([seen, h])
-                raw = data.tobytes()
-                words = [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(h), block)), pa.array(h), pa.array(words, pa.binary()).cast(pa.string())],
-                    ["block", "hash", "word"],
-                )
-
-    return run
+                seen, at, raw = np.concatenate([seen, h[fresh]]), at[fresh], data.tobytes()
+                words += [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
+        order = np.argsort(seen)
+        name = _name(number, seen[order])
+        words = pa.array(words, pa.binary()).cast(pa.string()).take(pa.array(order))
+        for i in range(0, len(order), 50_000):
+            part = words.slice(i, 50_000)
+            place = np.arange(i, i + len(part), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(place), part], ["block", "at", "word"])
 
 
 def _encode_words(path: str):
@@ -143,65 +147,91 @@ def _encode_words(path: str):
                     ids = np.array(next(coded).ids, np.uint32).tobytes()
                 out.append(ids)
             last = words[-1] if words else last
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "hash", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "at", "data"])
 
     return run
 
 
 def _packed(text: int):
+    """Blocks of rows, compressed; their places come after those of the words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, batch in _blocks(batches, text):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
+        for number, block in _blocks(batches, text):
+            seen, blobs = np.zeros(0, np.int64), []
+            for batch in block:
+                for first, data, offsets in slices(batch.column(text)):
+                    seen = np.union1d(seen, _pieces(data, offsets)[4])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
+                    writer.write_batch(batch)
+                blobs.append(sink.getvalue().to_pybytes())
+            name = _name(number, seen)
+            for i, blob in enumerate(blobs):
+                place = pa.array([_ROWS + i], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([name]), place, pa.array([blob], pa.binary())], ["block", "at", "data"])
 
     return run
 
 
-def _place(text: int, path: str, digest: bool, names: list[str], schema: pa.Schema):
-    def run(packed: pa.Table, listed: pa.Table) -> pa.Table:
-        h = listed.column("hash").to_numpy()
-        order = np.argsort(h)
-        h = h[order]
-        coded = listed.column("ids").combine_chunks()
-        coded = coded.cast(pa.large_binary()) if isinstance(coded, pa.Array) else pa.concat_arrays(coded.chunks).cast(pa.large_binary())
-        edge = np.frombuffer(coded.buffers()[1], np.int64)[coded.offset : coded.offset + len(coded) + 1] // 4 if len(coded) else np.zeros(1, np.int64)
-        flat = np.frombuffer(coded.buffers()[2], np.uint32) if len(coded) and coded.buffers()[2] else np.zeros(0, np.uint32)
-        begin, width = (edge[:-1][order], np.diff(edge)[order]) if len(h) else (edge[:0], edge[:0])
-        tokenizer, tables = None, []
-        for blob in packed.column("rows").to_pylist():
+#: Places from here on are those of compressed rows.
+_ROWS = 1 << 30
+
+
+def _place(text: int, path: str, digest: bool, schema: pa.Schema):
+    def block_rows(ids_of: list[bytes], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts, seen = [], np.zeros(0, np.int64)
+        for blob in blobs:
             for batch in pa.ipc.open_stream(blob):
                 for first, data, offsets in slices(batch.column(text)):
-                    data, start, end, doc, key = _pieces(data, offsets)
+                    data, start, end, doc, h = _pieces(data, offsets)
                     docs = len(offsets) - 1
-                    at = np.minimum(np.searchsorted(h, key), max(len(h) - 1, 0))
-                    known = h[at] == key if len(h) else np.zeros(len(key), bool)
-                    if known.all():
-                        count, source = width[at] if len(key) else np.zeros(0, np.int64), flat
-                        origin = begin[at] if len(key) else np.zeros(0, np.int64)
-                    else:  # a scan that was split otherwise the second time: encode what the list lacks
-                        tokenizer = tokenizer or _load(path)
-                        count, origin = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-                        if len(h):
-                            count[known], origin[known] = width[at[known]], begin[at[known]]
-                        raw, parts, top = data.tobytes(), [flat], len(flat)
-                        for i in np.flatnonzero(~known):
-                            ids = tokenizer.encode(raw[start[i] : end[i]].decode(), add_special_tokens=False).ids
-                            parts.append(np.array(ids, np.uint32))
-                            count[i], origin[i], top = len(ids), top, top + len(ids)
-                        source = np.concatenate(parts)
-                    to = np.concatenate([[0], np.cumsum(count)])
-                    ids = source[np.arange(to[-1]) - np.repeat(to[:-1] - origin, count)]
-                    cut = to[np.searchsorted(doc, np.arange(docs + 1))]
-                    col = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32)))]
-                    if digest:
-                        raw = memoryview(ids.astype("<u4")).cast("B")
-                        hexes = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                        col += [pa.array(np.diff(cut)), pa.array(hexes)]
-                    rest = [c for i, c in enumerate(batch.slice(first, docs).columns) if i != text or text < len(names)]
-                    tables.append(pa.Table.from_arrays([*rest, *col], schema.names))
-        return pa.concat_tables(tables).cast(schema) if tables else schema.empty_table()
+                    seen = np.union1d(seen, h)
+                    rest = batch.slice(first, docs).columns[:text]
+                    words = None if ids_of else (data.tobytes(), start, end)
+                    parts.append((rest, np.searchsorted(doc, np.arange(docs + 1)), h, words))
+        if len(seen) != len(ids_of):  # no list has this name: the scan was split otherwise the second time
+            tokenizer, known = _load(path), {}
+            for rest, bounds, h, words in parts:
+                raw, start, end = words
+                for k, a, b in zip(h.tolist(), start.tolist(), end.tolist()):
+                    if k not in known:
+                        ids = tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids
+                        known[k] = np.array(ids, np.uint32).tobytes()
+            ids_of = [known[k] for k in seen.tolist()]
+        width = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
+        begin = np.cumsum(width) - width
+        flat = np.frombuffer(b"".join(ids_of), np.uint32)
+        for rest, bounds, h, _ in parts:
+            at = np.searchsorted(seen, h)
+            count = width[at]
+            to = np.concatenate([[0], np.cumsum(count)])
+            ids = flat[np.arange(to[-1]) - np.repeat(to[:-1] - begin[at], count)]
+            cut = to[bounds]
+            col = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32)))]
+            if digest:
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                hexes = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                col += [pa.array(np.diff(cut)), pa.array(hexes, pa.string())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*rest, *col], schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids_of, blobs = None, [], []
+        for batch in batches:
+            names, places = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | ((places[1:] >= _ROWS) != (places[:-1] >= _ROWS))))
+            for a, b in zip(edges, np.append(edges[1:], len(names))):
+                if names[a] != now:
+                    if blobs:
+                        yield from block_rows(ids_of, blobs)
+                    now, ids_of, blobs = names[a], [], []
+                data = batch.column(2).slice(a, b - a).to_pylist()
+                if places[a] >= _ROWS:
+                    blobs += data
+                else:
+                    ids_of += data
+        if blobs:
+            yield from block_rows(ids_of, blobs)
 
     return run
 
@@ -213,16 +243,14 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", di
     carry = docs.columns if carry is None else carry
     frame = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)], docs[text].alias("_text"))
     at = len(carry)
-    lists = frame.select("_text").mapInArrow(_word_lists(0), "block long, hash long, word string")
-    coded = lists.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(path), "block long, hash long, ids binary")
-    packed = frame.mapInArrow(_packed(at), "block long, rows binary")
+    lists = frame.select("_text").mapInArrow(_word_lists, "block long, at int, word string")
+    coded = lists.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(path), "block long, at int, data binary")
+    packed = frame.mapInArrow(_packed(at), "block long, at int, data binary")
     added = "ids array<int>" + (", n_tokens long, ids_sha256 string" if digest else "")
     kinds = [f"_c{i} {frame.schema[f'_c{i}'].dataType.simpleString()}" for i in range(at)]
     out_schema = docs.sparkSession.createDataFrame([], ", ".join([*kinds, added])).schema
-    arrow = to_arrow_schema(out_schema)
-    placed = packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(
-        _place(at, path, digest, carry, arrow), out_schema
-    )
+    together = coded.unionByName(packed).repartition("block").sortWithinPartitions("block", "at")
+    placed = together.mapInArrow(_place(at, path, digest, to_arrow_schema(out_schema)), out_schema)
     return placed.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *[c.split()[0] for c in added.split(", ")])
 
 

@@ -46,6 +46,8 @@ K = 40
 MIN_SHARED = 18
 #: Percent of the union that linked sets share.
 PERCENT = 85
+#: Hubs that a group of equally typical classes gets, about.
+HUBS = 4
 #: Bits of the sketch of symmetric differences.
 ODD_BITS = 1024
 #: Sketch estimate below which a candidate is dropped: about five standard errors under the threshold.
@@ -182,13 +184,14 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", siz
     room = held - need + 1 - (held - F.size("vs"))
     listed = checkpointed(ranked.where(room > 0).select("_class", F.col("n_shingles").alias("n"), F.slice("vs", 1, room).alias("vs")))
     lists = listed.select("_class", "n", F.explode("vs").alias("v"), "vs").select("_class", "n", F.col("v.value").alias("value"), "v.freq", "vs")
-    sketch = classes.select("_class", "s.sketch")
+    sketch = classes.select("_class", F.col("n_shingles").alias("n"), "s.odd", "s.sketch")
 
     def alike(pairs: DataFrame) -> DataFrame:
         """The pairs whose union sketches are similar enough."""
-        a = sketch.select(F.col("_class").alias("a"), F.col("sketch").alias("ka"))
-        b = sketch.select(F.col("_class").alias("b"), F.col("sketch").alias("kb"))
-        return pairs.join(a, "a").join(b, "b").where(_estimate(F.col("ka"), F.col("kb"), k) >= MIN_ESTIMATE).select("a", "b")
+        x = sketch.select(F.col("_class").alias("a"), F.struct("n", "odd", "sketch").alias("x"))
+        y = sketch.select(F.col("_class").alias("b"), F.struct("n", "odd", "sketch").alias("y"))
+        little = _may_differ_little("x", "y", percent)
+        return pairs.join(x, "a").join(y, "b").where(little & (_estimate(F.col("x.sketch"), F.col("y.sketch"), k) >= MIN_ESTIMATE)).select("a", "b")
 
     def sizes(x: Column, y: Column) -> Column:
         return F.least(x, y) * 100 >= F.greatest(x, y) * percent
@@ -196,7 +199,7 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", siz
     # A hub is a typical member: most of its listed values are about as frequent as this one. Ties fall
     # differently in each list, so that a large group gets several hubs.
     typical = F.size(F.filter("vs", lambda v: v["freq"] * 2 >= F.col("freq")))
-    hub = F.max(F.struct(typical.alias("t"), F.xxhash64("_class", "value").alias("h"), "_class", "n"))
+    hub = F.max(F.struct(typical.alias("t"), F.xxhash64("_class", F.pmod("value", F.lit(HUBS))).alias("h"), "_class", "n"))
     hubs = lists.groupBy("value").agg(hub.alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1").select("value", "h")
     stars = lists.select("value", "_class", "n").join(hubs, "value").where((F.col("_class") != F.col("h._class")) & sizes(F.col("n"), F.col("h.n")))
     stars = stars.select(F.greatest("h._class", "_class").alias("a"), F.least("h._class", "_class").alias("b")).distinct()
