@@ -6,10 +6,14 @@ from importlib import import_module
 
 #: Query name: the module that holds the function of that name, and its SQL if it has any.
 MODULES = {
+    "op1_line_dedup": "line_dedup",
+    "op2_lm_score": "lm_score",
     "op3_bpe_codec": "bpe_codec",
+    "op4_quality_fm": "quality_fm",
     "op5_mix_sources": "mixing",
     "op6_exact_dedup": "exact_dedup",
     "op7_chat_format": "chat_format",
+    "op8_license_scan": "license_scan",
     "op9_quality_rules": "quality_rules",
     "op10_near_dedup": "near_dedup",
 }
