@@ -25,7 +25,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -34,7 +33,7 @@ from .arrays import _BASE, _BYTE, _UNBASE, LOWER, SPACE, _powers, _room, mix, sl
 from .common import table
 
 #: Raw text that shares one list of words.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 
 _ALNUM = np.zeros(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
@@ -89,8 +88,10 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """Cut a partition's rows into blocks; the same rows in the same order give the same blocks."""
-    number, held, block = TaskContext.get().partitionId() << 24, 0, []
+    number, held, block = None, 0, []
     for batch in batches:
+        if number is None and batch.num_rows:  # the scan's partition, which is not the task's where scans are united
+            number = batch.column(batch.num_columns - 1)[0].as_py() << 24
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         at = 0
         while at < batch.num_rows:
@@ -156,7 +157,7 @@ def _packed(text: int):
     """Blocks of rows, compressed; their places come after those of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for number, block in _blocks(batches, text):
             seen, blobs = np.zeros(0, np.int64), []
             for batch in block:
@@ -241,9 +242,9 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", di
     ids_sha256, the hex digest of the ids as little-endian unsigned 32-bit integers."""
     path = tokenizer or default_tokenizer()
     carry = docs.columns if carry is None else carry
-    frame = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)], docs[text].alias("_text"))
+    frame = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)], docs[text].alias("_text"), F.spark_partition_id().alias("_part"))
     at = len(carry)
-    lists = frame.select("_text").mapInArrow(_word_lists, "block long, at int, word string")
+    lists = frame.select("_text", "_part").mapInArrow(_word_lists, "block long, at int, word string")
     coded = lists.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(path), "block long, at int, data binary")
     packed = frame.mapInArrow(_packed(at), "block long, at int, data binary")
     added = "ids array<int>" + (", n_tokens long, ids_sha256 string" if digest else "")
