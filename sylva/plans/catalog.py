@@ -1,11 +1,387 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library and their SQL, over the driver's tables.
+
+The tables are lists of one model: region[r_regionkey]/nation[n_nationkey]/
+customer[c_custkey], orders, lineitem (a bag), part, supplier, events.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sylva.functions import types as Y
+from sylva.functions import xpath as X
+from sylva.operators import diff as D
+from sylva.operators import tree as R
+from sylva.operators import validate as V
+from sylva.sources import codecs as C
+from sylva.streaming import changelog as S
+
+_ALL: dict[str, tuple] = {}
+
+
+def query(name: str, sql: str | None):
+    def add(f):
+        _ALL[name] = (f, sql)
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for k, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _ALL.items() if sql}
+
+
+def _t(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def _geo(s: SparkSession, d: str) -> DataFrame:
+    """Nodes of region/nation/customer, customers with name and segment."""
+    region, nation, customer = _t(s, d, "region"), _t(s, d, "nation"), _t(s, d, "customer")
+    tree = F.lit("geo")
+    n = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = customer.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    path = [("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey")]
+    return (
+        R.shred(region, tree, path[:1], ["r_name"])
+        .unionByName(R.shred(n, tree, path[:2], ["n_name"]))
+        .unionByName(R.shred(c, tree, path, ["c_name", "c_mktsegment", "c_acctbal"]))
+    )
+
+
+_GEO = "customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+_CP = "'/region[' || r_regionkey || ']/nation[' || n_nationkey || ']/customer[' || c_custkey || ']'"
+_NP = "'/region[' || r_regionkey || ']/nation[' || n_nationkey || ']'"
+
+
+@query("d8_axis_child", f"SELECT {_NP} AS ctx_id, {_CP} AS node_id FROM {_GEO}")
+def d8(s, d):
+    n = _geo(s, d)
+    return R.child(R.context(n, F.col("name") == "nation"), n, "customer").select("ctx_id", "node_id")
+
+
+@query("d10_axis_parent", f"SELECT DISTINCT {_CP} AS ctx_id, {_NP} AS node_id FROM {_GEO}")
+def d10(s, d):
+    n = _geo(s, d)
+    return R.parent(R.context(n, F.col("name") == "customer"), n).select("ctx_id", "node_id")
+
+
+@query("d11_axis_ancestor", f"SELECT {_CP} AS ctx_id, {_NP} AS node_id FROM {_GEO} UNION ALL SELECT {_CP}, '/region[' || r_regionkey || ']' FROM {_GEO}")
+def d11(s, d):
+    n = _geo(s, d)
+    return R.ancestor(R.context(n, F.col("name") == "customer"), n).select("ctx_id", "node_id")
+
+
+@query("d12_axis_descendant", f"SELECT '/region[' || r_regionkey || ']' AS ctx_id, count(*) AS n FROM {_GEO} GROUP BY 1")
+def d12(s, d):
+    n = _geo(s, d)
+    return R.descendant(R.context(n, F.col("name") == "region"), n, "customer").groupBy("ctx_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d13_any_depth", "SELECT c_name AS canon FROM customer UNION ALL SELECT c_mktsegment FROM customer WHERE false")
+def d13(s, d):
+    return _geo(s, d).where("name = 'c_name'").select("canon")
+
+
+@query("d14_following_sibling", "SELECT a.n_nationkey AS k, count(*) AS n FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey > a.n_nationkey GROUP BY 1")
+def d14(s, d):
+    n = _geo(s, d)
+    out = R.following_sibling(R.context(n, F.col("name") == "nation"), n, "nation")
+    return out.groupBy(F.regexp_extract("ctx_id", r"nation\[(\d+)\]", 1).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d14_preceding_sibling", "SELECT a.n_nationkey AS k, count(*) AS n FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey < a.n_nationkey GROUP BY 1")
+def d14b(s, d):
+    n = _geo(s, d)
+    out = R.preceding_sibling(R.context(n, F.col("name") == "nation"), n, "nation")
+    return out.groupBy(F.regexp_extract("ctx_id", r"nation\[(\d+)\]", 1).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d15_following", "SELECT a.r_regionkey AS k, count(*) AS n FROM region a JOIN nation b ON b.n_regionkey > a.r_regionkey GROUP BY 1")
+def d15(s, d):
+    n = _geo(s, d).where("name IN ('region', 'nation')")
+    out = R.following(R.context(n, F.col("name") == "region"), n, "nation")
+    return out.groupBy(F.regexp_extract("ctx_id", r"region\[(\d+)\]", 1).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d15_preceding", "SELECT a.r_regionkey AS k, count(*) AS n FROM region a JOIN nation b ON b.n_regionkey < a.r_regionkey GROUP BY 1")
+def d15b(s, d):
+    n = _geo(s, d).where("name IN ('region', 'nation')")
+    out = R.preceding(R.context(n, F.col("name") == "region"), n, "nation")
+    return out.groupBy(F.regexp_extract("ctx_id", r"region\[(\d+)\]", 1).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d19_predicate_exists", f"SELECT DISTINCT {_NP} AS node_id FROM {_GEO} WHERE c_mktsegment = 'BUILDING'")
+def d19(s, d):
+    n = _geo(s, d)
+    ctx = R.context(n, F.col("name") == "nation")
+    return R.where_exists(ctx, R.descendant(ctx, n, "c_mktsegment").where("canon = 'BUILDING'")).select("node_id")
+
+
+@query("e11_not", f"SELECT {_CP} AS node_id FROM {_GEO} WHERE NOT c_mktsegment = 'BUILDING'")
+def e11(s, d):
+    n = _geo(s, d)
+    ctx = R.context(n, F.col("name") == "customer")
+    return R.where_exists(ctx, R.child(ctx, n, "c_mktsegment").where("canon = 'BUILDING'"), absent=True).select("node_id")
+
+
+@query("d20_position", f"SELECT ctx_id, node_id FROM (SELECT {_NP} AS ctx_id, {_CP} AS node_id, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) AS p FROM {_GEO}) WHERE p <= 3")
+def d20(s, d):
+    n = _geo(s, d)
+    return R.at_position(R.child(R.context(n, F.col("name") == "nation"), n, "customer"), 1, 3).select("ctx_id", "node_id")
+
+
+@query("d20_last", f"SELECT {_NP} AS ctx_id, arg_max({_CP}, c_custkey) AS node_id FROM {_GEO} GROUP BY 1")
+def d20b(s, d):
+    n = _geo(s, d)
+    return R.last(R.child(R.context(n, F.col("name") == "nation"), n, "customer")).select("ctx_id", "node_id")
+
+
+@query("d22_union", f"SELECT {_CP} AS node_id FROM {_GEO} WHERE c_mktsegment = 'BUILDING' OR c_custkey < 100")
+def d22(s, d):
+    n = _geo(s, d)
+    ctx = R.context(n, F.col("name") == "customer")
+    one = R.where_exists(ctx, R.child(ctx, n, "c_mktsegment").where("canon = 'BUILDING'"))
+    return R.union(one, ctx.where(F.element_at("doc_key", 3) < 100)).select("node_id")
+
+
+@query("d5_trim", f"SELECT {_CP} AS node_id FROM {_GEO} WHERE n_nationkey = 3 UNION ALL SELECT {_CP} || '/c_name' FROM {_GEO} WHERE n_nationkey = 3 UNION ALL SELECT {_CP} || '/c_mktsegment' FROM {_GEO} WHERE n_nationkey = 3 UNION ALL SELECT {_CP} || '/c_acctbal' FROM {_GEO} WHERE n_nationkey = 3 UNION ALL SELECT '/region[' || n_regionkey || ']/nation[3]' FROM nation WHERE n_nationkey = 3 UNION ALL SELECT '/region[' || n_regionkey || ']/nation[3]/n_name' FROM nation WHERE n_nationkey = 3 UNION ALL SELECT '/region[' || n_regionkey || ']' FROM nation WHERE n_nationkey = 3")
+def d5(s, d):
+    n = _geo(s, d)
+    return R.trim(n, n.where("name = 'nation' AND element_at(doc_key, 2) = 3")).select("node_id")
+
+
+@query("i6_remove", f"SELECT {_CP} AS node_id FROM {_GEO} WHERE n_regionkey <> 1")
+def i6(s, d):
+    n = _geo(s, d)
+    return R.remove(n, n.where("name = 'region' AND element_at(doc_key, 1) = 1")).where("name = 'customer'").select("node_id")
+
+
+@query("e1_count", f"SELECT {_NP} AS ctx_id, count(*) AS n FROM {_GEO} GROUP BY 1")
+def e1(s, d):
+    n = _geo(s, d)
+    ctx = R.context(n, F.col("name") == "nation")
+    return R.count(ctx, R.child(ctx, n, "customer"))
+
+
+@query("e2_sum", "SELECT o_custkey AS ctx_id, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def e2(s, d):
+    o = _t(s, d, "orders")
+    return o.groupBy(F.col("o_custkey").alias("ctx_id")).agg(F.round(F.sum(X.number(F.col("o_totalprice").cast("string"))), 2).alias("total"))
+
+
+@query("e15_rounding", "SELECT c_custkey, trunc(c_acctbal) + 0.0 AS f, CASE WHEN trunc(c_acctbal) = c_acctbal THEN c_acctbal ELSE trunc(c_acctbal) + 1 END AS c, trunc(c_acctbal + 0.5) + 0.0 AS r FROM customer")
+def e15(s, d):
+    b = F.col("c_acctbal")
+    return _t(s, d, "customer").select("c_custkey", (X.floor(b) + 0.0).alias("f"), X.ceiling(b).alias("c"), (X.round_(b) + 0.0).alias("r"))
+
+
+@query("e18_strings", "SELECT p_partkey, p_brand || '/' || p_type AS joined, contains(p_type, 'BRASS') AS has, starts_with(p_type, 'STANDARD') AS starts, substr(p_name, 2, 4) AS part, CASE WHEN strpos(p_brand, '#') > 0 THEN substr(p_brand, 1, strpos(p_brand, '#') - 1) ELSE '' END AS before, CASE WHEN strpos(p_brand, '#') > 0 THEN substr(p_brand, strpos(p_brand, '#') + 1) ELSE '' END AS after, strlen(p_name)::INT AS bytes, translate(p_type, 'AEIOU', 'aeiou') AS vowels FROM part")
+def e18(s, d):
+    c = F.col
+    return _t(s, d, "part").select(
+        "p_partkey", X.concat(c("p_brand"), F.lit("/"), c("p_type")).alias("joined"), X.contains(c("p_type"), F.lit("BRASS")).alias("has"),
+        X.starts_with(c("p_type"), F.lit("STANDARD")).alias("starts"), X.substring(c("p_name"), F.lit(2.0), F.lit(4.0)).alias("part"),
+        X.substring_before(c("p_brand"), F.lit("#")).alias("before"), X.substring_after(c("p_brand"), F.lit("#")).alias("after"),
+        X.string_length(c("p_name")).alias("bytes"), X.translate(c("p_type"), "AEIOU", "aeiou").alias("vowels"),
+    )
+
+
+@query("e27_re_match", "SELECT c_custkey FROM customer WHERE regexp_full_match(c_name, 'Customer#[0-9]*[02468]')")
+def e27(s, d):
+    return _t(s, d, "customer").where(X.re_match(F.col("c_name"), r"Customer#\d*[0-9-[13579]]")).select("c_custkey")
+
+
+@query("e29_deref", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def e29(s, d):
+    return _t(s, d, "orders").join(_t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+
+
+@query("e32_enum_value", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1.0::DOUBLE WHEN 'O' THEN 2.0 ELSE 3.0 END AS v FROM orders")
+def e32(s, d):
+    return _t(s, d, "orders").select("o_orderkey", X.enum_value(F.col("o_orderstatus"), {"F": 1, "O": 2, "P": 3}).alias("v"))
+
+
+@query("d24_existential_less", "SELECT c_custkey FROM customer WHERE c_acctbal < (SELECT max(s_acctbal) FROM supplier WHERE s_nationkey = c_nationkey)")
+def d24(s, d):
+    most = _t(s, d, "supplier").groupBy("s_nationkey").agg(F.max("s_acctbal").alias("m"))
+    return _t(s, d, "customer").join(most, F.col("c_nationkey") == F.col("s_nationkey")).where("c_acctbal < m").select("c_custkey")
+
+
+# --- types
+
+@query("g1_store_integer", "SELECT l_orderkey, l_linenumber, l_quantity::INT::VARCHAR AS canon FROM lineitem WHERE l_quantity BETWEEN 1 AND 20")
+def g1(s, d):
+    v = _t(s, d, "lineitem").select("l_orderkey", "l_linenumber", Y.store_integer(F.col("l_quantity").cast("int").cast("string"), "uint8", [(1, 20)]).alias("v"))
+    return v.where("v.ok").select("l_orderkey", "l_linenumber", F.col("v.canon").alias("canon"))
+
+
+@query("g3_length_pattern", "SELECT p_partkey FROM part WHERE length(p_type) BETWEEN 5 AND 18 AND regexp_full_match(p_type, '[A-Z ]+')")
+def g3(s, d):
+    return _t(s, d, "part").where(Y.store_string(F.col("p_type"), [(5, 18)], [("[A-Z ]+", True)])["ok"]).select("p_partkey")
+
+
+@query("g9_type_order", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey DESC) AS pos FROM customer")
+def g9(s, d):
+    from pyspark.sql import Window
+
+    key = Y.sort_key(F.col("c_custkey").cast("string"), "int64")
+    return _t(s, d, "customer").select("c_custkey", F.row_number().over(Window.orderBy(key.desc())).cast("long").alias("pos"))
+
+
+# --- validation
+
+@query("h3_duplicate_keys", "SELECT 'duplicate' AS rule, '/lineitem[l_orderkey=''' || l_orderkey || '''][l_linenumber=''' || l_linenumber || ''']' AS path, count(*) || ' instances' AS message FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+def h3(s, d):
+    return V.duplicate_keys(_t(s, d, "lineitem"), "lineitem", ["l_orderkey", "l_linenumber"])
+
+
+@query("h10_must", "SELECT 'must-violation' AS rule, '/customer[c_custkey=''' || c_custkey || ''']' AS path, 'must condition is false' AS message FROM customer WHERE NOT c_acctbal >= 0")
+def h10(s, d):
+    return V.must(_t(s, d, "customer"), "customer", ["c_custkey"], F.col("c_acctbal") >= 0)
+
+
+@query("h9_when_delete", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS o_orderpriority FROM orders")
+def h9(s, d):
+    return V.drop_when_false(_t(s, d, "orders"), "o_orderpriority", F.col("o_orderstatus") == "F").select("o_orderkey", "o_orderpriority")
+
+
+@query("h11_leafref_require_instance", "SELECT 'instance-required' AS rule, '/supplier[s_suppkey=''' || s_suppkey || ''']' AS path, 's_suppkey refers to ' || s_suppkey AS message FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
+def h11(s, d):
+    return V.leafref(_t(s, d, "supplier"), "supplier", ["s_suppkey"], "s_suppkey", _t(s, d, "lineitem").where("l_quantity > 49"), "l_suppkey")
+
+
+@query("h15_mandatory", "SELECT 'missing-leaf' AS rule, '/documents[doc_id=''' || d.doc_id || ''']' AS path, 'mandatory quality is absent' AS message FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL")
+def h15(s, d):
+    docs = _t(s, d, "documents").select("doc_id").join(_t(s, d, "labels"), "doc_id", "left")
+    return V.mandatory(docs, "documents", ["doc_id"], "quality")
+
+
+@query("h16_min_max_elements", "SELECT CASE WHEN n > 15 THEN 'too-many-elements' ELSE 'too-few-elements' END AS rule, '/customer[c_custkey=''' || c_custkey || ''']' AS path, n || ' entries' AS message FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1) WHERE n > 15 OR n < 5")
+def h16(s, d):
+    return V.element_counts(_t(s, d, "customer"), "customer", ["c_custkey"], _t(s, d, "orders"), ["o_custkey"], 5, 15)
+
+
+@query("h17_unique", "SELECT 'data-not-unique' AS rule, '/part[p_brand=''' || p_brand || '''][p_type=''' || p_type || '''][p_size=''' || p_size || ''']' AS path, count(*) || ' entries' AS message FROM part GROUP BY p_brand, p_type, p_size HAVING count(*) > 1")
+def h17(s, d):
+    return V.unique(_t(s, d, "part"), "part", ["p_brand", "p_type", "p_size"])
+
+
+@query("h5_choice", "SELECT 'choice' AS rule, '/orders[o_orderkey=''' || o_orderkey || ''']' AS path, '2 cases present' AS message FROM orders WHERE o_totalprice > 1000 AND o_orderstatus = 'F'")
+def h5(s, d):
+    o = _t(s, d, "orders").select("o_orderkey", F.when(F.col("o_totalprice") > 1000, 1).alias("big"), F.when(F.col("o_orderstatus") == "F", 1).alias("done"))
+    return V.choice(o, "orders", ["o_orderkey"], {"a": ["big"], "b": ["done"]})
+
+
+@query("h6_defaults", "SELECT d.doc_id, coalesce(l.toxic, 0) AS toxic, l.toxic IS NULL AS toxic_default FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def h6(s, d):
+    docs = _t(s, d, "documents").select("doc_id").join(_t(s, d, "labels"), "doc_id", "left")
+    return V.defaults(docs, {"toxic": 0}).select("doc_id", "toxic", "toxic_default")
+
+
+@query("c14_with_defaults_trim", "SELECT doc_id, nullif(toxic, 0) AS toxic FROM labels")
+def c14(s, d):
+    return V.with_defaults(_t(s, d, "labels"), {"toxic": 0}, "trim").select("doc_id", "toxic")
+
+
+@query("h22_leafref_links", "SELECT l_orderkey, l_linenumber, p_partkey AS target FROM lineitem JOIN part ON l_partkey = p_partkey")
+def h22(s, d):
+    return V.leafref_links(_t(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], "l_partkey", _t(s, d, "part"), "p_partkey")
+
+
+@query("a22_identity_closure", "WITH RECURSIVE e AS (SELECT 'any' AS base, 'r' || r_regionkey AS derived FROM region UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation), c AS (SELECT * FROM e UNION SELECT c.base, e.derived FROM c JOIN e ON c.derived = e.base) SELECT * FROM c")
+def a22(s, d):
+    r = _t(s, d, "region").select(F.lit("any").alias("base"), F.concat(F.lit("r"), "r_regionkey").alias("derived"))
+    n = _t(s, d, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("base"), F.concat(F.lit("n"), "n_nationkey").alias("derived"))
+    return V.identity_closure(r.unionByName(n))
+
+
+# --- differences
+
+_LEAVES = ["o_orderstatus", "o_totalprice"]
+
+
+def _two(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    a = _t(s, d, "orders").select("o_orderkey", *_LEAVES)
+    b = a.where("o_orderkey % 7 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")))
+    extra = a.where("o_orderkey % 11 = 0").withColumn("o_orderkey", -F.col("o_orderkey") - 1)
+    return a, b.unionByName(extra)
+
+
+_B = "b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT -o_orderkey - 1, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 11 = 0)"
+
+
+@query("f1_diff", f"WITH {_B} SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'create' WHEN b.o_orderkey IS NULL THEN 'delete' ELSE 'replace' END AS op, b.o_orderstatus, b.o_totalprice, a.o_orderstatus AS orig_o_orderstatus, a.o_totalprice AS orig_o_totalprice FROM orders a FULL JOIN b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus <> b.o_orderstatus OR a.o_totalprice <> b.o_totalprice")
+def f1(s, d):
+    return D.diff(*_two(s, d), ["o_orderkey"], _LEAVES)
+
+
+@query("f7_apply_diff", f"WITH {_B} SELECT * FROM b")
+def f7(s, d):
+    a, b = _two(s, d)
+    return D.apply_diff(a, D.diff(a, b, ["o_orderkey"], _LEAVES), ["o_orderkey"], _LEAVES)
+
+
+@query("f12_reverse_diff", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def f12(s, d):
+    a, b = _two(s, d)
+    back = D.reverse(D.diff(a, b, ["o_orderkey"], _LEAVES), ["o_orderkey"], _LEAVES)
+    return D.apply_diff(b, back, ["o_orderkey"], _LEAVES)
+
+
+@query("f9_merge_diff", "SELECT o_orderkey, o_orderstatus, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 3 = 0")
+def f9(s, d):
+    a, b = _two(s, d)
+    c = a.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    k = ["o_orderkey"]
+    return D.apply_diff(a, D.merge_diffs(D.diff(a, b, k, _LEAVES), D.diff(b, c, k, _LEAVES), k, _LEAVES), k, _LEAVES)
+
+
+@query("f3_bag_difference", "SELECT l_orderkey, l_linenumber, count(*) - 1 AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def f3(s, d):
+    items = D.with_occurrence(_t(s, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])
+    once = items.where("occ = 1")
+    gone = D.diff(items, once, ["l_orderkey", "l_linenumber", "occ"], [])
+    return gone.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f5_user_order_anchor", "SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS anchor FROM conversations")
+def f5(s, d):
+    return D.move_anchors(_t(s, d, "conversations").select("conv_id", "turn"), ["conv_id"], "turn", "turn")
+
+
+@query("i7_merge_trees", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def i7(s, d):
+    base = _t(s, d, "documents").select("doc_id", F.lit(-1).alias("quality"))
+    return D.merge_trees(base, _t(s, d, "labels").select("doc_id", "quality"), ["doc_id"], ["quality"])
+
+
+# --- sources and streams
+
+@query("c1_parse_json", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def c1(s, d):
+    return C.parse_json(_t(s, d, "events"), "props", "k string").select("event_id", F.col("data.k").alias("k"))
+
+
+@query("c12_print_json", "SELECT r_regionkey, to_json({r_regionkey: r_regionkey, r_name: r_name})::VARCHAR AS line FROM region")
+def c12(s, d):
+    return _t(s, d, "region").select("r_regionkey", C.print_json(["r_regionkey", "r_name"]).alias("line"))
+
+
+@query("s1_notification_windows", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def s1(s, d):
+    out = S.windowed_counts(_t(s, d, "events"), "ts", "event_type")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("s2_fold_changes", "SELECT user_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> (SELECT min(event_type) FROM events)")
+def s2(s, d):
+    e = _t(s, d, "events")
+    least = e.agg(F.min("event_type").alias("m"))
+    log = e.crossJoin(F.broadcast(least)).withColumn("op", F.when(F.col("event_type") == F.col("m"), "delete").otherwise("create"))
+    return S.fold(log, ["user_id"], ["value"], "event_id")
