@@ -33,7 +33,7 @@ from .arrays import _BASE, _BYTE, _UNBASE, LOWER, SPACE, _powers, _room, mix, sl
 from .common import table
 
 #: Raw text that shares one list of words.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 32 << 20
 
 _ALNUM = np.zeros(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
@@ -115,21 +115,39 @@ def _name(number: int, hashes: np.ndarray) -> int:
     return int(mix(parts.sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
 
 
+class _Words:
+    """The distinct words of a block, gathered slice by slice."""
+
+    def __init__(self) -> None:
+        self.hashes, self.words = np.zeros(0, np.int64), []
+
+    def add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
+        h, at = np.unique(h, return_index=True)
+        fresh = ~np.isin(h, self.hashes, assume_unique=True, kind="sort")
+        raw = data.tobytes()
+        self.hashes = np.concatenate([self.hashes, h[fresh]])
+        self.words += [raw[a:b] for a, b in zip(start[at[fresh]].tolist(), end[at[fresh]].tolist())]
+
+    def ordered(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Words in order; hashes in order, and the place among the words of each."""
+        order = np.array(sorted(range(len(self.words)), key=self.words.__getitem__), np.int64)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        by_hash = np.argsort(self.hashes)
+        return [self.words[i] for i in order], self.hashes[by_hash], place[by_hash]
+
+
 def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for number, block in _blocks(batches, 0):
-        seen, words = np.zeros(0, np.int64), []
+        found = _Words()
         for batch in block:
             for _, data, offsets in slices(batch.column(0)):
                 data, start, end, _, h = _pieces(data, offsets)
-                h, at = np.unique(h, return_index=True)
-                fresh = ~np.isin(h, seen, assume_unique=True, kind="sort")
-                seen, at, raw = np.concatenate([seen, h[fresh]]), at[fresh], data.tobytes()
-                words += [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
-        order = np.argsort(seen)
-        name = _name(number, seen[order])
-        words = pa.array(words, pa.binary()).cast(pa.string()).take(pa.array(order))
-        for i in range(0, len(order), 50_000):
-            part = words.slice(i, 50_000)
+                found.add(data, start, end, h)
+        words, hashes, _ = found.ordered()
+        name = _name(number, hashes)
+        for i in range(0, len(words), 20_000):
+            part = pa.array(words[i : i + 20_000], pa.binary()).cast(pa.string())
             place = np.arange(i, i + len(part), dtype=np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(place), part], ["block", "at", "word"])
 
@@ -157,7 +175,7 @@ def _packed(text: int):
     """Blocks of rows, compressed; their places come after those of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
         for number, block in _blocks(batches, text):
             seen, blobs = np.zeros(0, np.int64), []
             for batch in block:
@@ -181,30 +199,25 @@ _ROWS = 1 << 30
 
 def _place(text: int, path: str, digest: bool, schema: pa.Schema):
     def block_rows(ids_of: list[bytes], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        parts, seen = [], np.zeros(0, np.int64)
+        parts, found = [], _Words()
         for blob in blobs:
             for batch in pa.ipc.open_stream(blob):
                 for first, data, offsets in slices(batch.column(text)):
                     data, start, end, doc, h = _pieces(data, offsets)
                     docs = len(offsets) - 1
-                    seen = np.union1d(seen, h)
+                    found.add(data, start, end, h)
                     rest = batch.slice(first, docs).columns[:text]
-                    words = None if ids_of else (data.tobytes(), start, end)
-                    parts.append((rest, np.searchsorted(doc, np.arange(docs + 1)), h, words))
-        if len(seen) != len(ids_of):  # no list has this name: the scan was split otherwise the second time
-            tokenizer, known = _load(path), {}
-            for rest, bounds, h, words in parts:
-                raw, start, end = words
-                for k, a, b in zip(h.tolist(), start.tolist(), end.tolist()):
-                    if k not in known:
-                        ids = tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids
-                        known[k] = np.array(ids, np.uint32).tobytes()
-            ids_of = [known[k] for k in seen.tolist()]
+                    parts.append((rest, np.searchsorted(doc, np.arange(docs + 1)), h))
+        words, seen, place = found.ordered()
+        if len(words) != len(ids_of):  # no list has this name: the scan was split otherwise the second time
+            tokenizer = _load(path)
+            ids_of = [np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32).tobytes() for w in words]
+        del words, found
         width = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
         begin = np.cumsum(width) - width
         flat = np.frombuffer(b"".join(ids_of), np.uint32)
-        for rest, bounds, h, _ in parts:
-            at = np.searchsorted(seen, h)
+        for rest, bounds, h in parts:
+            at = place[np.searchsorted(seen, h)] if len(h) else h
             count = width[at]
             to = np.concatenate([[0], np.cumsum(count)])
             ids = flat[np.arange(to[-1]) - np.repeat(to[:-1] - begin[at], count)]
