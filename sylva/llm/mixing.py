@@ -82,7 +82,7 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", id_col
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - whole * F.col("source_size")
     last = (F.col("size") > 0) & (F.col("_start") + F.col("_inside") + F.col("size") / 2 <= rest)
-    epochs = (whole + last.cast("long")).cast("long")
+    epochs = F.when(F.col("size") > 0, whole + last.cast("long")).otherwise(0).cast("long")
     return rows.select("doc_id", "source", "size", "source_size", "target", epochs.alias("epochs"), (epochs * F.col("size")).alias("taken"))
 
 
