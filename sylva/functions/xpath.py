@@ -41,7 +41,7 @@ def string(x: Column) -> Column:
     whole = x == x.try_cast("bigint")
     return F.when(F.isnan(x), "NaN").when(x == float("inf"), "Infinity").when(x == float("-inf"), "-Infinity").when(
         F.coalesce(whole, F.lit(False)), x.try_cast("bigint").cast("string")
-    ).otherwise(F.format_string("%.1f", x))
+    ).otherwise(F.format_string("%.1f", F.bround(x, 1)))
 
 
 def floor(x: Column) -> Column:
