@@ -3,12 +3,13 @@
 The pieces of an existing vocabulary span a lattice over each word; a word's
 probability is the sum over all its segmentations, found by a forward
 recursion in log space. Piece probabilities start from the vocabulary's own
-order and are re-estimated on the training documents by expectation
-maximisation. Beside its pieces, each lattice has one arc over the whole word,
-weighted by how often training texts hold the word; the share of probability
-left to the pieces is that of new words among training tokens (Witten and
-Bell). A text is its words, each opened by the vocabulary's word mark,
-and one end, so probabilities of all texts add up to at most one.
+order and are re-estimated by expectation maximisation on the distinct words
+of the training documents, since the pieces spell words that are not known yet.
+Beside its pieces, each lattice has one arc over the whole word, weighted by
+how often training texts hold the word less a discount; what the discounts
+save is left to the pieces (Kneser and Ney's absolute discounting). A text is
+its words, each opened by the vocabulary's word mark, and one end, so
+probabilities of all texts add up to at most one.
 
 The work is done once per distinct word: a table of all words holds counts and
 log probabilities. Scoring needs the table beside every text. Its most
@@ -36,8 +37,12 @@ from .common import checkpointed, crc_mod, table
 #: Words whose facts every executor holds.
 HOT = 100_000
 #: Rounds of re-estimation, and what each piece counts before them.
-ROUNDS = 2
+ROUNDS = 3
 PRIOR = 0.05
+#: Distinct words that are spelled together.
+TOGETHER = 50_000
+#: Probability that a text ends, where no training text tells.
+END = 0.01
 #: Distinct words that a task gathers before it hands them on.
 GATHERED = 1 << 20
 
@@ -186,33 +191,40 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
-def train_model(words: DataFrame, n_train: int, vocabulary: str, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Log probabilities of the pieces and of the end, from a table of (word, train). What comes to the driver is
-    one number per piece of the vocabulary."""
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Consecutive batches as tables of about TOGETHER rows: words are short, and longer columns cost less a word."""
+    for batch in batches:
+        yield pa.Table.from_batches([batch])
+
+
+def train_model(words: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Log probabilities of the pieces, from a table of (word, train). What comes to the driver is one number per
+    piece of the vocabulary."""
     lattice = Lattice(vocabulary)
-    logp, end = lattice.start() + np.log(0.99), np.log(0.01)
-    seen = words.where("train > 0").select("word", "train")
+    logp = lattice.start()
+    seen = words.where("train > 0").select("word")
     for _ in range(rounds):
         now = logp
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             net, counts = None, None
-            for batch in batches:
+            for part in _together(batches):
                 if net is None:
                     net = Lattice(vocabulary)
                     counts = np.zeros(net.size)
-                net.words(batch.column(0).to_pylist(), now, batch.column(1).to_numpy().astype(float), counts)
+                net.words(part.column(0).to_pylist(), now, np.ones(part.num_rows), counts)
             if counts is not None:
                 some = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["piece", "weight"])
 
         got = seen.mapInArrow(expect, "piece int, weight double").groupBy("piece").agg(F.sum("weight").alias("weight")).collect()
+        if not got:
+            break
         counts = np.full(lattice.size, PRIOR)
         for piece, weight in got:
             counts[piece] += weight
-        every = counts.sum() + n_train + PRIOR
-        logp, end = np.log(counts / every), float(np.log((n_train + PRIOR) / every))
-    return logp, end
+        logp = np.log(counts / counts.sum())
+    return logp
 
 
 def score_texts(docs: DataFrame, vocabulary: str | None = None, text: str = "text", id_col: str = "doc_id", modulus: int = 10,
@@ -225,17 +237,27 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, text: str = "tex
         gathered.groupBy("hash").agg(F.min("word").alias("word"), F.sum("train").alias("train"), F.sum("total").alias("total"))
     )
     n_train = source.where(~F.col("held_out")).count()
-    tokens, kinds = words.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0)).first()
+    tokens, kinds, once, twice = words.agg(
+        F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0), F.count_if(F.col("train") == 1), F.count_if(F.col("train") == 2)
+    ).first()
     tokens, kinds = tokens + n_train, kinds + (n_train > 0)
-    logp, end = train_model(words, n_train, path, rounds)
+    discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
+    logp = train_model(words, path, rounds)
+
+    def mixed(count: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """log10 of the arc over the whole word and its pieces together."""
+        if not tokens:
+            return (spelled + np.log(1 - END)) / _LN10
+        with np.errstate(divide="ignore"):
+            whole = np.log(np.maximum(count - discount, 0) / tokens)
+        return np.logaddexp(whole, spelled + np.log(discount * kinds / tokens)) / _LN10
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = None
-        for batch in batches:
+        for part in _together(batches):
             net = net or Lattice(path)
-            sub = np.exp(net.words(batch.column(1).to_pylist(), logp))
-            lp = np.log10((batch.column(2).to_numpy() + kinds * sub) / (tokens + kinds)) if tokens else np.log10(sub)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(lp)], ["hash", "train", "total", "lp"])
+            lp = mixed(part.column(2).to_numpy(), net.words(part.column(1).to_pylist(), logp))
+            yield from part.select(["hash", "train", "total"]).append_column("lp", pa.array(lp)).to_batches()
 
     scored = checkpointed(words.mapInArrow(weigh, "hash long, train long, total long, lp double"))
     below = float(np.log10(tokens + 0.1 * (kinds + 1)))
@@ -278,7 +300,7 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, text: str = "tex
         F.sum("lp").alias("s"),
     )
     end_base = float(np.log10(n_train + 0.1)) - below
-    end_score = float(np.log10((n_train + kinds * np.exp(end)) / (tokens + kinds))) if tokens else end / _LN10
+    end_score = float(np.log10((n_train - discount) / tokens if tokens else END))
     zero = F.lit(0.0)
     return first.join(rare, "_row", "left").select(
         "doc_id",

@@ -16,7 +16,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `_
 def rows():
     rng = random.Random(5)
     vocab = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))) for _ in range(400)]
-    texts = [None, "", "   \n ", "one", "one two", "One TWO", "😀 é ß x", "w " * 3000]
+    texts = [None, "", "   \n ", "one", "one two", "One TWO", "😀 é ß x", "w " * 3000, "q" * 4000]
     base = [[rng.choice(vocab) for _ in range(120)] for _ in range(12)]
     for words in base:
         texts.append(" ".join(words))
@@ -128,8 +128,10 @@ def test_lattice_sums_all_segmentations(docs, empty):
     net = lm_score.Lattice(lm_score.default_vocabulary())
     logp = net.start()
     assert np.isfinite(net.words(["the", "", "zq😀", "x" * 70], logp)).all()
+    parts = net.words(["the", "zq", "x" * 5000], logp)
+    assert np.isfinite(parts).all() and parts[2] < -745  # beyond what a probability outside log space can hold
     scored = lm_score.score_texts(docs, rounds=1, hot=20).collect()
-    assert len(scored) == len(rows()) and all(r.score <= 0 and r.n_tokens >= 1 for r in scored)
+    assert len(scored) == len(rows()) and all(-1e6 < r.score <= 0 and r.n_tokens >= 1 for r in scored)
     whole = {r.doc_id: round(r.score, 6) for r in lm_score.score_texts(docs, rounds=1).collect()}
     assert whole == {r.doc_id: round(r.score, 6) for r in scored}
     assert lm_score.score_texts(empty, rounds=1).count() == 0
