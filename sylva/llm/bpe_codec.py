@@ -15,6 +15,9 @@ special token's opening may stand, the words are left whole and in their case.
 Defined results: a null text is empty and has no ids; repeated rows are encoded
 like any others; null ids stay null; an empty table gives an empty result;
 further columns pass through, whatever their names.
+
+Ids can be decoded where they are put together, so a round trip that only
+needs digests hands on neither ids nor texts.
 """
 
 from __future__ import annotations
@@ -34,6 +37,11 @@ from .common import table
 
 #: Raw text that shares one list of words.
 BLOCK_BYTES = 32 << 20
+#: What encoding can return, and its types. Digests are of the ids as little-endian unsigned 32-bit integers, and of
+#: the decoded text in UTF-8.
+OUTPUTS = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
+#: Ids whose pieces are laid out at once.
+DECODED_IDS = 1 << 20
 
 _ALNUM = np.zeros(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
@@ -197,7 +205,49 @@ def _packed(text: int):
 _ROWS = 1 << 30
 
 
-def _place(text: int, path: str, digest: bool, schema: pa.Schema):
+def _joined(path: str):
+    """A function from lists of ids (their edges and values) to their texts, in parts: the id-to-piece table has one
+    row per vocabulary entry. Pieces are joined as the tokenizer's own decode joins them when it has no decoder: with
+    single spaces."""
+    t = _load(path)
+    pieces = pa.array([t.id_to_token(i) or "" for i in range(t.get_vocab_size())], pa.string())
+
+    def run(edges: np.ndarray, ids: pa.Array) -> Iterator[pa.Array]:
+        at = 0
+        while at < len(edges) - 1:
+            to = max(at + 1, int(np.searchsorted(edges, edges[at] + DECODED_IDS, "right")) - 1)
+            some = pieces.take(ids.slice(edges[at], edges[to] - edges[at]))
+            lists = pa.ListArray.from_arrays(pa.array((edges[at : to + 1] - edges[at]).astype(np.int32)), some)
+            yield pc.binary_join(lists, " ")
+            at = to
+
+    return run
+
+
+def _hexes(data: memoryview, edges: np.ndarray) -> pa.Array:
+    cut = edges.tolist()
+    return pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(cut, cut[1:])], pa.string())
+
+
+def _place(text: int, path: str, outputs: tuple[str, ...], schema: pa.Schema):
+    joined = None
+
+    def columns(ids: np.ndarray, cut: np.ndarray) -> dict[str, pa.Array]:
+        nonlocal joined
+        made = {"n_tokens": pa.array(np.diff(cut))}
+        if "ids" in outputs:
+            made["ids"] = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32)))
+        if "ids_sha256" in outputs:
+            made["ids_sha256"] = _hexes(memoryview(ids.astype("<u4")).cast("B"), 4 * cut)
+        if {"decoded", "decoded_sha256"} & set(outputs):
+            joined = joined or _joined(path)
+            parts = list(joined(cut, pa.array(ids.astype(np.int32))))
+            if "decoded" in outputs:
+                made["decoded"] = pa.chunked_array(parts, pa.string()).combine_chunks()
+            digests = [hashlib.sha256(x.as_buffer()).hexdigest() for part in parts for x in part] if "decoded_sha256" in outputs else []
+            made["decoded_sha256"] = pa.array(digests, pa.string())
+        return made
+
     def block_rows(ids_of: list[bytes], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts, found = [], _Words()
         for blob in blobs:
@@ -222,12 +272,10 @@ def _place(text: int, path: str, digest: bool, schema: pa.Schema):
             to = np.concatenate([[0], np.cumsum(count)])
             ids = flat[np.arange(to[-1]) - np.repeat(to[:-1] - begin[at], count)]
             cut = to[bounds]
-            col = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32)))]
-            if digest:
-                raw = memoryview(ids.astype("<u4")).cast("B")
-                hexes = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                col += [pa.array(np.diff(cut)), pa.array(hexes, pa.string())]
+            made = columns(ids, cut)
+            col = [made[c] for c in outputs]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*rest, *col], schema)], schema=schema)
+        pa.default_memory_pool().release_unused()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids_of, blobs = None, [], []
@@ -250,9 +298,8 @@ def _place(text: int, path: str, digest: bool, schema: pa.Schema):
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", digest: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns (all by default) and ids, an array of integers; with ``digest`` also n_tokens and
-    ids_sha256, the hex digest of the ids as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", outputs: tuple[str, ...] = ("ids",), carry: list[str] | None = None) -> DataFrame:
+    """``carry`` columns (all by default) and those of OUTPUTS that are asked for."""
     path = tokenizer or default_tokenizer()
     carry = docs.columns if carry is None else carry
     frame = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)], docs[text].alias("_text"), F.spark_partition_id().alias("_part"))
@@ -260,44 +307,30 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", di
     lists = frame.select("_text", "_part").mapInArrow(_word_lists, "block long, at int, word string")
     coded = lists.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(path), "block long, at int, data binary")
     packed = frame.mapInArrow(_packed(at), "block long, at int, data binary")
-    added = "ids array<int>" + (", n_tokens long, ids_sha256 string" if digest else "")
     kinds = [f"_c{i} {frame.schema[f'_c{i}'].dataType.simpleString()}" for i in range(at)]
-    out_schema = docs.sparkSession.createDataFrame([], ", ".join([*kinds, added])).schema
+    out_schema = docs.sparkSession.createDataFrame([], ", ".join([*kinds, *[f"{c} {OUTPUTS[c]}" for c in outputs]])).schema
     together = coded.unionByName(packed).repartition("block").sortWithinPartitions("block", "at")
-    placed = together.mapInArrow(_place(at, path, digest, to_arrow_schema(out_schema)), out_schema)
-    return placed.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *[c.split()[0] for c in added.split(", ")])
+    placed = together.mapInArrow(_place(at, path, outputs, to_arrow_schema(out_schema)), out_schema)
+    return placed.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *outputs)
 
 
 def decode(coded: DataFrame, tokenizer: str | None = None, ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (all others by default) and the text of the ids.
-
-    The id-to-piece table has one row per vocabulary entry, so its size is
-    bounded by the tokenizer. Pieces are joined as the tokenizer's own decode
-    joins them when it has no decoder: with single spaces.
-    """
+    """``keep`` columns (all others by default) and the text of the ids."""
     path = tokenizer or default_tokenizer()
     keep = [c for c in coded.columns if c != ids] if keep is None else keep
     frame = coded.select(*[coded[c].alias(f"_c{i}") for i, c in enumerate(keep)], coded[ids].alias("_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = None
+        joined = None
         for batch in batches:
-            if pieces is None:
-                t = _load(path)
-                pieces = pa.array([t.id_to_token(i) or "" for i in range(t.get_vocab_size())], pa.string())
+            joined = joined or _joined(path)
+            col = batch.column(batch.num_columns - 1)
+            edges = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)))
             at = 0
-            widths = pc.fill_null(pc.list_value_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(widths)
-            while at < batch.num_rows:
-                limit = (ends[at - 1] if at else 0) + (1 << 21)
-                to = max(at + 1, int(np.searchsorted(ends, limit, "right")))
-                part = batch.slice(at, to - at)
-                col = part.column(part.num_columns - 1)
-                cut = np.concatenate([[0], np.cumsum(widths[at:to])])
-                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pieces.take(col.flatten()))
-                text = pc.binary_join(lists, " ")
+            for text in joined(edges, col.flatten()):
+                part = batch.slice(at, len(text))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], text], [*part.schema.names[:-1], "_out"])
-                at = to
+                at += len(text)
 
     kinds = [f"_c{i} {frame.schema[f'_c{i}'].dataType.simpleString()}" for i in range(len(keep))]
     done = frame.mapInArrow(run, ", ".join([*kinds, "_out string"]))
@@ -306,12 +339,10 @@ def decode(coded: DataFrame, tokenizer: str | None = None, ids: str = "ids", out
 
 def token_table(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and ids of every document."""
-    return encode(docs, tokenizer, text, digest=True, carry=[id_col]).select(
+    return encode(docs, tokenizer, text, ("n_tokens", "ids_sha256", "ids"), [id_col]).select(
         F.col(id_col).alias("doc_id"), "n_tokens", "ids_sha256", "ids"
     )
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode(table(spark, sf_dir, "documents"), digest=True, carry=["doc_id"])
-    back = decode(coded, keep=["doc_id", "n_tokens", "ids_sha256"])
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode(table(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"), carry=["doc_id"])

@@ -77,10 +77,16 @@ def test_bpe_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(bpe_codec.default_tokenizer())
-    coded = bpe_codec.encode(docs, digest=True, carry=["doc_id", "text", "ids"]).toDF("doc_id", "text", "other", "ids", "n_tokens", "ids_sha256")
-    for r in bpe_codec.decode(coded, keep=["doc_id", "text", "n_tokens"]).collect():
+    outputs = ("ids", "n_tokens", "ids_sha256", "decoded", "decoded_sha256")
+    coded = bpe_codec.encode(docs, outputs=outputs, carry=["doc_id", "text", "ids"]).toDF("doc_id", "text", "other", *outputs)
+    got = bpe_codec.decode(coded, out="back", keep=["doc_id", "text", "n_tokens", "ids_sha256", "decoded", "decoded_sha256"]).collect()
+    assert len(got) == len(rows())
+    for r in got:
         ids = t.encode(r.text or "", add_special_tokens=False).ids
-        assert r.n_tokens == len(ids) and r.decoded == t.decode(ids, skip_special_tokens=False)
+        back = t.decode(ids, skip_special_tokens=False)
+        assert r.n_tokens == len(ids) and r.back == r.decoded == back
+        assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
     assert bpe_codec.encode(empty).count() == 0
 
 
