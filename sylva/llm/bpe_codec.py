@@ -123,17 +123,28 @@ def _name(number: int, hashes: np.ndarray) -> int:
     return int(mix(parts.sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
 
 
+def _within(held: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of h are in held, which is in order."""
+    if not len(held):
+        return np.zeros(len(h), bool)
+    return held[np.minimum(np.searchsorted(held, h), len(held) - 1)] == h
+
+
 class _Words:
     """The distinct words of a block, gathered slice by slice."""
 
     def __init__(self) -> None:
-        self.hashes, self.words = np.zeros(0, np.int64), []
+        self.hashes, self.words = [np.zeros(0, np.int64)], []
+        self.old, self.new = np.zeros(0, np.int64), np.zeros(0, np.int64)  # in order; the new are few, so adding is cheap
 
     def add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
         h, at = np.unique(h, return_index=True)
-        fresh = ~np.isin(h, self.hashes, assume_unique=True, kind="sort")
+        fresh = ~(_within(self.old, h) | _within(self.new, h))
         raw = data.tobytes()
-        self.hashes = np.concatenate([self.hashes, h[fresh]])
+        self.hashes.append(h[fresh])
+        self.new = np.sort(np.concatenate([self.new, h[fresh]]), kind="stable")
+        if len(self.new) > 1 + len(self.old) // 4:
+            self.old, self.new = np.sort(np.concatenate([self.old, self.new]), kind="stable"), self.new[:0]
         self.words += [raw[a:b] for a, b in zip(start[at[fresh]].tolist(), end[at[fresh]].tolist())]
 
     def ordered(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -141,8 +152,9 @@ class _Words:
         order = np.array(sorted(range(len(self.words)), key=self.words.__getitem__), np.int64)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        by_hash = np.argsort(self.hashes)
-        return [self.words[i] for i in order], self.hashes[by_hash], place[by_hash]
+        hashes = np.concatenate(self.hashes)
+        by_hash = np.argsort(hashes)
+        return [self.words[i] for i in order], hashes[by_hash], place[by_hash]
 
 
 def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,15 +197,15 @@ def _packed(text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
         for number, block in _blocks(batches, text):
-            seen, blobs = np.zeros(0, np.int64), []
+            seen, blobs = [np.zeros(0, np.int64)], []
             for batch in block:
                 for first, data, offsets in slices(batch.column(text)):
-                    seen = np.union1d(seen, _pieces(data, offsets)[4])
+                    seen.append(np.unique(_pieces(data, offsets)[4]))
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
                     writer.write_batch(batch)
                 blobs.append(sink.getvalue().to_pybytes())
-            name = _name(number, seen)
+            name = _name(number, np.unique(np.concatenate(seen)))
             for i, blob in enumerate(blobs):
                 place = pa.array([_ROWS + i], pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([name]), place, pa.array([blob], pa.binary())], ["block", "at", "data"])
