@@ -193,8 +193,15 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Consecutive batches as tables of about TOGETHER rows: words are short, and longer columns cost less a word."""
+    held, rows = [], 0
     for batch in batches:
-        yield pa.Table.from_batches([batch])
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= TOGETHER:
+            yield pa.Table.from_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held)
 
 
 def train_model(words: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> np.ndarray:
