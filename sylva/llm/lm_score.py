@@ -46,6 +46,9 @@ END = 0.01
 #: Distinct words that a task gathers before it hands them on.
 GATHERED = 1 << 20
 
+#: Bits of a place in the tables of pieces.
+SLOT_BITS = 20
+
 _LN10 = float(np.log(10.0))
 
 
@@ -55,6 +58,41 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _slot(h: np.ndarray, level: int) -> np.ndarray:
+    """A place of SLOT_BITS bits for each hash, another one at each level."""
+    return ((h * np.uint64(0x9E3779B97F4A7C15 + 2 * level * 0xD1B54A32D192ED03 & (1 << 64) - 1)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+class Hashed:
+    """Finds values by their hashes: a key stands in the first level where its place is free."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.levels = keys, []
+        rest = np.arange(len(keys))
+        while len(rest):
+            at, first = np.unique(_slot(keys[rest], len(self.levels)), return_index=True)
+            slots = np.full(1 << SLOT_BITS, -1, np.int32)
+            slots[at] = rest[first]
+            self.levels.append(slots)
+            rest = np.delete(rest, first)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of h that are keys, which keys)."""
+        rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        open_ = np.arange(len(h))
+        for level, slots in enumerate(self.levels):
+            at = slots[_slot(h[open_], level)]
+            taken = at >= 0  # a key whose place is free at one level is at no later one
+            open_, at = open_[taken], at[taken]
+            hit = self.keys[at] == h[open_]
+            rows.append(open_[hit])
+            found.append(at[hit])
+            open_ = open_[~hit]
+            if not len(open_):
+                break
+        return np.concatenate(rows), np.concatenate(found)
+
+
 class Lattice:
     """Pieces of a vocabulary, as hashes of their code points and of their beginnings."""
 
@@ -76,10 +114,10 @@ class Lattice:
                     h = (h * 0x100000001B3 + ord(c) + 1) % (1 << 64)
                     prefixes.add(h)
                 whole.setdefault(h, i)
-        self.prefixes = np.sort(np.array(list(prefixes), np.uint64))
-        keys = np.array(list(whole), np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array(list(whole.values()), np.int64)[order]
+        # Beginnings only say where to stop looking, so a bit each will do; pieces themselves are compared.
+        self.begins = np.zeros(1 << SLOT_BITS, bool)
+        self.begins[_slot(np.array(list(prefixes), np.uint64), 0)] = True
+        self.pieces, self.ids = Hashed(np.array(list(whole), np.uint64)), np.array(list(whole.values()), np.int64)
 
     def start(self) -> np.ndarray:
         """First log probabilities, by the vocabulary's order: early pieces are the frequent ones."""
@@ -95,15 +133,13 @@ class Lattice:
             rows, h = np.arange(m), np.zeros(m, np.uint64)
             for j in range(i, n):
                 h = h * np.uint64(0x100000001B3) + codes[rows, j].astype(np.uint64) + np.uint64(1)
-                at = np.minimum(np.searchsorted(self.prefixes, h), len(self.prefixes) - 1)
-                on = self.prefixes[at] == h
+                on = self.begins[_slot(h, 0)]
                 rows, h = rows[on], h[on]
                 if not len(rows):
                     break
-                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                hit = self.keys[at] == h
-                if hit.any():
-                    out[j + 1].append((i, rows[hit], self.ids[at[hit]]))
+                hit, at = self.pieces.find(h)
+                if len(hit):
+                    out[j + 1].append((i, rows[hit], self.ids[at]))
         return out
 
     def spelled(self, codes: np.ndarray, edges: dict, logp: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
@@ -164,31 +200,39 @@ class Lattice:
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(hash, word, train, total) of the words of (held_out, text) rows."""
-    hashes, train, total, names = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object)
+    held: list[tuple[np.ndarray, ...]] = []
+    rows_held = rows_new = 0
+
+    def merged() -> tuple[np.ndarray, ...]:
+        h, train, total, names = map(np.concatenate, zip(*held))
+        every, at, back = np.unique(h, return_index=True, return_inverse=True)
+        return every, *(np.bincount(back, n, len(every)).astype(np.int64) for n in (train, total)), names[at]
 
     def rows() -> Iterator[pa.RecordBatch]:
+        hashes, train, total, names = merged()
         for i in range(0, len(hashes), 20_000):
             s = slice(i, i + 20_000)
-            words = pa.array([x.decode("utf-8", "replace") for x in names[s]], pa.string())
+            words = pa.array(names[s], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(hashes[s].view(np.int64)), words, pa.array(train[s]), pa.array(total[s])], ["hash", "word", "train", "total"])
 
     for batch in batches:
-        held = batch.column(0).to_numpy(zero_copy_only=False)
+        kept_out = batch.column(0).to_numpy(zero_copy_only=False)
         for words in words_of(batch.column(1), lower=True):
             h, first, which, n = np.unique(words.hash, return_index=True, return_inverse=True, return_counts=True)
-            learnt = np.bincount(which, ~held[words.first + words.doc], len(h)).astype(np.int64)
+            learnt = np.bincount(which, ~kept_out[words.first + words.doc], len(h)).astype(np.int64)
             raw = words.data.tobytes()
             text = np.empty(len(h), object)
             text[:] = [raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist())]
-            every, at, back = np.unique(np.concatenate([hashes, h]), return_index=True, return_inverse=True)
-            train = np.bincount(back, np.concatenate([train, learnt]), len(every)).astype(np.int64)
-            total = np.bincount(back, np.concatenate([total, n]), len(every)).astype(np.int64)
-            names = np.concatenate([names, text])[at]
-            hashes = every
-            if len(hashes) >= GATHERED:
-                yield from rows()
-                hashes, train, total, names = hashes[:0], train[:0], total[:0], names[:0]
-    yield from rows()
+            held.append((h, learnt, n, text))
+            rows_new += len(h)
+            if rows_new >= max(rows_held, 1 << 16):  # merging at each doubling costs little a word
+                held = [merged()]
+                rows_held, rows_new = len(held[0][0]), 0
+                if rows_held >= GATHERED:
+                    yield from rows()
+                    held, rows_held = [], 0
+    if held:
+        yield from rows()
 
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -204,22 +248,19 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def train_model(words: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> np.ndarray:
+def train_model(words: DataFrame, lattice: Lattice, rounds: int = ROUNDS) -> np.ndarray:
     """Log probabilities of the pieces, from a table of (word, train). What comes to the driver is one number per
     piece of the vocabulary."""
-    lattice = Lattice(vocabulary)
     logp = lattice.start()
     seen = words.where("train > 0").select("word")
     for _ in range(rounds):
         now = logp
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            net, counts = None, None
+            counts = None
             for part in _together(batches):
-                if net is None:
-                    net = Lattice(vocabulary)
-                    counts = np.zeros(net.size)
-                net.words(part.column(0).to_pylist(), now, np.ones(part.num_rows), counts)
+                counts = np.zeros(lattice.size) if counts is None else counts
+                lattice.words(part.column(0).to_pylist(), now, np.ones(part.num_rows), counts)
             if counts is not None:
                 some = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["piece", "weight"])
@@ -241,7 +282,7 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, text: str = "tex
     source = docs.select(docs[id_col].alias("doc_id"), (crc_mod(id_col, modulus) == 0).alias("held_out"), docs[text].alias("text"))
     gathered = source.select("held_out", "text").mapInArrow(_gather, "hash long, word string, train long, total long")
     words = checkpointed(
-        gathered.groupBy("hash").agg(F.min("word").alias("word"), F.sum("train").alias("train"), F.sum("total").alias("total"))
+        gathered.groupBy("hash", "word").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
     )
     n_train = source.where(~F.col("held_out")).count()
     tokens, kinds, once, twice = words.agg(
@@ -249,7 +290,8 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, text: str = "tex
     ).first()
     tokens, kinds = tokens + n_train, kinds + (n_train > 0)
     discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
-    logp = train_model(words, path, rounds)
+    lattice = Lattice(path)  # of the vocabulary's size, whatever the input
+    logp = train_model(words, lattice, rounds)
 
     def mixed(count: np.ndarray, spelled: np.ndarray) -> np.ndarray:
         """log10 of the arc over the whole word and its pieces together."""
@@ -260,10 +302,8 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, text: str = "tex
         return np.logaddexp(whole, spelled + np.log(discount * kinds / tokens)) / _LN10
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = None
         for part in _together(batches):
-            net = net or Lattice(path)
-            lp = mixed(part.column(2).to_numpy(), net.words(part.column(1).to_pylist(), logp))
+            lp = mixed(part.column(2).to_numpy(), lattice.words(part.column(1).to_pylist(), logp))
             yield from part.select(["hash", "train", "total"]).append_column("lp", pa.array(lp)).to_batches()
 
     scored = checkpointed(words.mapInArrow(weigh, "hash long, train long, total long, lp double"))
