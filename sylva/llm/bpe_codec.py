@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .arrays import _BASE, _BYTE, _UNBASE, LOWER, SPACE, _powers, _room, mix, slices
+from .arrays import _BASE, _BYTE, _UNBASE, LOWER, SPACE, _powers, _room, give_back, mix, slices
 from .common import table
 
 #: Raw text that shares one list of words.
@@ -170,6 +170,8 @@ def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = pa.array(words[i : i + 20_000], pa.binary()).cast(pa.string())
             place = np.arange(i, i + len(part), dtype=np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(place), part], ["block", "at", "word"])
+        del found, words, hashes
+        give_back()
 
 
 def _encode_words(path: str):
@@ -187,6 +189,8 @@ def _encode_words(path: str):
                 out.append(ids)
             last = words[-1] if words else last
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "at", "data"])
+        tokenizer = None
+        give_back()
 
     return run
 
@@ -209,6 +213,8 @@ def _packed(text: int):
             for i, blob in enumerate(blobs):
                 place = pa.array([_ROWS + i], pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([name]), place, pa.array([blob], pa.binary())], ["block", "at", "data"])
+            del seen, blobs
+            give_back()
 
     return run
 
@@ -217,12 +223,15 @@ def _packed(text: int):
 _ROWS = 1 << 30
 
 
-def _joined(path: str):
-    """A function from lists of ids (their edges and values) to their texts, in parts: the id-to-piece table has one
-    row per vocabulary entry. Pieces are joined as the tokenizer's own decode joins them when it has no decoder: with
-    single spaces."""
+def _piece_table(path: str) -> pa.Array:
+    """The piece of each id: one row per vocabulary entry, whatever the input."""
     t = _load(path)
-    pieces = pa.array([t.id_to_token(i) or "" for i in range(t.get_vocab_size())], pa.string())
+    return pa.array([t.id_to_token(i) or "" for i in range(t.get_vocab_size())], pa.string())
+
+
+def _joined(pieces: pa.Array):
+    """A function from lists of ids (their edges and values) to their texts, in parts. Pieces are joined as the
+    tokenizer's own decode joins them when it has no decoder: with single spaces."""
 
     def run(edges: np.ndarray, ids: pa.Array) -> Iterator[pa.Array]:
         at = 0
@@ -242,17 +251,15 @@ def _hexes(data: memoryview, edges: np.ndarray) -> pa.Array:
 
 
 def _place(text: int, path: str, outputs: tuple[str, ...], schema: pa.Schema):
-    joined = None
+    joined = _joined(_piece_table(path)) if {"decoded", "decoded_sha256"} & set(outputs) else None
 
     def columns(ids: np.ndarray, cut: np.ndarray) -> dict[str, pa.Array]:
-        nonlocal joined
         made = {"n_tokens": pa.array(np.diff(cut))}
         if "ids" in outputs:
             made["ids"] = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32)))
         if "ids_sha256" in outputs:
             made["ids_sha256"] = _hexes(memoryview(ids.astype("<u4")).cast("B"), 4 * cut)
-        if {"decoded", "decoded_sha256"} & set(outputs):
-            joined = joined or _joined(path)
+        if joined:
             parts = list(joined(cut, pa.array(ids.astype(np.int32))))
             if "decoded" in outputs:
                 made["decoded"] = pa.chunked_array(parts, pa.string()).combine_chunks()
@@ -287,7 +294,8 @@ def _place(text: int, path: str, outputs: tuple[str, ...], schema: pa.Schema):
             made = columns(ids, cut)
             col = [made[c] for c in outputs]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*rest, *col], schema)], schema=schema)
-        pa.default_memory_pool().release_unused()
+        del parts, rest, seen, place, flat, ids_of
+        give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids_of, blobs = None, [], []
@@ -332,10 +340,10 @@ def decode(coded: DataFrame, tokenizer: str | None = None, ids: str = "ids", out
     keep = [c for c in coded.columns if c != ids] if keep is None else keep
     frame = coded.select(*[coded[c].alias(f"_c{i}") for i, c in enumerate(keep)], coded[ids].alias("_ids"))
 
+    joined = _joined(_piece_table(path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined = None
         for batch in batches:
-            joined = joined or _joined(path)
             col = batch.column(batch.num_columns - 1)
             edges = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)))
             at = 0
