@@ -37,6 +37,8 @@ from .common import table
 
 #: Raw text that shares one list of words.
 BLOCK_BYTES = 32 << 20
+#: Raw text that is compressed together: rows this small are no large objects to the executors' memory management.
+PACKED_BYTES = 1 << 20
 #: What encoding can return, and its types. Digests are of the ids as little-endian unsigned 32-bit integers, and of
 #: the decoded text in UTF-8.
 OUTPUTS = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
@@ -205,10 +207,14 @@ def _packed(text: int):
             for batch in block:
                 for first, data, offsets in slices(batch.column(text)):
                     seen.append(np.unique(_pieces(data, offsets)[4]))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
-                    writer.write_batch(batch)
-                blobs.append(sink.getvalue().to_pybytes())
+                to = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+                edges = np.flatnonzero(np.diff(to // PACKED_BYTES, prepend=0, append=-1))
+                for a, b in zip(np.append(0, edges), edges):
+                    if a < b:
+                        sink = pa.BufferOutputStream()
+                        with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
+                            writer.write_batch(batch.slice(a, b - a))
+                        blobs.append(sink.getvalue().to_pybytes())
             name = _name(number, np.unique(np.concatenate(seen)))
             for i, blob in enumerate(blobs):
                 place = pa.array([_ROWS + i], pa.int32())
