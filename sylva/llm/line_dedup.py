@@ -1,18 +1,26 @@
 """Line dedup by pairwise alignment.
 
-Lines are compared by hashes, without the white space around them. A line that
-occurs in several documents pairs each of them with the first one (the smallest
-id) that has it: a star, so the pairs are at most as many as the lines. Such a
-line counts as evidence if it is rare (in RARE documents at most) or has
-LONG_CHARS characters or more; a short line in many documents is boilerplate
-and pairs nothing alone, but two shared lines pair any documents. Each pair is
+Lines are compared by hashes, without the white space around them. Two
+documents are a pair if the distinct lines that they share have LEAST_CHARS
+characters or more together, however many documents have them. Pairs are
 aligned by patience diff, and what aligns in blocks is deleted from the later
 document. Every deleted line therefore stays in an earlier document.
 
+Partners are found without forming all pairs. A document's evidence is its
+shared lines less the most frequent ones of fewer than LEAST_CHARS characters
+together: two documents that are a pair always have one line in common in
+both evidences, since what was left out cannot reach LEAST_CHARS alone. Each
+line of evidence pairs its holders with the first one (the smallest id) and
+with the first one that has the line once: two stars, so the pairs are at most
+twice as many as the lines. Evidence that stays uncut is then held against the
+line's next holders in order, STEP times as many in each round, until it is cut
+or no earlier holder is left. Only evidence that nothing cuts meets all of them.
+
 Only hashes and positions are shuffled until the end, when each text meets the
 positions to delete. A line in a third of all documents makes a long list
-under one hash; its count and first document are aggregated before the
-shuffle, and its join is one that Spark splits.
+under one hash; its count and first documents are aggregated before the
+shuffle, and its join is one that Spark splits. Holders are numbered only for
+lines that the stars leave uncut somewhere.
 
 Defined results: a null text has no lines, and stays null; blank lines never
 anchor and go only inside blocks; rows that repeat an id and its text are one
@@ -25,28 +33,44 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
 from .patience import align
 
-#: Documents that may hold a rare line; characters from which any line is evidence; fewest characters of evidence.
-RARE = 100
-LONG_CHARS = 120
+#: Fewest characters of shared lines that make a pair.
 LEAST_CHARS = 20
+#: Factor by which the holders that uncut evidence has met grow in each round.
+STEP = 4
+
+
+def _blocks(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(row, positions): lines of the later document that align with the earlier one, if the two are a pair."""
+        for batch in batches:
+            rows = []
+            for later, sizes, first in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                size = dict(zip(later, sizes))
+                pair = sum(size[l] for l in size.keys() & set(first) if l) >= least
+                rows.append([i for i, _ in align(later, first, blank=0)] if pair else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["row", "cut"])
 
+    return run
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, positions): lines of the later document that align with the earlier one."""
-    for batch in batches:
-        rows = []
-        for later, first in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            rows.append([i for i, _ in align(later, first, blank=0)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["row", "cut"])
+
+def _evidence(rows: DataFrame, least: int) -> DataFrame:
+    """(line, o, row, n): each document's shared lines less the most frequent ones of under ``least`` characters."""
+    order = F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("row").alias("c"))
+    held = rows.select("row", order.alias("o"), F.explode(F.arrays_zip("lines", "sizes")).alias("l")).where("l.lines <> 0")
+    held = held.groupBy("row", F.col("l.lines").alias("line")).agg(F.first("o").alias("o"), F.first("l.sizes").alias("size"), F.count(F.lit(1)).alias("n"))
+    counts = held.groupBy("line").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = held.join(counts, "line")
+    common = Window.partitionBy("row").orderBy(F.desc("df"), "line").rowsBetween(Window.unboundedPreceding, 0)
+    return shared.withColumn("chars", F.sum("size").over(common)).where(F.col("chars") >= least).select("line", "o", "row", "n")
 
 
-def cut_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", rare: int = RARE, long_chars: int = LONG_CHARS) -> DataFrame:
+def cut_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with the text of each document less what it repeats of earlier ones, and n_lines, n_cut, cut_chars."""
     lines = F.split(F.col("_t"), "\n")
     keyed = docs.select(docs[id_col].alias("_id"), docs[text].alias("_t")).where(F.col("_t").isNotNull())
@@ -58,18 +82,45 @@ def cut_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", rare:
     )
     rows = rows.groupBy("_id", "_key").agg(F.first("lines").alias("lines"), F.first("sizes").alias("sizes"))
     rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
-    order = F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("row").alias("c"))
-    held = rows.select("row", order.alias("o"), F.explode(F.array_distinct(F.arrays_zip("lines", "sizes"))).alias("l"))
-    held = held.select("row", "o", F.col("l.lines").alias("line"), F.col("l.sizes").alias("size")).where(f"size >= {LEAST_CHARS}")
-    firsts = held.groupBy("line").agg(F.min("o").alias("first"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    firsts = firsts.select("line", F.col("first.c").alias("first"), "df")
-    shared = held.join(firsts, "line").where("row <> first")
-    pairs = shared.groupBy("row", "first").agg(F.min("df").alias("df"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    pairs = pairs.where((F.col("df") <= rare) | (F.col("size") >= long_chars) | (F.col("n") > 1)).select("row", "first")
-    later = rows.select("row", F.col("lines").alias("later"))
+    held = checkpointed(_evidence(rows, least))
+    once = F.min(F.when(F.col("n") == 1, F.col("o")))
+    firsts = held.groupBy("line").agg(F.min("o").alias("first"), once.alias("once"), F.count(F.lit(1)).alias("df")).where("df > 1")
+    firsts = firsts.select("line", F.col("first.c").alias("first"), F.explode(F.array_distinct(F.array("first", "once"))).alias("p"))
+    pairs = held.join(firsts, "line").where("row <> first AND p < o").select("row", F.col("p.c").alias("first")).distinct()
+    later = rows.select("row", F.col("lines").alias("later"), "sizes")
     earlier = rows.select(F.col("row").alias("first"), F.col("lines").alias("earlier"))
-    cuts = pairs.join(earlier, "first").join(later, "row").select("row", "later", "earlier").mapInArrow(_blocks, "row long, cut array<int>")
-    cuts = cuts.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("_cut"))
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        """(row, _cut) of the documents that lose lines to one of their partners."""
+        frame = pairs.join(earlier, "first").join(later, "row").select("row", "later", "sizes", "earlier")
+        cuts = frame.mapInArrow(_blocks(least), "row long, cut array<int>").where(F.size("cut") > 0)
+        return cuts.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("_cut"))
+
+    def uncut(some: DataFrame, cuts: DataFrame) -> DataFrame:
+        """The rows of ``some`` whose line still stands somewhere in its document."""
+        left = some.select("row").distinct().join(rows.select("row", "lines"), "row").join(cuts, "row", "left")
+        left = left.select("row", F.explode(F.array_distinct(F.filter("lines", lambda l, i: F.coalesce(~F.array_contains("_cut", i), F.lit(True))))).alias("line"))
+        return some.join(left, ["row", "line"], "left_semi")
+
+    cuts = checkpointed(aligned(pairs))
+    behind = held.join(firsts.select("line", "first").distinct(), "line").where("row <> first").select(*held.columns)
+    waiting = checkpointed(uncut(behind, cuts).select("line", "row"))
+    if not waiting.isEmpty():
+        holders = held.join(waiting.select("line").distinct(), "line", "left_semi")
+        holders = checkpointed(holders.select("line", "row", F.row_number().over(Window.partitionBy("line").orderBy("o")).alias("k")))
+        waiting = waiting.join(holders, ["line", "row"])
+        # The first holder was met by all.
+        met, reach = 1, STEP
+        while True:
+            waiting = checkpointed(waiting.where(F.col("k") > met + 1))
+            if waiting.isEmpty():
+                break
+            partners = holders.where((F.col("k") > met) & (F.col("k") <= reach)).select("line", F.col("row").alias("first"), F.col("k").alias("j"))
+            pairs = waiting.join(partners, "line").where("j < k").select("row", "first").distinct()
+            more = cuts.unionByName(aligned(pairs)).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("_cut"))).alias("_cut"))
+            cuts = checkpointed(more)
+            waiting = uncut(waiting, cuts)
+            met, reach = reach, reach * STEP
     cuts = cuts.join(rows.select("row", F.col("_id").alias("_cid"), F.col("_key").alias("_ckey")), "row").drop("row")
     whole = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns)], docs[id_col].alias("_id"), docs[text].alias("_t"))
     out = whole.join(cuts, whole["_id"].eqNullSafe(cuts["_cid"]) & (F.xxhash64("_t") == cuts["_ckey"]), "left")

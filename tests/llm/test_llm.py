@@ -151,6 +151,21 @@ def test_line_dedup_keeps_the_first(spark, docs, empty):
     assert line_dedup.cut_lines(docs).count() == len(rows()) and line_dedup.cut_lines(empty).count() == 0
 
 
+def test_line_dedup_meets_later_holders(spark):
+    h, k = "a shared line of thirty letters", "another shared line of thirty letters"
+    rows = [(1, [h, "x", h, "y"]), (2, ["a", h, "b"]), (3, ["c", h, "d"]), (4, ["p", k, "q", h, k, "r"]), (5, ["s", k, k, "t"]), (6, ["u", h, "v", k, "w"]), (7, ["m", h, "z", k, "n"])]
+    table = spark.createDataFrame([(i, "\n".join(t)) for i, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.cut_lines(table).collect()}
+    assert got[3] == ["c", "d"] and got[7] == ["m", "z", "n"]
+    # Lines that stand twice in the first holders reach the one that aligns only after several rounds.
+    rows = [(i, [f"a{i}", h, f"b{i}", h, f"c{i}", k, f"d{i}", k, f"e{i}"]) for i in range(30)]
+    rows += [(30, ["x", h, "y", "z"]), (31, ["o", h, "o1", "o2", k, "o3"]), (32, ["v", k, "v1", h, "v2"]), (33, ["w", k, "w1", h, "w2"])]
+    table = spark.createDataFrame([(i, "\n".join(t)) for i, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.cut_lines(table).collect()}
+    assert got[31] == ["o", "o1", "o2", k, "o3"]  # no earlier document has k in one place
+    assert got[33] == ["w", "w1", "w2"]
+
+
 def test_license_scan(spark, empty):
     table = spark.createDataFrame([(1, "x y\nLicensed under CC BY-NC 4.0.\nz"), (2, "the license of this work"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in license_scan.scan_licenses(table).collect()}
