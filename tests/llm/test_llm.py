@@ -166,6 +166,20 @@ def test_line_dedup_meets_later_holders(spark):
     assert got[33] == ["w", "w1", "w2"]
 
 
+def test_line_dedup_weighs_pairs_not_lines(spark):
+    verse = [f"verse {k}" for k in range(6)]
+    rows = [(1, ["own one", *verse]), (2, ["verse 0", "two"]), (3, ["verse 1", "three"]), (4, [*verse, "own four"])]
+    boiler = "a line that very many documents have"
+    rows += [(i, [f"start {i}", boiler, f"end {i}"]) for i in range(10, 160)]
+    # First holders of the two lines differ, and only the third document has both.
+    rows += [(200, ["first of it", "x1"]), (201, ["second half", "x2"]), (202, ["y", "first of it", "second half", "z"]), (203, ["k", "first of it", "second half", "l"])]
+    table = spark.createDataFrame([(i, "\n".join(t)) for i, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.cut_lines(table).collect()}
+    assert got[4] == ["own four"] and got[2] == ["verse 0", "two"] and got[10][1] == boiler
+    assert all(got[i] == [f"start {i}", f"end {i}"] for i in range(11, 160))
+    assert got[202] == ["y", "first of it", "second half", "z"] and got[203] == ["k", "l"]
+
+
 def test_license_scan(spark, empty):
     table = spark.createDataFrame([(1, "x y\nLicensed under CC BY-NC 4.0.\nz"), (2, "the license of this work"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in license_scan.scan_licenses(table).collect()}
