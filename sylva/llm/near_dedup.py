@@ -9,9 +9,9 @@ exact Jaccard similarity of the full sets confirms them.
 
 Long lists do not become all pairs:
 
-* Two similar sets share far more than MIN_SHARED of the retained values, so
-  each class is listed only under its k - MIN_SHARED + 1 rarest values: by the
-  pigeonhole principle, two classes that share MIN_SHARED values still meet.
+* Two similar sets share min_shared or more of the retained values, so each
+  class is listed only under its k - min_shared + 1 rarest values: by the
+  pigeonhole principle, two classes that share min_shared values still meet.
   Passages that many documents quote are frequent values and drop out.
 * In every list one typical class is compared with all others (a star, linear
   in the list). Lists that then hold one component are finished. What is left
@@ -19,8 +19,9 @@ Long lists do not become all pairs:
   bound on the symmetric difference inside the join condition. The bound comes
   from a second sketch of 128 bytes and never rejects a similar pair.
 
-The chance that a pair at the threshold shares fewer than MIN_SHARED of K
-values is below 1e-7 (Chernoff), and falls fast above the threshold.
+The chance that a pair at the threshold shares fewer than min_shared of k
+values is below MISS (binomial), and falls fast above the threshold; the least
+estimate that a candidate needs is min_shared / k.
 
 Defined results: a text without words, or null, has an empty set and is linked
 with nothing; repeated rows are one class; a null id forms a class member that
@@ -31,6 +32,7 @@ empty result; further columns pass through the filter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,17 +43,28 @@ from pyspark.sql import functions as F
 from .arrays import distinct_by_row, mix, shingles, words_of
 from .common import checkpointed, table
 
-#: Retained hashes of a sketch, and how many of them two similar sets share at least.
+#: Retained hashes of a sketch.
 K = 40
-MIN_SHARED = 18
+#: Chance with which a pair at the threshold may share fewer of them than ``shared_at_least`` says.
+MISS = 1e-7
 #: Percent of the union that linked sets share.
 PERCENT = 85
 #: Hubs that a group of equally typical classes gets, about.
 HUBS = 4
 #: Bits of the sketch of symmetric differences.
 ODD_BITS = 1024
-#: Sketch estimate below which a candidate is dropped: about five standard errors under the threshold.
-MIN_ESTIMATE = 0.55
+
+
+def shared_at_least(percent: int, k: int) -> int:
+    """How many of the k values of their union sketch two sets at the threshold share, but for a chance of MISS."""
+    p, below = percent / 100, 0.0
+    for m in range(k + 1):
+        below += math.comb(k, m) * p**m * (1 - p) ** (k - m)
+        if below > MISS:
+            break
+    if m < 1:
+        raise ValueError(f"a sketch of {k} values is too small for {percent} per cent")
+    return m
 
 
 def _sketches(docs: DataFrame, text: str, id_col: str, size: int, k: int) -> DataFrame:
@@ -165,8 +178,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = PERCENT,
-                k: int = K, min_shared: int = MIN_SHARED) -> DataFrame:
+                k: int = K, min_shared: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id that it reaches) and kept."""
+    if min_shared is None:
+        min_shared = shared_at_least(percent, k)
     rows = checkpointed(_sketches(docs, text, id_col, size, k).withColumn("_row", F.monotonically_increasing_id()))
     full = rows.where("n_shingles > 0")
     same = ["n_shingles", "f1", "f2"]
@@ -191,7 +206,7 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", siz
         x = sketch.select(F.col("_class").alias("a"), F.struct("n", "odd", "sketch").alias("x"))
         y = sketch.select(F.col("_class").alias("b"), F.struct("n", "odd", "sketch").alias("y"))
         little = _may_differ_little("x", "y", percent)
-        return pairs.join(x, "a").join(y, "b").where(little & (_estimate(F.col("x.sketch"), F.col("y.sketch"), k) >= MIN_ESTIMATE)).select("a", "b")
+        return pairs.join(x, "a").join(y, "b").where(little & (_estimate(F.col("x.sketch"), F.col("y.sketch"), k) >= F.lit(shared_at_least(percent, k) / k))).select("a", "b")
 
     def sizes(x: Column, y: Column) -> Column:
         return F.least(x, y) * 100 >= F.greatest(x, y) * percent

@@ -73,6 +73,21 @@ def test_near_dedup(docs, empty):
     assert near_dedup.near_groups(empty).count() == 0
 
 
+def test_near_dedup_from_80_percent(spark):
+    import corpus_pipeline
+
+    # 124 and 100 shingles, 82 per cent of the union and a part of it: alike from 80 per cent, not from 85.
+    words = [f"w{i}" for i in range(128)]
+    table = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:106]))], "doc_id long, text string")
+    assert near_dedup.drop_near(table).count() == 2
+    assert [r.doc_id for r in corpus_pipeline.near(spark, table, "").collect()] == [1]
+    assert near_dedup.shared_at_least(80, 40) == 17 and near_dedup.shared_at_least(85, 20) == 7
+    # Pairs at half the union share fewer values than the least number for 85 per cent.
+    pairs = [(2 * j + h, " ".join(f"v{j}x{i}" for i in range(120) if not (h and i >= 64))) for j in range(30) for h in (0, 1)]
+    table = spark.createDataFrame(pairs, "doc_id long, text string")
+    assert near_dedup.drop_near(table, percent=50).count() == 30
+
+
 def test_bpe_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
