@@ -29,6 +29,27 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def keep_rows(docs: DataFrame, decided: DataFrame, text: str, id_col: str) -> DataFrame:
+    """The rows of docs that ``decided`` (doc_id, _key: xxhash64 of the text, kept), with one row for each, keeps.
+
+    Rows are told apart by id and text. Of rows that share both, one stays if
+    only some of them are kept.
+    """
+    by = decided.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).agg(F.bool_or("kept").alias("_kept"), F.bool_and("kept").alias("_all"))
+    gone = checkpointed(by.where("NOT _all").select("_id", "_k", "_kept"))
+
+    def match(keys: DataFrame) -> Column:
+        return (F.xxhash64(docs[text]) == keys["_k"]) & docs[id_col].eqNullSafe(keys["_id"])
+
+    out = docs.join(gone, match(gone), "left_anti")
+    some = gone.where("_kept")
+    if some.isEmpty():
+        return out
+    again = docs.join(some, match(some), "left_semi")
+    again = again.groupBy(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_k")).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("_doc"))
+    return out.unionByName(again.select("_doc.*"))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what crosses to a Python worker at once: rows are whole texts here."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, squeezed, table
+from .common import checkpointed, keep_rows, squeezed, table
 
 #: Cells in which keys are counted: the proven bound of the broadcast filter.
 CELLS = 1 << 20
@@ -36,7 +36,7 @@ def _cell(*key: Column) -> Column:
 
 
 def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", digest_all: bool = False) -> DataFrame:
-    """One row per input row: _row, the id, _raw (code points), keep_id, group_size, kept and digest.
+    """One row per input row: _row, _key (a hash of the text), the id, _raw (code points), keep_id, group_size, kept and digest.
 
     digest is the SHA-256 of the text without white space. Rows that the cheap
     keys already tell apart from all others get none unless ``digest_all``.
@@ -57,6 +57,7 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", di
     wanted = F.lit(True) if digest_all else F.col("_shared")
     rows = rows.join(by_head, "_cell", "left").select(
         "doc_id",
+        F.xxhash64("_text").alias("_key"),
         F.monotonically_increasing_id().alias("_row"),
         F.length(F.coalesce("_text", F.lit(""))).alias("_raw"),
         F.coalesce("_shared", F.lit(False)).alias("_shared"),
@@ -75,6 +76,7 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", di
     alone = F.col("group_size").isNull()
     return out.select(
         "_row",
+        "_key",
         "doc_id",
         "_raw",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -86,23 +88,7 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", di
 
 def drop_exact(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The documents that stay: of equal texts the longest, then the one with the smallest id."""
-    groups = exact_groups(docs, text, id_col)
-    ids = groups.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.bool_or("kept").alias("_kept"), F.bool_or(~F.col("kept")).alias("_gone")
-    )
-    gone = checkpointed(ids.where("_gone"))
-    match = docs[id_col].eqNullSafe(gone["_id"])
-    out = docs.join(gone, match, "left_anti")
-    if gone.where("_kept").isEmpty():
-        return out
-    # An id with both a kept and a dropped row: choose among the rows of each such id by text.
-    twice = gone.where("_kept").select("_id")
-    again = docs.join(twice, docs[id_col].eqNullSafe(twice["_id"]), "left_semi")
-    longest = F.max_by(F.struct(*[docs[c] for c in docs.columns]), F.coalesce(F.length(text), F.lit(0)))
-    again = again.groupBy(F.col(id_col).alias("_id"), F.sha2(squeezed(text), 256).alias("digest")).agg(longest.alias("_doc"))
-    staying = groups.where("kept").select(F.col("doc_id").alias("_kid"), F.coalesce("digest", F.lit("")).alias("_kd")).distinct()
-    again = again.join(staying, again["_id"].eqNullSafe(staying["_kid"]) & ((F.col("_kd") == F.col("digest")) | (F.col("_kd") == "")), "left_semi")
-    return out.unionByName(again.select("_doc.*"))
+    return keep_rows(docs, exact_groups(docs, text, id_col), text, id_col)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

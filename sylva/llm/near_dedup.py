@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import distinct_by_row, mix, shingles, words_of
-from .common import checkpointed, table
+from .common import checkpointed, keep_rows, table
 
 #: Retained hashes of a sketch.
 K = 40
@@ -68,8 +68,8 @@ def shared_at_least(percent: int, k: int) -> int:
 
 
 def _sketches(docs: DataFrame, text: str, id_col: str, size: int, k: int) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the set, its k smallest hashes in order, and its odd sketch."""
-    frame = docs.select(docs[id_col].alias("doc_id"), docs[text].alias("text"))
+    """doc_id, a hash of the text, n_shingles, two fingerprints of the set, its k smallest hashes in order, and its odd sketch."""
+    frame = docs.select(docs[id_col].alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,12 +91,12 @@ def _sketches(docs: DataFrame, text: str, id_col: str, size: int, k: int) -> Dat
                 odd = np.packbits((np.bincount(bit, minlength=words.docs * ODD_BITS) & 1).astype(np.uint8)).view(np.int64)
                 odd = pa.FixedSizeListArray.from_arrays(pa.array(odd), ODD_BITS // 64).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(count.astype(np.int64)), *map(pa.array, prints), sketch, odd],
-                    ["doc_id", "n_shingles", "f1", "f2", "sketch", "odd"],
+                    [ids, batch.column(2).slice(words.first, words.docs), pa.array(count.astype(np.int64)), *map(pa.array, prints), sketch, odd],
+                    ["doc_id", "_key", "n_shingles", "f1", "f2", "sketch", "odd"],
                 )
 
     kind = frame.schema["doc_id"].dataType.simpleString()
-    return frame.mapInArrow(run, f"doc_id {kind}, n_shingles long, f1 long, f2 long, sketch array<bigint>, odd array<bigint>")
+    return frame.mapInArrow(run, f"doc_id {kind}, _key long, n_shingles long, f1 long, f2 long, sketch array<bigint>, odd array<bigint>")
 
 
 def _full_sets(docs: DataFrame, text: str, size: int) -> DataFrame:
@@ -177,9 +177,12 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = PERCENT,
+def _decided(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = PERCENT,
                 k: int = K, min_shared: int | None = None) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id that it reaches) and kept."""
+    """One row per document: doc_id, _key (a hash of its text), n_shingles, component_id and kept.
+
+    Of each component the row with the smallest id is kept, ids before nulls; of rows that repeat it, the first.
+    """
     if min_shared is None:
         min_shared = shared_at_least(percent, k)
     rows = checkpointed(_sketches(docs, text, id_col, size, k).withColumn("_row", F.monotonically_increasing_id()))
@@ -187,7 +190,7 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", siz
     same = ["n_shingles", "f1", "f2"]
     # A class is named by the smallest row number of its documents; sketch and fingerprint go with the set.
     classes = checkpointed(
-        full.groupBy(*same).agg(F.min("_row").alias("_class"), F.min("doc_id").alias("_first"), F.min_by(F.struct("sketch", "odd"), "_row").alias("s"))
+        full.groupBy(*same).agg(F.min("_row").alias("_class"), F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_row").alias("c"))).alias("_first"), F.min_by(F.struct("sketch", "odd"), "_row").alias("s"))
     )
     values = classes.select("_class", "n_shingles", F.explode("s.sketch").alias("value"))
     counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("freq"))
@@ -219,18 +222,16 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", siz
     stars = lists.select("value", "_class", "n").join(hubs, "value").where((F.col("_class") != F.col("h._class")) & sizes(F.col("n"), F.col("h.n")))
     stars = stars.select(F.greatest("h._class", "_class").alias("a"), F.least("h._class", "_class").alias("b")).distinct()
     stars = checkpointed(alike(stars))
-    number = full.select("_row", "doc_id")
-    texts = docs.select(docs[text].alias("_text"), docs[id_col].alias("_id"))
+    number = full.select("_row", "doc_id", "_key")
+    texts = docs.select(docs[text].alias("_text"), docs[id_col].alias("_id"), F.xxhash64(docs[text]).alias("_tkey"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("_class")).union(pairs.select("b")).distinct()
-        wanted = wanted.join(classes.select("_class", "n_shingles", "f1", "f2"), "_class")
-        names = wanted.join(number, wanted["_class"] == number["_row"]).select("_class", "doc_id", "f1", "f2", "n_shingles")
-        source = texts.join(names, texts["_id"].eqNullSafe(names["doc_id"]))
-        # Rows that repeat an id may hold other texts: the fingerprint says which one is meant.
-        sets = _full_sets(source, "_text", size)
-        sets = sets.withColumn("_n", F.size("set")).join(wanted.select("_class", "n_shingles"), "_class").where("_n = n_shingles").dropDuplicates(["_class"])
-        return checkpointed(_verified(pairs, checkpointed(sets.select("_class", "set")), percent))
+        names = wanted.join(number, wanted["_class"] == number["_row"]).select("_class", "doc_id", "_key")
+        # Rows that repeat an id, or have none, hold other texts: the text's hash says which one is meant.
+        source = texts.join(names, (texts["_tkey"] == names["_key"]) & texts["_id"].eqNullSafe(names["doc_id"]))
+        sets = _full_sets(source, "_text", size).dropDuplicates(["_class"])
+        return checkpointed(_verified(pairs, checkpointed(sets), percent))
 
     links = confirm(stars)
     comp = components(links)
@@ -258,18 +259,22 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", siz
     named = classes.join(comp, classes["_class"] == comp["node"], "left").select(
         *same, "_first", F.coalesce("component", "_class").alias("comp")
     )
-    names = named.groupBy("comp").agg(F.min("_first").alias("component_id"))
-    named = named.join(names, "comp").select(*same, "component_id")
-    out = rows.select("doc_id", "_row", *same).join(named, same, "left")
+    names = named.groupBy("comp").agg(F.min("_first").alias("_best"))
+    named = named.join(names, "comp").select(*same, "_best")
+    out = rows.select("doc_id", "_key", "_row", *same).join(named, same, "left")
     alone = F.col("n_shingles") == 0
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("_best.b"))
+    return out.select("doc_id", "_key", "n_shingles", component.alias("component_id"), (alone | (F.col("_row") == F.col("_best.c"))).alias("kept"))
+
+
+def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest id that it reaches) and kept."""
+    return _decided(docs, text, id_col, **options).drop("_key")
 
 
 def drop_near(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that stay: one of each component, and those without words."""
-    gone = near_groups(docs, text, id_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
+    return keep_rows(docs, _decided(docs, text, id_col, **options), text, id_col)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,28 @@ def test_near_dedup(docs, empty):
     assert near_dedup.near_groups(empty).count() == 0
 
 
+def test_dedup_decides_rows_not_ids(spark):
+    rng = random.Random(8)
+    texts = [[f"t{j}w{rng.randrange(900)}" for _ in range(100)] for j in range(8)]
+    near = [" ".join(t[:50] + ["changed"] + t[51:]) for t in texts]
+    texts = [" ".join(t) for t in texts]
+    # A null id beside a named one, null ids only, a repeated id with a unique text, a row given twice.
+    data = [(1, texts[0]), (None, near[0]), (None, texts[1]), (None, texts[2]), (None, near[2]), (2, texts[3]), (3, near[3]), (3, texts[4])]
+    data += [(4, texts[5])] * 2 + [(5, texts[6]), (5, near[6]), (None, None), (None, "")]
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in near_dedup.drop_near(table).collect()]
+    two = [x for x in got if x[0] is None and x[1] in (texts[2], near[2])]
+    five = [x for x in got if x[0] == 5]
+    want = [(1, texts[0]), (None, texts[1]), (2, texts[3]), (3, texts[4]), (4, texts[5]), (None, None), (None, "")]
+    assert len(two) == len(five) == 1 and sorted(got, key=str) == sorted(want + two + five, key=str)
+    groups = near_dedup.near_groups(table).collect()
+    assert len(groups) == len(data) and sum(r.kept for r in groups) == len(got)
+    data = [(1, "a b"), (None, "ab"), (None, "c"), (None, "d e"), (None, "d e"), (2, "f"), (2, "a  b"), (3, "g"), (3, "g")]
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in exact_dedup.drop_exact(table).collect()]
+    assert sorted(got, key=str) == sorted([(2, "a  b"), (None, "c"), (None, "d e"), (2, "f"), (3, "g")], key=str)
+
+
 def test_near_dedup_from_80_percent(spark):
     import corpus_pipeline
 
