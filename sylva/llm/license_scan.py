@@ -3,10 +3,15 @@
 Texts are cut to lower-case words of letters and digits. Distinct notice words
 are few, so a first look counts, for every text and notice, the notice's words
 that occur anywhere in the text; only pairs that could still reach the least
-coverage are aligned, which loses nothing. Candidates are cut to regions around
-the notice's words, and each region is aligned: words that are unique to
-both sides anchor, the longest rising run of them stays, and gaps are aligned
-in turn. Coverage is the share of the notice's words that align.
+coverage are aligned, which loses nothing. Every stretch of a notice's words is
+covered to its end by overlapping windows of three and four times the notice's
+length, a length apart, so that whatever spans up to three lengths lies whole
+in one; and wherever as many words as a notice has hold enough of its words,
+those are a window too, since copies one after the other hide each other in a
+wider one. Windows whose words could not reach the least coverage in any order
+are passed over, the others are aligned: words that are unique to both sides
+anchor, the longest rising run of them stays, and gaps are aligned in turn.
+Coverage is the share of the notice's words that align.
 
 Defined results: a null text is empty and has no license; a text with several
 notices reports the one with the highest coverage, then the longest, then the
@@ -77,21 +82,62 @@ class Notices:
         return present @ self.often.T >= self.least * self.often.sum(axis=1)
 
 
+def _full(words: np.ndarray, often: np.ndarray, size: int, least: float) -> np.ndarray:
+    """Starts of the runs of ``size`` words that hold enough of a notice's words, each counted as often as the notice has it.
+
+    words are numbers of distinct notice words, or -1; often says how many of each the notice has.
+    """
+    hits = np.concatenate([[0], np.cumsum(words >= 0)])
+    last = max(len(words) - size, 0)
+    starts = np.flatnonzero(hits[np.minimum(np.arange(last + 1) + size, len(words))] - hits[: last + 1] >= least)
+    out = []
+    held, enough, at = np.zeros(len(often), np.int64), 0, -size
+    for s in starts.tolist():
+        if s - at >= size:
+            held = np.bincount(words[s : s + size][words[s : s + size] >= 0], minlength=len(often))
+            enough = int(np.minimum(held, often).sum())
+        else:
+            for w in words[at:s].tolist():
+                if w >= 0:
+                    enough -= int(held[w] <= often[w])
+                    held[w] -= 1
+            for w in words[at + size : s + size].tolist():
+                if w >= 0:
+                    enough += int(held[w] < often[w])
+                    held[w] += 1
+        at = s
+        if enough >= least:
+            out.append(s)
+    return np.array(out, np.int64)
+
+
 def _scan(notices: Notices, hashes: np.ndarray, k: int) -> tuple[float, int, int]:
-    """Best (coverage, first word, last word) of notice k in a text."""
+    """Best (coverage, first word, last word) of notice k in a text; coverage is 0 if none reaches the least."""
     own = notices.words[k]
-    near = np.flatnonzero(np.isin(hashes, own))
-    best = (0.0, -1, -1)
-    # Regions: stretches where the notice's words lie less than a notice's length apart, cut also where one that
+    size = len(own)
+    distinct, often = np.unique(own, return_counts=True)
+    at = np.minimum(np.searchsorted(distinct, hashes), len(distinct) - 1)
+    words = np.where(distinct[at] == hashes, at, -1)
+    near = np.flatnonzero(words >= 0)
+    # Stretches: places where the notice's words lie less than a notice's length apart, cut also where one that
     # opens the notice comes again, so that a second copy does not make every word of the first ambiguous.
     opens = hashes[near] == own[0]
-    far = np.diff(near) > len(own)
+    far = np.diff(near) > size
     cuts = np.flatnonzero(far | opens[1:]) + 1
+    least = notices.least * size - 1e-9
+    spans = []
     for group in np.split(near, cuts):
-        a, b = int(group[0]), min(int(group[0]) + 3 * len(own), len(hashes))
+        for a in range(int(group[0]), int(group[-1]) + 1, size):
+            spans += [(a, min(a + 3 * size, len(hashes))), (a, min(a + 4 * size, len(hashes)))]
+    spans += [(a, min(a + size, len(hashes))) for a in _full(words, often, size, least).tolist()]
+    best = (0.0, -1, -1)
+    for a, b in spans:
+        inside = words[a:b][words[a:b] >= 0]
+        if len(inside) < least or np.minimum(np.bincount(inside, minlength=len(often)), often).sum() < max(least, best[0] * size + 1e-9):
+            continue
         pairs = align(hashes[a:b].tolist(), own.tolist())
-        if pairs and len(pairs) / len(own) > best[0]:
-            best = (len(pairs) / len(own), a + pairs[0][0], a + pairs[-1][0])
+        if pairs and len(pairs) / size > best[0]:
+            best = (len(pairs) / size, a + pairs[0][0], a + pairs[-1][0])
     return best
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -225,6 +226,24 @@ def test_license_scan(spark, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_scan_reaches_the_end_of_a_long_text(spark):
+    rng = random.Random(3)
+    common = ["the", "of", "to", "and", "or", "in", "this", "with", "free", "use"]
+    prose = lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else f"p{rng.randrange(999)}" for _ in range(n))
+    mit = license_scan.NOTICES["MIT"].split()
+    late = [(i, prose(3000 + 13 * i) + " " + " ".join(["Allowance", *mit[1:]]) + " " + prose(500)) for i in range(8)]
+    # Copies without their first word, one after the other.
+    many = [(8, prose(700) + " " + " ".join(mit[1:] * 9) + " " + prose(300)), (9, prose(4000))]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(late + many, "doc_id long, text string")).collect()}
+    assert all(got[i].license == "MIT" and got[i].first_word >= 3000 + 13 * i for i in range(8)), got
+    assert got[8].license == "MIT" and got[8].coverage > 0.9 and got[9].license is None
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        words, often = rng.integers(-1, 4, rng.integers(1, 60)), np.array([1, 2, 1, 3])
+        want = [s for s in range(max(len(words) - 7, 0) + 1) if sum(min(often[w], (words[s : s + 7] == w).sum()) for w in range(4)) >= 5]
+        assert license_scan._full(words, often, 7, 5).tolist() == want
+
+
 def test_quality_classifier_learns(spark, empty):
     rng = random.Random(2)
     data = [(i, " ".join(rng.choice(["good", "fine", "well", "text"]) for _ in range(30)) if i % 2 else "###!! " * 30) for i in range(400)]
