@@ -1,20 +1,30 @@
 """Byte-pair encoding through a table of distinct words, and decoding through an id-to-piece table.
 
 Words are split in Spark tasks, block by block; a block is at most BLOCK_BYTES
-of consecutive texts. Each block lists its distinct words once. The lists meet
-by word, so every distinct word of the whole input is encoded exactly once, and
-the ids go back to the blocks that asked for them, where they are put in the
-words' places. Texts travel once, compressed, and words only once per block
-that holds them, so a very frequent word costs one row per block.
+of consecutive texts. Each block lists its distinct words once and keeps, in
+place of its texts, the number of the word at every position. The lists are
+dealt to buckets by the words' hashes, so that all lists of a bucket meet in
+one task, where each distinct word of the whole input is encoded exactly once.
+The ids return to the blocks by bucket and place, where the numbers at the
+positions are replaced with them. Neither texts nor single words are shuffled:
+a row is a block's share of a bucket, or about PACKED_BYTES of its positions. A
+bucket holds one entry a block of each of its words, however frequent, so no
+word makes a hot key. Memory is a block or a bucket at a time, whatever the input.
+
+Numbers and lists are cut once and checkpointed, so a lost executor repeats
+its own blocks only.
 
 The split is finer than the tokenizer's needs: at white space, and between an
 ASCII letter or digit and ASCII punctuation other than the apostrophe. The
-tokenizer never merges, normalises or matches across such a place; where a
-special token's opening may stand, the words are left whole and in their case.
+tokenizer never merges, normalises or matches across such a place. Words of a
+text that holds ``<|``, which opens the special tokens, are left whole and in
+their case. Words are told apart by 64-bit hashes inside a block.
 
 Defined results: a null text is empty and has no ids; repeated rows are encoded
 like any others; null ids stay null; an empty table gives an empty result;
-further columns pass through, whatever their names.
+further columns pass through, whatever their names; ties do not occur. A very
+long text is a block of its own and is held whole by one worker, with about 60
+bytes of memory for each of its words.
 
 Ids can be decoded where they are put together, so a round trip that only
 needs digests hands on neither ids nor texts.
@@ -28,22 +38,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .arrays import _BASE, _BYTE, _UNBASE, LOWER, SPACE, _powers, _room, give_back, mix, slices
-from .common import table
+from .common import checkpointed, table
 
 #: Raw text that shares one list of words.
-BLOCK_BYTES = 32 << 20
-#: Raw text that is compressed together: rows this small are no large objects to the executors' memory management.
+BLOCK_BYTES = 8 << 20
+#: Raw text whose positions make one row: rows this small are no large objects to the executors' memory management.
 PACKED_BYTES = 1 << 20
+#: Buckets of words for each shuffle partition.
+BUCKETS = 4
+#: Words that the tokenizer gets at once.
+ENCODED_WORDS = 5_000
 #: What encoding can return, and its types. Digests are of the ids as little-endian unsigned 32-bit integers, and of
 #: the decoded text in UTF-8.
 OUTPUTS = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
 #: Ids whose pieces are laid out at once.
-DECODED_IDS = 1 << 20
+DECODED_IDS = 1 << 18
 
 _ALNUM = np.zeros(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
@@ -68,20 +84,32 @@ def _load(path: str):
     return t
 
 
+def _marked(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which bytes belong to a text that holds ``<|``; empty if none does."""
+    at = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    text = np.searchsorted(offsets, at, "right") - 1
+    text = text[at + 1 < offsets[text + 1]]
+    if not len(text):
+        return np.zeros(0, bool)
+    has = np.zeros(len(offsets) - 1, bool)
+    has[text] = True
+    return np.repeat(has, np.diff(offsets))
+
+
 def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, start, end, text row, hash) of the words to encode."""
-    marked = data.tobytes()
-    plain = b"<|" not in marked
-    if plain:
-        data = LOWER[data]
+    marked = _marked(data, offsets)
+    data = np.where(marked, data, LOWER[data]) if len(marked) else LOWER[data]
     full = offsets[1:] > offsets[:-1]
     word = ~SPACE[data]
     starts, ends = word.copy(), word.copy()
     starts[1:] &= ~word[:-1]
     ends[:-1] &= ~word[1:]
-    if plain and len(data) > 1:
+    if len(data) > 1:
         alnum, punct = _ALNUM[data], _PUNCT[data]
         cut = (alnum[:-1] & punct[1:]) | (punct[:-1] & alnum[1:])
+        if len(marked):
+            cut &= ~marked[1:]
         starts[1:] |= cut
         ends[:-1] |= cut
     first, last = offsets[:-1][full], offsets[1:][full] - 1
@@ -92,141 +120,128 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _powers(_room(n), _BASE)[:n], out=sums[1:])
     value = (sums[end] - sums[start]) * _powers(_room(n), _UNBASE)[start]
-    h = mix(value + (end - start).astype(np.uint64)).view(np.int64)
-    return data, start, end, np.searchsorted(offsets, start, "right") - 1, h
+    return data, start, end, np.searchsorted(offsets, start, "right") - 1, mix(value + (end - start).astype(np.uint64))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """Cut a partition's rows into blocks; the same rows in the same order give the same blocks."""
-    number, held, block = None, 0, []
+def _blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[pa.RecordBatch]]:
+    """Cut a partition's rows into blocks."""
+    held, block = 0, []
     for batch in batches:
-        if number is None and batch.num_rows:  # the scan's partition, which is not the task's where scans are united
-            number = batch.column(batch.num_columns - 1)[0].as_py() << 24
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         at = 0
         while at < batch.num_rows:
             fit = int(np.searchsorted(np.cumsum(sizes[at:]), BLOCK_BYTES - held, "right"))
             if fit == 0 and held:
-                yield number, block
-                number, held, block = number + 1, 0, []
+                yield block
+                held, block = 0, []
                 continue
             fit = max(1, fit)
             held += int(sizes[at : at + fit].sum())
             block.append(batch.slice(at, fit))
             at += fit
     if block:
-        yield number, block
-
-
-def _name(number: int, hashes: np.ndarray) -> int:
-    """A block's name follows from its place and its distinct words, so that a list is only ever used for the
-    words that it was made from, in the order of their hashes."""
-    parts = np.append(mix(hashes.view(np.uint64)), np.array([number + 1, len(hashes)], np.uint64) * np.uint64(_BASE))
-    return int(mix(parts.sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
-
-
-def _within(held: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which of h are in held, which is in order."""
-    if not len(held):
-        return np.zeros(len(h), bool)
-    return held[np.minimum(np.searchsorted(held, h), len(held) - 1)] == h
-
-
-class _Words:
-    """The distinct words of a block, gathered slice by slice."""
-
-    def __init__(self) -> None:
-        self.hashes, self.words = [np.zeros(0, np.int64)], []
-        self.old, self.new = np.zeros(0, np.int64), np.zeros(0, np.int64)  # in order; the new are few, so adding is cheap
-
-    def add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
-        h, at = np.unique(h, return_index=True)
-        fresh = ~(_within(self.old, h) | _within(self.new, h))
-        raw = data.tobytes()
-        self.hashes.append(h[fresh])
-        self.new = np.sort(np.concatenate([self.new, h[fresh]]), kind="stable")
-        if len(self.new) > 1 + len(self.old) // 4:
-            self.old, self.new = np.sort(np.concatenate([self.old, self.new]), kind="stable"), self.new[:0]
-        self.words += [raw[a:b] for a, b in zip(start[at[fresh]].tolist(), end[at[fresh]].tolist())]
-
-    def ordered(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Words in order; hashes in order, and the place among the words of each."""
-        order = np.array(sorted(range(len(self.words)), key=self.words.__getitem__), np.int64)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        hashes = np.concatenate(self.hashes)
-        by_hash = np.argsort(hashes)
-        return [self.words[i] for i in order], hashes[by_hash], place[by_hash]
-
-
-def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for number, block in _blocks(batches, 0):
-        found = _Words()
-        for batch in block:
-            for _, data, offsets in slices(batch.column(0)):
-                data, start, end, _, h = _pieces(data, offsets)
-                found.add(data, start, end, h)
-        words, hashes, _ = found.ordered()
-        name = _name(number, hashes)
-        for i in range(0, len(words), 20_000):
-            part = pa.array(words[i : i + 20_000], pa.binary()).cast(pa.string())
-            place = np.arange(i, i + len(part), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(place), part], ["block", "at", "word"])
-        del found, words, hashes
-        give_back()
-
-
-def _encode_words(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, last, ids = None, None, b""
-        for batch in batches:
-            tokenizer = tokenizer or _load(path)
-            words = batch.column(2).to_pylist()
-            fresh = [w for i, w in enumerate(words) if w != (words[i - 1] if i else last)]
-            coded = iter(tokenizer.encode_batch_fast(fresh, add_special_tokens=False))
-            out = []
-            for i, w in enumerate(words):
-                if w != (words[i - 1] if i else last):
-                    ids = np.array(next(coded).ids, np.uint32).tobytes()
-                out.append(ids)
-            last = words[-1] if words else last
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "at", "data"])
-        tokenizer = None
-        give_back()
-
-    return run
+        yield block
+
+
+def _word_lists(h: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+    """The number of each word among the distinct ones in order of their hashes, and (bucket, words) with the words of
+    a bucket in that order. Buckets are ranges of hashes, so all lists one after the other are in order too."""
+    distinct, at, number = np.unique(h, return_index=True, return_inverse=True)
+    width = end[at] - start[at] + 1  # with the line end after it, which no word holds
+    to = np.cumsum(width)
+    source = np.arange(to[-1] if len(to) else 0) - np.repeat(to - width - start[at], width)
+    joined = data[np.minimum(source, max(len(data) - 1, 0))]
+    joined[to - 1] = ord("\n")
+    bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+    begin = np.concatenate([[0], to])
+    packer = zstandard.ZstdCompressor(level=3)
+    lists = [(int(bucket[a]), packer.compress(joined[begin[a] : begin[b] - 1].tobytes())) for a, b in zip(edges, edges[1:])]
+    return number.astype(np.uint32), lists
+
+
+#: Places from here on are those of positions; those of words are their buckets.
+_ROWS = 1 << 30
 
 
-def _packed(text: int):
-    """Blocks of rows, compressed; their places come after those of the words."""
+def _cut(text: int, buckets: int):
+    """(block, at, data): a block's words by bucket, and its rows with the words' numbers in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
-        for number, block in _blocks(batches, text):
-            seen, blobs = [np.zeros(0, np.int64)], []
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+        name = TaskContext.get().partitionId() << 24
+        for block in _blocks(batches, text):
+            found, words, rows, held = [], [], [], 0
             for batch in block:
                 for first, data, offsets in slices(batch.column(text)):
-                    seen.append(np.unique(_pieces(data, offsets)[4]))
-                to = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-                edges = np.flatnonzero(np.diff(to // PACKED_BYTES, prepend=0, append=-1))
-                for a, b in zip(np.append(0, edges), edges):
-                    if a < b:
-                        sink = pa.BufferOutputStream()
-                        with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
-                            writer.write_batch(batch.slice(a, b - a))
-                        blobs.append(sink.getvalue().to_pybytes())
-            name = _name(number, np.unique(np.concatenate(seen)))
-            for i, blob in enumerate(blobs):
-                place = pa.array([_ROWS + i], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([name]), place, pa.array([blob], pa.binary())], ["block", "at", "data"])
-            del seen, blobs
+                    data, start, end, doc, h = _pieces(data, offsets)
+                    found.append((h, start + held, end + held, data))
+                    held += len(data)
+                    words.append(np.bincount(doc, minlength=len(offsets) - 1))
+                    rows.append((batch, first, len(data)))
+            number, lists = _word_lists(*map(np.concatenate, zip(*found)), buckets)
+            del found
+            out, at, done = [(b, blob) for b, blob in lists], 0, 0
+            for portion in _portions([r[2] for r in rows]):
+                count = np.concatenate([words[i] for i in portion])
+                keep = pa.concat_batches([rows[i][0].slice(rows[i][1], len(words[i])).select(range(text)) for i in portion]) if text else None
+                to = np.append(0, np.cumsum(count))
+                numbers = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(number[done : done + to[-1]]))
+                done += int(to[-1])
+                kept = pa.RecordBatch.from_arrays([*(keep.columns if text else []), numbers], [f"_c{i}" for i in range(text + 1)])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, kept.schema, options=options) as writer:
+                    writer.write_batch(kept)
+                out.append((_ROWS + at, sink.getvalue().to_pybytes()))
+                at += 1
+            places = pa.array([p for p, _ in out], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), name)), places, pa.array([d for _, d in out], pa.binary())], ["block", "at", "data"])
+            name += 1
+            del number, lists, rows, words, out
             give_back()
 
     return run
 
 
-#: Places from here on are those of compressed rows.
-_ROWS = 1 << 30
+def _portions(sizes: list[int]) -> Iterator[list[int]]:
+    """Consecutive slices of about PACKED_BYTES together."""
+    part, held = [], 0
+    for i, size in enumerate(sizes):
+        if part and held + size > PACKED_BYTES:
+            yield part
+            part, held = [], 0
+        part.append(i)
+        held += size
+    if part:
+        yield part
+
+
+def _encode_words(path: str):
+    """Ids in place of words; rows come bucket by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, now, known = None, None, {}
+        packer, opener = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        for batch in batches:
+            tokenizer = tokenizer or _load(path)
+            out = []
+            for bucket, data in zip(batch.column(1).to_pylist(), batch.column(2)):
+                if bucket != now:
+                    now, known = bucket, {}
+                words = opener.decompress(data.as_py()).decode().split("\n")
+                fresh = [w for w in words if w not in known]
+                for i in range(0, len(fresh), ENCODED_WORDS):
+                    some = fresh[i : i + ENCODED_WORDS]
+                    for w, coded in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                        known[w] = np.array(coded.ids, "<u4").tobytes()
+                ids = [known[w] for w in words]
+                width = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                out.append(packer.compress(np.append(len(ids), width).astype("<u4").tobytes() + b"".join(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "at", "data"])
+        del known
+        give_back()
+
+    return run
 
 
 def _piece_table(path: str) -> pa.Array:
@@ -256,7 +271,7 @@ def _hexes(data: memoryview, edges: np.ndarray) -> pa.Array:
     return pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(cut, cut[1:])], pa.string())
 
 
-def _place(text: int, path: str, outputs: tuple[str, ...], schema: pa.Schema):
+def _place(path: str, outputs: tuple[str, ...], schema: pa.Schema):
     joined = _joined(_piece_table(path)) if {"decoded", "decoded_sha256"} & set(outputs) else None
 
     def columns(ids: np.ndarray, cut: np.ndarray) -> dict[str, pa.Array]:
@@ -266,60 +281,43 @@ def _place(text: int, path: str, outputs: tuple[str, ...], schema: pa.Schema):
         if "ids_sha256" in outputs:
             made["ids_sha256"] = _hexes(memoryview(ids.astype("<u4")).cast("B"), 4 * cut)
         if joined:
-            parts = list(joined(cut, pa.array(ids.astype(np.int32))))
-            if "decoded" in outputs:
-                made["decoded"] = pa.chunked_array(parts, pa.string()).combine_chunks()
-            digests = [hashlib.sha256(x.as_buffer()).hexdigest() for part in parts for x in part] if "decoded_sha256" in outputs else []
+            texts, digests = [], []
+            for part in joined(cut, pa.array(ids.astype(np.int32))):
+                if "decoded" in outputs:
+                    texts.append(part)
+                if "decoded_sha256" in outputs:
+                    digests += [hashlib.sha256(x.as_buffer()).hexdigest() for x in part]
+            made["decoded"] = pa.chunked_array(texts, pa.string()).combine_chunks()
             made["decoded_sha256"] = pa.array(digests, pa.string())
         return made
 
-    def block_rows(ids_of: list[bytes], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        parts, found = [], _Words()
-        for blob in blobs:
-            for batch in pa.ipc.open_stream(blob):
-                for first, data, offsets in slices(batch.column(text)):
-                    data, start, end, doc, h = _pieces(data, offsets)
-                    docs = len(offsets) - 1
-                    found.add(data, start, end, h)
-                    rest = batch.slice(first, docs).columns[:text]
-                    parts.append((rest, np.searchsorted(doc, np.arange(docs + 1)), h))
-        words, seen, place = found.ordered()
-        if len(words) != len(ids_of):  # no list has this name: the scan was split otherwise the second time
-            tokenizer = _load(path)
-            ids_of = [np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32).tobytes() for w in words]
-        del words, found
-        width = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
-        begin = np.cumsum(width) - width
-        flat = np.frombuffer(b"".join(ids_of), np.uint32)
-        for rest, bounds, h in parts:
-            at = place[np.searchsorted(seen, h)] if len(h) else h
-            count = width[at]
-            to = np.concatenate([[0], np.cumsum(count)])
-            ids = flat[np.arange(to[-1]) - np.repeat(to[:-1] - begin[at], count)]
-            cut = to[bounds]
-            made = columns(ids, cut)
-            col = [made[c] for c in outputs]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*rest, *col], schema)], schema=schema)
-        del parts, rest, seen, place, flat, ids_of
-        give_back()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids_of, blobs = None, [], []
+        """Rows come block by block, ids of the words before the positions that they go to."""
+        opener = zstandard.ZstdDecompressor()
+        now, widths, ids_of, begin = None, [], [], None
         for batch in batches:
-            names, places = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | ((places[1:] >= _ROWS) != (places[:-1] >= _ROWS))))
-            for a, b in zip(edges, np.append(edges[1:], len(names))):
-                if names[a] != now:
-                    if blobs:
-                        yield from block_rows(ids_of, blobs)
-                    now, ids_of, blobs = names[a], [], []
-                data = batch.column(2).slice(a, b - a).to_pylist()
-                if places[a] >= _ROWS:
-                    blobs += data
-                else:
-                    ids_of += data
-        if blobs:
-            yield from block_rows(ids_of, blobs)
+            for name, place, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if name != now:
+                    now, widths, ids_of, begin = name, [], [], None
+                if place < _ROWS:
+                    values = np.frombuffer(opener.decompress(data.as_py()), "<u4")
+                    widths.append(values[1 : values[0] + 1])
+                    ids_of.append(values[values[0] + 1 :])
+                    continue
+                if begin is None:
+                    width = np.concatenate([np.zeros(0, np.int64), *widths]).astype(np.int64)
+                    flat = np.concatenate([np.zeros(0, "<u4"), *ids_of])
+                    begin, widths, ids_of = np.cumsum(width) - width, [], []
+                for kept in pa.ipc.open_stream(data.as_buffer()):
+                    numbers = kept.column(kept.num_columns - 1)
+                    at = numbers.values.to_numpy()
+                    count = width[at]
+                    to = np.append(0, np.cumsum(count))
+                    ids = flat[np.arange(to[-1]) - np.repeat(to[:-1] - begin[at], count)]
+                    made = columns(ids, to[numbers.offsets.to_numpy()])
+                    col = [*kept.columns[:-1], *[made[c] for c in outputs]]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(col, schema)], schema=schema)
+        give_back()
 
     return run
 
@@ -328,15 +326,18 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", ou
     """``carry`` columns (all by default) and those of OUTPUTS that are asked for."""
     path = tokenizer or default_tokenizer()
     carry = docs.columns if carry is None else carry
-    frame = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)], docs[text].alias("_text"), F.spark_partition_id().alias("_part"))
+    spark = docs.sparkSession
+    frame = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)], docs[text].alias("_text"))
     at = len(carry)
-    lists = frame.select("_text", "_part").mapInArrow(_word_lists, "block long, at int, word string")
-    coded = lists.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(path), "block long, at int, data binary")
-    packed = frame.mapInArrow(_packed(at), "block long, at int, data binary")
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = checkpointed(frame.mapInArrow(_cut(at, buckets), "block long, at int, data binary"))
+    is_words = F.col("at") < _ROWS
+    lists = cut.where(is_words).repartition("at").sortWithinPartitions("at")
+    coded = lists.mapInArrow(_encode_words(path), "block long, at int, data binary")
+    together = coded.unionByName(cut.where(~is_words)).repartition("block").sortWithinPartitions("block", "at")
     kinds = [f"_c{i} {frame.schema[f'_c{i}'].dataType.simpleString()}" for i in range(at)]
-    out_schema = docs.sparkSession.createDataFrame([], ", ".join([*kinds, *[f"{c} {OUTPUTS[c]}" for c in outputs]])).schema
-    together = coded.unionByName(packed).repartition("block").sortWithinPartitions("block", "at")
-    placed = together.mapInArrow(_place(at, path, outputs, to_arrow_schema(out_schema)), out_schema)
+    out_schema = spark.createDataFrame([], ", ".join([*kinds, *[f"{c} {OUTPUTS[c]}" for c in outputs]])).schema
+    placed = together.mapInArrow(_place(path, outputs, to_arrow_schema(out_schema)), out_schema)
     return placed.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *outputs)
 
 
@@ -364,10 +365,9 @@ def decode(coded: DataFrame, tokenizer: str | None = None, ids: str = "ids", out
 
 
 def token_table(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and ids of every document."""
-    return encode(docs, tokenizer, text, ("n_tokens", "ids_sha256", "ids"), [id_col]).select(
-        F.col(id_col).alias("doc_id"), "n_tokens", "ids_sha256", "ids"
-    )
+    """doc_id, n_tokens, ids_sha256, ids, and the digest of what the ids decode to, of every document."""
+    outputs = ("n_tokens", "ids_sha256", "ids", "decoded_sha256")
+    return encode(docs, tokenizer, text, outputs, [id_col]).select(F.col(id_col).alias("doc_id"), *outputs)
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,17 @@ def test_bpe_round_trip(docs, empty):
     assert bpe_codec.encode(empty).count() == 0
 
 
+def test_bpe_decides_on_special_tokens_by_text(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe_codec.default_tokenizer())
+    texts = ["Up<|endoftext|>Down a,b", "A,b <", "|c D'e", "<|EndOfText|> X", "x<| |>y", "plain TEXT, here", "", None, "<", "|", "<|startoftext|>" * 3, "é<|endoftext|>É", "Q" * 70000, "it's (A.B)!"] * 2
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in bpe_codec.encode(table, outputs=("ids", "decoded")).collect():
+        ids = t.encode(r.text or "", add_special_tokens=False).ids
+        assert r.ids == ids and r.decoded == t.decode(ids, skip_special_tokens=False)
+
+
 def test_mixing_meets_targets(docs, empty):
     plan = mixing.mix_plan(docs).collect()
     again = mixing.mix_plan(docs).collect()
