@@ -48,7 +48,7 @@ from .arrays import _BASE, _BYTE, _UNBASE, LOWER, SPACE, _powers, _room, give_ba
 from .common import checkpointed, table
 
 #: Raw text that shares one list of words.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Raw text whose positions make one row: rows this small are no large objects to the executors' memory management.
 PACKED_BYTES = 1 << 20
 #: Buckets of words for each shuffle partition.
@@ -143,61 +143,90 @@ def _blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[pa.Re
         yield block
 
 
-def _word_lists(h: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
-    """The number of each word among the distinct ones in order of their hashes, and (bucket, words) with the words of
-    a bucket in that order. Buckets are ranges of hashes, so all lists one after the other are in order too."""
-    distinct, at, number = np.unique(h, return_index=True, return_inverse=True)
-    width = end[at] - start[at] + 1  # with the line end after it, which no word holds
+def _word_lists(h: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, bytes]], bytes]:
+    """Numbers of the words at all positions, (bucket, words) of the distinct ones, and how these fall into ranks.
+
+    Distinct words are ranked by the powers of two in their counts, frequent ones first, and numbered by rank, then by
+    hash: frequent words have small numbers, which pack well. Buckets are ranges of hashes, and a bucket's words come by
+    rank, then by hash; so the numbers follow from how many words of each rank each bucket has.
+    """
+    distinct, at, number, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    power = np.frexp(count)[1] - 1
+    rank = (power.max() if len(power) else 0) - power
+    numbers = np.empty(len(distinct), np.uint32)
+    numbers[np.argsort(rank, kind="stable")] = np.arange(len(distinct))
+    bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    at = at[np.lexsort((rank, bucket))]
+    width = (end[at] - start[at]).astype(np.int64) + 1  # with the line end after it, which no word holds
     to = np.cumsum(width)
     source = np.arange(to[-1] if len(to) else 0) - np.repeat(to - width - start[at], width)
     joined = data[np.minimum(source, max(len(data) - 1, 0))]
     joined[to - 1] = ord("\n")
-    bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
     begin = np.concatenate([[0], to])
     packer = zstandard.ZstdCompressor(level=3)
     lists = [(int(bucket[a]), packer.compress(joined[begin[a] : begin[b] - 1].tobytes())) for a, b in zip(edges, edges[1:])]
-    return number.astype(np.uint32), lists
+    ranks = int(rank.max()) + 1 if len(rank) else 1
+    shape = np.bincount(np.cumsum(np.diff(bucket, prepend=bucket[:1]) > 0) * ranks + rank, minlength=ranks * max(len(lists), 1))
+    return numbers[number], lists, packer.compress(np.append(ranks, shape).astype("<u4").tobytes())
+
+
+def _numbered(shape: bytes) -> np.ndarray:
+    """For each number, the place of its word when all lists of a block stand one after the other."""
+    values = np.frombuffer(zstandard.ZstdDecompressor().decompress(shape), "<u4")
+    ranks, counts = int(values[0]), values[1:]
+    return np.argsort(np.repeat(np.tile(np.arange(ranks, dtype=np.uint8), len(counts) // ranks), counts), kind="stable")
+
 
+def _pack(kept: pa.RecordBatch, numbers: np.ndarray) -> bytes:
+    """Rows and numbers, compressed; the numbers byte by byte, since their high bytes are mostly alike."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, kept.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as writer:
+        writer.write_batch(kept)
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    head = sink.getvalue().to_pybytes()
+    return len(head).to_bytes(8, "little") + head + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
-#: Places from here on are those of positions; those of words are their buckets.
+
+def _unpack(blob: bytes) -> tuple[pa.RecordBatch, np.ndarray]:
+    cut = 8 + int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[cut:]), np.uint8).reshape(4, -1)
+    return next(iter(pa.ipc.open_stream(blob[8:cut]))), np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+#: Places of words are their buckets; the next one is that of the ranks, and from _ROWS on are those of positions.
 _ROWS = 1 << 30
+_SHAPE = _ROWS - 1
 
 
 def _cut(text: int, buckets: int):
     """(block, at, data): a block's words by bucket, and its rows with the words' numbers in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
         name = TaskContext.get().partitionId() << 24
         for block in _blocks(batches, text):
-            found, words, rows, held = [], [], [], 0
+            found, rows, held = [], [], 0
             for batch in block:
                 for first, data, offsets in slices(batch.column(text)):
                     data, start, end, doc, h = _pieces(data, offsets)
-                    found.append((h, start + held, end + held, data))
+                    kind = np.int32 if held + len(data) < 1 << 31 else np.int64
+                    found.append((h, (start + held).astype(kind), (end + held).astype(kind), data))
                     held += len(data)
-                    words.append(np.bincount(doc, minlength=len(offsets) - 1))
-                    rows.append((batch, first, len(data)))
-            number, lists = _word_lists(*map(np.concatenate, zip(*found)), buckets)
+                    rows.append((batch.slice(first, len(offsets) - 1), np.bincount(doc, minlength=len(offsets) - 1), len(data)))
+            number, lists, shape = _word_lists(*map(np.concatenate, zip(*found)), buckets)
             del found
-            out, at, done = [(b, blob) for b, blob in lists], 0, 0
-            for portion in _portions([r[2] for r in rows]):
-                count = np.concatenate([words[i] for i in portion])
-                keep = pa.concat_batches([rows[i][0].slice(rows[i][1], len(words[i])).select(range(text)) for i in portion]) if text else None
-                to = np.append(0, np.cumsum(count))
-                numbers = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(number[done : done + to[-1]]))
-                done += int(to[-1])
-                kept = pa.RecordBatch.from_arrays([*(keep.columns if text else []), numbers], [f"_c{i}" for i in range(text + 1)])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, kept.schema, options=options) as writer:
-                    writer.write_batch(kept)
-                out.append((_ROWS + at, sink.getvalue().to_pybytes()))
-                at += 1
+            out, done = [*lists, (_SHAPE, shape)], 0
+            for at, portion in enumerate(_portions([r[2] for r in rows])):
+                count = np.concatenate([rows[i][1] for i in portion])
+                keep = pa.concat_batches([rows[i][0].select([*range(text)]) for i in portion]).columns if text else []
+                kept = pa.RecordBatch.from_arrays([*keep, pa.array(count)], [f"_c{i}" for i in range(text + 1)])
+                to = done + int(count.sum())
+                out.append((_ROWS + at, _pack(kept, number[done:to])))
+                done = to
             places = pa.array([p for p, _ in out], pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), name)), places, pa.array([d for _, d in out], pa.binary())], ["block", "at", "data"])
             name += 1
-            del number, lists, rows, words, out
+            del number, lists, rows, out
             give_back()
 
     return run
@@ -216,14 +245,21 @@ def _portions(sizes: list[int]) -> Iterator[list[int]]:
         yield part
 
 
+def _id_type(tokenizer) -> np.dtype:
+    return np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+
+
 def _encode_words(path: str):
-    """Ids in place of words; rows come bucket by bucket."""
+    """Ids, in the fewest bytes that hold them, in place of words; rows come bucket by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, now, known = None, None, {}
         packer, opener = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         for batch in batches:
-            tokenizer = tokenizer or _load(path)
+            if tokenizer is None:
+                tokenizer = _load(path)
+                kind = _id_type(tokenizer)
+                size = kind.itemsize
             out = []
             for bucket, data in zip(batch.column(1).to_pylist(), batch.column(2)):
                 if bucket != now:
@@ -233,9 +269,9 @@ def _encode_words(path: str):
                 for i in range(0, len(fresh), ENCODED_WORDS):
                     some = fresh[i : i + ENCODED_WORDS]
                     for w, coded in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                        known[w] = np.array(coded.ids, "<u4").tobytes()
+                        known[w] = np.array(coded.ids, kind).tobytes()
                 ids = [known[w] for w in words]
-                width = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                width = np.fromiter(map(len, ids), np.int64, len(ids)) // size
                 out.append(packer.compress(np.append(len(ids), width).astype("<u4").tobytes() + b"".join(ids)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "at", "data"])
         del known
@@ -273,6 +309,7 @@ def _hexes(data: memoryview, edges: np.ndarray) -> pa.Array:
 
 def _place(path: str, outputs: tuple[str, ...], schema: pa.Schema):
     joined = _joined(_piece_table(path)) if {"decoded", "decoded_sha256"} & set(outputs) else None
+    kind = _id_type(_load(path))
 
     def columns(ids: np.ndarray, cut: np.ndarray) -> dict[str, pa.Array]:
         made = {"n_tokens": pa.array(np.diff(cut))}
@@ -294,27 +331,28 @@ def _place(path: str, outputs: tuple[str, ...], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come block by block, ids of the words before the positions that they go to."""
         opener = zstandard.ZstdDecompressor()
-        now, widths, ids_of, begin = None, [], [], None
+        now, widths, ids_of = None, [], []
         for batch in batches:
             for name, place, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if name != now:
-                    now, widths, ids_of, begin = name, [], [], None
-                if place < _ROWS:
-                    values = np.frombuffer(opener.decompress(data.as_py()), "<u4")
-                    widths.append(values[1 : values[0] + 1])
-                    ids_of.append(values[values[0] + 1 :])
-                    continue
-                if begin is None:
+                    now, widths, ids_of = name, [], []
+                if place < _SHAPE:
+                    raw = opener.decompress(data.as_py())
+                    many = int.from_bytes(raw[:4], "little")
+                    widths.append(np.frombuffer(raw, "<u4", many, 4))
+                    ids_of.append(np.frombuffer(raw, kind, -1, 4 * (many + 1)))
+                elif place == _SHAPE:
+                    order = _numbered(data.as_py())
                     width = np.concatenate([np.zeros(0, np.int64), *widths]).astype(np.int64)
-                    flat = np.concatenate([np.zeros(0, "<u4"), *ids_of])
-                    begin, widths, ids_of = np.cumsum(width) - width, [], []
-                for kept in pa.ipc.open_stream(data.as_buffer()):
-                    numbers = kept.column(kept.num_columns - 1)
-                    at = numbers.values.to_numpy()
-                    count = width[at]
+                    flat = np.concatenate([np.zeros(0, kind), *ids_of])
+                    begin, width = (np.cumsum(width) - width)[order], width[order]
+                    widths, ids_of = [], []
+                else:
+                    kept, numbers = _unpack(data.as_py())
+                    count = width[numbers]
                     to = np.append(0, np.cumsum(count))
-                    ids = flat[np.arange(to[-1]) - np.repeat(to[:-1] - begin[at], count)]
-                    made = columns(ids, to[numbers.offsets.to_numpy()])
+                    ids = flat[np.arange(to[-1]) - np.repeat(to[:-1] - begin[numbers], count)]
+                    made = columns(ids, to[np.append(0, np.cumsum(kept.column(kept.num_columns - 1).to_numpy()))])
                     col = [*kept.columns[:-1], *[made[c] for c in outputs]]
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(col, schema)], schema=schema)
         give_back()
@@ -331,7 +369,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", ou
     at = len(carry)
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = checkpointed(frame.mapInArrow(_cut(at, buckets), "block long, at int, data binary"))
-    is_words = F.col("at") < _ROWS
+    is_words = F.col("at") < _SHAPE
     lists = cut.where(is_words).repartition("at").sortWithinPartitions("at")
     coded = lists.mapInArrow(_encode_words(path), "block long, at int, data binary")
     together = coded.unionByName(cut.where(~is_words)).repartition("block").sortWithinPartitions("block", "at")
