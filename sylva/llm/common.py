@@ -12,15 +12,26 @@ BLANK = "[ \\t-\\r]"
 WORD = "[^ \\t-\\r]+"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder that the session names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir.
 
-    Where the setting is absent (tests on one machine) a temporary folder is set.
+    Where it names none a temporary folder is made, on one machine only: other
+    executors would not see it, so a cluster without the setting is refused.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="sylva-")
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sylva-checkpoints-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -29,6 +40,35 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Groups of more than total / LARGE rows are few enough for a broadcast.
+LARGE = 10_000
+#: Narrow rows that are broadcast at most.
+NARROW = 20_000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: str, narrow: int = NARROW) -> DataFrame:
+    """``rows``, each with the columns of its group, or nulls; ``size`` is the groups' number of rows.
+
+    No key is hot: groups with more than total / LARGE rows, of which there
+    are fewer than LARGE, are broadcast; the rows that are left are shuffled by
+    key, and those without a key, or served already, by ``spread``, a column
+    that tells rows apart. Few groups are all broadcast.
+    """
+    groups = checkpointed(groups)
+    facts = [c for c in groups.columns if c != key]
+    few = groups.limit(narrow + 1).count() <= narrow
+    large = groups if few else groups.where(F.col(size) * LARGE > total)
+    large = F.broadcast(large.select(F.col(key).alias("_k1"), F.struct(*facts).alias("_g1")))
+    out = rows.join(large, rows[key] == large["_k1"], "left").drop("_k1")
+    if few:
+        return out.select(*rows.columns, *[F.col("_g1")[c].alias(c) for c in facts])
+    small = groups.where(F.col(size) * LARGE <= total).select(F.col(key).cast("string").alias("_k2"), F.struct(*facts).alias("_g2"))
+    served = F.col("_g1").isNotNull() | F.col(key).isNull()
+    out = out.withColumn("_at", F.when(served, F.concat(F.lit("~"), F.col(spread).cast("string"))).otherwise(F.col(key).cast("string")))
+    out = out.join(small, out["_at"] == small["_k2"], "left")
+    return out.select(*rows.columns, *[F.coalesce(F.col("_g1")[c], F.col("_g2")[c]).alias(c) for c in facts])
+
+
 def keep_rows(docs: DataFrame, decided: DataFrame, text: str, id_col: str) -> DataFrame:
     """The rows of docs that ``decided`` (doc_id, _key: xxhash64 of the text, kept), with one row for each, keeps.
 
@@ -66,9 +106,9 @@ def squeezed(text: str = "text") -> Column:
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"{BLANK}+", "")
 
 
-def word_count(text: str = "text") -> Column:
+def word_count(text: str | Column = "text") -> Column:
     """Number of words; null has none."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def crc_mod(column: str, modulus: int) -> Column:

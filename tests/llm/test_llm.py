@@ -151,7 +151,61 @@ def test_mixing_meets_targets(docs, empty):
         assert abs(sum(r.taken for r in source) - source[0].target) <= max(r["size"] for r in source) / 2 + 1e-6
         assert source[0].target <= 3 * source[0].source_size + 1e-6
     assert mixing.mix_documents(docs).count() == sum(r.taken // r["size"] for r in plan if r["size"])
-    assert mixing.mix_plan(empty).count() == 0
+    assert mixing.mix_plan(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
+
+
+def test_mixing_takes_rows_that_repeat_ids_by_plan(spark, monkeypatch):
+    from sylva.llm import common
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
+    data = [(7, "same text of five words", "hot", i) for i in range(400)]  # one id and text, most of a source
+    data += [(None, " ".join(word() for _ in range(rng.randint(1, 9))), rng.choice(["hot", "cold", None]), i) for i in range(300)]
+    data += [(i % 40, " ".join(word() for _ in range(rng.randint(0, 30))), rng.choice(["cold", "warm", None]), i) for i in range(300)]
+    table = spark.createDataFrame(data, "doc_id long, text string, source string, epochs long").repartition(3)
+    for narrow in (20_000, 1):  # all facts broadcast, or most of them shuffled
+        monkeypatch.setattr(common.with_groups, "__defaults__", (narrow,))
+        plan = mixing.mix_plan(table, range_rows=50).collect()
+        assert len(plan) == len(data)
+        size = {}
+        for r in plan:
+            size[r.source] = size.get(r.source, 0) + r.taken
+            assert r.taken % max(r["size"], 1) == 0 and r.taken <= 3 * r["size"]
+        for r in plan:
+            assert abs(size[r.source] - r.target) <= 15
+        mix = mixing.mix_documents(table, range_rows=50)
+        got = mix.collect()
+        assert mix.columns == table.columns
+        for source in size:
+            assert sum(len(r.text.split()) for r in got if r.source == source) == size[source]
+        # The same sums as one sort of each source gives.
+        want = {}
+        by = {}
+        for i, t, s, _ in data:
+            h = hashlib.sha256(f"mix:{'' if i is None else i}:{t}".encode()).hexdigest()
+            by.setdefault(s, []).append((h[:28], i, t))
+        targets = {r.source: (r.target, r.source_size) for r in plan}
+        for s, found in by.items():
+            whole, before = int(targets[s][0] // targets[s][1]), 0
+            rest = targets[s][0] - whole * targets[s][1]
+            for _, i, t in sorted(found, key=lambda x: x[0]):
+                n = len(t.split())
+                times = (whole + (before + n / 2 <= rest)) if n else 0
+                before += n
+                want[(i, t, s)] = want.get((i, t, s), 0) + times
+        have = {}
+        for r in got:
+            have[(r.doc_id, r.text, r.source)] = have.get((r.doc_id, r.text, r.source), 0) + 1
+        assert have == {k: v for k, v in want.items() if v}
+
+
+def test_exact_dedup_in_shuffled_groups(docs, monkeypatch):
+    from sylva.llm import common
+
+    want = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs).collect()}
+    monkeypatch.setattr(common.with_groups, "__defaults__", (0,))
+    for every in (False, True):
+        assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs, digest_all=every).collect()} == want
 
 
 def test_chat_round_trip(spark):
