@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Regular expression of the characters that separate words.
@@ -36,8 +36,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Mark df for a broadcast if it is counted and has at most ``rows`` rows; else leave the join to Spark."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df checkpointed, and marked for a broadcast if it has at most ``rows`` rows; else the join is left to Spark."""
+    df, seen = counted(df)
+    return F.broadcast(df.coalesce(8)) if seen["rows"] <= rows else df
+
+
+def counted(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """df checkpointed, with its number of rows (``rows``) and other aggregates, measured as it is written."""
+    seen = Observation()
+    out = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[m.alias(k) for k, m in measures.items()]))
+    return out, seen.get
 
 
 #: Groups of more than total / LARGE rows are few enough for a broadcast.
@@ -54,11 +62,11 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     key, and those without a key, or served already, by ``spread``, a column
     that tells rows apart. Few groups are all broadcast.
     """
-    groups = checkpointed(groups)
+    groups, seen = counted(groups)
     facts = [c for c in groups.columns if c != key]
-    few = groups.limit(narrow + 1).count() <= narrow
+    few = seen["rows"] <= narrow
     large = groups if few else groups.where(F.col(size) * LARGE > total)
-    large = F.broadcast(large.select(F.col(key).alias("_k1"), F.struct(*facts).alias("_g1")))
+    large = F.broadcast(large.coalesce(8).select(F.col(key).alias("_k1"), F.struct(*facts).alias("_g1")))
     out = rows.join(large, rows[key] == large["_k1"], "left").drop("_k1")
     if few:
         return out.select(*rows.columns, *[F.col("_g1")[c].alias(c) for c in facts])

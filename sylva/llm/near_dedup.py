@@ -26,8 +26,10 @@ estimate that a candidate needs is min_shared / k.
 Defined results: a text without words, or null, has an empty set and is linked
 with nothing; repeated rows are one class; a null id forms a class member that
 never gives its component its name unless all its members lack one; ties need
-no rule, since components do not depend on an order; an empty table gives an
-empty result; further columns pass through the filter.
+no rule, since components do not depend on an order; a very long text is one
+set, held whole by one worker with about 30 bytes for each word, and its set
+travels only to be confirmed; an empty table gives an empty result; further
+columns pass through the filter.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import distinct_by_row, mix, shingles, words_of
-from .common import checkpointed, keep_rows, table
+from .common import NARROW, bounded, checkpointed, counted, keep_rows, table, with_groups
 
 #: Retained hashes of a sketch.
 K = 40
@@ -156,60 +158,57 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and its component (smallest node that it reaches) for every node of edges (a, b).
+    """node and its component (smallest node that it reaches) for every node of edges (a, b), but for those that name one.
 
-    Alternates the large-star and small-star steps, which keep the number of
-    edges from growing and end in as many rounds as the logarithm of the
-    longest chain.
+    Alternates the large-star step, in which every node hands its larger
+    neighbours to its smallest one, and the small-star step, in which it hands
+    on its smaller ones. Edges never grow in number, and the rounds are as many
+    as the logarithm of the longest chain. Minima are taken before the shuffle
+    and handed out by ``with_groups``, so a node with very many edges is no hot key.
     """
-    edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges, seen = counted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_low.select("u", F.col("m").alias("v")))
-        new = checkpointed(small.where("u <> v").distinct())
-        stars = new.groupBy("u").count().where("count > 1").isEmpty() and new.select("u").intersect(new.select("v")).isEmpty()
-        edges = new
-        if stars:
+        low = both.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+        large = with_groups(edges, low, "v", "c", 2 * seen["rows"], "u").select("u", "v", F.least("m", "v").alias("m"))
+        low = large.groupBy("u").agg(F.min("m").alias("s"), F.count(F.lit(1)).alias("c"), F.max(F.col("m") < F.col("v")).alias("moved"))
+        low, state = counted(low, most=F.max("c"), moved=F.max("moved"))
+        if not seen["rows"] or (state["most"] == 1 and not state["moved"]):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        small = with_groups(large, low.drop("moved"), "u", "c", seen["rows"], "m")
+        small = small.select(F.explode(F.array(F.struct("u", F.col("s").alias("v")), F.struct(F.col("m").alias("u"), F.col("s").alias("v")))).alias("e"))
+        edges, seen = counted(small.select("e.u", "e.v").where("u <> v").distinct())
 
 
 def _decided(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = PERCENT,
-                k: int = K, min_shared: int | None = None) -> DataFrame:
+             k: int = K, min_shared: int | None = None) -> DataFrame:
     """One row per document: doc_id, _key (a hash of its text), n_shingles, component_id and kept.
 
     Of each component the row with the smallest id is kept, ids before nulls; of rows that repeat it, the first.
     """
     if min_shared is None:
         min_shared = shared_at_least(percent, k)
-    rows = checkpointed(_sketches(docs, text, id_col, size, k).withColumn("_row", F.monotonically_increasing_id()))
+    same = F.when(F.col("n_shingles") > 0, F.concat_ws(":", "n_shingles", "f1", "f2")).alias("_set")
+    rows, total = counted(_sketches(docs, text, id_col, size, k).select("*", same, F.monotonically_increasing_id().alias("_row")))
+    # A class is named by the smallest row number of its documents; what else it holds goes with the set, or with that row.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_row").alias("c"))).alias("_first")
+    one = F.min_by(F.struct("sketch", "odd", F.col("n_shingles").alias("n"), "doc_id", "_key"), "_row").alias("s")
     full = rows.where("n_shingles > 0")
-    same = ["n_shingles", "f1", "f2"]
-    # A class is named by the smallest row number of its documents; sketch and fingerprint go with the set.
-    classes = checkpointed(
-        full.groupBy(*same).agg(F.min("_row").alias("_class"), F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_row").alias("c"))).alias("_first"), F.min_by(F.struct("sketch", "odd"), "_row").alias("s"))
-    )
-    values = classes.select("_class", "n_shingles", F.explode("s.sketch").alias("value"))
-    counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("freq"))
-    shared = values.join(counts.where("freq > 1"), "value")
+    classes = full.groupBy("_set").agg(F.min("_row").alias("_class"), first, F.count(F.lit(1)).alias("c"), one)
+    classes, held_values = counted(classes, values=F.sum(F.size("s.sketch")))
+    values = classes.select("_class", F.col("s.n").alias("n"), F.explode("s.sketch").alias("value"))
+    counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
+    shared = with_groups(values, counts, "value", "freq", held_values["values"] or 0, "_class").where("freq IS NOT NULL")
     # Values that nobody shares are the rarest; they take places of the prefix without needing a list.
-    ranked = shared.groupBy("_class", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("freq", "value"))).alias("vs"))
-    held = F.least(F.col("n_shingles"), F.lit(k)).cast("int")
+    ranked = shared.groupBy("_class", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "value"))).alias("vs"))
+    held = F.least(F.col("n"), F.lit(k)).cast("int")
     need = F.greatest(F.lit(1), F.floor(held * min_shared / k)).cast("int")
     room = held - need + 1 - (held - F.size("vs"))
-    listed = checkpointed(ranked.where(room > 0).select("_class", F.col("n_shingles").alias("n"), F.slice("vs", 1, room).alias("vs")))
-    lists = listed.select("_class", "n", F.explode("vs").alias("v"), "vs").select("_class", "n", F.col("v.value").alias("value"), "v.freq", "vs")
-    sketch = classes.select("_class", F.col("n_shingles").alias("n"), "s.odd", "s.sketch")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """The pairs whose union sketches are similar enough."""
-        x = sketch.select(F.col("_class").alias("a"), F.struct("n", "odd", "sketch").alias("x"))
-        y = sketch.select(F.col("_class").alias("b"), F.struct("n", "odd", "sketch").alias("y"))
-        little = _may_differ_little("x", "y", percent)
-        return pairs.join(x, "a").join(y, "b").where(little & (_estimate(F.col("x.sketch"), F.col("y.sketch"), k) >= F.lit(shared_at_least(percent, k) / k))).select("a", "b")
+    listed = ranked.where(room > 0).select("_class", "n", F.slice("vs", 1, room).alias("vs"))
+    facts = classes.select("_class", "s.sketch", "s.odd", F.struct("s.doc_id", "s._key").alias("name"))
+    listed, seen = counted(listed.join(facts, "_class"), entries=F.sum(F.size("vs")))
+    entries = seen["entries"] or 0
+    lists = listed.select("_class", "n", "vs", F.explode("vs").alias("v")).select("_class", "n", F.col("v.value").alias("value"), "v.freq", "vs")
 
     def sizes(x: Column, y: Column) -> Column:
         return F.least(x, y) * 100 >= F.greatest(x, y) * percent
@@ -218,50 +217,62 @@ def _decided(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size:
     # differently in each list, so that a large group gets several hubs.
     typical = F.size(F.filter("vs", lambda v: v["freq"] * 2 >= F.col("freq")))
     hub = F.max(F.struct(typical.alias("t"), F.xxhash64("_class", F.pmod("value", F.lit(HUBS))).alias("h"), "_class", "n"))
-    hubs = lists.groupBy("value").agg(hub.alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1").select("value", "h")
-    stars = lists.select("value", "_class", "n").join(hubs, "value").where((F.col("_class") != F.col("h._class")) & sizes(F.col("n"), F.col("h.n")))
+    hubs = lists.groupBy("value").agg(hub.alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    stars = with_groups(lists.select("value", "_class", "n"), hubs, "value", "c", entries, "_class")
+    stars = stars.where((F.col("_class") != F.col("h._class")) & sizes(F.col("n"), F.col("h.n")))
     stars = stars.select(F.greatest("h._class", "_class").alias("a"), F.least("h._class", "_class").alias("b")).distinct()
-    stars = checkpointed(alike(stars))
-    number = full.select("_row", "doc_id", "_key")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs whose union sketches are similar enough, with the names of their texts."""
+        x = listed.select(F.col("_class").alias("a"), F.struct("n", "odd", "sketch", "name").alias("x"))
+        y = listed.select(F.col("_class").alias("b"), F.struct("n", "odd", "sketch", "name").alias("y"))
+        little = _may_differ_little("x", "y", percent)
+        enough = _estimate(F.col("x.sketch"), F.col("y.sketch"), k) >= F.lit(shared_at_least(percent, k) / k)
+        return pairs.join(x, "a").join(y, "b").where(little & enough).select("a", "b", F.col("x.name").alias("na"), F.col("y.name").alias("nb"))
+
     texts = docs.select(docs[text].alias("_text"), docs[id_col].alias("_id"), F.xxhash64(docs[text]).alias("_tkey"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("_class")).union(pairs.select("b")).distinct()
-        names = wanted.join(number, wanted["_class"] == number["_row"]).select("_class", "doc_id", "_key")
+        pairs = checkpointed(pairs.coalesce(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        names = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("_class"), F.col("na").alias("name")), F.struct(F.col("b").alias("_class"), F.col("nb").alias("name")))).alias("e"))
+        names = bounded(names.groupBy("e._class").agg(F.first("e.name").alias("name")), NARROW)
         # Rows that repeat an id, or have none, hold other texts: the text's hash says which one is meant.
-        source = texts.join(names, (texts["_tkey"] == names["_key"]) & texts["_id"].eqNullSafe(names["doc_id"]))
+        source = texts.join(names, (texts["_tkey"] == names["name._key"]) & texts["_id"].eqNullSafe(names["name.doc_id"]))
         sets = _full_sets(source, "_text", size).dropDuplicates(["_class"])
-        return checkpointed(_verified(pairs, checkpointed(sets), percent))
+        return checkpointed(_verified(pairs.select("a", "b"), checkpointed(sets), percent))
 
-    links = confirm(stars)
+    links = confirm(alike(stars))
     comp = components(links)
-    tagged = listed.join(comp, listed["_class"] == comp["node"], "left")
-    tagged = tagged.select("_class", "n", F.coalesce("component", "_class").alias("comp"), F.col("vs.value").alias("vs"))
-    tagged = tagged.withColumn("value", F.explode("vs"))
+    tagged = listed.select("_class", F.explode("vs.value").alias("value")).join(comp, F.col("_class") == comp["node"], "left")
+    tagged = checkpointed(tagged.select("_class", "value", F.coalesce("component", "_class").alias("comp")))
     open_lists = tagged.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
-    open_lists = open_lists.where("lo <> hi and c > 2").select("value")
-    tagged = checkpointed(tagged.join(open_lists, "value", "left_semi").join(classes.select("_class", "s.odd"), "_class"))
-    x, y = tagged.alias("x"), tagged.alias("y")
-    # A pair that meets in several lists is taken from the first of them.
-    here = F.array_min(F.array_intersect(F.col("x.vs"), F.col("y.vs"))) == F.col("x.value")
-    rest = x.join(
-        y,
-        (F.col("x.value") == F.col("y.value"))
-        & (F.col("x._class") > F.col("y._class"))
-        & (F.col("x.comp") != F.col("y.comp"))
-        & sizes(F.col("x.n"), F.col("y.n"))
-        & _may_differ_little("x", "y", percent)
-        & here,
-    ).select(F.col("x._class").alias("a"), F.col("y._class").alias("b"))
-    rest = checkpointed(rest.join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        comp = components(links.unionByName(confirm(rest)))
-    named = classes.join(comp, classes["_class"] == comp["node"], "left").select(
-        *same, "_first", F.coalesce("component", "_class").alias("comp")
-    )
-    names = named.groupBy("comp").agg(F.min("_first").alias("_best"))
-    named = named.join(names, "comp").select(*same, "_best")
-    out = rows.select("doc_id", "_key", "_row", *same).join(named, same, "left")
+    open_lists = open_lists.where("lo <> hi and c > 2").select("value", "c")
+    tagged, seen = counted(with_groups(tagged, open_lists, "value", "c", entries, "_class").where("c IS NOT NULL").drop("c"))
+    if seen["rows"]:
+        met = tagged.join(listed.select("_class", "n", "odd", F.col("vs.value").alias("vs"), "name"), "_class")
+        x, y = met.alias("x"), met.alias("y")
+        # A pair that meets in several lists is taken from the first of them.
+        here = F.array_min(F.array_intersect(F.col("x.vs"), F.col("y.vs"))) == F.col("x.value")
+        rest = x.join(
+            y,
+            (F.col("x.value") == F.col("y.value"))
+            & (F.col("x._class") > F.col("y._class"))
+            & (F.col("x.comp") != F.col("y.comp"))
+            & sizes(F.col("x.n"), F.col("y.n"))
+            & _may_differ_little("x", "y", percent)
+            & here,
+        )
+        more = confirm(rest.select(F.col("x._class").alias("a"), F.col("y._class").alias("b"), F.col("x.name").alias("na"), F.col("y.name").alias("nb")))
+        if not more.isEmpty():
+            comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    # Of each component, the name of its best row goes to all of its classes.
+    linked = comp.unionByName(comp.select(F.col("component").alias("node"), "component").distinct())
+    linked = linked.join(classes.select(F.col("_class").alias("node"), "_first"), "node")
+    best = linked.groupBy("component").agg(F.min("_first").alias("_best"), F.count(F.lit(1)).alias("m"))
+    named = with_groups(linked.drop("_first"), best, "component", "m", held_values["rows"], "node").select("node", "_best")
+    named = classes.select("_set", "c", "_class", "_first").join(named, F.col("_class") == F.col("node"), "left")
+    named = named.select("_set", "c", F.coalesce("_best", "_first").alias("_best"))
+    out = with_groups(rows.select("doc_id", "_key", "_row", "n_shingles", "_set"), named, "_set", "c", total["rows"], "_row")
     alone = F.col("n_shingles") == 0
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("_best.b"))
     return out.select("doc_id", "_key", "n_shingles", component.alias("component_id"), (alone | (F.col("_row") == F.col("_best.c"))).alias("kept"))
