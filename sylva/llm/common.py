@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Regular expression of the characters that separate words.
 BLANK = "[ \\t-\\r]"
@@ -29,22 +30,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder."""
+#: Rows for which a task is worth while.
+ROWS_A_TASK = 5_000
+
+
+def checkpointed(df: DataFrame, at_most: int | None = None) -> DataFrame:
+    """Cut lineage through the shared folder. A table of ``at_most`` rows gets no more tasks and files than it needs."""
     shared_folder(df.sparkSession)
+    if at_most is not None:
+        df = df.coalesce(1 + at_most // ROWS_A_TASK)
     return df.checkpoint()
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
+def bounded(df: DataFrame, rows: int, at_most: int | None = None) -> DataFrame:
     """df checkpointed, and marked for a broadcast if it has at most ``rows`` rows; else the join is left to Spark."""
-    df, seen = counted(df)
+    df, seen = counted(df, at_most)
     return F.broadcast(df.coalesce(8)) if seen["rows"] <= rows else df
 
 
-def counted(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+def counted(df: DataFrame, at_most: int | None = None, **measures: Column) -> tuple[DataFrame, dict]:
     """df checkpointed, with its number of rows (``rows``) and other aggregates, measured as it is written."""
     seen = Observation()
-    out = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[m.alias(k) for k, m in measures.items()]))
+    out = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[m.alias(k) for k, m in measures.items()]), at_most)
     return out, seen.get
 
 
@@ -62,7 +69,7 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     key, and those without a key, or served already, by ``spread``, a column
     that tells rows apart. Few groups are all broadcast.
     """
-    groups, seen = counted(groups)
+    groups, seen = counted(groups, total)
     facts = [c for c in groups.columns if c != key]
     few = seen["rows"] <= narrow
     large = groups if few else groups.where(F.col(size) * LARGE > total)
@@ -70,10 +77,11 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     out = rows.join(large, rows[key] == large["_k1"], "left").drop("_k1")
     if few:
         return out.select(*rows.columns, *[F.col("_g1")[c].alias(c) for c in facts])
-    small = groups.where(F.col(size) * LARGE <= total).select(F.col(key).cast("string").alias("_k2"), F.struct(*facts).alias("_g2"))
-    served = F.col("_g1").isNotNull() | F.col(key).isNull()
-    out = out.withColumn("_at", F.when(served, F.concat(F.lit("~"), F.col(spread).cast("string"))).otherwise(F.col(key).cast("string")))
-    out = out.join(small, out["_at"] == small["_k2"], "left")
+    kind = "long" if rows.schema[key].dataType == rows.schema[spread].dataType == LongType() else "string"
+    small = groups.where(F.col(size) * LARGE <= total).select(F.col(key).cast(kind).alias("_k2"), F.lit(False).alias("_s2"), F.struct(*facts).alias("_g2"))
+    out = out.withColumn("_served", F.col("_g1").isNotNull() | F.col(key).isNull())
+    out = out.withColumn("_at", F.when(F.col("_served"), F.col(spread).cast(kind)).otherwise(F.col(key).cast(kind)))
+    out = out.join(small, (out["_at"] == small["_k2"]) & (out["_served"] == small["_s2"]), "left")
     return out.select(*rows.columns, *[F.coalesce(F.col("_g1")[c], F.col("_g2")[c]).alias(c) for c in facts])
 
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, keep_rows, squeezed, table, with_groups
+from .common import checkpointed, counted, keep_rows, squeezed, table, with_groups
 
 #: Characters of the text without white space that the second key looks at.
 PREFIX = 256
@@ -66,12 +66,12 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", di
     keyed = _keyed(docs, text, id_col)
     digest = F.sha2("_norm", 256)
     if digest_all:
-        rows = checkpointed(keyed.withColumn("digest", digest).drop("_norm"))
-        total = rows.count()
+        rows, seen = counted(keyed.withColumn("digest", digest).drop("_norm"))
+        total = seen["rows"]
         rows = with_groups(rows, _shared_heads(rows, total), "_head", "_n", total, "_row")
     else:
-        keys = checkpointed(keyed.select("_row", "_len", "_head"))
-        total = keys.count()
+        keys, seen = counted(keyed.select("_row", "_len", "_head"))
+        total = seen["rows"]
         rows = with_groups(keyed, _shared_heads(keys, total), "_head", "_n", total, "_row")
         rows = checkpointed(rows.withColumn("digest", F.when(F.col("_n").isNotNull(), digest)).drop("_norm"))
     best = F.min(F.struct((-F.col("_raw")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("_row").alias("d")))

@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, with_groups, word_count
+from .common import checkpointed, counted, table, with_groups, word_count
 
 #: Documents that share one range of the key space, about.
 RANGE_ROWS = 2_000
@@ -96,7 +96,7 @@ def _cuts(rows: DataFrame, total: int, weights: tuple[int, ...], most: float, ra
     before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
     last = parts.where("_start <= _rest").groupBy("_source").agg(F.max_by(F.struct("_range", "_start"), "_range").alias("_last"), F.sum("_n").alias("_rows"))
-    last = checkpointed(last.select("_source", "_rows", F.col("_last._range").alias("_cut_range"), F.col("_last._start").alias("_start")))
+    last = checkpointed(last.select("_source", "_rows", F.col("_last._range").alias("_cut_range"), F.col("_last._start").alias("_start")), total)
     inside = with_groups(placed, last, "_source", "_rows", total, "_row").where("_range = _cut_range AND size > 0")
     places = inside.groupBy("_source", "_key", "_tie", "_rest", "_start").agg(F.count(F.lit(1)).alias("_many"), F.first("size").alias("size"))
     order = Window.partitionBy("_source").orderBy("_key", "_tie").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,7 +106,7 @@ def _cuts(rows: DataFrame, total: int, weights: tuple[int, ...], most: float, ra
     cut = places.groupBy("_source").agg(F.max(F.struct("_key", "_tie", "_some", "_many")).alias("_cut"))
     found = facts.join(last.drop("_rows", "_start"), "_source", "left").join(cut, "_source", "left")
     nothing = F.struct(F.lit(-1).cast("long").alias("_key"), F.lit(-1).cast("long").alias("_tie"), F.lit(0).cast("long").alias("_some"), F.lit(0).cast("long").alias("_many"))
-    return checkpointed(found.withColumn("_cut", F.coalesce("_cut", nothing)).withColumn("_cut_range", F.coalesce("_cut_range", F.lit(-1))))
+    return checkpointed(found.withColumn("_cut", F.coalesce("_cut", nothing)).withColumn("_cut_range", F.coalesce("_cut_range", F.lit(-1))), total)
 
 
 def _epochs(rows: DataFrame, cuts: DataFrame, total: int) -> DataFrame:
@@ -138,8 +138,8 @@ def _epochs(rows: DataFrame, cuts: DataFrame, total: int) -> DataFrame:
 def _mixed(docs: DataFrame, carried: bool, text: str, source: str, id_col: str, seed: str, weights: tuple[int, ...], most: float, range_rows: int) -> DataFrame:
     keyed = _keyed(docs, text, source, id_col, seed)
     number = F.monotonically_increasing_id().alias("_row")
-    rows = checkpointed(docs.select(docs[id_col].alias("doc_id"), docs[source].alias("source"), *keyed, number))
-    total = rows.count()
+    rows, seen = counted(docs.select(docs[id_col].alias("doc_id"), docs[source].alias("source"), *keyed, number))
+    total = seen["rows"]
     cuts = _cuts(rows, total, weights, most, range_rows)
     if carried:
         rows = docs.select(F.struct(*[docs[c].alias(f"_{i}") for i, c in enumerate(docs.columns)]).alias("_doc"), *keyed, number)

@@ -157,7 +157,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return frame.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, at_most: int | None = None) -> DataFrame:
     """node and its component (smallest node that it reaches) for every node of edges (a, b), but for those that name one.
 
     Alternates the large-star step, in which every node hands its larger
@@ -166,18 +166,18 @@ def components(edges: DataFrame) -> DataFrame:
     as the logarithm of the longest chain. Minima are taken before the shuffle
     and handed out by ``with_groups``, so a node with very many edges is no hot key.
     """
-    edges, seen = counted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges, seen = counted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), at_most)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
         large = with_groups(edges, low, "v", "c", 2 * seen["rows"], "u").select("u", "v", F.least("m", "v").alias("m"))
         low = large.groupBy("u").agg(F.min("m").alias("s"), F.count(F.lit(1)).alias("c"), F.max(F.col("m") < F.col("v")).alias("moved"))
-        low, state = counted(low, most=F.max("c"), moved=F.max("moved"))
+        low, state = counted(low, seen["rows"], most=F.max("c"), moved=F.max("moved"))
         if not seen["rows"] or (state["most"] == 1 and not state["moved"]):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         small = with_groups(large, low.drop("moved"), "u", "c", seen["rows"], "m")
         small = small.select(F.explode(F.array(F.struct("u", F.col("s").alias("v")), F.struct(F.col("m").alias("u"), F.col("s").alias("v")))).alias("e"))
-        edges, seen = counted(small.select("e.u", "e.v").where("u <> v").distinct())
+        edges, seen = counted(small.select("e.u", "e.v").where("u <> v").distinct(), 2 * seen["rows"])
 
 
 def _decided(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = PERCENT,
@@ -195,18 +195,18 @@ def _decided(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size:
     one = F.min_by(F.struct("sketch", "odd", F.col("n_shingles").alias("n"), "doc_id", "_key"), "_row").alias("s")
     full = rows.where("n_shingles > 0")
     classes = full.groupBy("_set").agg(F.min("_row").alias("_class"), first, F.count(F.lit(1)).alias("c"), one)
-    classes, held_values = counted(classes, values=F.sum(F.size("s.sketch")))
-    values = classes.select("_class", F.col("s.n").alias("n"), F.explode("s.sketch").alias("value"))
+    classes, held_values = counted(classes, total["rows"], values=F.sum(F.size("s.sketch")))
+    values = classes.select("_class", F.explode("s.sketch").alias("value"))
     counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
     shared = with_groups(values, counts, "value", "freq", held_values["values"] or 0, "_class").where("freq IS NOT NULL")
     # Values that nobody shares are the rarest; they take places of the prefix without needing a list.
-    ranked = shared.groupBy("_class", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "value"))).alias("vs"))
+    ranked = shared.groupBy("_class").agg(F.array_sort(F.collect_list(F.struct("freq", "value"))).alias("vs"))
+    facts = classes.select("_class", "s.n", "s.sketch", "s.odd", F.struct("s.doc_id", "s._key").alias("name"))
     held = F.least(F.col("n"), F.lit(k)).cast("int")
     need = F.greatest(F.lit(1), F.floor(held * min_shared / k)).cast("int")
     room = held - need + 1 - (held - F.size("vs"))
-    listed = ranked.where(room > 0).select("_class", "n", F.slice("vs", 1, room).alias("vs"))
-    facts = classes.select("_class", "s.sketch", "s.odd", F.struct("s.doc_id", "s._key").alias("name"))
-    listed, seen = counted(listed.join(facts, "_class"), entries=F.sum(F.size("vs")))
+    listed = ranked.join(facts, "_class").where(room > 0).withColumn("vs", F.slice("vs", 1, room))
+    listed, seen = counted(listed, held_values["rows"], entries=F.sum(F.size("vs")))
     entries = seen["entries"] or 0
     lists = listed.select("_class", "n", "vs", F.explode("vs").alias("v")).select("_class", "n", F.col("v.value").alias("value"), "v.freq", "vs")
 
@@ -232,22 +232,22 @@ def _decided(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size:
 
     texts = docs.select(docs[text].alias("_text"), docs[id_col].alias("_id"), F.xxhash64(docs[text]).alias("_tkey"))
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = checkpointed(pairs.coalesce(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    def confirm(pairs: DataFrame, at_most: int) -> tuple[DataFrame, int]:
+        pairs, seen = counted(pairs, at_most)
         names = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("_class"), F.col("na").alias("name")), F.struct(F.col("b").alias("_class"), F.col("nb").alias("name")))).alias("e"))
-        names = bounded(names.groupBy("e._class").agg(F.first("e.name").alias("name")), NARROW)
+        names = bounded(names.groupBy("e._class").agg(F.first("e.name").alias("name")), NARROW, 2 * seen["rows"])
         # Rows that repeat an id, or have none, hold other texts: the text's hash says which one is meant.
         source = texts.join(names, (texts["_tkey"] == names["name._key"]) & texts["_id"].eqNullSafe(names["name.doc_id"]))
         sets = _full_sets(source, "_text", size).dropDuplicates(["_class"])
-        return checkpointed(_verified(pairs.select("a", "b"), checkpointed(sets), percent))
+        found, seen = counted(_verified(pairs.select("a", "b"), checkpointed(sets, 2 * seen["rows"]), percent), seen["rows"])
+        return found, seen["rows"]
 
-    links = confirm(alike(stars))
-    comp = components(links)
+    comp = components(*confirm(alike(stars), entries))
     tagged = listed.select("_class", F.explode("vs.value").alias("value")).join(comp, F.col("_class") == comp["node"], "left")
-    tagged = checkpointed(tagged.select("_class", "value", F.coalesce("component", "_class").alias("comp")))
+    tagged = checkpointed(tagged.select("_class", "value", F.coalesce("component", "_class").alias("comp")), entries)
     open_lists = tagged.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
     open_lists = open_lists.where("lo <> hi and c > 2").select("value", "c")
-    tagged, seen = counted(with_groups(tagged, open_lists, "value", "c", entries, "_class").where("c IS NOT NULL").drop("c"))
+    tagged, seen = counted(with_groups(tagged, open_lists, "value", "c", entries, "_class").where("c IS NOT NULL").drop("c"), entries)
     if seen["rows"]:
         met = tagged.join(listed.select("_class", "n", "odd", F.col("vs.value").alias("vs"), "name"), "_class")
         x, y = met.alias("x"), met.alias("y")
@@ -262,9 +262,11 @@ def _decided(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size:
             & _may_differ_little("x", "y", percent)
             & here,
         )
-        more = confirm(rest.select(F.col("x._class").alias("a"), F.col("y._class").alias("b"), F.col("x.name").alias("na"), F.col("y.name").alias("nb")))
-        if not more.isEmpty():
-            comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        rest = rest.select(F.col("x._class").alias("a"), F.col("y._class").alias("b"), F.col("x.name").alias("na"), F.col("y.name").alias("nb"))
+        more, found = confirm(rest, max(entries, 1_000_000))
+        if found:
+            links = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+            comp = components(links, held_values["rows"] + found)
     # Of each component, the name of its best row goes to all of its classes.
     linked = comp.unionByName(comp.select(F.col("component").alias("node"), "component").distinct())
     linked = linked.join(classes.select(F.col("_class").alias("node"), "_first"), "node")
