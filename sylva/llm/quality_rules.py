@@ -5,12 +5,15 @@ The suffix array of a text is built on its words by refining groups of equal
 again, so ordinary text costs one sort. Neighbouring suffixes give the longest
 common prefixes, and with them the longest repeat that starts at each word;
 these are the maximal repeated substrings of the LCP intervals. Their spans
-are united, and a text fails if they cover too much of it or one is too long.
+are united, and a text fails if they cover too much of it or one is too long:
+a text may pass the base rule, which looks at 3-word windows only, and still
+repeat whole passages.
 
 Defined results: a null text has no words, and fails for having under
-MIN_WORDS; repeated rows each get a row; null ids stay null; an empty table
-gives an empty result; further columns are ignored by the report and pass
-through the filter.
+MIN_WORDS; repeated rows each get a row; null ids stay null; there are no
+ties; a very long text is measured whole by one worker, with about 150 bytes of
+memory for each word; an empty table gives an empty result; further columns
+pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ from .common import table
 
 #: Limits of the fixed base rules.
 MIN_WORDS = 50
-MOST_REPEATED = 0.5
+#: Percent of a text's words in repeated 3-word windows.
+MOST_REPEATED = 50
 #: Repeats of at least so many words count for the method's two limits.
 MIN_REPEAT = 8
-#: Share of a text's words that repeats may cover, and words in the longest one.
-MOST_COVERED = 0.5
-LONGEST = 400
+#: Percent of a text's words that repeats may cover, and words that the longest one may have. Clean texts repeat a
+#: line or two: of 3,243 texts labelled clean none covers over 34 per cent or repeats over 20 words.
+MOST_COVERED = 40
+LONGEST = 100
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -205,7 +210,7 @@ def measure(texts: pa.Array) -> Iterator[dict[str, np.ndarray]]:
 
 
 def quality_report(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
-                   most_covered: float = MOST_COVERED, longest: int = LONGEST) -> DataFrame:
+                   most_covered: int = MOST_COVERED, longest: int = LONGEST) -> DataFrame:
     """``carry`` columns (all by default) with the measures, base_failed and kept."""
     carry = docs.columns if carry is None else carry
     frame = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)], docs[text].alias("_text"))
@@ -219,8 +224,8 @@ def quality_report(docs: DataFrame, text: str = "text", carry: list[str] | None
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], [*batch.schema.names[:-1], *COLUMNS])
 
     out = frame.mapInArrow(run, ", ".join([*kinds, _SCHEMA]))
-    base_failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    verdict = (F.col("n_covered_words") <= most_covered * F.col("n_words")) & (F.col("longest_repeat") <= longest)
+    base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    verdict = (100 * F.col("n_covered_words") <= most_covered * F.col("n_words")) & (F.col("longest_repeat") <= longest)
     return out.select(
         *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)],
         *COLUMNS,

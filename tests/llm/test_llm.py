@@ -225,6 +225,41 @@ def test_quality_measures():
     assert all(int(m[c][1]) == 0 for c in quality_rules.COLUMNS)
 
 
+def test_quality_verdict_equals_brute_force(spark):
+    rng = random.Random(6)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage, part = fresh(110), fresh(45)
+    texts = [fresh(400) + passage + fresh(200) + passage, fresh(60) + part + fresh(60) + part, fresh(10) + part + fresh(100) + part]
+    texts += [[rng.choice("abc") for _ in range(rng.randint(40, 90))] for _ in range(20)]
+    texts += [[f"v{rng.randrange(14)}" for _ in range(rng.randint(45, 200))] for _ in range(40)]
+    for _ in range(20):
+        bits = [fresh(rng.randint(5, 14)) for _ in range(4)]
+        texts.append(sum((rng.choice(bits) if rng.random() < 0.4 else fresh(12) for _ in range(14)), []))
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.quality_report(table).collect()}
+    verdicts = set()
+    for i, w in enumerate(texts):
+        n, long, windows = len(w), [0] * len(w), {}
+        for a in range(n):
+            windows.setdefault(tuple(w[a : a + 3]), []).append(a)
+            for b in range(a):
+                k = 0
+                while a + k < n and w[a + k] == w[b + k]:
+                    k += 1
+                long[a], long[b] = max(long[a], k), max(long[b], k)
+        again = {p + j for k, at in windows.items() if len(k) == 3 and len(at) > 1 for p in at for j in range(3)}
+        covered = {a + j for a in range(n) if long[a] >= 8 for j in range(long[a])}
+        longest = max(long) if max(long) >= 3 else 0
+        failed = n < 50 or 100 * len(again) > 50 * n
+        kept = not failed and 100 * len(covered) <= 40 * n and longest <= 100
+        r = got[i]
+        assert (r.n_words, r.n_repeat_words, r.n_covered_words, r.longest_repeat) == (n, len(again), len(covered), longest)
+        assert (r.base_failed, r.kept) == (failed, kept)
+        verdicts.add((failed, kept))
+    assert not got[0].base_failed and not got[0].kept and not got[1].base_failed and not got[1].kept and got[2].n_words == 200
+    assert verdicts == {(True, False), (False, False), (False, True)}
+
+
 def test_quality_keeps_columns(docs, empty):
     kept = quality_rules.keep_good(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, t, *_ in rows() if len(WORD.findall(t or "")) == 120}
