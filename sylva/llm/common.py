@@ -72,8 +72,8 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     groups, seen = counted(groups, total)
     facts = [c for c in groups.columns if c != key]
     few = seen["rows"] <= narrow
-    large = groups if few else groups.where(F.col(size) * LARGE > total)
-    large = F.broadcast(large.coalesce(8).select(F.col(key).alias("_k1"), F.struct(*facts).alias("_g1")))
+    large = groups.coalesce(8) if few else groups.where(F.col(size) * LARGE > total)
+    large = F.broadcast(large.select(F.col(key).alias("_k1"), F.struct(*facts).alias("_g1")))
     out = rows.join(large, rows[key] == large["_k1"], "left").drop("_k1")
     if few:
         return out.select(*rows.columns, *[F.col("_g1")[c].alias(c) for c in facts])

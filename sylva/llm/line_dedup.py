@@ -25,7 +25,9 @@ lines that the stars leave uncut somewhere.
 Defined results: a null text has no lines, and stays null; blank lines never
 anchor and go only inside blocks; rows that repeat an id and its text are one
 document and are all cut alike, never against each other; null ids come last;
-an empty table gives an empty result; further columns pass through the filter.
+a very long text is one row of line hashes, aligned whole by one worker; an empty
+table gives an empty result; further columns pass through, but those named like a
+measure (MEASURES), which give way to it.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ from .patience import align
 
 #: Fewest characters of shared lines that make a pair.
 LEAST_CHARS = 20
+#: What is measured of each document.
+MEASURES = ("n_lines", "n_cut", "cut_chars")
 #: Factor by which the holders that uncut evidence has met grow in each round.
 STEP = 4
 
@@ -128,7 +132,7 @@ def cut_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least
     new = F.when(F.col("_cut").isNull(), F.col("_t")).otherwise(F.concat_ws("\n", kept))
     at = docs.columns.index(text)
     return out.withColumn("_new", new).select(
-        *[(F.col("_new") if i == at else F.col(f"_c{i}")).alias(c) for i, c in enumerate(docs.columns)],
+        *[(F.col("_new") if i == at else F.col(f"_c{i}")).alias(c) for i, c in enumerate(docs.columns) if c not in MEASURES],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("n_cut"),
         (F.length("_t") - F.length("_new")).cast("long").alias("cut_chars"),

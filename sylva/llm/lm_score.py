@@ -2,14 +2,20 @@
 
 The pieces of an existing vocabulary span a lattice over each word; a word's
 probability is the sum over all its segmentations, found by a forward
-recursion in log space. Piece probabilities start from the vocabulary's own
-order and are re-estimated by expectation maximisation on the distinct words
-of the training documents, since the pieces spell words that are not known yet.
-Beside its pieces, each lattice has one arc over the whole word, weighted by
-how often training texts hold the word less a discount; what the discounts
-save is left to the pieces (Kneser and Ney's absolute discounting). A text is
-its words, each opened by the vocabulary's word mark, and one end, so
-probabilities of all texts add up to at most one.
+recursion in log space. The vocabulary at hand is a merge list whose stored
+scores are ranks and no log probabilities, so piece weights start from that
+order (1 / (rank + 50)) and are re-estimated by expectation maximisation on the
+distinct words of the training documents, since the pieces spell words that are
+not known yet. ``lattice_score`` is the log10 of the lattice's probability alone:
+each word opened by the vocabulary's word mark, and one end.
+
+``score`` adds two arcs over the whole word to each lattice. One is weighted by
+how often training texts hold the word, less a discount (Kneser and Ney's). What
+the discounts save goes to the lattice: UNKNOWN of it to the vocabulary's piece
+for unknown words, which spans words that no training text holds, and the rest to
+the pieces, for all words. Unknown words so count as one type, as they do in
+``base_score``, and score and base can be compared; in ``lattice_score`` every
+word pays for its spelling.
 
 The work is done once per distinct word: a table of all words holds counts and
 log probabilities. Scoring needs the table beside every text. Its most
@@ -19,7 +25,8 @@ text's words are joined with the table and summed per text.
 Defined results: a null text has no words and scores its end alone; a null id
 counts as held out; repeated rows are learnt and scored like any others; with
 no training rows all counts are 0 and the first piece probabilities hold;
-an empty table gives an empty result; further columns are ignored.
+there are no ties; a very long text is one value, its rare words one row each; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +34,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +49,8 @@ ROUNDS = 3
 PRIOR = 0.05
 #: Distinct words that are spelled together.
 TOGETHER = 50_000
+#: Share of the piece for unknown words in what the lattice gets.
+UNKNOWN = 0.9
 #: Probability that a text ends, where no training text tells.
 END = 0.01
 #: Distinct words that a task gathers before it hands them on.
@@ -277,7 +287,7 @@ def train_model(words: DataFrame, lattice: Lattice, rounds: int = ROUNDS) -> np.
 
 def score_texts(docs: DataFrame, vocabulary: str | None = None, text: str = "text", id_col: str = "doc_id", modulus: int = 10,
                 hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10)."""
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score (all log10)."""
     path = vocabulary or default_vocabulary()
     source = docs.select(docs[id_col].alias("doc_id"), (crc_mod(id_col, modulus) == 0).alias("held_out"), docs[text].alias("text"))
     gathered = source.select("held_out", "text").mapInArrow(_gather, "hash long, word string, train long, total long")
@@ -292,22 +302,27 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, text: str = "tex
     discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
     lattice = Lattice(path)  # of the vocabulary's size, whatever the input
     logp = train_model(words, lattice, rounds)
-
-    def mixed(count: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        """log10 of the arc over the whole word and its pieces together."""
-        if not tokens:
-            return (spelled + np.log(1 - END)) / _LN10
-        with np.errstate(divide="ignore"):
-            whole = np.log(np.maximum(count - discount, 0) / tokens)
-        return np.logaddexp(whole, spelled + np.log(discount * kinds / tokens)) / _LN10
+    going_on = float(np.log(1 - (n_train / tokens if tokens else END)))  # a word, and not the end
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _together(batches):
-            lp = mixed(part.column(2).to_numpy(), lattice.words(part.column(1).to_pylist(), logp))
-            yield from part.select(["hash", "train", "total"]).append_column("lp", pa.array(lp)).to_batches()
+            spelled = (lattice.words(part.column(1).to_pylist(), logp) + going_on) / _LN10
+            yield from part.select(["hash", "train", "total"]).append_column("spelled", pa.array(spelled)).to_batches()
 
-    scored = checkpointed(words.mapInArrow(weigh, "hash long, train long, total long, lp double"))
+    scored = checkpointed(words.mapInArrow(weigh, "hash long, train long, total long, spelled double"))
     below = float(np.log10(tokens + 0.1 * (kinds + 1)))
+    saved = float(np.log10(discount * kinds / tokens)) if tokens else 0.0
+
+    def mixed(train: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """log10 of the arcs over the whole word and its pieces together."""
+        with np.errstate(divide="ignore"):
+            whole = np.where(train > 0, np.log10(np.maximum(train - discount, 0) / max(tokens, 1)), saved + np.log10(UNKNOWN))
+        return np.logaddexp(whole * _LN10, (spelled + saved + np.log10(1 - UNKNOWN)) * _LN10) / _LN10
+
+    @F.pandas_udf("double")
+    def both(train: pd.Series, spelled: pd.Series) -> pd.Series:
+        return pd.Series(mixed(train.to_numpy(), spelled.to_numpy()))
+
 
     # The lowest count that at most ``hot`` words reach, from a histogram of counts.
     bins = scored.groupBy(F.floor(F.log2("total") * 8).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("total").alias("least"))
@@ -317,10 +332,10 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, text: str = "tex
         if held > hot:
             break
         least = low
-    frequent = scored.where(F.col("total") >= least if least is not None else F.lit(False)).select("hash", "train", "lp").toPandas()
+    frequent = scored.where(F.col("total") >= least if least is not None else F.lit(False)).select("hash", "train", "spelled").toPandas()
     frequent = frequent.sort_values("hash")
-    key, known, score = (frequent[c].to_numpy() for c in ("hash", "train", "lp"))
-    base = np.log10(known + 0.1) - below
+    key, known, pieces = (frequent[c].to_numpy() for c in ("hash", "train", "spelled"))
+    base, score = np.log10(known + 0.1) - below, mixed(known, pieces)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,21 +348,23 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, text: str = "tex
                 cold, row = h[~hit], words.doc[~hit]
                 cut = np.searchsorted(row, np.arange(words.docs + 1)).astype(np.int32)
                 ids = batch.column(0).slice(words.first, words.docs), batch.column(1).slice(words.first, words.docs)
-                values = [words.counts() + 1, add(known[where] > 0).astype(np.int64), add(base[where]), add(score[where])]
+                values = [words.counts() + 1, add(known[where] > 0).astype(np.int64), add(base[where]), add(score[where]), add(pieces[where])]
                 rest = pa.ListArray.from_arrays(pa.array(cut), pa.array(cold))
-                yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, values), rest], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rest"])
+                yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, values), rest], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "pieces", "rest"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    first = source.mapInArrow(look_up, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rest array<bigint>")
+    first = source.mapInArrow(look_up, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, pieces double, rest array<bigint>")
     first = checkpointed(first.withColumn("_row", F.monotonically_increasing_id()))
-    rare = first.select("_row", F.explode("rest").alias("hash")).join(scored.select("hash", "train", "lp"), "hash")
+    rare = first.select("_row", F.explode("rest").alias("hash")).join(scored.select("hash", "train", "spelled"), "hash")
     rare = rare.groupBy("_row").agg(
         F.sum((F.col("train") > 0).cast("long")).alias("k"),
         F.sum(F.log10(F.col("train") + 0.1) - below).alias("b"),
-        F.sum("lp").alias("s"),
+        F.sum(both("train", "spelled")).alias("s"),
+        F.sum("spelled").alias("p"),
     )
     end_base = float(np.log10(n_train + 0.1)) - below
-    end_score = float(np.log10((n_train - discount) / tokens if tokens else END))
+    end_pieces = float(np.log10(n_train / tokens if n_train else END))
+    end_score = float(np.log10((n_train - discount) / tokens if n_train else END))
     zero = F.lit(0.0)
     return first.join(rare, "_row", "left").select(
         "doc_id",
@@ -357,6 +374,7 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, text: str = "tex
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", zero) + end_base).alias("base_score"),
         (F.col("score") + F.coalesce("s", zero) + end_score).alias("score"),
+        (F.col("pieces") + F.coalesce("p", zero) + end_pieces).alias("lattice_score"),
     )
 
 

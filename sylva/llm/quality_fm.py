@@ -12,8 +12,10 @@ a fixed number of weights, whatever the input.
 
 Defined results: a null text is empty and is scored like an empty one; a null
 id counts as held out; repeated rows are scored each; several labels of one id
-are averaged; without usable labels every score is 0.5; an empty table gives an
-empty result; further columns are ignored.
+are averaged, and of several texts of one labelled id the smallest is learnt
+from; without usable labels every score is 0.5; there are no ties but those of
+the sample's hashes, settled by id; a very long text is measured whole by one
+worker; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -155,7 +157,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_col:
     """A model fitted on at most ``sample`` labelled rows whose crc32 remainder is not 0."""
     marks = labels.groupBy(F.col(id_col).alias("_id")).agg(F.avg(label).alias("_y")).where((crc_mod("_id", modulus) != 0) & F.col("_y").isNotNull())
     chosen = marks.orderBy(F.xxhash64(F.lit(3), "_id"), "_id").limit(sample)
-    rows = docs.select(docs[id_col].alias("_id"), docs[text].alias("_text")).join(F.broadcast(chosen), "_id").select("_y", "_text")
+    rows = docs.select(docs[id_col].alias("_id"), docs[text].alias("_text")).join(F.broadcast(chosen), "_id")
+    # Of rows that repeat an id the smallest text is taken, so that the sample is the same in every run.
+    rows = rows.groupBy("_id").agg(F.first("_y").alias("_y"), F.min(F.coalesce("_text", F.lit(""))).alias("_text")).select("_y", "_text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,8 +168,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_col:
                 lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(buckets.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(edges) - 1), flat, lists], ["y", "stats", "buckets"])
 
-    # A row of numbers for each sampled text; repeated ids add rows, so the bound holds once more here.
-    got = rows.mapInArrow(measure, "y double, stats array<double>, buckets array<int>").limit(sample).toArrow()
+    # A row of numbers for each sampled text, ``sample`` at most.
+    got = rows.mapInArrow(measure, "y double, stats array<double>, buckets array<int>").toArrow()
     y = got.column("y").to_numpy()
     if not len(y) or y.min() == y.max():
         return None

@@ -281,6 +281,47 @@ def test_lattice_sums_all_segmentations(docs, empty):
     assert lm_score.score_texts(empty, rounds=1).count() == 0
 
 
+def test_lattice_equals_all_segmentations():
+    net = lm_score.Lattice(lm_score.default_vocabulary())
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=lm_score.default_vocabulary())
+    plain = {sp.id_to_piece(i): i for i in range(sp.get_piece_size() - 1, -1, -1) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+    logp = net.start()
+
+    def total(text):  # the sum over all ways to cut a text, one by one
+        if not text:
+            return 1.0
+        out = sum(np.exp(logp[plain[text[:k]]]) * total(text[k:]) for k in range(1, len(text) + 1) if text[:k] in plain)
+        if text[0] not in plain:
+            out += np.exp(sum(logp[net.bytes[b]] for b in text[0].encode())) * total(text[1:])
+        return out
+
+    words = ["the", "running", "a", "zqx", "unsaid", "e\U0001F600b", "ñandú", ""]
+    assert np.allclose(net.words(words, logp), [np.log(total("\u2581" + w)) for w in words], rtol=1e-9)
+
+
+def test_scores_beat_the_base_on_held_out_texts(spark):
+    rng = random.Random(12)
+    stems = ["".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(2)) for _ in range(2000)]
+    ends = ["ing", "ed", "ness", "s", "tion", "ly", "er", "al", "ment", "able"]
+    texts = [" ".join(rng.choice(stems) + rng.choice(ends) for _ in range(60)) for _ in range(200)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = lm_score.score_texts(table, hot=50).collect()
+    held = [r for r in got if r.held_out]
+    train = [WORD.findall(texts[r.doc_id]) for r in got if not r.held_out]
+    counts = {}
+    for w in sum(train, []):
+        counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()) + len(train), len(counts) + 1
+    below = np.log10(n + 0.1 * (v + 1))
+    for r in got:
+        words = WORD.findall(texts[r.doc_id])
+        want = sum(np.log10(counts.get(w, 0) + 0.1) - below for w in words) + np.log10(len(train) + 0.1) - below
+        assert abs(r.base_score - want) < 1e-6 and r.train_tokens == n and r.n_known == sum(w in counts for w in words) + 1
+    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
 def test_line_dedup_keeps_the_first(spark, docs, empty):
     common = "\n".join(f"line number {k} of the shared passage with some length" for k in range(4))
     table = spark.createDataFrame([(1, "own first line of one\n" + common), (2, common + "\nown last line of two"), (3, None), (4, "")], "doc_id long, text string")
@@ -354,6 +395,107 @@ def test_quality_classifier_learns(spark, empty):
     assert quality_fm.score_quality(empty, None).count() == 0
 
 
+def test_quality_margin_and_gradient_equal_the_double_sum():
+    rng = np.random.default_rng(3)
+    model = quality_fm.Model(np.sort(rng.normal(size=(quality_fm.STATS, quality_fm.BINS - 1)), axis=1))
+    model.w = rng.normal(size=model.w.shape)
+    model.v = rng.normal(size=model.v.shape)
+    model.bias = 0.3
+    buckets = [np.sort(rng.choice(quality_fm.BUCKETS, k, replace=False)) for k in (0, 1, 5, 40)]
+    edges = np.concatenate([[0], np.cumsum([len(b) for b in buckets])])
+    rows = model.rows(rng.normal(size=(4, quality_fm.STATS)), edges, np.concatenate(buckets))
+    to, feature, value = rows
+
+    def naive(i):
+        f, x = feature[to[i] : to[i + 1]], value[to[i] : to[i + 1]]
+        pairs = sum(model.v[f[a]] @ model.v[f[b]] * x[a] * x[b] for a in range(len(f)) for b in range(a))
+        return model.bias + (model.w[f] * x).sum() + pairs
+
+    assert np.allclose(model.margin(*rows)[0], [naive(i) for i in range(4)])
+    # One step of the fit goes down along the slope that differences give.
+    y = np.array([1.0, 0.0, 1.0, 0.0])
+
+    def loss():
+        m = model.margin(*rows)[0]
+        return np.mean(np.log1p(np.exp(-np.abs(m))) + np.maximum(m, 0) - y * m)
+
+    slopes = []
+    spots = [(f, r) for f in feature[:3] for r in range(quality_fm.RANK)]
+    for f, r in spots:
+        old, step = model.v[f, r], 1e-5
+        model.v[f, r] = old + step
+        up = loss()
+        model.v[f, r] = old - step
+        slopes.append((up - loss()) / (2 * step))
+        model.v[f, r] = old
+    before, start = model.v.copy(), loss()
+    model.fit(rows, y, epochs=1, rate=1e-4, decay=0.0)
+    moved = [model.v[s] - before[s] for s in spots]
+    assert loss() < start and all(a * b <= 0 for a, b in zip(moved, slopes) if abs(b) > 1e-6)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(900)]
+    texts = [None, "", "few words here", "again and again " * 40]
+    for _ in range(25):
+        words = [rng.choice(vocab) for _ in range(rng.randint(60, 140))]
+        texts += [" ".join(words)] * rng.randint(1, 2)
+        if rng.random() < 0.5:
+            texts.append("  ".join(words) + " \n")
+        for share in (0.02, 0.3):
+            other = list(words)
+            at = rng.randrange(len(other) - 45)
+            n = max(1, int(share * 40))
+            other[at : at + n] = [rng.choice(vocab) for _ in range(n)]
+            texts.append(" ".join(other))
+    data = [(i, t, "en", f"s{i % 4}" if i % 7 else None, len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, tuple(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    # Quality: none of these texts but those under 50 words and the repeating one breaks a rule.
+    left = [d for d in data if d[1] and len(WORD.findall(d[1])) >= 50 and not d[1].startswith("again")]
+    groups = {}
+    for d in left:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", d[1]), []).append(d)
+    left = sorted(min(g, key=lambda d: (-len(d[1]), d[0])) for g in groups.values())
+    sets = []
+    for d in left:
+        w = d[1].lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    name = list(range(len(left)))
+    for a in range(len(left)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = name[a], name[b]
+                name = [min(x, y) if n in (x, y) else n for n in name]
+    left = [d for i, d in enumerate(left) if name[i] == i]
+    size = {}
+    for d in left:
+        size[d[3]] = size.get(d[3], 0) + len(d[1].split())
+    order = sorted((s for s in size if s), key=str) + [None] * (None in size)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, open_, words = {}, list(order), float(sum(size.values()))
+    while open_:
+        rate = (words - sum(target.values())) / sum(weight[s] for s in open_)
+        over = [s for s in open_ if rate * weight[s] > 3 * size[s]]
+        target |= {s: 3.0 * size[s] for s in over} or {s: rate * weight[s] for s in open_}
+        open_ = [s for s in open_ if s not in target]
+    t, want = Tokenizer.from_file(bpe_codec.default_tokenizer()), []
+    for s in order:
+        whole = int(target[s] // size[s])
+        rest, before = target[s] - whole * size[s], 0
+        for _, d in sorted((hashlib.sha256(f"mix:{d[0]}:{d[1]}".encode()).hexdigest()[:28], d) for d in left if d[3] == s):
+            n = len(d[1].split())
+            ids = t.encode(d[1], add_special_tokens=False).ids
+            row = (d[0], len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest(), tuple(ids))
+            want += [row] * (whole + (before + n / 2 <= rest))
+            before += n
+    assert got == sorted(want)
+
+
 def test_pipeline_equals_its_stages(spark, tmp_path):
     import corpus_pipeline
 
