@@ -164,7 +164,7 @@ def _word_lists(h: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndar
     joined[to - 1] = ord("\n")
     edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
     begin = np.concatenate([[0], to])
-    packer = zstandard.ZstdCompressor(level=3)
+    packer = zstandard.ZstdCompressor(level=9)
     lists = [(int(bucket[a]), packer.compress(joined[begin[a] : begin[b] - 1].tobytes())) for a, b in zip(edges, edges[1:])]
     ranks = int(rank.max()) + 1 if len(rank) else 1
     shape = np.bincount(np.cumsum(np.diff(bucket, prepend=bucket[:1]) > 0) * ranks + rank, minlength=ranks * max(len(lists), 1))
@@ -181,11 +181,11 @@ def _numbered(shape: bytes) -> np.ndarray:
 def _pack(kept: pa.RecordBatch, numbers: np.ndarray) -> bytes:
     """Rows and numbers, compressed; the numbers byte by byte, since their high bytes are mostly alike."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, kept.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as writer:
+    with pa.ipc.new_stream(sink, kept.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as writer:
         writer.write_batch(kept)
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
     head = sink.getvalue().to_pybytes()
-    return len(head).to_bytes(8, "little") + head + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    return len(head).to_bytes(8, "little") + head + zstandard.ZstdCompressor(level=9).compress(planes.tobytes())
 
 
 def _unpack(blob: bytes) -> tuple[pa.RecordBatch, np.ndarray]:
@@ -254,7 +254,7 @@ def _encode_words(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, now, known = None, None, {}
-        packer, opener = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        packer, opener = zstandard.ZstdCompressor(level=9), zstandard.ZstdDecompressor()
         for batch in batches:
             if tokenizer is None:
                 tokenizer = _load(path)
