@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .xpath import java_pattern
@@ -91,8 +91,9 @@ def store_union(*members: Column) -> Column:
     return out
 
 
-def lower_hex(s: Column) -> Column:
-    return F.lower(s)
+def same_value(a: Column, b: Column) -> Column:
+    """Equality of stored values: both are valid and canonical texts are equal, however they were written."""
+    return F.coalesce(a["ok"] & b["ok"] & (a["canon"] == b["canon"]), F.lit(False))
 
 
 def sort_key(canon: Column, kind: str) -> Column:
@@ -100,4 +101,19 @@ def sort_key(canon: Column, kind: str) -> Column:
     if kind in INTEGERS:
         shifted = canon.cast("decimal(38,0)") + F.lit(str(1 << 64)).cast("decimal(38,0)")
         return F.encode(F.lpad(shifted.cast("string"), 21, "0"), "UTF-8")
+    if kind == "decimal64":
+        scaled = canon.cast("decimal(38,18)") + F.lit("10000000000000000000").cast("decimal(38,18)")
+        return F.encode(F.lpad(scaled.cast("string"), 39, "0"), "UTF-8")
     return F.encode(canon, "UTF-8")
+
+
+def ranked(df: DataFrame, key: Column, out: str = "pos") -> DataFrame:
+    """Numbers all rows from 1 in the order of ``key``: ranges are sorted apart, and each starts after the rows of
+    those before it. Only one count per range meets in one place."""
+    here = df.withColumn("_key", key)
+    here = here.repartitionByRange("_key").withColumn("_part", F.spark_partition_id()).persist()
+    counts = here.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.broadcast(counts.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead")))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
+    return here.withColumn("_in", inside).join(starts, "_part").withColumn(out, F.col("_ahead") + F.col("_in")).select(*df.columns, out)

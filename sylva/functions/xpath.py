@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EMPTY = F.lit
 NAN = float("nan")
 
 
@@ -71,13 +70,16 @@ def starts_with(a: Column, b: Column) -> Column:
 
 
 def substring(s: Column, start: Column, length: Column | None = None) -> Column:
-    """By bytes, with rounded positions from 1."""
+    """By bytes, with rounded positions from 1: those not before the start, and before start plus length. Nothing for
+    a NaN; part of a character reads as U+FFFD."""
     raw = F.encode(_text(s), "UTF-8")
-    first = F.greatest(round_(start), F.lit(1.0)).cast("int")
-    if length is None:
-        return F.decode(F.substring(raw, first, F.octet_length(raw)), "UTF-8")
-    last = round_(start) + round_(length)
-    return F.decode(F.substring(raw, first, F.greatest((last - first).cast("int"), F.lit(0))), "UTF-8")
+    size = F.octet_length(raw) + F.lit(1.0)
+    begin = round_(start)
+    end = size if length is None else begin + round_(length)
+    low = F.least(F.greatest(begin, F.lit(1.0)), size)
+    many = F.greatest(F.least(end, size) - low, F.lit(0.0))
+    some = F.make_valid_utf8(F.substring(raw, low.cast("int"), many.cast("int")).cast("string"))
+    return F.when(F.isnan(begin) | F.isnan(end), "").otherwise(some)
 
 
 def substring_before(a: Column, b: Column) -> Column:
@@ -100,6 +102,7 @@ def normalize_space(s: Column) -> Column:
 
 
 def translate(s: Column, source: str, target: str) -> Column:
+    """By characters, so that no character is torn."""
     return F.translate(_text(s), source, target)
 
 
@@ -124,11 +127,12 @@ def lang_matches(tag: Column, wanted: str) -> Column:
 
 
 def compare(a: Column, op: str, b: Column) -> Column:
-    """Numbers compared on six decimals; NaN equals nothing."""
+    """Numbers compared on six decimals. NaN equals NaN, as its text does, and is neither less nor greater than any."""
     x, y = F.round(a, 6), F.round(b, 6)
     sides = {"=": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}
-    nan = F.isnan(a) | F.isnan(b)
-    return F.when(F.coalesce(nan, F.lit(True)), F.lit(op == "!=")).otherwise(sides[op])
+    u, v = F.coalesce(F.isnan(a), F.lit(True)), F.coalesce(F.isnan(b), F.lit(True))
+    with_nan = {"=": u & v, "!=": ~(u & v)}.get(op, F.lit(False))
+    return F.when(u | v, with_nan).otherwise(sides[op])
 
 
 def divide(a: Column, b: Column) -> Column:
@@ -141,11 +145,67 @@ def modulo(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(NAN)).otherwise(a % b)
 
 
-def java_pattern(xsd: str) -> str:
-    """A schema pattern as an anchored Java one: class subtraction, \\d, \\i, \\c and the dot differ."""
-    import re
+# What the classes of schema patterns mean, as members of a Java class, and the opposite ones.
+SHORT = {"d": r"\p{Nd}", "w": r"\p{L}\p{M}\p{N}\p{S}", "i": r"\p{L}_:", "c": r"\p{L}\p{M}\p{Nd}._:\-\u00B7", "s": r" \t\n\r"}
+
 
-    out = re.sub(r"-\[(\^?)([^\]]*)\]\]", lambda m: "&&[" + ("" if m[1] else "^") + m[2] + "]]", xsd)
-    for short, full in ((r"\d", r"\p{Nd}"), (r"\i", r"[\p{L}_:]"), (r"\c", r"[\p{L}\p{Nd}._:\-]")):
-        out = out.replace(short, full)
-    return rf"\A(?:{out})\z"
+def java_pattern(xsd: str) -> str:
+    """A schema pattern as an anchored Java one. ``^`` and ``$`` are ordinary characters outside classes, the dot
+    leaves out line ends, classes may subtract others, and blocks are named Is."""
+    out, depth, at = [], 0, 0
+    while at < len(xsd):
+        c = xsd[at]
+        if c == "\\" and at + 1 < len(xsd):
+            n = xsd[at + 1]
+            if n.lower() in SHORT:
+                inside = ("^" if n.isupper() else "") + SHORT[n.lower()]
+                out.append(SHORT[n] if depth and n.islower() else f"[{inside}]")
+            elif n in "pP" and xsd[at + 2 : at + 5] == "{Is":
+                out.append(f"\\{n}{{In")
+                at += 3
+            else:
+                out.append(c + n)
+            at += 2
+            continue
+        if depth and c == "-" and xsd[at + 1 : at + 2] == "[":
+            positive = xsd[at + 2 : at + 3] == "^"
+            out.append("&&[" if positive else "&&[^")
+            depth, at = depth + 1, at + (3 if positive else 2)
+            continue
+        if c == "[":
+            depth += 1
+        elif c == "]" and depth:
+            depth -= 1
+        elif not depth and c in "^$":
+            c = "\\" + c
+        elif not depth and c == ".":
+            c = r"[^\n\r]"
+        elif depth and c == "&":
+            c = r"\&"
+        out.append(c)
+        at += 1
+    return rf"\A(?:{''.join(out)})\z"
+
+
+def true_() -> Column:
+    return F.lit(True)
+
+
+def false_() -> Column:
+    return F.lit(False)
+
+
+def local_name(name: Column) -> Column:
+    """The part after the prefix; nothing for no node."""
+    return _text(F.substring_index(name, ":", -1))
+
+
+def qualified_name(name: Column, module: Column) -> Column:
+    """Prefix and name; a name without a prefix takes its module's."""
+    return _text(F.when(F.contains(name, F.lit(":")), name).otherwise(F.concat(module, F.lit(":"), name)))
+
+
+def namespace_uri(name: Column, module: Column, namespaces: dict[str, str]) -> Column:
+    pairs = [F.lit(x) for kv in namespaces.items() for x in kv]
+    prefix = F.when(F.contains(name, F.lit(":")), F.substring_index(name, ":", 1)).otherwise(module)
+    return _text(F.create_map(*pairs)[prefix])

@@ -7,7 +7,7 @@ a table; for bags, number equal instances first with ``with_occurrence``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,13 +16,6 @@ def with_occurrence(df: DataFrame, columns: list[str], out: str = "occ") -> Data
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*columns).orderBy(F.lit(0))))
 
 
-def _keys(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    out = F.lit(True)
-    for k in keys:
-        out &= a[k].eqNullSafe(b[k])
-    return out
-
-
 def diff(first: DataFrame, second: DataFrame, keys: list[str], leaves: list[str], keep_equal: bool = False) -> DataFrame:
     """What turns first into second, as one full outer join."""
     a = first.select(*keys, *leaves).withColumn("_in", F.lit(True))
@@ -52,14 +45,22 @@ def conflicts(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame
     )
 
 
-def apply_diff(base: DataFrame, changes: DataFrame, keys: list[str], leaves: list[str]) -> DataFrame:
-    """Base after the changes."""
+def apply_diff(base: DataFrame, changes: DataFrame, keys: list[str], leaves: list[str], strict: bool = True) -> DataFrame:
+    """Base after the changes. A change that cannot be applied (see ``conflicts``), and the op 'error' of a merge, fail
+    the job; without ``strict`` such changes do nothing."""
     c = changes.select(*[F.col(k).alias(f"c_{k}") for k in keys], "op", *[F.col(x).alias(f"c_{x}") for x in leaves])
     match = F.lit(True)
     for k in keys:
         match &= F.col(k).eqNullSafe(F.col(f"c_{k}"))
     both = base.select(*keys, *leaves, F.lit(True).alias("_in")).join(c, match, "full_outer")
-    both = both.where("op IS NULL OR op <> 'delete'").where("_in OR op = 'create'")
+    wrong = F.when(F.col("op") == "create", F.col("_in").isNotNull()).otherwise(F.col("op").isNotNull() & F.col("_in").isNull()) | (F.col("op") == "error")
+    wrong = F.coalesce(wrong, F.lit(False))
+    if strict:
+        text = F.concat(F.lit("cannot "), F.col("op"), F.lit(" "), F.concat_ws(", ", *[F.coalesce(f"c_{k}", k).cast("string") for k in keys]))
+        both = both.where(F.when(wrong, F.raise_error(text).cast("boolean")).otherwise(True))
+    else:
+        both = both.withColumn("op", F.when(~wrong, F.col("op"))).where("_in OR op = 'create'")
+    both = both.where("op IS NULL OR op <> 'delete'")
     made = F.col("op").isin("create", "replace")
     return both.select(
         *[F.when(F.col("_in").isNull(), F.col(f"c_{k}")).otherwise(F.col(k)).alias(k) for k in keys],
@@ -119,3 +120,40 @@ def move_anchors(rows: DataFrame, group: list[str], key: str, position: str) ->
     """User-ordered entries with the key of the entry before each, null for the first."""
     w = Window.partitionBy(*group).orderBy(position)
     return rows.withColumn("anchor", F.lag(key).over(w))
+
+
+def move(rows: DataFrame, group: list[str], key: str, position: str, moves: DataFrame) -> DataFrame:
+    """User-ordered entries after moves (group, key, anchor): each entry goes behind its anchor, or to the front if that
+    is null. All moves see the old order; of several behind one anchor the earlier entry comes first. Positions are
+    numbered anew from 1. Moves of absent entries, or behind absent ones, do nothing."""
+    old = rows.select(*[F.col(c).alias(f"_{c}") for c in group], F.col(key).alias("_anchor"), F.col(position).alias("_place"))
+    m = moves.select(*[F.col(c).alias(f"m_{c}") for c in group], F.col(key).alias("m_key"), F.col("anchor").alias("m_anchor"))
+    same = [F.col(f"m_{c}") == F.col(f"_{c}") for c in group]
+    placed = m.join(old, [*same, F.col("m_anchor") == F.col("_anchor")], "left").where("m_anchor IS NULL OR _place IS NOT NULL")
+    placed = placed.select(*[f"m_{c}" for c in group], "m_key", F.coalesce(F.col("_place"), F.lit(0)).alias("_behind"))
+    out = rows.join(placed, [*[F.col(c) == F.col(f"m_{c}") for c in group], F.col(key) == F.col("m_key")], "left")
+    stays = F.col("m_key").isNull()
+    order = [F.when(stays, F.col(position)).otherwise(F.col("_behind")), stays.desc(), F.col(position)]
+    now = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return out.select(*[now.alias(c) if c == position else F.col(c) for c in rows.columns])
+
+
+def moves_between(first: DataFrame, second: DataFrame, group: list[str], key: str, position: str) -> DataFrame:
+    """(group, key, anchor, orig_anchor) of entries of both whose entry before them changed."""
+    a = move_anchors(first, group, key, position).select(*group, key, F.col("anchor").alias("orig_anchor"))
+    b = move_anchors(second, group, key, position).select(*group, key, "anchor")
+    return b.join(a, [*group, key]).where(~F.col("anchor").eqNullSafe(F.col("orig_anchor")))
+
+
+def upsert(base: DataFrame, edits: DataFrame, keys: list[str], leaves: list[str]) -> DataFrame:
+    """Base with the entries of ``edits`` made or changed, and what each came to: created, changed, same or kept."""
+    e = edits.select(*[F.col(k).alias(f"e_{k}") for k in keys], *[F.col(c).alias(f"e_{c}") for c in leaves], F.lit(True).alias("_edit"))
+    match = F.lit(True)
+    for k in keys:
+        match &= F.col(k).eqNullSafe(F.col(f"e_{k}"))
+    both = base.select(*keys, *leaves, F.lit(True).alias("_in")).join(e, match, "full_outer")
+    equal = F.lit(True)
+    for c in leaves:
+        equal &= F.col(f"e_{c}").isNull() | F.col(c).eqNullSafe(F.col(f"e_{c}"))
+    done = F.when(F.col("_edit").isNull(), "kept").when(F.col("_in").isNull(), "created").when(equal, "same").otherwise("changed")
+    return both.select(*[F.coalesce(f"e_{c}", c).alias(c) for c in [*keys, *leaves]], done.alias("done"))

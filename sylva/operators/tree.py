@@ -2,7 +2,7 @@
 
 A node table has one row per node: tree_id, node_id (the path of keys),
 parent_id, anc_ids (paths of its ancestors, root first), doc_key (compares as
-document order), name, kind and canon (text of leaves). Ancestors are kept as
+document order; leaves of an entry come before its child entries), name, kind and canon (text of leaves). Ancestors are kept as
 an array, so ancestor and descendant steps explode it and join on equality.
 Every step keeps ctx_id, the context that it belongs to.
 """
@@ -17,6 +17,13 @@ from pyspark.sql import functions as F
 COLUMNS = ["tree_id", "node_id", "parent_id", "anc_ids", "doc_key", "name", "kind", "canon"]
 
 
+def _ordered(df: DataFrame, key: str) -> Column:
+    """A key as text whose order is the key's: whole numbers by value, all else as it is."""
+    if df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return F.lpad((F.col(key).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    return F.col(key).cast("string")
+
+
 def shred(df: DataFrame, tree_id: Column, path: list[tuple[str, str]], leaves: list[str]) -> DataFrame:
     """Nodes of a list table: ``path`` names the list and its key column at each level, ``leaves`` the leaf columns.
 
@@ -27,19 +34,20 @@ def shred(df: DataFrame, tree_id: Column, path: list[tuple[str, str]], leaves: l
     for name, key in path:
         step = F.concat(F.lit(f"/{name}["), F.col(key).cast("string"), F.lit("]"))
         names.append(F.concat(names[-1], step) if names else step)
-    order = F.array(*[F.col(k).cast("bigint") for _, k in path])
+    order = F.array(*[F.concat(F.lit("1"), _ordered(df, k)) for _, k in path])
     here, above = names[-1], F.array(*names[:-1]) if names[:-1] else F.array().cast("array<string>")
     parent = names[-2] if names[:-1] else F.lit(None).cast("string")
-    entry = F.struct(here.alias("node_id"), parent.alias("parent_id"), above.alias("anc_ids"), order.alias("doc_key"),
+    tree = tree_id.alias("tree_id")
+    entry = (here.alias("node_id"), parent.alias("parent_id"), above.alias("anc_ids"), order.alias("doc_key"),
                      F.lit(path[-1][0]).alias("name"), F.lit("list").alias("kind"), F.lit(None).cast("string").alias("canon"))
-    parts = [entry] + [
-        F.struct(F.concat(here, F.lit(f"/{c}")).alias("node_id"), here.alias("parent_id"), F.concat(above, F.array(here)).alias("anc_ids"),
-                 F.concat(order, F.array(F.lit(i).cast("bigint"))).alias("doc_key"), F.lit(c).alias("name"), F.lit("leaf").alias("kind"),
+    # One branch a name, so that a filter on names leaves out whole branches and their columns.
+    parts = [df.select(tree, *entry)] + [
+        df.where(F.col(c).isNotNull()).select(tree, F.concat(here, F.lit(f"/{c}")).alias("node_id"), here.alias("parent_id"), F.concat(above, F.array(here)).alias("anc_ids"),
+                 F.concat(order, F.array(F.lit(f"0{i:06d}"))).alias("doc_key"), F.lit(c).alias("name"), F.lit("leaf").alias("kind"),
                  F.col(c).cast("string").alias("canon"))
         for i, c in enumerate(leaves)
     ]
-    out = df.select(tree_id.alias("tree_id"), F.explode(F.array(*parts)).alias("n")).select("tree_id", "n.*")
-    return out.where("kind <> 'leaf' OR canon IS NOT NULL")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def context(nodes: DataFrame, condition: Column | None = None) -> DataFrame:
@@ -62,19 +70,20 @@ def child(here: DataFrame, nodes: DataFrame, name: str | None = None) -> DataFra
     return _step(here, _named(nodes, name), F.col("n.parent_id") == F.col("h.node_id"), False)
 
 
-def parent(here: DataFrame, nodes: DataFrame, name: str | None = None) -> DataFrame:
-    return _step(here, _named(nodes, name), F.col("n.node_id") == F.col("h.parent_id"), True)
+def parent(here: DataFrame, nodes: DataFrame, name: str | None = None, single: bool = False) -> DataFrame:
+    """``single`` says that each context holds one node, so that no result comes twice; so for the other axes."""
+    return _step(here, _named(nodes, name), F.col("n.node_id") == F.col("h.parent_id"), not single)
 
 
-def ancestor(here: DataFrame, nodes: DataFrame, name: str | None = None, or_self: bool = False) -> DataFrame:
+def ancestor(here: DataFrame, nodes: DataFrame, name: str | None = None, or_self: bool = False, single: bool = False) -> DataFrame:
     up = F.concat("anc_ids", F.array("node_id")) if or_self else F.col("anc_ids")
-    return _step(here.withColumn("_up", F.explode(up)), _named(nodes, name), F.col("n.node_id") == F.col("h._up"), True)
+    return _step(here.withColumn("_up", F.explode(up)), _named(nodes, name), F.col("n.node_id") == F.col("h._up"), not single)
 
 
-def descendant(here: DataFrame, nodes: DataFrame, name: str | None = None, or_self: bool = False) -> DataFrame:
+def descendant(here: DataFrame, nodes: DataFrame, name: str | None = None, or_self: bool = False, single: bool = False) -> DataFrame:
     up = F.concat("anc_ids", F.array("node_id")) if or_self else F.col("anc_ids")
     below = _named(nodes, name).withColumn("_up", F.explode(up))
-    return _step(here, below, F.col("n._up") == F.col("h.node_id"), True)
+    return _step(here, below, F.col("n._up") == F.col("h.node_id"), not single)
 
 
 def _side(here: DataFrame, nodes: DataFrame, name: str | None, after: bool) -> DataFrame:
@@ -91,6 +100,32 @@ def preceding_sibling(here: DataFrame, nodes: DataFrame, name: str | None = None
     return _side(here, nodes, name, False)
 
 
+def sibling_counts(nodes: DataFrame, name: str) -> DataFrame:
+    """How many siblings of one name come before and after each, without pairs of them: one sort of each parent's entries."""
+    w = Window.partitionBy("tree_id", "parent_id")
+    rows = _named(nodes, name).withColumn("before", F.row_number().over(w.orderBy("doc_key")) - 1)
+    return rows.withColumn("after", F.count(F.lit(1)).over(w) - F.col("before") - 1)
+
+
+def self_(here: DataFrame, name: str | None = None) -> DataFrame:
+    return _named(here, name)
+
+
+def text(here: DataFrame) -> DataFrame:
+    """text(): nodes that hold a value."""
+    return here.where("kind = 'leaf'")
+
+
+def find(nodes: DataFrame, path: str) -> DataFrame:
+    """The node of a data path, or none."""
+    return nodes.where(F.col("node_id") == path)
+
+
+def any_depth(nodes: DataFrame, name: str) -> DataFrame:
+    """//name from the root: every node of the name, each its own context."""
+    return context(_named(nodes, name))
+
+
 def following(here: DataFrame, nodes: DataFrame, name: str | None = None) -> DataFrame:
     """Subtrees of the later siblings of the node and of its ancestors."""
     return descendant(following_sibling(ancestor(here, nodes, or_self=True), nodes), nodes, name, or_self=True)
@@ -126,16 +161,16 @@ def where_exists(here: DataFrame, found: DataFrame, absent: bool = False) -> Dat
 
 def count(contexts: DataFrame, found: DataFrame) -> DataFrame:
     """count(): zero for contexts without nodes."""
-    n = found.groupBy("ctx_id").agg(F.count(F.lit(1)).alias("n"))
-    return contexts.select("ctx_id").join(n, "ctx_id", "left").select("ctx_id", F.coalesce("n", F.lit(0)).alias("n"))
+    n = found.groupBy("tree_id", "ctx_id").agg(F.count(F.lit(1)).alias("n"))
+    return contexts.select("tree_id", "ctx_id").join(n, ["tree_id", "ctx_id"], "left").select("tree_id", "ctx_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def total(contexts: DataFrame, found: DataFrame) -> DataFrame:
     """sum(): NaN if any node is no number."""
     from sylva.functions.xpath import number
 
-    n = found.groupBy("ctx_id").agg(F.sum(number(F.col("canon"))).alias("total"))
-    return contexts.select("ctx_id").join(n, "ctx_id", "left").select("ctx_id", F.coalesce("total", F.lit(0.0)).alias("total"))
+    n = found.groupBy("tree_id", "ctx_id").agg(F.sum(number(F.col("canon"))).alias("total"))
+    return contexts.select("tree_id", "ctx_id").join(n, ["tree_id", "ctx_id"], "left").select("tree_id", "ctx_id", F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
 def string_value(nodes: DataFrame) -> DataFrame:
@@ -166,6 +201,6 @@ def remove(nodes: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def deref(here: DataFrame, targets: DataFrame) -> DataFrame:
-    """Follows leaf references: nodes of ``targets`` with the same canonical text."""
-    out = here.alias("h").join(targets.alias("n"), F.col("h.canon") == F.col("n.canon"))
+    """Follows leaf references: nodes of ``targets`` in the same tree with the same canonical text."""
+    out = here.alias("h").join(targets.alias("n"), (F.col("h.tree_id") == F.col("n.tree_id")) & (F.col("h.canon") == F.col("n.canon")))
     return out.select("h.ctx_id", *[f"n.{c}" for c in COLUMNS])

@@ -106,10 +106,13 @@ def defaults(df: DataFrame, values: dict[str, object]) -> DataFrame:
 
 
 def with_defaults(df: DataFrame, values: dict[str, object], mode: str) -> DataFrame:
-    """What a printer shows: report-all, explicit (set leaves) or trim (leaves that differ from their default)."""
+    """What a printer shows: report-all, explicit (set leaves), trim (leaves that differ from their default), or
+    report-all-tagged, where <leaf>_tagged says which values equal their defaults."""
     for leaf, value in values.items():
         if mode == "trim":
             df = df.withColumn(leaf, F.when(F.col(leaf) != F.lit(value), F.col(leaf)))
+        elif mode == "report-all-tagged":
+            df = df.withColumn(f"{leaf}_tagged", F.coalesce(F.col(leaf) == F.lit(value), F.lit(False)))
         elif mode == "explicit":
             df = df.withColumn(leaf, F.when(~F.col(f"{leaf}_default"), F.col(leaf)))
     return df
@@ -117,16 +120,58 @@ def with_defaults(df: DataFrame, values: dict[str, object], mode: str) -> DataFr
 
 def identity_closure(bases: DataFrame) -> DataFrame:
     """(base, derived) for every chain of (derived, base) rows, by joins that double the length of chains."""
-    pairs = bases.select("base", "derived").distinct()
+    pairs = bases.select("base", "derived").distinct().persist()
     known = pairs.count()
     while True:
         longer = pairs.alias("a").join(pairs.alias("b"), F.col("a.derived") == F.col("b.base")).select("a.base", "b.derived")
-        pairs = pairs.unionByName(longer).distinct().cache()
+        before, pairs = pairs, pairs.unionByName(longer).distinct().persist()
         now = pairs.count()
+        before.unpersist()
         if now == known:
             return pairs
         known = now
 
 
+def derived_from(df: DataFrame, leaf: str, closure: DataFrame, base: str, or_self: bool = False) -> DataFrame:
+    """Rows whose identity is derived from ``base``, or with ``or_self`` is it."""
+    below = closure.where(F.col("base") == base).select(F.col("derived").alias("_i"))
+    if or_self:
+        below = below.unionByName(below.sparkSession.createDataFrame([(base,)], "_i string"))
+    return df.join(below.distinct(), F.col(leaf) == F.col("_i"), "left_semi")
+
+
+def instance_required(df: DataFrame, name: str, keys: list[str], leaf: str, nodes: DataFrame) -> DataFrame:
+    """Instance identifiers without a node: the leaf holds a data path."""
+    bad = df.where(F.col(leaf).isNotNull()).join(nodes.select(F.col("node_id").alias("_n")), F.col(leaf) == F.col("_n"), "left_anti")
+    return _diagnostics(bad, "instance-required", path_of(name, keys), F.concat(F.lit(f"{leaf} names no node: "), F.col(leaf)))
+
+
+def resolve_union(df: DataFrame, leaf: str, targets: dict[str, tuple[DataFrame, str]], otherwise: str) -> DataFrame:
+    """``<leaf>_member``: the first member type, a reference into its target, that the data hold an instance for."""
+    member = F.lit(None).cast("string")
+    for i, (kind, (target, column)) in enumerate(targets.items()):
+        there = target.select(F.col(column).cast("string").alias(f"_r{i}")).distinct()
+        df = df.join(there, F.col(leaf) == F.col(f"_r{i}"), "left")
+        member = F.coalesce(member, F.when(F.col(f"_r{i}").isNotNull(), kind))
+    found = F.when(F.col(leaf).isNotNull(), F.coalesce(member, F.lit(otherwise)))
+    return df.withColumn(f"{leaf}_member", found).drop(*[f"_r{i}" for i in range(len(targets))])
+
+
+def drop_superseded(df: DataFrame, keys: list[str], is_default: str) -> DataFrame:
+    """Entries of leaf-lists less the defaults of those that hold a value that was set."""
+    given = df.where(~F.col(is_default)).select(*keys).distinct()
+    return df.where(~F.col(is_default)).unionByName(df.where(is_default).join(given, keys, "left_anti").select(*df.columns))
+
+
+def unexpected(df: DataFrame, name: str, keys: list[str], leaves: dict[str, str]) -> DataFrame:
+    """Present leaves of a kind (state, input, output) that the tree may not hold."""
+    return report(*[_diagnostics(df.where(F.col(c).isNotNull()), f"unexpected-{kind}", path_of(name, keys), f"{kind} node {c} is present") for c, kind in leaves.items()])
+
+
+def obsolete(df: DataFrame, name: str, keys: list[str], leaves: list[str]) -> DataFrame:
+    """Warnings for present leaves that the schema calls obsolete."""
+    return report(*[_diagnostics(df.where(F.col(c).isNotNull()), "obsolete", path_of(name, keys), f"{c} is obsolete") for c in leaves])
+
+
 def report(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)

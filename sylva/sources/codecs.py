@@ -6,19 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# What becomes of input that the schema does not know.
-POLICIES = {"reject": "FAILFAST", "skip": "DROPMALFORMED", "opaque": "PERMISSIVE"}
+# What may become of input that the schema does not know.
+POLICIES = ("reject", "skip", "opaque")
 
 
-def parse_json(df: DataFrame, column: str, schema: T.StructType | str, keep_unknown: bool = False) -> DataFrame:
+def parse_json(df: DataFrame, column: str, schema: T.StructType | str, policy: str = "skip") -> DataFrame:
     """A struct column ``data`` from JSON texts; leaves are read as text where the schema says so, so that number
-    tokens keep their form. With keep_unknown, members that the schema lacks stay in ``opaque``."""
+    tokens keep their form. Top-level members that the schema lacks fail the job (reject), are left out (skip) or stay
+    in a map column ``opaque``."""
+    if policy not in POLICIES:
+        raise ValueError(f"unknown policy {policy}")
     kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     out = df.withColumn("data", F.from_json(column, kind, {"mode": "PERMISSIVE"}))
-    if keep_unknown:
-        every = F.from_json(column, "map<string,string>")
-        known = F.array(*[F.lit(f.name) for f in kind.fields])
-        out = out.withColumn("opaque", F.map_filter(every, lambda k, v: ~F.array_contains(known, k)))
+    known = F.array(*[F.lit(f.name) for f in kind.fields])
+    if policy == "opaque":
+        out = out.withColumn("opaque", F.map_filter(F.from_json(column, "map<string,string>"), lambda k, v: ~F.array_contains(known, k)))
+    if policy == "reject":
+        more = F.array_except(F.json_object_keys(column), known)
+        fail = F.raise_error(F.concat(F.lit("unknown members: "), F.concat_ws(", ", more))).cast("boolean")
+        out = out.where(F.when(F.coalesce(F.size(more), F.lit(0)) > 0, fail).otherwise(True))
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,15 +20,20 @@ def fold(changes: DataFrame, keys: list[str], leaves: list[str], order: str) ->
 
 
 def fold_stream(changes: DataFrame, keys: list[str], leaves: list[str], order: str, path: str, checkpoint: str):
-    """Keeps the folded state of a stream under ``path``, one version a batch, so that a batch that runs again
-    after a failure rewrites its own version from the one before."""
+    """Keeps the last change of each key of a stream under ``path``, one version a batch, so that a batch that runs
+    again after a failure rewrites its own version from the one before. Deletions are kept too, so an older change that
+    comes late does not bring an entry back; ``folded`` reads the state."""
     def batch(df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
         log = df.select(*keys, "op", *leaves, order)
         if epoch:
-            before = spark.read.parquet(f"{path}/v={epoch - 1}")
-            log = log.unionByName(before.select(*keys, F.lit("create").alias("op"), *leaves, order))
+            log = log.unionByName(df.sparkSession.read.parquet(f"{path}/v={epoch - 1}"))
         last = log.groupBy(*keys).agg(F.max_by(F.struct("op", *leaves, order), order).alias("l"))
-        last.where("l.op <> 'delete'").select(*keys, *[F.col(f"l.{c}").alias(c) for c in [*leaves, order]]).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        last.select(*keys, "l.*").write.mode("overwrite").parquet(f"{path}/v={epoch}")
 
     return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
+
+
+def folded(spark: SparkSession, path: str, keys: list[str], leaves: list[str]) -> DataFrame:
+    """The newest state under ``path``."""
+    newest = spark.read.parquet(path).agg(F.max("v")).first()[0]
+    return spark.read.parquet(f"{path}/v={newest}").where("op <> 'delete'").select(*keys, *leaves)

@@ -43,7 +43,7 @@ def test_scalar_traps(spark):
         X.floor(F.col("a")), X.ceiling(F.col("a")), X.string(F.col("b")), X.number(F.col("s")), X.compare(F.col("a"), "=", F.col("a")), X.divide(F.lit(1.0), F.col("b"))
     ).collect()
     assert tuple(got[0])[:3] == (-1.0, 0.0, "1.2") and got[0][4] is True
-    assert got[1][4] is False and got[1][5] == float("inf") and got[1][3] != got[1][3]
+    assert got[1][4] is True and got[1][5] == float("inf") and got[1][3] != got[1][3]
 
 
 def test_diff_algebra_round_trip(spark):
@@ -66,3 +66,69 @@ def test_model_reports_each_rule(spark):
     rules = sorted(r.rule for r in model.validate({"iface": iface, "addr": addr}).collect())
     assert rules == ["duplicate", "instance-required", "must-violation", "too-few-elements"]
     assert model.nodes(spark).where("leafref = '/iface/name'").count() == 1
+
+
+def test_text_functions_on_odd_text(spark):
+    from pyspark.sql import functions as F
+
+    inf, nan = float("inf"), float("nan")
+    cases = [("12345", 1.5, 2.6, "234"), ("12345", 0.0, 3.0, "12"), ("12345", nan, 3.0, ""), ("12345", 1.0, nan, ""), ("12345", -42.0, inf, "12345"), ("éa", 1.0, 2.0, "é"), ("éa", 2.0, 2.0, "\ufffda"), ("x", 5.0, 1.0, ""), (None, 1.0, 1.0, "")]
+    df = spark.createDataFrame(cases, "s string, a double, n double, want string")
+    assert all(r[0] == r[1] for r in df.select(X.substring(F.col("s"), F.col("a"), F.col("n")), "want").collect())
+    texts = spark.createDataFrame([("a^b",), ("a$",), ("x1",), ("x\u0661",), ("-",), ("é",), ("a\nb",), ("7",), ("8",)], "s string")
+
+    def match(pattern):
+        return {r.s for r in texts.where(X.re_match(F.col("s"), pattern)).collect()}
+
+    assert match("a^b") == {"a^b"} and match("a$") == {"a$"} and match("^a.*") == set()
+    assert match(r"x\d") == {"x1", "x\u0661"} and match(r"x\\d") == set() and match(r"\w") == {"é", "7", "8"} and match(r"\W") == {"-"}
+    assert match("a.b") == {"a^b"} and match(r"[\d-[02468]]") == {"7"} and match(r"\p{IsLatin-1Supplement}") == {"é"}
+
+
+def test_operators_keep_trees_apart(spark):
+    from pyspark.sql import functions as F
+
+    from sylva.operators import tree as R
+
+    rows = spark.createDataFrame([("t1", "eth0", "a", 1), ("t1", "eth0", "b", 2), ("t2", "eth0", "a", 5)], "tree string, iface string, unit string, mtu int")
+    nodes = R.shred(rows, F.col("tree"), [("iface", "iface"), ("unit", "unit")], ["mtu"])
+    tops = R.shred(rows.select("tree", "iface").distinct(), F.col("tree"), [("iface", "iface")], ["iface"])
+    every = nodes.unionByName(tops)
+    ctx = R.context(every, F.col("kind") == "list").where("name = 'iface'")
+    units = R.child(ctx, every, "unit")
+    assert {(r.tree_id, r.n) for r in R.count(ctx, units).collect()} == {("t1", 2), ("t2", 1)}
+    assert {(r.tree_id, r.total) for r in R.total(ctx, R.descendant(ctx, every, "mtu")).collect()} == {("t1", 3.0), ("t2", 5.0)}
+    refs = R.context(tops, F.col("name") == "iface").where("kind = 'leaf'")
+    assert R.deref(refs, tops.where("kind = 'leaf'")).count() == 2
+    order = [r.name for r in every.where("tree_id = 't2'").orderBy("doc_key").collect()]
+    assert order == ["iface", "iface", "unit", "mtu"]  # an entry, its leaf, then its child entries
+
+
+def test_conflicting_changes_fail(spark):
+    base = spark.createDataFrame([(1, "a")], "k int, v string")
+    for op, k in (("create", 1), ("delete", 2), ("replace", 2), ("error", 1)):
+        change = spark.createDataFrame([(k, op, "x", None)], "k int, op string, v string, orig_v string")
+        with pytest.raises(Exception, match="cannot"):
+            D.apply_diff(base, change, ["k"], ["v"]).collect()
+        assert [tuple(r) for r in D.apply_diff(base, change, ["k"], ["v"], strict=False).collect()] == [(1, "a")]
+
+
+def test_late_changes_do_not_bring_entries_back(spark, tmp_path):
+    from sylva.streaming import changelog as S
+
+    schema = "k int, op string, v string, at int"
+    for i, rows in enumerate([[(1, "create", "a", 1), (2, "create", "b", 1)], [(1, "delete", None, 5)], [(1, "replace", "late", 3), (2, "replace", "c", 4)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/log")
+        S.fold_stream(stream, ["k"], ["v"], "at", f"{tmp_path}/state", f"{tmp_path}/check").awaitTermination()
+    assert [tuple(r) for r in S.folded(spark, f"{tmp_path}/state", ["k"], ["v"]).collect()] == [(2, "c")]
+
+
+def test_unknown_members_follow_the_policy(spark):
+    from sylva.sources import codecs as C
+
+    df = spark.createDataFrame([('{"a": "1", "b": "2"}',)], "line string")
+    assert C.parse_json(df, "line", "a string", "skip").first().data.a == "1"
+    assert C.parse_json(df, "line", "a string", "opaque").first().opaque == {"b": "2"}
+    with pytest.raises(Exception, match="unknown members"):
+        C.parse_json(df, "line", "a string", "reject").collect()
