@@ -1,33 +1,38 @@
 """Line dedup by pairwise alignment.
 
-Lines are compared by hashes, without the white space around them. Two
-documents are a pair if the distinct lines that they share have LEAST_CHARS
-characters or more together, however many documents have them. Pairs are
-aligned by patience diff, and what aligns in blocks is deleted from the later
-document. Every deleted line therefore stays in an earlier document.
-
-Partners are found without forming all pairs. A document's evidence is its
-shared lines less the most frequent ones of fewer than LEAST_CHARS characters
-together: two documents that are a pair always have one line in common in
-both evidences, since what was left out cannot reach LEAST_CHARS alone. Each
-line of evidence pairs its holders with the first one (the smallest id) and
-with the first one that has the line once: two stars, so the pairs are at most
-twice as many as the lines. Evidence that stays uncut is then held against the
-line's next holders in order, STEP times as many in each round, until it is cut
-or no earlier holder is left. Only evidence that nothing cuts meets all of them.
+Lines are compared without the white space around them; blank lines are passed
+over. A block is a run of lines of LEAST_CHARS characters or more together.
+Two documents are a pair if they share a block; pairs are aligned by patience
+diff, and aligned blocks are deleted from the later document, with the blank
+lines inside them. Every deleted line therefore stays in an earlier document,
+and short lines (a brace, a rule) that match on their own stay where they are.
+
+Partners are found by keys, without forming all pairs. A line's key is its
+hash, taken together with the lines after it until LEAST_CHARS are reached, so
+two documents that share a block share the key of its first line, however
+short that is. A key pairs each holder with the first one (the smallest id),
+with the first one that has the key once, and with the first one that has it
+equally often, with which it aligns even if nothing else is shared: at most
+three pairs a key and document, however many documents have it. Keys whose line
+stays uncut are then held against the next holders in order, STEP times as many
+in each round, until it is cut or no earlier holder is left. Only a line that
+nothing cuts meets all of them: one that no earlier document has equally often,
+or that stands in another order in all of them.
 
 Only hashes and positions are shuffled until the end, when each text meets the
-positions to delete. A line in a third of all documents makes a long list
-under one hash; its count and first documents are aggregated before the
-shuffle, and its join is one that Spark splits. Holders are numbered only for
-lines that the stars leave uncut somewhere.
-
-Defined results: a null text has no lines, and stays null; blank lines never
-anchor and go only inside blocks; rows that repeat an id and its text are one
-document and are all cut alike, never against each other; null ids come last;
-a very long text is one row of line hashes, aligned whole by one worker; an empty
-table gives an empty result; further columns pass through, but those named like a
-measure (MEASURES), which give way to it.
+positions to delete. Alignment compares other hashes than the keys are made
+of, so a wrong deletion takes a collision of both, 128 bits in all. A key in a
+third of all documents is counted before the shuffle, and its first holders
+reach the others by a broadcast. Holders are numbered only for keys that are
+left uncut somewhere.
+
+Defined results: a null text has no lines, and stays null; rows that repeat an
+id and its text are one document and are all cut alike, never against each
+other; null ids come last, and of equal ids the text with the smaller hash
+comes first, so reruns agree; a very long text is one row of line hashes,
+aligned whole by one worker; an empty table gives an empty result; further
+columns pass through, but those named like a measure (MEASURES), which give
+way to it.
 """
 
 from __future__ import annotations
@@ -35,92 +40,126 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, counted, table, with_groups
 from .patience import align
 
-#: Fewest characters of shared lines that make a pair.
+#: Fewest characters of a block.
 LEAST_CHARS = 20
 #: What is measured of each document.
 MEASURES = ("n_lines", "n_cut", "cut_chars")
-#: Factor by which the holders that uncut evidence has met grow in each round.
+#: Factor by which the holders that uncut keys have met grow in each round.
 STEP = 4
 
 
-def _blocks(least: int):
+def blocks(later: list[int], sizes: list[int], first: list[int], least: int) -> list[int]:
+    """Positions of the later document's lines, 0 for blank ones, that lie in blocks aligned with the first's."""
+    at = [i for i, l in enumerate(later) if l]
+    pairs = align([later[i] for i in at], [l for l in first if l], repeats=True)
+    out: list[int] = []
+    start = 0
+    for k in range(1, len(pairs) + 1):
+        if k == len(pairs) or pairs[k] != (pairs[k - 1][0] + 1, pairs[k - 1][1] + 1):
+            run = [at[i] for i, _ in pairs[start:k]]
+            if sum(sizes[i] for i in run) >= least:
+                out += range(run[0], run[-1] + 1)
+            start = k
+    return out
+
+
+def _aligner(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(row, positions): lines of the later document that align with the earlier one, if the two are a pair."""
+        """(row, cut): positions of the later document that go."""
         for batch in batches:
-            rows = []
-            for later, sizes, first in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                size = dict(zip(later, sizes))
-                pair = sum(size[l] for l in size.keys() & set(first) if l) >= least
-                rows.append([i for i, _ in align(later, first, blank=0)] if pair else [])
+            rows = [blocks(*x, least) for x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["row", "cut"])
 
     return run
 
 
-def _evidence(rows: DataFrame, least: int) -> DataFrame:
-    """(line, o, row, n): each document's shared lines less the most frequent ones of under ``least`` characters."""
-    order = F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("row").alias("c"))
-    held = rows.select("row", order.alias("o"), F.explode(F.arrays_zip("lines", "sizes")).alias("l")).where("l.lines <> 0")
-    held = held.groupBy("row", F.col("l.lines").alias("line")).agg(F.first("o").alias("o"), F.first("l.sizes").alias("size"), F.count(F.lit(1)).alias("n"))
-    counts = held.groupBy("line").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = held.join(counts, "line")
-    common = Window.partitionBy("row").orderBy(F.desc("df"), "line").rowsBetween(Window.unboundedPreceding, 0)
-    return shared.withColumn("chars", F.sum("size").over(common)).where(F.col("chars") >= least).select("line", "o", "row", "n")
+def _keys(parts: Column, least: int) -> Column:
+    """For each line of ``parts`` (hash, size) its key, or null: blank, or followed by too few characters."""
+
+    def key(line: Column, i: Column) -> Column:
+        none = F.struct(F.lit(0).alias("chars"), F.lit(0).cast("long").alias("hash"))
+        # Lines that are not blank have a character at least, so ``least`` of them suffice.
+        solid = F.slice(F.filter(F.slice(parts, i + 1, F.size(parts)), lambda x: x["size"] > 0), 1, least)
+        grown = F.aggregate(
+            solid,
+            none,
+            lambda s, x: F.when(s["chars"] >= least, s).otherwise(
+                F.struct((s["chars"] + x["size"]).alias("chars"), F.xxhash64(s["hash"], x["hash"]).alias("hash"))
+            ),
+        )
+        long = F.xxhash64(none["hash"], line["hash"])
+        return F.when(line["size"] >= least, long).when(line["size"] > 0, F.when(grown["chars"] >= least, grown["hash"]))
+
+    return F.transform(parts, key)
 
 
 def cut_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with the text of each document less what it repeats of earlier ones, and n_lines, n_cut, cut_chars."""
     lines = F.split(F.col("_t"), "\n")
     keyed = docs.select(docs[id_col].alias("_id"), docs[text].alias("_t")).where(F.col("_t").isNotNull())
-    rows = keyed.select(
+    bare = F.transform(lines, lambda l: F.trim(l, F.lit(" \t\r\x0b\x0c")))
+    rows = keyed.select("_id", F.xxhash64("_t").alias("_key"), bare.alias("bare"))
+    rows = rows.select(
         "_id",
-        F.xxhash64("_t").alias("_key"),
-        F.transform(lines, lambda l: F.when(F.trim(l, F.lit(" \t\r\x0b\x0c")) == "", F.lit(0)).otherwise(F.xxhash64(F.trim(l, F.lit(" \t\r\x0b\x0c"))))).alias("lines"),
-        F.transform(lines, lambda l: F.length(F.trim(l, F.lit(" \t\r\x0b\x0c")))).alias("sizes"),
+        "_key",
+        F.transform("bare", lambda l: F.when(l == "", F.lit(0).cast("long")).otherwise(F.xxhash64(l))).alias("lines"),
+        F.transform("bare", F.length).alias("sizes"),
+        F.transform("bare", lambda l: F.struct(F.xxhash64(F.lit("key"), l).alias("hash"), F.length(l).alias("size"))).alias("parts"),
     )
-    rows = rows.groupBy("_id", "_key").agg(F.first("lines").alias("lines"), F.first("sizes").alias("sizes"))
+    rows = rows.groupBy("_id", "_key").agg(F.first(F.struct("lines", "sizes", "parts")).alias("d"))
+    rows = rows.select("_id", "_key", "d.lines", "d.sizes", _keys(F.col("d.parts"), least).alias("keys"))
     rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
-    held = checkpointed(_evidence(rows, least))
-    once = F.min(F.when(F.col("n") == 1, F.col("o")))
-    firsts = held.groupBy("line").agg(F.min("o").alias("first"), once.alias("once"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    firsts = firsts.select("line", F.col("first.c").alias("first"), F.explode(F.array_distinct(F.array("first", "once"))).alias("p"))
-    pairs = held.join(firsts, "line").where("row <> first AND p < o").select("row", F.col("p.c").alias("first")).distinct()
+    order = F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("_key").alias("c"), F.col("row").alias("row"))
+    held = rows.select("row", order.alias("o"), F.explode("keys").alias("key")).where("key IS NOT NULL")
+    held, seen = counted(held.groupBy("row", "key").agg(F.first("o").alias("o"), F.count(F.lit(1)).alias("n")))
+    # Of each key the first holder for every number of times that it occurs in one: few, however many hold it.
+    firsts = held.groupBy("key", "n").agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("df"))
+    firsts = firsts.groupBy("key").agg(F.collect_list(F.struct("n", "o")).alias("by"), F.sum("df").alias("df"), F.min("o").alias("first")).where("df > 1")
+    held = with_groups(held, firsts, "key", "df", seen["rows"], "row").where("df IS NOT NULL")
+    held = held.where("row <> first.row")
+
+    def earliest(test) -> Column:
+        return F.array_min(F.transform(F.filter("by", test), lambda x: x["o"]))
+
+    partners = F.array_distinct(F.array("first", earliest(lambda x: x["n"] == 1), earliest(lambda x: x["n"] == F.col("n"))))
+    pairs = held.select("row", "o", F.explode(partners).alias("p")).where("p < o").select("row", F.col("p.row").alias("first")).distinct()
     later = rows.select("row", F.col("lines").alias("later"), "sizes")
     earlier = rows.select(F.col("row").alias("first"), F.col("lines").alias("earlier"))
 
     def aligned(pairs: DataFrame) -> DataFrame:
         """(row, _cut) of the documents that lose lines to one of their partners."""
         frame = pairs.join(earlier, "first").join(later, "row").select("row", "later", "sizes", "earlier")
-        cuts = frame.mapInArrow(_blocks(least), "row long, cut array<int>").where(F.size("cut") > 0)
+        cuts = frame.mapInArrow(_aligner(least), "row long, cut array<int>").where(F.size("cut") > 0)
         return cuts.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("_cut"))
 
     def uncut(some: DataFrame, cuts: DataFrame) -> DataFrame:
-        """The rows of ``some`` whose line still stands somewhere in its document."""
-        left = some.select("row").distinct().join(rows.select("row", "lines"), "row").join(cuts, "row", "left")
-        left = left.select("row", F.explode(F.array_distinct(F.filter("lines", lambda l, i: F.coalesce(~F.array_contains("_cut", i), F.lit(True))))).alias("line"))
-        return some.join(left, ["row", "line"], "left_semi")
+        """The rows of ``some`` whose key's first line still stands somewhere in its document."""
+        left = some.select("row").distinct().join(rows.select("row", "keys"), "row").join(cuts, "row", "left")
+        left = left.select("row", F.explode(F.array_distinct(F.filter("keys", lambda k, i: F.coalesce(~F.array_contains("_cut", i), F.lit(True))))).alias("key"))
+        return some.join(left, ["row", "key"], "left_semi")
 
     cuts = checkpointed(aligned(pairs))
-    behind = held.join(firsts.select("line", "first").distinct(), "line").where("row <> first").select(*held.columns)
-    waiting = checkpointed(uncut(behind, cuts).select("line", "row"))
+    waiting = checkpointed(uncut(held.select("key", "row"), cuts))
     if not waiting.isEmpty():
-        holders = held.join(waiting.select("line").distinct(), "line", "left_semi")
-        holders = checkpointed(holders.select("line", "row", F.row_number().over(Window.partitionBy("line").orderBy("o")).alias("k")))
-        waiting = waiting.join(holders, ["line", "row"])
+        again = checkpointed(waiting.select("key").distinct())
+        order_of = rows.select("row", order.alias("o"), F.explode(F.array_distinct("keys")).alias("key"))
+        holders = order_of.join(again, "key", "left_semi")
+        holders = checkpointed(holders.select("key", "row", F.row_number().over(Window.partitionBy("key").orderBy("o")).alias("k")))
+        waiting = waiting.join(holders, ["key", "row"])
         # The first holder was met by all.
         met, reach = 1, STEP
         while True:
             waiting = checkpointed(waiting.where(F.col("k") > met + 1))
             if waiting.isEmpty():
                 break
-            partners = holders.where((F.col("k") > met) & (F.col("k") <= reach)).select("line", F.col("row").alias("first"), F.col("k").alias("j"))
-            pairs = waiting.join(partners, "line").where("j < k").select("row", "first").distinct()
+            next_ones = holders.where((F.col("k") > met) & (F.col("k") <= reach)).select("key", F.col("row").alias("first"), F.col("k").alias("j"))
+            pairs = waiting.join(next_ones, "key").where("j < k").select("row", "first").distinct()
             more = cuts.unionByName(aligned(pairs)).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("_cut"))).alias("_cut"))
             cuts = checkpointed(more)
             waiting = uncut(waiting, cuts)

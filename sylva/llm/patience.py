@@ -27,9 +27,10 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def align(a: list, b: list, blank: object = None) -> list[tuple[int, int]]:
+def align(a: list, b: list, repeats: bool = False) -> list[tuple[int, int]]:
     """Matching positions (i, j), rising in both: equal ends are matched, entries that occur once on either side
-    anchor, and the gaps between anchors are aligned in turn. ``blank`` never anchors."""
+    anchor, and the gaps between anchors are aligned in turn. With ``repeats``, a gap that has no such entry is
+    anchored by the rarest one that occurs equally often on either side, occurrence by occurrence."""
     out: list[tuple[int, int]] = []
     gaps = [(0, len(a), 0, len(b))]
     while gaps:
@@ -43,11 +44,16 @@ def align(a: list, b: list, blank: object = None) -> list[tuple[int, int]]:
         if i == m or j == n:
             continue
         ca, cb = Counter(a[i:m]), Counter(b[j:n])
-        once = {x for x, c in ca.items() if c == 1 and cb.get(x) == 1 and x != blank}
-        if not once:
+        once = {x for x, c in ca.items() if c == 1 and cb.get(x) == 1}
+        same = [x for x, c in ca.items() if cb.get(x) == c] if repeats and not once else []
+        if once:
+            where = {b[k]: k for k in range(j, n) if b[k] in once}
+            anchors = _rising([(k, where[a[k]]) for k in range(i, m) if a[k] in once])
+        elif same:
+            rare = min(same, key=ca.get)
+            anchors = list(zip((k for k in range(i, m) if a[k] == rare), (k for k in range(j, n) if b[k] == rare)))
+        else:
             continue
-        where = {b[k]: k for k in range(j, n) if b[k] in once}
-        anchors = _rising([(k, where[a[k]]) for k in range(i, m) if a[k] in once])
         out += anchors
         edges = [(i - 1, j - 1), *anchors, (m, n)]
         gaps += [(x + 1, u, y + 1, v) for (x, y), (u, v) in zip(edges, edges[1:]) if u > x + 1 and v > y + 1]

@@ -502,3 +502,68 @@ def test_pipeline_equals_its_stages(spark, tmp_path):
     spark.createDataFrame(rows(), SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and len({r.doc_id for r in out}) <= 12 and all(len(r.ids) == r.n_tokens for r in out)
+
+
+def test_line_dedup_equals_alignment_with_all_earlier_documents(spark, monkeypatch):
+    from sylva.llm import common
+    from sylva.llm.patience import align
+
+    rng = random.Random(21)
+    short = ["{", "}", "x = 1", "return", "end", "", "  "]
+    long = [f"line {k} of a passage that several documents hold" for k in range(6)] + ["-" * 24]
+    data = []
+    for i in range(40):
+        doc = [rng.choice(long) if rng.random() < 0.25 else rng.choice(short) if rng.random() < 0.8 else f"own {i} {rng.random()}" for _ in range(rng.randint(1, 14))]
+        data.append((None if i % 13 == 5 else i // 2, "\n".join(doc)))
+    data += [data[3], data[7], (90, None), (91, ""), (92, "{\n\n}"), (93, "own and long enough a line\n{\n\n}")]
+    table = spark.createDataFrame([(*d, k, "c", 7) for k, d in enumerate(data)], "doc_id long, text string, k int, `row` string, n_cut int").repartition(3)
+    for narrow in (20_000, 0):
+        monkeypatch.setattr(common.with_groups, "__defaults__", (narrow,))
+        out = line_dedup.cut_lines(table)
+        assert out.columns == ["doc_id", "text", "k", "row", "n_lines", "n_cut", "cut_chars"]
+        got = {r.k: r for r in out.collect()}
+        assert len(got) == len(data)
+        lines = [[x.strip() for x in (t or "").split("\n")] for _, t in data]
+        cut_some = left_short = 0
+        for k, (i, t) in enumerate(data):
+            if t is None:
+                assert got[k].text is None and got[k].n_cut == got[k].n_lines == 0
+                continue
+            may, must = set(), set()
+            for j, (other, u) in enumerate(data):
+                if u is None or (other, u) == (i, t):
+                    continue
+                mine, theirs = (i is None, i or 0), (other is None, other or 0)
+                if theirs > mine:
+                    continue
+                at = [p for p, l in enumerate(lines[k]) if l]
+                pairs = align([lines[k][p] for p in at], [l for l in lines[j] if l], repeats=True)
+                runs = []
+                for a, b in pairs:
+                    if runs and runs[-1][-1] == (a - 1, b - 1):
+                        runs[-1].append((a, b))
+                    else:
+                        runs.append([(a, b)])
+                for run in runs:
+                    size = [len(lines[k][at[a]]) for a, _ in run]
+                    if sum(size) >= 20:
+                        may |= set(range(at[run[0][0]], at[run[-1][0]] + 1))
+                        if theirs < mine:
+                            must |= {at[a] for n, (a, _) in enumerate(run) if sum(size[n:]) >= 20}
+            # Cut lines are told by what is left: some choice of positions that lies between the two.
+            left = t.split("\n")
+            sure = [l for p, l in enumerate(left) if p not in may]
+            most = [l for p, l in enumerate(left) if p not in must]
+            r = got[k]
+            rest = r.text.split("\n") if r.n_cut < len(left) else []
+
+            def inside(a, b):
+                it = iter(b)
+                return all(x in it for x in a)
+
+            assert inside(sure, rest) and inside(rest, most), (k, sure, rest, most)
+            assert r.n_lines == len(left) and r.n_cut == len(left) - len(rest)
+            cut_some += r.n_cut > 0
+            left_short += "{" in rest
+        assert cut_some > 10 and left_short > 5
+        assert got[len(data) - 1].n_cut == got[len(data) - 2].n_cut == 0  # short lines alone are no block
