@@ -14,17 +14,17 @@ short that is. A key pairs each holder with the first one (the smallest id),
 with the first one that has the key once, and with the first one that has it
 equally often, with which it aligns even if nothing else is shared: at most
 three pairs a key and document, however many documents have it. Keys whose line
-stays uncut are then held against the next holders in order, STEP times as many
-in each round, until it is cut or no earlier holder is left. Only a line that
-nothing cuts meets all of them: one that no earlier document has equally often,
-or that stands in another order in all of them.
+stays uncut are then held against the key's other earlier holders, tier by
+tier, STEP times as many in each round, until it is cut or none is left. Only a
+line that nothing cuts meets all of them: one that no earlier document has
+equally often, or that stands in another order in all of them.
 
 Only hashes and positions are shuffled until the end, when each text meets the
 positions to delete. Alignment compares other hashes than the keys are made
 of, so a wrong deletion takes a collision of both, 128 bits in all. A key in a
 third of all documents is counted before the shuffle, and its first holders
-reach the others by a broadcast. Holders are numbered only for keys that are
-left uncut somewhere.
+reach the others by a broadcast. A holder's tier follows from a hash of its
+id and text, so holders are neither sorted nor numbered.
 
 Defined results: a null text has no lines, and stays null; rows that repeat an
 id and its text are one document and are all cut alike, never against each
@@ -40,17 +40,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, counted, table, with_groups
+from .common import NARROW, bounded, checkpointed, counted, table, with_groups
 from .patience import align
 
 #: Fewest characters of a block.
 LEAST_CHARS = 20
 #: What is measured of each document.
 MEASURES = ("n_lines", "n_cut", "cut_chars")
-#: Factor by which the holders that uncut keys have met grow in each round.
+#: Factor by which the holders that uncut keys meet grow from round to round.
 STEP = 4
 
 
@@ -145,25 +145,23 @@ def cut_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least
         return some.join(left, ["row", "key"], "left_semi")
 
     cuts = checkpointed(aligned(pairs))
-    waiting = checkpointed(uncut(held.select("key", "row"), cuts))
+    waiting = checkpointed(uncut(held.select("key", "row", "o"), cuts))
     if not waiting.isEmpty():
-        again = checkpointed(waiting.select("key").distinct())
-        order_of = rows.select("row", order.alias("o"), F.explode(F.array_distinct("keys")).alias("key"))
-        holders = order_of.join(again, "key", "left_semi")
-        holders = checkpointed(holders.select("key", "row", F.row_number().over(Window.partitionBy("key").orderBy("o")).alias("k")))
-        waiting = waiting.join(holders, ["key", "row"])
-        # The first holder was met by all.
-        met, reach = 1, STEP
-        while True:
-            waiting = checkpointed(waiting.where(F.col("k") > met + 1))
-            if waiting.isEmpty():
-                break
-            next_ones = holders.where((F.col("k") > met) & (F.col("k") <= reach)).select("key", F.col("row").alias("first"), F.col("k").alias("j"))
-            pairs = waiting.join(next_ones, "key").where("j < k").select("row", "first").distinct()
+        again = bounded(waiting.select("key").distinct(), NARROW)
+        # All but the first holder, which was met by all, each in one tier; a tier holds about STEP times the one above.
+        chance = F.pmod(F.xxhash64(F.lit("tier"), "o.b", "o.c"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        holders, seen = counted(held.join(again, "key", "left_semi").select("key", "df", F.col("row").alias("first"), F.col("o").alias("p"), chance.alias("u")), most=F.max("df"))
+        share = 1.0 / seen["most"]
+        low = 0.0
+        while not waiting.isEmpty():
+            tier = bounded(holders.where((F.col("u") >= low) & (F.col("u") < share)).select("key", "first", "p"), NARROW)
+            pairs = waiting.join(tier, "key").where("p < o").select("row", "first").distinct()
             more = cuts.unionByName(aligned(pairs)).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("_cut"))).alias("_cut"))
             cuts = checkpointed(more)
-            waiting = uncut(waiting, cuts)
-            met, reach = reach, reach * STEP
+            if share >= 1.0:
+                break
+            waiting = checkpointed(uncut(waiting, cuts))
+            low, share = share, min(1.0, share * STEP)
     cuts = cuts.join(rows.select("row", F.col("_id").alias("_cid"), F.col("_key").alias("_ckey")), "row").drop("row")
     whole = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns)], docs[id_col].alias("_id"), docs[text].alias("_t"))
     out = whole.join(cuts, whole["_id"].eqNullSafe(cuts["_cid"]) & (F.xxhash64("_t") == cuts["_ckey"]), "left")
