@@ -567,3 +567,22 @@ def test_line_dedup_equals_alignment_with_all_earlier_documents(spark, monkeypat
             left_short += "{" in rest
         assert cut_some > 10 and left_short > 5
         assert got[len(data) - 1].n_cut == got[len(data) - 2].n_cut == 0  # short lines alone are no block
+
+
+def test_license_texts_are_told_apart(spark):
+    rng = random.Random(3)
+    filler = lambda n: " ".join("".join(rng.choice("bcdfgaeiou") for _ in range(7)) for _ in range(n))
+    names = sorted(license_scan.NOTICES)
+    whole = [f"{filler(200)}\n{license_scan.NOTICES[n].upper()}\n{filler(50)}" for n in names]
+    # One word in ten is another: every notice of some length is still found.
+    worn = [" ".join("changed" if k % 10 == 5 else w for k, w in enumerate(license_scan.NOTICES[n].split())) for n in names]
+    table = spark.createDataFrame(list(enumerate([*whole, *worn, filler(400), None])), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(table).collect()}
+    for i, n in enumerate(names):
+        words = re.findall(r"[a-z0-9]+", license_scan.NOTICES[n].lower())
+        r = got[i]
+        assert n in r.notices and r.coverage == 1.0 and r.license == n
+        assert (r.first_word, r.last_word) == (200, 199 + len(words))
+        if len(words) > 20:
+            assert n in got[len(names) + i].notices
+    assert got[2 * len(names)].license is None and got[2 * len(names) + 1].license is None
