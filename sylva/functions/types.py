@@ -83,6 +83,44 @@ def store_binary(s: Column, length: list[tuple] | None = None) -> Column:
     return _stored(packed, raw.isNotNull() & (in_ranges(F.octet_length(raw), length) if length else F.lit(True)), "not valid binary")
 
 
+def _octets(s: Column) -> Column:
+    return F.transform(F.split(s, "[.]"), lambda x: x.try_cast("int"))
+
+
+def _dotted(n: Column) -> Column:
+    return F.concat_ws(".", *[F.shiftrightunsigned(n, b).bitwiseAND(F.lit(255)).cast("string") for b in (24, 16, 8, 0)])
+
+
+def _address(s: Column) -> tuple[Column, Column]:
+    """Whether a text is four decimal octets without needless zeros, and their number."""
+    octet = "(0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
+    shape = F.rlike(s, F.lit(rf"^{octet}(\.{octet}){{3}}$"))
+    return shape, F.aggregate(_octets(s), F.lit(0).cast("bigint"), lambda a, x: a * 256 + x)
+
+
+def store_ipv4_address(s: Column) -> Column:
+    """Four octets, with a zone after % kept as it is."""
+    plain = F.substring_index(s, "%", 1)
+    ok = _address(plain)[0] & (~F.contains(s, F.lit("%")) | F.rlike(s, F.lit(r"%[\p{N}\p{L}]+$")))
+    return _stored(s, ok, "not a valid ipv4-address")
+
+
+def store_ipv4_prefix(s: Column) -> Column:
+    """Address and length; the bits beyond the length become zero."""
+    plain, bits = F.substring_index(s, "/", 1), F.regexp_extract(s, "/([0-9]|[12][0-9]|3[0-2])$", 1).try_cast("int")
+    shape, number = _address(plain)
+    size = F.pow(F.lit(2.0), F.lit(32) - bits).cast("bigint")
+    canon = F.concat(_dotted(number - number % size), F.lit("/"), bits.cast("string"))
+    return _stored(canon, shape & bits.isNotNull() & (F.concat(plain, F.lit("/"), bits.cast("string")) == s), "not a valid ipv4-prefix")
+
+
+def store_date_and_time(s: Column) -> Column:
+    """Date, time, optional fraction and zone; a stamp in UTC has the zone +00:00, an unknown zone stays -00:00."""
+    shape = F.rlike(s, F.lit(r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])T(0[0-9]|1[0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$"))
+    day = F.substring(s, 1, 10).try_cast("date").isNotNull()
+    return _stored(F.regexp_replace(s, "Z$", "+00:00"), shape & day, "not a valid date-and-time")
+
+
 def store_union(*members: Column) -> Column:
     """The first member that stores the value, with its number."""
     out = F.struct(F.lit(False).alias("ok"), F.lit(None).cast("string").alias("canon"), F.lit("no union member fits").alias("error"), F.lit(-1).alias("member"))

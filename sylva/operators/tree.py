@@ -200,6 +200,21 @@ def remove(nodes: DataFrame, selected: DataFrame) -> DataFrame:
     return nodes.join(gone.select("tree_id", "node_id").distinct(), ["tree_id", "node_id"], "left_anti").select(*nodes.columns)
 
 
+def attribute(here: DataFrame, meta: DataFrame, name: str | None = None) -> DataFrame:
+    """The attribute axis: annotations (tree_id, node_id, annotation, value) of each context's nodes."""
+    items = meta if name in (None, "*") else meta.where(F.col("annotation") == name)
+    return here.select("ctx_id", "tree_id", "node_id").join(items, ["tree_id", "node_id"]).select("ctx_id", "tree_id", "node_id", "annotation", "value")
+
+
+def accessible(nodes: DataFrame, state: list[str] = (), operations: list[str] = (), within: str | None = None, when_false: DataFrame | None = None) -> DataFrame:
+    """What an expression may see: no subtree of a ``state`` name (for expressions on configuration), of an operation
+    other than the one it stands ``within``, or of a node whose condition is false (tree_id, node_id)."""
+    names = [*state, *[o for o in operations if o != within]]
+    hidden = nodes.where(F.col("name").isin(*names)).select("tree_id", "node_id")
+    hidden = hidden if when_false is None else hidden.unionByName(when_false.select("tree_id", "node_id"))
+    return remove(nodes, hidden)
+
+
 def deref(here: DataFrame, targets: DataFrame) -> DataFrame:
     """Follows leaf references: nodes of ``targets`` in the same tree with the same canonical text."""
     out = here.alias("h").join(targets.alias("n"), (F.col("h.tree_id") == F.col("n.tree_id")) & (F.col("h.canon") == F.col("n.canon")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sylva.functions import types as Y
 from sylva.functions import xpath as X
 from sylva.operators import diff as D
+from sylva.operators import edit as E
 from sylva.operators import tree as R
 from sylva.operators import validate as V
 from sylva.sources import codecs as C
@@ -661,3 +662,142 @@ def c10(s, d):
     stamped = _t(s, d, "events").select("event_id", F.to_json(F.struct(F.struct(F.col("ts").cast("string").alias("eventTime")).alias("notification"))).alias("line"))
     out = C.event_time(stamped.withColumn("stamp", C.unwrap(F.col("line"), "notification.eventTime")), "stamp")
     return out.select("event_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"))
+
+
+# --- edits, copies, annotations, what expressions see
+
+
+def _notes(s: SparkSession, d: str) -> DataFrame:
+    """Annotations on customers: their segment under the name of "segment"."""
+    leaves = _geo(s, d).where("name = 'c_mktsegment'")
+    return leaves.select("tree_id", F.col("parent_id").alias("node_id"), F.lit("segment").alias("annotation"), F.col("canon").alias("value"))
+
+
+@query("d16_axis_attribute", f"SELECT {_CP} AS ctx_id, c_mktsegment AS value FROM {_GEO}")
+def d16(s, d):
+    return R.attribute(R.context(_geo(s, d), F.col("name") == "customer"), _notes(s, d), "segment").select("ctx_id", "value")
+
+
+@query("d29_accessible_tree", f"SELECT {_CP} || '/' || x AS node_id FROM {_GEO} CROSS JOIN (VALUES ('c_name'), ('c_mktsegment')) v(x) WHERE n_regionkey <> 1")
+def d29(s, d):
+    nodes = _geo(s, d)
+    return R.accessible(nodes, ["c_acctbal"], when_false=nodes.where("node_id = '/region[1]'")).where("kind = 'leaf' AND parent_id LIKE '%customer%'").select("node_id")
+
+
+@query("i3_new_terms", f"SELECT {_CP} || '/c_rank' AS node_id, 'new' AS canon FROM {_GEO} UNION ALL SELECT {_CP} || '/c_name', c_name FROM {_GEO}")
+def i3(s, d):
+    nodes = _geo(s, d)
+    homes = nodes.where("name = 'customer'")
+    made = E.term(homes, "c_rank", F.lit("new"), 3).unionByName(E.term(homes, "c_name", F.lit("not taken")))
+    return E.add(nodes, made).where("name IN ('c_rank', 'c_name')").select("node_id", "canon")
+
+
+@query("i4_set_value", f"SELECT {_CP} || '/c_mktsegment' AS node_id, 'BUILDING' AS canon, c_mktsegment <> 'BUILDING' AS changed FROM {_GEO} WHERE n_regionkey = 2 UNION ALL SELECT {_CP} || '/c_mktsegment', c_mktsegment, false FROM {_GEO} WHERE n_regionkey <> 2")
+def i4(s, d):
+    nodes = _geo(s, d)
+    values = nodes.where("name = 'c_mktsegment' AND anc_ids[0] = '/region[2]'").select("tree_id", "node_id", F.lit("BUILDING").alias("canon"))
+    return E.set_value(nodes, values).where("name = 'c_mktsegment'").select("node_id", "canon", "changed")
+
+
+@query("i8_duplicate", f"SELECT {_NP} AS tree_id, {_CP} AS node_id, 1 AS depth, {_NP} AS parent_id FROM {_GEO} UNION ALL SELECT {_NP}, {_NP}, 0, NULL FROM nation JOIN region ON n_regionkey = r_regionkey")
+def i8(s, d):
+    nodes = _geo(s, d)
+    out = E.duplicate(nodes, nodes.where("name = 'nation'"), F.col("root_id")).where("kind = 'list'")
+    return out.select("tree_id", "node_id", F.size("anc_ids").alias("depth"), "parent_id")
+
+
+@query("i9_metadata_edit", f"SELECT {_CP} AS node_id, CASE WHEN n_regionkey = 0 THEN 'set' ELSE c_mktsegment END AS value FROM {_GEO} WHERE n_regionkey <> 3")
+def i9(s, d):
+    notes = _notes(s, d)
+    given = notes.where("node_id LIKE '/region[0]%'").withColumn("value", F.lit("set"))
+    return E.drop_annotations(E.annotate(notes, given), notes.where("node_id LIKE '/region[3]%'"), "segment").select("node_id", "value")
+
+
+@query("i10_preorder", f"SELECT node_id, row_number() OVER (ORDER BY r, n, c) AS pos FROM (SELECT {_CP} AS node_id, r_regionkey AS r, n_nationkey AS n, c_custkey AS c FROM {_GEO} UNION ALL SELECT {_NP}, r_regionkey, n_nationkey, -1 FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT '/region[' || r_regionkey || ']', r_regionkey, -1, -1 FROM region)")
+def i10(s, d):
+    return E.preorder(_geo(s, d).where("kind = 'list'")).select("node_id", "pos")
+
+
+@query("i10_children_no_keys", f"SELECT {_CP} AS ctx_id, x AS name FROM {_GEO} CROSS JOIN (VALUES ('c_mktsegment'), ('c_acctbal')) v(x)")
+def i10b(s, d):
+    nodes = _geo(s, d)
+    return E.children_no_keys(R.child(R.context(nodes, F.col("name") == "customer"), nodes), ["c_name"]).select("ctx_id", "name")
+
+
+@query("i12_sorted_runs", "SELECT l_orderkey, l_linenumber, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, l_linenumber) AS pos FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey FROM lineitem)")
+def i12(s, d):
+    rows = _t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").distinct()
+    nodes = rows.select("*", F.lit("bag").alias("tree_id"), F.col("l_orderkey").cast("string").alias("parent_id"), F.format_string("%06d", "l_linenumber").alias("node_id"), F.lit("supp").alias("name"), F.col("l_suppkey").cast("string").alias("canon"))
+    return E.sorted_runs(nodes, "supp", "uint32").select("l_orderkey", "l_linenumber", "l_suppkey", "pos")
+
+
+@query("g11_node_comparison", "SELECT '/region[' || n_regionkey || ']/nation[' || n_nationkey || ']' AS node_id, count(c_custkey) = 0 AS equal FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 20 = 0 AND c_mktsegment <> 'X' GROUP BY ALL")
+def g11(s, d):
+    nodes = _geo(s, d)
+    key = F.regexp_extract("node_id", r"/customer\[([0-9]+)\]", 1).try_cast("bigint")
+    changed = nodes.withColumn("canon", F.when((F.col("name") == "c_mktsegment") & (key % 20 == 0), "X").otherwise(F.col("canon")))
+    return E.equal_subtrees(nodes, changed).where(r"node_id RLIKE '/nation\\[[0-9]+\\]$'").select("node_id", "equal")
+
+
+@query("g1_ipv4_prefix", "SELECT s_suppkey, '10.' || (s_suppkey % 256) || '.' || ((s_nationkey * 7) % 16 * 16) || '.0/20' AS canon, s_nationkey >= 5 AS ok FROM supplier WHERE s_nationkey >= 5 UNION ALL SELECT s_suppkey, NULL, false FROM supplier WHERE s_nationkey < 5")
+def g1b(s, d):
+    third = (F.col("s_nationkey") * 7) % 16 * 16 + F.col("s_suppkey") % 16
+    text = F.concat(F.lit("10."), (F.col("s_suppkey") % 256).cast("string"), F.lit("."), third.cast("string"), F.when(F.col("s_nationkey") < 5, ".300/20").otherwise(".9/20"))
+    out = _t(s, d, "supplier").select("s_suppkey", Y.store_ipv4_prefix(text).alias("v"))
+    return out.select("s_suppkey", "v.canon", "v.ok")
+
+
+@query("g1_date_and_time", "SELECT event_id, event_id % 3 <> 0 AS ok, CASE WHEN event_id % 3 <> 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS canon FROM events")
+def g1c(s, d):
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 3 == 0, " UTC").otherwise("Z"))
+    return _t(s, d, "events").select("event_id", Y.store_date_and_time(stamp).alias("v")).select("event_id", "v.ok", "v.canon")
+
+
+@query("c9_xml_envelopes", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'rpc' WHEN 1 THEN 'rpc-reply' ELSE 'notification' END AS op_kind, CASE WHEN event_id % 3 < 2 THEN event_id::VARCHAR END AS message_id, event_id % 3 = 1 AS ok, CASE WHEN event_id % 3 <> 1 THEN event_type END AS body_name, CASE WHEN event_id % 3 = 2 THEN '2024-01-01T00:00:00Z' END AS stamp FROM events")
+def c9(s, d):
+    n, kind = F.col("event_id").cast("string"), F.col("event_type")
+    line = (
+        F.when(F.col("event_id") % 3 == 0, F.format_string('<rpc message-id="%s" xmlns="urn:x"><%s/></rpc>', n, kind))
+        .when(F.col("event_id") % 3 == 1, F.format_string('<rpc-reply message-id="%s" xmlns="urn:x"><ok/></rpc-reply>', n))
+        .otherwise(F.format_string('<notification xmlns="urn:x"><eventTime>2024-01-01T00:00:00Z</eventTime><%s/></notification>', kind))
+    )
+    return C.open_xml(_t(s, d, "events").select("event_id", line.alias("line")), "line").drop("line")
+
+
+@query("c9_json_envelopes", "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN 'input' END AS op_kind, CASE WHEN event_id % 5 <> 0 THEN event_type END AS kind FROM events")
+def c9b(s, d):
+    body = F.to_json(F.struct(F.col("event_type").alias("kind")))
+    line = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('{"a":1,"b":'), body, F.lit("}"))).otherwise(F.concat(F.lit('{"ev:input":'), body, F.lit("}")))
+    out = C.open_json(_t(s, d, "events").select("event_id", line.alias("line")), "line")
+    return out.select("event_id", "op_kind", F.get_json_object("body", "$.kind").alias("kind"))
+
+
+@query("c15_reprefix", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'p:' ELSE 'other:' END || p_brand AS name FROM part")
+def c15(s, d):
+    name = F.concat(F.when(F.col("p_size") % 2 == 0, "parts:").otherwise("other:"), F.col("p_brand"))
+    return _t(s, d, "part").select("p_partkey", C.reprefix(name, {"parts": "p"}).alias("name"))
+
+
+@query("h14_metadata_references", f"SELECT 'instance-required' AS rule, '/notes[node_id=''' || {_CP} || ''']' AS path, 'value names no node: /region[' || (r_regionkey + 3) || ']' AS message FROM {_GEO} WHERE r_regionkey > 1")
+def h14(s, d):
+    nodes = _geo(s, d)
+    region = F.regexp_extract("node_id", r"^/region\[([0-9]+)\]", 1).cast("int")
+    notes = _notes(s, d).withColumn("value", F.concat(F.lit("/region["), (region + 3).cast("string"), F.lit("]")))
+    return V.instance_required(notes, "notes", ["node_id"], "value", nodes.where("name = 'region'"))
+
+
+@query("h20_operation_references", "SELECT 'instance-required' AS rule, '/orders[o_orderkey=''' || o_orderkey || ''']' AS path, 'o_custkey refers to ' || o_custkey AS message FROM orders WHERE o_orderkey % 10 = 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) AND o_custkey % 10 <> 5")
+def h20(s, d):
+    # The operation's own entries and the datastore's are one tree for its references; only the operation is reported.
+    op = _t(s, d, "orders").where("o_orderkey % 10 = 0")
+    store = _t(s, d, "customer").where("c_custkey % 2 = 0").select("c_custkey")
+    brought = op.where("o_custkey % 10 = 5").select(F.col("o_custkey").alias("c_custkey"))
+    return V.leafref(op, "orders", ["o_orderkey"], "o_custkey", store.unionByName(brought), "c_custkey")
+
+
+@query("f10_merge_subtree_diff", "SELECT o_orderkey, 'replace' AS op, o_totalprice + 3 AS o_totalprice FROM orders WHERE o_orderkey <= 200")
+def f10(s, d):
+    a = _t(s, d, "orders").select("o_orderkey", *_LEAVES)
+    b, c = (a.withColumn("o_totalprice", F.col("o_totalprice") + n) for n in (1, 3))
+    first, second = (D.diff(x, y, ["o_orderkey"], _LEAVES).where("o_orderkey <= 200") for x, y in ((a, b), (b, c)))
+    return D.merge_diffs(first, second, ["o_orderkey"], _LEAVES).select("o_orderkey", "op", "o_totalprice")

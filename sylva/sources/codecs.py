@@ -69,6 +69,37 @@ def unwrap(envelope: Column, path: str) -> Column:
     return F.get_json_object(envelope, f"$.{path}")
 
 
+def open_json(df: DataFrame, column: str) -> DataFrame:
+    """Operation bodies in JSON: ``op_kind``, the outer member's name without its module, and ``body``, its text. What is
+    no object of one member has neither."""
+    members = F.from_json(column, "map<string,string>")
+    outer = F.map_keys(members)[0]
+    one = F.size(members) == 1
+    return df.withColumn("op_kind", F.when(one, F.regexp_replace(outer, "^[^:]*:", ""))).withColumn("body", F.when(one, members[outer]))
+
+
+def open_xml(df: DataFrame, column: str) -> DataFrame:
+    """Envelopes in XML: ``op_kind`` is the outer element (rpc, rpc-reply, notification), ``message_id`` and
+    ``stamp`` are its attribute and its eventTime, ``ok`` an empty reply, ``body_name`` the operation's element."""
+    def at(path: str) -> Column:
+        return F.xpath_string(column, F.lit(path))
+
+    body = "/*/*[local-name()!='eventTime' and local-name()!='ok']"
+    return (
+        df.withColumn("op_kind", at("local-name(/*)")).withColumn("message_id", F.nullif(at("string(/*/@message-id)"), F.lit("")))
+        .withColumn("stamp", F.nullif(at("string(/*/*[local-name()='eventTime'])"), F.lit("")))
+        .withColumn("ok", F.xpath_boolean(column, F.lit("/*/*[local-name()='ok']"))).withColumn("body_name", F.nullif(at(f"local-name({body})"), F.lit("")))
+    )
+
+
+def reprefix(name: Column, prefixes: dict[str, str]) -> Column:
+    """Identity names by module, as JSON has them, printed by prefix, as XML has them; names without a module, and those
+    of modules without a prefix, stay as they are."""
+    known = F.create_map(*[F.lit(x) for pair in prefixes.items() for x in pair])
+    module = F.regexp_extract(name, "^([^:]+):", 1)
+    return F.coalesce(F.concat(known[module], F.regexp_replace(name, "^[^:]+", "")), name) if prefixes else name
+
+
 def event_time(df: DataFrame, column: str) -> DataFrame:
     """Notification stamps as event time; what is no date-and-time is null."""
     return df.withColumn("event_time", F.try_to_timestamp(F.col(column)))

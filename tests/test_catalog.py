@@ -132,3 +132,41 @@ def test_unknown_members_follow_the_policy(spark):
     assert C.parse_json(df, "line", "a string", "opaque").first().opaque == {"b": "2"}
     with pytest.raises(Exception, match="unknown members"):
         C.parse_json(df, "line", "a string", "reject").collect()
+
+
+def test_typed_texts(spark):
+    from pyspark.sql import functions as F
+    from sylva.functions import types as Y
+
+    def stored(f, *texts):
+        out = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").select("i", f(F.col("s")).alias("v")).orderBy("i")
+        return [r.v.canon if r.v.ok else None for r in out.collect()]
+
+    assert stored(Y.store_ipv4_prefix, "10.1.2.3/8", "255.255.255.255/32", "1.2.3.4/0", "1.2.3.4/33", "1.2.3.4", "01.2.3.4/8", "", None) == ["10.0.0.0/8", "255.255.255.255/32", "0.0.0.0/0", None, None, None, None, None]
+    assert stored(Y.store_ipv4_address, "1.2.3.4", "1.2.3.4%eth0", "1.2.3.4%", "1.2.3", "256.1.1.1", None) == ["1.2.3.4", "1.2.3.4%eth0", None, None, None, None]
+    assert stored(Y.store_date_and_time, "2024-02-29T10:00:00Z", "2023-02-29T10:00:00Z", "2024-01-01T10:00:00.5-00:00", "2024-01-01 10:00:00Z", None) == ["2024-02-29T10:00:00+00:00", None, "2024-01-01T10:00:00.5-00:00", None, None]
+
+
+def test_copies_and_fingerprints(spark):
+    from pyspark.sql import functions as F
+    from sylva.operators import edit as E
+    from sylva.operators import tree as R
+
+    a = spark.createDataFrame([(1, 1, "x"), (1, 2, None), (2, 1, "x"), (2, 2, None)], "a int, b int, v string")
+    path = [("a", "a"), ("b", "b")]
+    nodes = R.shred(a.select("a").distinct(), F.lit("t"), path[:1], []).unionByName(R.shred(a, F.lit("t"), path, ["v"]))
+    prints = {r.node_id: (r.f1, r.f2, r.n_nodes) for r in E.fingerprints(nodes).collect()}
+    assert prints["/a[1]"] == prints["/a[2]"] and prints["/a[1]/b[1]"] != prints["/a[1]/b[2]"] and len(prints) == nodes.count()
+    both = nodes.where("node_id IN ('/a[1]', '/a[1]/b[1]')")
+    copies = {(r.root_id, r.node_id): (r.parent_id, len(r.anc_ids)) for r in E.duplicate(nodes, both, F.col("root_id")).collect()}
+    assert copies == {
+        ("/a[1]", "/a[1]"): (None, 0), ("/a[1]", "/a[1]/b[1]"): ("/a[1]", 1), ("/a[1]", "/a[1]/b[2]"): ("/a[1]", 1), ("/a[1]", "/a[1]/b[1]/v"): ("/a[1]/b[1]", 2),
+        ("/a[1]/b[1]", "/a[1]/b[1]"): (None, 0), ("/a[1]/b[1]", "/a[1]/b[1]/v"): ("/a[1]/b[1]", 1),
+    }
+    kept = E.duplicate(nodes, both, F.col("root_id"), with_parents=True)
+    assert {(r.node_id, r.parent_id) for r in kept.where("root_id = '/a[1]/b[1]'").collect()} == {("/a[1]/b[1]", "/a[1]"), ("/a[1]/b[1]/v", "/a[1]/b[1]")}
+    changed = E.set_value(nodes, spark.createDataFrame([("t", "/a[1]/b[1]/v", "y"), ("t", "/a[9]/v", "z")], "tree_id string, node_id string, canon string"))
+    assert [(r.node_id, r.canon) for r in changed.where("changed").collect()] == [("/a[1]/b[1]/v", "y")]
+    assert E.add(nodes, nodes).count() == nodes.count()
+    empty = nodes.where("false")
+    assert E.add(empty, nodes).count() == nodes.count() and E.preorder(empty).count() == 0 and E.fingerprints(empty).count() == 0
