@@ -16,6 +16,7 @@ MODULES = {
     "op8_license_scan": "license_scan",
     "op9_quality_rules": "quality_rules",
     "op10_near_dedup": "near_dedup",
+    "op11_source_divergence": "source_audit",
 }
 
 
