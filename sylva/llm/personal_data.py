@@ -61,8 +61,12 @@ LOOK_ALIKES = dict(zip(
     "aeopcyxijsdqwhlABEKMHOPCTXYIJS" "aovikptuxABEZHIKMNOPTYX" "agil", strict=True,
 ))
 # Signs that stand for others, and characters without width.
-SIGNS = {"＠": "@", "﹫": "@", "．": ".", "。": ".", "｡": ".", "․": ".", "·": ".", "‧": ".", "•": ".", "＋": "+", "﹢": "+", "˖": "+"} | {c: "-" for c in "‐‑‒–—―−﹣－⁃"} | {c: " " for c in "              　"}
-WIDTHLESS = "­͏؜᠎​‌‍‎‏⁠⁡⁢⁣⁤︎️﻿"
+SIGNS = (
+    {c: "@" for c in "\uFF20\uFE6B"} | {c: "." for c in "\uFF0E\u3002\uFF61\u2024\u00B7\u2027\u2022"} | {c: "+" for c in "\uFF0B\uFE62\u02D6"}
+    | {c: "-" for c in "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\uFE63\uFF0D\u2043"}
+    | {c: " " for c in "\u00A0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200A\u202F\u205F\u3000"}
+)
+WIDTHLESS = "\u00AD\u034F\u061C\u180E\u200B\u200C\u200D\u200E\u200F\u2060\u2061\u2062\u2063\u2064\uFE0E\uFE0F\uFEFF"
 # Digits in words, in English, German, French and Spanish.
 DIGIT_WORDS = {
     w: str(d)
@@ -74,8 +78,11 @@ DIGIT_WORDS = {
 }
 # The words for the signs.
 AT_WORDS = "at|ät|arroba|arobase|klammeraffe|chez|bei"
+BARE_AT_WORDS = "at|ät|arroba|arobase|klammeraffe"
 DOT_WORDS = "dot|punkt|point|punto|ponto"
 PLUS_WORDS = "plus|más"
+# The last labels of addresses that are written in bare words throughout.
+LAST_LABELS = frozenset("com org net edu gov mil info biz io co uk de fr es eu ch nl it ca ru cn jp pl br au app dev".split())
 
 
 @lru_cache(1)
@@ -172,7 +179,7 @@ _WIDTHLESS = re.compile(f"[{WIDTHLESS}]+")
 _UNIT = rf"(?:(?:double|triple|doppel|doble)[ -])?(?:{_NUMBER}|[0-9]+)"
 _BREAK = r"(?:[ ,]{1,2}| ?[-/] ?)"
 _SPELLED = re.compile(rf"{_NOT_WORD[0]}(?:(?:{PLUS_WORDS})[ -])?\+?{_UNIT}(?:(?:{_BREAK}| (?:{DOT_WORDS}) ){_UNIT})+{_NOT_WORD[1]}", re.I)
-_SPELLED_PART = re.compile(rf"({PLUS_WORDS})[ -]|(?:(double|triple|doppel|doble)[ -])?({_NUMBER})|([0-9]+)|( (?:{DOT_WORDS}) )|({_BREAK})", re.I)
+_SPELLED_PART = re.compile(rf"({PLUS_WORDS})[ -]|(?:(double|triple|doppel|doble)[ -])?({_NUMBER})|(\+?[0-9]+|\+)|( (?:{DOT_WORDS}) )|({_BREAK})", re.I)
 _MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl](?:[0-9OoIl]|[ .-](?=[0-9OoIl]))*(?![A-Za-z0-9])")
 _FAKE = str.maketrans("OoIl", "0011")
 _OPEN, _CLOSE = r"[ \t]?[\[({<][ \t]?", r"[ \t]?[\])}>][ \t]?"
@@ -180,8 +187,7 @@ _BRACKET_AT = re.compile(rf"{_OPEN}(?:{AT_WORDS}|@|a){_CLOSE}(?=[A-Za-z0-9])", r
 _BRACKET_DOT = re.compile(rf"{_OPEN}(?:{DOT_WORDS}|\.){_CLOSE}(?=[A-Za-z0-9])", re.I)
 _L = r"[A-Za-z0-9_%+-]+"
 _D = r"[A-Za-z0-9-]+"
-_DOT = rf"(?:\.| (?:{DOT_WORDS}) | ?\. ?)"
-_SHAPE = re.compile(rf"(?<![A-Za-z0-9._%+-])({_L}(?:(?:\.| (?:{DOT_WORDS}) ){_L})*)( (?:{AT_WORDS}) | ?@ ?)({_D}(?:(?:\.| (?:{DOT_WORDS}) | \. ){_D})*(?:\.| (?:{DOT_WORDS}) | \. )[A-Za-z]{{2,24}})(?![A-Za-z0-9])", re.I)
+_SHAPE = re.compile(rf"(?<![A-Za-z0-9._%+-])({_L}(?:(?:\.| (?:{DOT_WORDS}) ){_L})*)( (?:{BARE_AT_WORDS}) | ?@ ?)({_D}(?:(?:\.| (?:{DOT_WORDS}) | \. ){_D})*(?:\.| (?:{DOT_WORDS}) | \. )[A-Za-z]{{2,24}})(?![A-Za-z0-9])", re.I)
 _WORDED = re.compile(rf" (?:{DOT_WORDS}) | \. ", re.I)
 
 
@@ -194,8 +200,9 @@ def _split_dots(part: str, at: int) -> list[tuple[str, int, int]]:
 
 
 def _digits(m: re.Match) -> list[tuple[str, int, int]] | None:
-    """A run with three spelled digits or more; breaks between two spelled digits vanish, others stay."""
-    parts, spelled, many, pending = [], False, 0, None
+    """A run with three spelled digits or more, or one in a long number, or three worded dots; breaks between two spelled
+    digits vanish, others stay."""
+    parts, spelled, many, dots, pending = [], False, 0, 0, None
     for p in _SPELLED_PART.finditer(m[0]):
         a, b = m.start() + p.start(), m.start() + p.end()
         if p[1]:
@@ -208,7 +215,7 @@ def _digits(m: re.Match) -> list[tuple[str, int, int]] | None:
             many, spelled, pending = many + times, True, None
         elif p[5]:
             parts.append((".", a, b))
-            spelled, pending = True, None
+            spelled, dots, pending = True, dots + 1, None
         elif p[6]:
             pending = (p[6], a, b)
         else:
@@ -216,7 +223,8 @@ def _digits(m: re.Match) -> list[tuple[str, int, int]] | None:
                 parts.append(pending)
             parts.append((p[4], a, b))
             spelled, pending = False, None
-    return parts if many >= 3 else None
+    long = many and len(_NO_DIGIT.sub("", m[0])) >= 6
+    return parts if many >= 3 or long or dots >= 3 else None
 
 
 def _mixed(m: re.Match) -> list[tuple[str, int, int]] | None:
@@ -226,10 +234,13 @@ def _mixed(m: re.Match) -> list[tuple[str, int, int]] | None:
 
 
 def _address(m: re.Match) -> list[tuple[str, int, int]] | None:
-    """The shape of an address. The bare word "at" counts if dots are worded too, or the local part is no plain word."""
+    """The shape of an address. The bare word "at" counts if the local part is no plain word, or else if dots are worded
+    or it stands in capitals, and the last label is a usual one."""
     local, sign, domain = m[1], m[2], m[3]
-    if "@" not in sign and not (_WORDED.search(domain) or re.search(r"[0-9._%+]", local) or sign == " AT " and not local.isupper()):
-        return None
+    if "@" not in sign and not re.search(r"[0-9._%+]", local):
+        usual = re.search("[a-z]+$", domain.lower())[0] in LAST_LABELS
+        if not usual or not (_WORDED.search(domain) or sign == " AT " and not local.isupper()):
+            return None
     return [*_split_dots(local, m.start(1)), ("@", m.start(2), m.end(2)), *_split_dots(domain, m.start(3))]
 
 
@@ -276,9 +287,9 @@ def _sieves() -> tuple[str, ...]:
     word = f"(?:{_NUMBER})"
     return (
         odd, f"[0-9@]{common}|{common}[0-9@]|[A-Za-z0-9]{common}[A-Za-z]{{2,}}",
-        f"(?i){word}[ ,/-]+(?:(?:double|triple|doppel|doble)[ -])?{word}[ ,/-]+{word}|(?i)(?:double|triple|doppel|doble)[ -]{word}|(?i)(?:{word}|[0-9]) (?:{DOT_WORDS}) (?:{word}|[0-9])",
+        f"(?i){word}[ ,/-]+(?:(?:double|triple|doppel|doble)[ -])?{word}[ ,/-]+{word}|(?i)(?:double|triple|doppel|doble)[ -]{word}|(?i)(?:{word}|[0-9]) (?:{DOT_WORDS}) (?:{word}|[0-9])|(?i)[0-9]{{3}}[ ,/-]+{word}|(?i){word}[ ,/-]+[0-9]{{3}}",
         "[0-9][OoIl]|[OoIl][0-9]", f"(?i)[\\[({{<][ \\t]?(?:{AT_WORDS}|@|a|{DOT_WORDS}|\\.)[ \\t]?[\\])}}>]|(?i) (?:{DOT_WORDS}) [a-z]", " @|@ ",
-        f"[0-9._%+-][A-Za-z0-9]* (?i:{AT_WORDS}) [A-Za-z0-9-]+\\.| AT [A-Za-z0-9-]+[. ]",
+        f"[0-9._%+-][A-Za-z0-9]* (?i:{BARE_AT_WORDS}) [A-Za-z0-9-]+\\.| AT [A-Za-z0-9-]+[. ]",
     )
 
 
@@ -327,10 +338,14 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _is(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four counts and base_sha256 are of the plain spans, n_added of those in disguise; spans lists all."""
     found = find_spans(table(spark, sf_dir, "documents"), carry=["doc_id"])
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter(base, _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added")
     return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), added)
