@@ -17,6 +17,7 @@ MODULES = {
     "op9_quality_rules": "quality_rules",
     "op10_near_dedup": "near_dedup",
     "op11_source_divergence": "source_audit",
+    "op12_token_alignment": "token_align",
     "op13_personal_data": "personal_data",
 }
 
