@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, give_back
 from .common import bounded, checkpointed, table
+from .tables import stored
 
 #: Documents of a language that a kept term occurs in.
 LEAST_DOCS = 10
@@ -150,7 +151,7 @@ def apart(p: Column, q: Column) -> Column:
 def postings(docs: DataFrame, least_docs: int = LEAST_DOCS, text: str = "text", lang: str = "lang", source: str = "source") -> tuple[DataFrame, DataFrame]:
     """Kept terms of each group that holds them (lang, source, term, n, p, and in the language ln, q), and all groups
     (lang, source, v kept terms, total, held kept terms, p0 probability of a term that the group lacks)."""
-    counts = checkpointed(term_counts(docs, text, lang, source))
+    counts = stored(term_counts(docs, text, lang, source))
     words = counts.where("term IS NOT NULL")
     in_lang = words.groupBy("lang", "term").agg(F.sum("n").alias("ln"), F.sum("docs").alias("_docs")).where(F.col("_docs") >= least_docs).drop("_docs")
     kept = words.join(in_lang, ["lang", "term"]).select("lang", "source", "term", "n", "ln")

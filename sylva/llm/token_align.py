@@ -37,7 +37,6 @@ very long word, is one key of the windows.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,7 +50,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .arrays import _BASE, _BYTE, _UNBASE, _powers, _room, give_back, mix, slices
 from .bpe_codec import _ROWS, BUCKETS, _blocks, _pack, _portions, _unpack
-from .common import bounded, checkpointed, shared_folder, table
+from .common import bounded, checkpointed, table
+from .tables import stored
 
 #: A pair of ids is a * PAIR + b.
 PAIR = 1 << 20
@@ -416,13 +416,6 @@ def _sum_up(schema: pa.Schema):
     return run
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/align-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 @dataclass
 class Alignment:
     """What ``unit_alignment`` finds: facts of units, the blocks' lists and positions, and how many documents link a pair."""
@@ -446,13 +439,13 @@ def unit_alignment(docs: DataFrame, a_path: str | None = None, b_path: str | Non
     cut = checkpointed(frame.mapInArrow(_cut(len(carry), buckets, Cuts.of(a_path, b_path)), "block long, at int, data binary"))
     positions = cut.where(F.col("at") >= _ROWS)
     named = cut.where(F.col("at") < _ROWS).repartition("at").sortWithinPartitions("at", "block")
-    named = _stored(named.mapInArrow(_name(a_path, b_path), "block long, at int, data binary, uid long, a array<int>, b array<int>"))
+    named = stored(named.mapInArrow(_name(a_path, b_path), "block long, at int, data binary, uid long, a array<int>, b array<int>"))
     lists, units = named.where("block IS NOT NULL").select("block", "at", "data"), named.where("uid IS NOT NULL").select("uid", "a", "b")
     # Keys that are dealt out by unit stay where they are in joins on unit and end.
     whole = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     try:
-        facts = _stored(unit_facts(units, align(units, token_lengths(spark, a_path, b_path))))
+        facts = stored(unit_facts(units, align(units, token_lengths(spark, a_path, b_path))))
     finally:
         spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", whole)
     counted = _returned(facts, ["ok", "links"], lists, positions).mapInArrow(_count_pairs, "pair long, docs long")
