@@ -37,6 +37,7 @@ very long word, is one key of the windows.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .arrays import _BASE, _BYTE, _UNBASE, _powers, _room, give_back, mix, slices
+from .arrays import give_back, slices
 from .bpe_codec import _ROWS, BUCKETS, _blocks, _pack, _portions, _unpack
 from .common import bounded, checkpointed, table
 from .tables import stored
@@ -148,16 +149,6 @@ def _units(data: np.ndarray, offsets: np.ndarray, cuts: Cuts) -> tuple[pa.Array,
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]), count, len(data)
 
 
-def _hashes(words: pa.Array) -> np.ndarray:
-    words = words.cast(pa.large_binary())
-    edges = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-    data = np.frombuffer(words.buffers()[2], np.uint8)[edges[0] : edges[-1]] if len(words) else np.zeros(0, np.uint8)
-    edges = edges - edges[0]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_room(len(data)), _BASE)[: len(data)], out=sums[1:])
-    return mix((sums[edges[1:]] - sums[edges[:-1]]) * _powers(_room(len(data) + 1), _UNBASE)[edges[:-1]] + np.diff(edges).astype(np.uint64))
-
-
 def _ipc(batch: pa.RecordBatch | pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as writer:
@@ -181,15 +172,18 @@ def _cut(text: int, buckets: int, cuts: Cuts):
                 for first, data, offsets in slices(batch.column(text)):
                     units, count, size = _units(data, offsets, cuts)
                     parts.append(units.dictionary_encode())
-                    rows.append((batch.slice(first, len(count)), count, size))
+                    rows.append((batch.select([*range(text)]).slice(first, len(count)), count, size))
+            block.clear()  # the texts are no longer needed
+            batch = data = units = None
             coded = pa.chunked_array(parts).unify_dictionaries()
             words = coded.chunk(0).dictionary
             codes = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+            del parts, coded
             order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
             number = np.empty(len(words), np.uint32)
             number[order] = np.arange(len(words))
             codes = number[codes]
-            bucket = ((_hashes(words) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            bucket = np.fromiter((zlib.crc32(w) * buckets >> 32 for w in words.to_pylist()), np.int64, len(words))
             by = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1)) if len(by) else []
             out, done = [], 0
@@ -198,14 +192,14 @@ def _cut(text: int, buckets: int, cuts: Cuts):
                 out.append((int(bucket[by[a]]), _ipc(pa.RecordBatch.from_arrays([pa.array(number[by[a:b]]), words.take(own)], ["number", "word"]))))
             for at, portion in enumerate(_portions([r[2] for r in rows])):
                 count = np.concatenate([rows[i][1] for i in portion])
-                keep = pa.concat_batches([rows[i][0].select([*range(text)]) for i in portion]).columns if text else []
+                keep = pa.concat_batches([rows[i][0] for i in portion]).columns if text else []
                 kept = pa.RecordBatch.from_arrays([*keep, pa.array(count)], [f"_c{i}" for i in range(text + 1)])
                 to = done + int(count.sum())
                 out.append((_ROWS + at, _pack(kept, codes[done:to])))
                 done = to
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), name)), pa.array([p for p, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], ["block", "at", "data"])
             name += 1
-            del parts, rows, codes, coded, out
+            del rows, codes, out
             give_back()
 
     return run
