@@ -37,6 +37,7 @@ very long word, is one key of the windows.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -71,6 +72,8 @@ def default_tokenizers() -> tuple[str, str]:
 
 
 def _load(a_path: str, b_path: str):
+    # Tasks are the parallelism; more threads in a worker would only keep memory of their own.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import sentencepiece
     from tokenizers import Tokenizer
 
@@ -199,7 +202,7 @@ def _cut(text: int, buckets: int, cuts: Cuts):
                 done = to
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), name)), pa.array([p for p, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], ["block", "at", "data"])
             name += 1
-            del rows, codes, out
+            rows = codes = out = words = order = number = bucket = by = keep = kept = own = count = None
             give_back()
 
     return run
@@ -245,7 +248,9 @@ def _name(a_path: str, b_path: str):
                     first, second = _encode(some, a, b, pieces)
                     uid = pa.array(np.arange(before + i, before + i + len(some), dtype=np.int64) + (at << 32))
                     yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some), f.type) for f in list(schema)[:3]], uid, pa.array(first, pa.list_(pa.int32())), pa.array(second, pa.list_(pa.int32()))], schema=schema)
-        del known
+            batch = own = words = ns = fresh = some = first = second = None
+        # Workers live on beside other stages: nothing of the tokenizers may stay.
+        known = loaded = a = b = pieces = uid = data = None
         give_back()
 
     return run
@@ -316,6 +321,7 @@ def _hand_out(columns: int):
                 out = facts.take(own.column("n")).append_column("number", own.column("number"))
                 yield pa.RecordBatch.from_arrays([batch.column(2).slice(at, 1), pa.array([now], pa.int32()), pa.array([_ipc(out.combine_chunks())], pa.binary())], ["block", "at", "data"])
                 at += 1
+        batch = held = facts = own = out = None
         give_back()
 
     return run
@@ -374,6 +380,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = np.unique(np.repeat(doc, many) * max(len(pairs), 1) + code[at])
             total += np.bincount(both % max(len(pairs), 1), minlength=len(pairs))
         found = np.flatnonzero(total)
+        facts = packed = lists = edges = code = kept = numbers = once = doc = unit = many = to = at = both = None
         yield from pa.table({"pair": pairs[found], "docs": total[found]}).to_batches(max_chunksize=10_000)
         give_back()
 
@@ -405,6 +412,7 @@ def _sum_up(schema: pa.Schema):
                         at = to
                 made = [*kept.columns[:-1], *[pa.array(s) for s in sums], pa.array(digests, pa.string())]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, schema)], schema=schema)
+            facts = packed = ok = texts = values = kept = numbers = sums = digests = some = lists = made = None
             give_back()
 
     return run
