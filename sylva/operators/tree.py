@@ -24,6 +24,12 @@ def _ordered(df: DataFrame, key: str) -> Column:
     return F.col(key).cast("string")
 
 
+def key_text(key: Column) -> Column:
+    """A key inside a path: as it is if it is plain, else in quotes, with quotes doubled, so that no two paths are alike."""
+    plain = F.rlike(key, F.lit(r"^[\p{L}\p{N}_.:#+ -]*$"))
+    return F.when(plain, key).otherwise(F.concat(F.lit("'"), F.replace(key, F.lit("'"), F.lit("''")), F.lit("'")))
+
+
 def shred(df: DataFrame, tree_id: Column, path: list[tuple[str, str]], leaves: list[str]) -> DataFrame:
     """Nodes of a list table: ``path`` names the list and its key column at each level, ``leaves`` the leaf columns.
 
@@ -32,7 +38,8 @@ def shred(df: DataFrame, tree_id: Column, path: list[tuple[str, str]], leaves: l
     """
     names = []
     for name, key in path:
-        step = F.concat(F.lit(f"/{name}["), F.col(key).cast("string"), F.lit("]"))
+        number = df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+        step = F.concat(F.lit(f"/{name}["), F.col(key).cast("string") if number else key_text(F.col(key).cast("string")), F.lit("]"))
         names.append(F.concat(names[-1], step) if names else step)
     order = F.array(*[F.concat(F.lit("1"), _ordered(df, k)) for _, k in path])
     here, above = names[-1], F.array(*names[:-1]) if names[:-1] else F.array().cast("array<string>")
