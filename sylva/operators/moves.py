@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rounds import settled
+from .rounds import grouped, settled
 
 
 def _sorted_runs(df: DataFrame, group: list[str], order: str, breaks: Column, out: str = "run") -> DataFrame:
@@ -67,16 +66,14 @@ def minimal_moves(first: DataFrame, second: DataFrame, group: list[str], key: st
     kept = kept.withColumn("_at", F.row_number().over(Window.partitionBy(*group).orderBy("_old")))
     runs = _sorted_runs(kept, group, "_new", F.col("_at") != F.lag("_at").over(order) + 1)
     sizes = runs.groupBy(*group, "run").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_size"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sizes.schema.fields if f.name in [*group, "run"])
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("run")
-        keep = heaviest_rising(pdf["_from"].tolist(), pdf["_size"].tolist())
-        return pdf.loc[[not k for k in keep], [*group, "run"]]
+    def choose(rows: list[tuple]) -> list[tuple]:
+        keep = heaviest_rising([r[1] for r in rows], [r[2] for r in rows])
+        return [(r[0],) for r, k in zip(rows, keep) if not k]
 
     # Lists in one run have no moves, and stay out of it.
     several = sizes.withColumn("_runs", F.count(F.lit(1)).over(Window.partitionBy(*group))).where("_runs > 1").drop("_runs")
-    moving = several.groupBy(*group).applyInPandas(choose, kinds)
+    moving = grouped(several.select(*group, "run", "_from", "_size"), group, ["run"], choose, "run long")
     moved = runs.join(moving, [*group, "run"], "left_semi").select(*group, key, "_new", "anchor", "orig_anchor", F.lit("move").alias("op"))
     made = both.where("_old IS NULL").select(*group, key, "_new", "anchor", "orig_anchor", F.lit("create").alias("op"))
     gone = both.where("_new IS NULL").select(*group, key, (F.col("_old") - (1 << 40)).alias("_new"), "anchor", "orig_anchor", F.lit("delete").alias("op"))
@@ -103,15 +100,14 @@ def replay(rows: DataFrame, moves: DataFrame, group: list[str], key: str, positi
     touched = moves.select(*group).distinct()
     units = units.join(touched, group, "left_semi").withColumns({"seq": F.lit(None).cast("long"), "op": F.lit(None).cast("string"), "anchor": F.lit(None).cast(text)})
     steps = moves.select(*group, F.lit(None).cast("long").alias("run"), F.lit(0).cast("long").alias("_size"), F.col(key).alias("_key"), F.col("seq").cast("long").alias("seq"), "op", "anchor")
-    kinds = ", ".join([*[f"{g} {rows.schema[g].dataType.simpleString()}" for g in group], "run long", f"_key {text}", "_ahead long", "_size long"])
 
-    def play(pdf: pd.DataFrame) -> pd.DataFrame:
-        have = pdf[pdf["seq"].isna()].sort_values("run")
-        runs_, sizes, keys = have["run"].tolist(), have["_size"].tolist(), have["_key"].tolist()
+    def play(rows_: list[tuple]) -> list[tuple]:
+        have, steps_ = [r for r in rows_ if r[3] is None], [r for r in rows_ if r[3] is not None]
+        runs_, sizes, keys = [r[0] for r in have], [r[1] for r in have], [r[2] for r in have]
         after, prior, at = {None: None}, {}, {}
         last = None
         for i, k in enumerate(keys):
-            if pd.notna(k):
+            if k is not None:
                 at[k] = i
             after[last], prior[i], after[i] = i, last, None
             last = i
@@ -121,9 +117,7 @@ def replay(rows: DataFrame, moves: DataFrame, group: list[str], key: str, positi
             if after[i] is not None:
                 prior[after[i]] = prior[i]
 
-        steps_ = pdf[pdf["seq"].notna()].sort_values("seq")
-        for op, k, anchor in zip(steps_["op"].tolist(), steps_["_key"].tolist(), steps_["anchor"].tolist()):
-            anchor = None if pd.isna(anchor) else anchor
+        for _, _, k, _, op, anchor in steps_:
             if (op == "create") == (k in at) or op != "delete" and anchor is not None and anchor not in at or anchor == k:
                 raise ValueError(f"cannot {op} {k} behind {anchor}")
             if op == "create":
@@ -148,12 +142,10 @@ def replay(rows: DataFrame, moves: DataFrame, group: list[str], key: str, positi
             out.append((runs_[i], keys[i], ahead, sizes[i]))
             ahead += sizes[i]
             i = after[i]
-        made = pd.DataFrame(out, columns=["run", "_key", "_ahead", "_size"])
-        for g in group:
-            made[g] = pdf[g].iloc[0]
-        return made[[*group, "run", "_key", "_ahead", "_size"]].astype({"run": "Int64"})
+        return out
 
-    played = settled(units.unionByName(steps).groupBy(*group).applyInPandas(play, kinds))
+    every = units.unionByName(steps).select(*group, "run", "_size", "_key", "seq", "op", "anchor")
+    played = settled(grouped(every, group, ["seq", "run"], play, f"run long, _key {text}, _ahead long, _size long"))
     moved = runs.join(played.where("run IS NOT NULL").select(*group, "run", "_ahead"), [*group, "run"]).select(*group, key, (F.col("_ahead") + F.col("_in")).cast("long").alias(position))
     made = played.where("run IS NULL").select(*group, F.col("_key").alias(key), (F.col("_ahead") + 1).cast("long").alias(position))
     still = rows.select(*group, key, position).join(touched, group, "left_anti")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def _folder(spark: SparkSession) -> None:
@@ -39,3 +42,39 @@ def running(df: DataFrame, order: list[Column | str], **sums: Column) -> DataFra
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = here.withColumns({f"_i_{k}": F.sum(f"_x_{k}").over(inside) for k in sums}).join(starts, "_part")
     return out.select(*df.columns, *[(F.col(f"_s_{k}") + F.col(f"_i_{k}")).alias(k) for k in sums])
+
+
+#: Rows that are handed back at once.
+ROWS_AT_ONCE = 10_000
+
+
+def grouped(df: DataFrame, group: list[str], order: list[str], fn: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """``fn`` on the rows of each group, without the group's columns and in order; what it returns, after the group's
+    columns, has ``schema``. Many small groups share a batch, so a group costs its rows and no call into a worker."""
+    rest = [c for c in df.columns if c not in group]
+    rows = df.select(*group, *rest).repartition(*group).sortWithinPartitions(*group, *order)
+    kinds = [f"{g} {df.schema[g].dataType.simpleString()}" for g in group]
+    out_schema = df.sparkSession.createDataFrame([], ", ".join([*kinds, schema])).schema
+    arrow, n = to_arrow_schema(out_schema), len(group)
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out = None, [], []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[:n] != now:
+                    if held:
+                        out += [(*now, *x) for x in fn(held)]
+                        if len(out) >= ROWS_AT_ONCE:
+                            yield packed(out)
+                            out = []
+                    now, held = row[:n], []
+                held.append(row[n:])
+        if held:
+            out += [(*now, *x) for x in fn(held)]
+        if out:
+            yield packed(out)
+
+    return rows.mapInArrow(run, out_schema)

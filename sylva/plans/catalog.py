@@ -801,3 +801,7 @@ def f10(s, d):
     b, c = (a.withColumn("o_totalprice", F.col("o_totalprice") + n) for n in (1, 3))
     first, second = (D.diff(x, y, ["o_orderkey"], _LEAVES).where("o_orderkey <= 200") for x, y in ((a, b), (b, c)))
     return D.merge_diffs(first, second, ["o_orderkey"], _LEAVES).select("o_orderkey", "op", "o_totalprice")
+
+
+# Queries on whole trees register themselves.
+from sylva.plans import trees as _trees  # noqa: E402, F401

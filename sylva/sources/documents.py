@@ -14,8 +14,8 @@ over from its parent where it is not written), path (names without keys), type
 
 Entries of lists are named by their keys, as in ``/a/list[k='x']``, elements of
 leaf-lists by their value, as in ``/a/tag[.='x']``, both with quotes doubled; an
-element without keys, or a value that occurs twice, is named by its position. So
-that documents compare, members come in the order of their names.
+element without keys, or of a leaf-list in which a value repeats, is named by its
+position. So that documents compare, members come in the order of their names.
 
 Numbers of up to 38 digits keep their value as text, exponents are expanded, and
 64-bit integers that come as strings stay as written.
@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sylva.operators.rounds import settled
 from sylva.operators.tree import COLUMNS
 
 # What may become of input that the shape does not know.
@@ -84,35 +85,53 @@ def _literal_map(values: dict[str, list[str]]) -> Column:
     return F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,array<string>>")
 
 
-def _child(up: dict[str, Column], label: Column, value: Column, at: Column, within: Column, multi: Column, values: Column, shape: Shape) -> Column:
-    """One child node of an open node: its value stays if it is an object to open."""
-    name = F.regexp_replace(label, "^[^:@]*:", "")
-    path = F.concat(up["path"], F.lit("/"), name)
-    note = F.startswith(label, F.lit("@"))
-    unknown = F.lit(False) if shape.known is None else ~path.isin(*shape.known) & ~note
-    opaque = note | unknown | (path.isin(*shape.text) if shape.text else F.lit(False))
-    members = _members(value)
-    inner = members.isNotNull() & ~opaque
-    scalar = members.isNull() & _elements(value).isNull()
-    plain = value.try_cast("string")
-    keys = _literal_map(shape.lists)[path]
-    by_key = F.concat_ws("", F.transform(keys, lambda k: F.concat(F.lit("["), k, F.lit("="), _quoted(members[k].try_cast("string")), F.lit("]"))))
-    has_keys = F.coalesce(F.forall(keys, lambda k: members[k].try_cast("string").isNotNull()), F.lit(False))
-    alone = F.coalesce(F.size(F.filter(values, lambda x: x.try_cast("string") == plain)) == 1, F.lit(False))
-    place = F.concat(F.lit("["), (within + 1).cast("string"), F.lit("]"))
-    predicate = F.when(~multi, F.lit("")).when(inner & has_keys, by_key).when(~inner & scalar & alone, F.concat(F.lit("[.="), _quoted(plain), F.lit("]"))).otherwise(place)
-    number = F.schema_of_variant(F.when(scalar, value))
-    kind = F.when(note, "annotation").when(opaque, "opaque").when(inner, F.when(multi, "list").otherwise("container")).when(scalar, "leaf").otherwise("opaque")
-    type_ = F.when(kind == "opaque", "opaque").when(note, "opaque").when(inner, "object").when(number == "STRING", "string").when(number == "BOOLEAN", "boolean").when(number == "VOID", "null").otherwise("number")
-    here = F.concat(up["node_id"], F.lit("/"), name, predicate)
-    return F.struct(
-        up["tree_id"].alias("tree_id"), here.alias("node_id"), F.when(up["node_id"] != "", up["node_id"]).alias("parent_id"),
-        F.when(up["node_id"] != "", F.concat(up["anc_ids"], F.array(up["node_id"]))).otherwise(up["anc_ids"]).alias("anc_ids"),
-        F.concat(up["doc_key"], F.array(F.concat(F.lpad(at.cast("string"), 6, "0"), F.lit("."), F.lpad(within.cast("string"), 10, "0")))).alias("doc_key"),
-        name.alias("name"), kind.alias("kind"), F.when(scalar & ~opaque, plain).when(inner, F.lit(None).cast("string")).otherwise(F.to_json(value)).alias("canon"),
-        label.alias("label"), F.when(F.contains(label, F.lit(":")) & ~note, F.substring_index(label, ":", 1)).otherwise(up["module"]).alias("module"),
-        path.alias("path"), type_.alias("type"), multi.alias("multi"), F.when(inner, value).alias("_open"), unknown.alias("_unknown"),
+def _opened(rows: DataFrame, shape: Shape) -> DataFrame:
+    """Each open node and its children, which are open if they are objects; all other rows as they are."""
+    note = lambda e: F.startswith(e["key"], F.lit("@"))
+
+    def member(e: Column, i: Column) -> Column:
+        many = _elements(e["value"])
+        texts = F.transform(many, lambda x: x.try_cast("string"))
+        alone = F.size(F.array_distinct(texts)) == F.size(texts)
+        each = F.transform(many, lambda x, j: F.struct(e["key"].alias("label"), x.alias("value"), i.alias("at"), j.alias("within"), F.lit(True).alias("multi"), alone.alias("alone")))
+        one = F.struct(e["key"].alias("label"), e["value"].alias("value"), i.alias("at"), F.lit(0).alias("within"), F.lit(False).alias("multi"), F.lit(True).alias("alone"))
+        return F.when(many.isNotNull() & ~note(e), each).otherwise(F.array(one))
+
+    kids = F.flatten(F.transform(F.map_entries(_members(F.col("_open"))), member))
+    itself = F.array(F.lit(None).cast("struct<label:string,value:variant,at:int,within:int,multi:boolean,alone:boolean>"))
+    out = rows.select("*", F.explode(F.when(F.col("_open").isNotNull(), F.concat(itself, kids)).otherwise(itself)).alias("_kid"))
+    # What several columns need is made once, in steps.
+    value = F.col("_kid.value")
+    out = out.select(
+        "*", value.alias("_value"), F.regexp_replace("_kid.label", "^[^:@]*:", "").alias("_name"), _members(value).alias("_members"), value.try_cast("string").alias("_plain"),
+        F.startswith("_kid.label", F.lit("@")).alias("_note"), F.schema_of_variant(F.when(_members(value).isNull(), value)).alias("_kind"),
     )
+    out = out.withColumn("_path", F.concat("path", F.lit("/"), "_name")).withColumn("_list", F.coalesce(F.startswith("_kind", F.lit("ARRAY")), F.lit(False)))
+    unknown = F.lit(False) if shape.known is None else ~F.col("_path").isin(*shape.known) & ~F.col("_note")
+    text = F.col("_path").isin(*shape.text) if shape.text else F.lit(False)
+    out = out.withColumn("_odd", F.col("_kid").isNotNull() & unknown).withColumn("_opaque", F.col("_note") | F.col("_odd") | text | F.col("_list"))
+    out = out.withColumn("_inner", F.col("_members").isNotNull() & ~F.col("_opaque")).withColumn("_keys", _literal_map(shape.lists)[F.col("_path")])
+    keys = F.transform("_keys", lambda k: F.col("_members")[k].try_cast("string"))
+    out = out.withColumn("_texts", F.when(F.col("_kid.multi") & F.col("_inner"), keys))
+    by_key = F.array_join(F.zip_with("_keys", "_texts", lambda k, t: F.concat(F.lit("["), k, F.lit("="), _quoted(t), F.lit("]"))), "")
+    has_keys = F.coalesce(F.forall("_texts", lambda t: t.isNotNull()), F.lit(False))
+    place = F.concat(F.lit("["), (F.col("_kid.within") + 1).cast("string"), F.lit("]"))
+    scalar = ~F.col("_inner") & ~F.col("_opaque")
+    predicate = F.when(~F.col("_kid.multi"), F.lit("")).when(has_keys, by_key).when(scalar & F.col("_kid.alone"), F.concat(F.lit("[.="), _quoted(F.col("_plain")), F.lit("]"))).otherwise(place)
+    up = F.col("node_id") != ""
+    made = {
+        "node_id": F.concat("node_id", F.lit("/"), "_name", predicate), "parent_id": F.when(up, F.col("node_id")),
+        "anc_ids": F.when(up, F.concat("anc_ids", F.array("node_id"))).otherwise(F.col("anc_ids")),
+        "doc_key": F.concat("doc_key", F.array(F.concat(F.lpad(F.col("_kid.at").cast("string"), 6, "0"), F.lit("."), F.lpad(F.col("_kid.within").cast("string"), 10, "0")))),
+        "name": F.col("_name"), "kind": F.when(F.col("_note"), "annotation").when(F.col("_opaque"), "opaque").when(F.col("_inner"), F.when(F.col("_kid.multi"), "list").otherwise("container")).otherwise("leaf"),
+        "canon": F.when(F.col("_opaque"), F.to_json("_value")).when(scalar, F.col("_plain")), "label": F.col("_kid.label"),
+        "module": F.when(F.contains("_kid.label", F.lit(":")) & ~F.col("_note"), F.substring_index("_kid.label", ":", 1)).otherwise(F.col("module")), "path": F.col("_path"),
+        "type": F.when(F.col("_opaque"), "opaque").when(F.col("_inner"), "object").when(F.col("_kind") == "STRING", "string").when(F.col("_kind") == "BOOLEAN", "boolean").when(F.col("_kind") == "VOID", "null").otherwise("number"),
+        "multi": F.col("_kid.multi"), "_open": F.when(F.col("_inner"), F.col("_value")), "_unknown": F.col("_odd"),
+    }
+    own = F.col("_kid").isNull()
+    same = {"_open": F.lit(None).cast("variant")}
+    return out.select("tree_id", *[F.when(own, same.get(c, F.col(c))).otherwise(made[c]).alias(c) for c in _STATE[1:]])
 
 
 _STATE = [*COLUMNS, *EXTRA, "_open", "_unknown"]
@@ -136,19 +155,9 @@ def shred_json(docs: DataFrame, tree_id: Column, column: str, shape: Shape | Non
         F.lit("opaque").alias("type"), F.lit(False).alias("multi"), F.when(is_object, F.col("_v")).alias("_open"), F.lit(False).alias("_unknown"),
     )
     for _ in range(depth):
-        up = {c: F.col(c) for c in _STATE}
-        me = F.struct(*[(F.lit(None).cast("variant") if c == "_open" else F.col(c)).alias(c) for c in _STATE])
-
-        def member(e: Column, i: Column) -> Column:
-            many = _elements(e["value"])
-            each = F.transform(many, lambda x, j: _child(up, e["key"], x, i, j, F.lit(True), many, shape))
-            return F.when(many.isNotNull() & ~F.startswith(e["key"], F.lit("@")), each).otherwise(F.array(_child(up, e["key"], e["value"], i, F.lit(0), F.lit(False), F.array(e["value"]), shape)))
-
-        children = F.flatten(F.transform(F.map_entries(_members(F.col("_open"))), member))
+        rows = _opened(rows, shape)
         if shape.unknown == "skip":
-            children = F.filter(children, lambda c: ~c["_unknown"])
-        more = F.when(F.col("_open").isNotNull(), F.concat(F.array(me), children)).otherwise(F.array(me))
-        rows = rows.select(F.explode(more).alias("_n")).select("_n.*")
+            rows = rows.where("NOT _unknown")
     if shape.unknown == "reject":
         fail = F.raise_error(F.concat(F.lit("unknown node "), F.col("node_id"))).cast("boolean")
         rows = rows.where(F.when(F.col("_unknown"), fail).otherwise(True))
@@ -193,6 +202,8 @@ def _xml_nodes(tree: str, text: str, shape: Shape) -> Iterator[tuple]:
         same: dict[str, list] = {}
         for c in e:
             same.setdefault(c.tag, []).append(c)
+        place = {c: i for group in same.values() for i, c in enumerate(group, 1)}
+        unique = {tag: len({x.text or "" for x in group}) == len(group) for tag, group in same.items()}
         for i, c in reversed(list(enumerate(e))):
             group, below = same[c.tag], f"{path}/{split(c.tag)[1]}"
             many = len(group) > 1 or below in shape.lists or below in shape.leaf_lists
@@ -202,10 +213,10 @@ def _xml_nodes(tree: str, text: str, shape: Shape) -> Iterator[tuple]:
                 keys = shape.lists.get(below)
                 if keys and all(k in values for k in keys):
                     step = "".join(f"[{k}={quoted(values[k])}]" for k in keys)
-                elif not len(c) and sum((x.text or "") == (c.text or "") for x in group) == 1:
+                elif not len(c) and unique[c.tag]:
                     step = f"[.={quoted(c.text or '')}]"
                 else:
-                    step = f"[{group.index(c) + 1}]"
+                    step = f"[{place[c]}]"
             stack.append((c, here, anc, key, path, module, i, step, many))
 
 
@@ -253,15 +264,17 @@ def print_json(nodes: DataFrame, mode: str = "explicit", depth: int | None = Non
     shown, tagged = modes[mode]
     leaf = F.col("kind") == "leaf"
     text = F.when(F.col("type").isin("opaque", "number", "boolean"), F.col("canon")).when(F.col("type") == "null", F.lit("null")).otherwise(_json_text(F.col("canon")))
-    rows = nodes.where(~leaf | shown).select(
-        "tree_id", "node_id", "parent_id", F.size("anc_ids").alias("_d"), "doc_key", "label", "multi", F.when(~F.col("kind").isin("container", "list"), text).alias("_text"), (leaf & tagged).alias("_tag"), (F.col("kind") == "container").alias("_box"),
+    # A leaf that is left out keeps its row, without text, so that its tree is still known.
+    rows = nodes.select(
+        (leaf & ~shown).alias("_out"), "tree_id", "node_id", "parent_id", F.size("anc_ids").alias("_d"), "doc_key", "label", "multi", F.when(~F.col("kind").isin("container", "list"), text).alias("_text"), (leaf & tagged).alias("_tag"), (F.col("kind") == "container").alias("_box"),
     )
+    rows = settled(rows)
     if depth is None:
-        depth = nodes.agg(F.max(F.size("anc_ids"))).first()[0]
+        depth = rows.agg(F.max("_d")).first()[0]
     empty = "{}" if mode.startswith("report-all") else None
     below = None
     for d in range(-1 if depth is None else depth, -1, -1):
-        here = rows.where(F.col("_d") == d)
+        here = rows.where((F.col("_d") == d) & ~F.col("_out")).drop("_out")
         if below is None:
             here = here.withColumn("_t", F.coalesce("_text", F.when(F.col("_box"), F.lit(empty)).otherwise(F.lit("{}"))))
         else:
@@ -277,7 +290,7 @@ def print_json(nodes: DataFrame, mode: str = "explicit", depth: int | None = Non
         below = below.groupBy("tree_id", "parent_id").agg(F.array_sort(F.collect_list("_m")).alias("_m"))
         below = below.select("tree_id", "parent_id", F.concat(F.lit("{"), F.array_join(F.transform("_m", lambda m: m["t"]), ","), F.lit("}")).alias("_inner"))
     # A text that was no object stands for itself.
-    trees = nodes.groupBy("tree_id").agg(F.max(F.when(F.col("node_id") == "/", F.col("canon"))).alias("_whole"))
+    trees = rows.groupBy("tree_id").agg(F.max(F.when(F.col("node_id") == "/", F.col("_text"))).alias("_whole"))
     if below is None:
         return trees.select("tree_id", F.coalesce("_whole", F.lit("{}")).alias("document"))
     return trees.join(below.where("parent_id IS NULL"), "tree_id", "left").select("tree_id", F.coalesce("_whole", "_inner", F.lit("{}")).alias("document"))

@@ -45,7 +45,7 @@ def walk(value, path, label, ids, shape):
                     yield here + step, None
                     yield from walk(e, at, key, here + step, shape)
                 else:
-                    yield here + (f"[.='{e}']" if x.count(e) == 1 else f"[{i + 1}]"), str(e)
+                    yield here + (f"[.='{e}']" if len(set(x)) == len(x) else f"[{i + 1}]"), str(e)
         elif isinstance(x, dict):
             yield here, None
             yield from walk(x, at, key, here, shape)
