@@ -114,11 +114,31 @@ def store_ipv4_prefix(s: Column) -> Column:
     return _stored(canon, shape & bits.isNotNull() & (F.concat(plain, F.lit("/"), bits.cast("string")) == s), "not a valid ipv4-prefix")
 
 
-def store_date_and_time(s: Column) -> Column:
-    """Date, time, optional fraction and zone; a stamp in UTC has the zone +00:00, an unknown zone stays -00:00."""
-    shape = F.rlike(s, F.lit(r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])T(0[0-9]|1[0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$"))
-    day = F.substring(s, 1, 10).try_cast("date").isNotNull()
-    return _stored(F.regexp_replace(s, "Z$", "+00:00"), shape & day, "not a valid date-and-time")
+def store_date_and_time(s: Column, z_is_unknown: bool = False) -> Column:
+    """An instant, printed in UTC with the fraction as written: equal instants have equal forms, in whatever zone they come.
+
+    The zone -00:00, and with ``z_is_unknown`` (the later revision of the type) also Z, says that the local zone is not
+    known; it is kept apart, as -00:00 or Z. A zone has up to 23 hours and 59 minutes; the sign counts for hours only, so
+    -00:30 is half an hour ahead. A 60th second is the next minute's first.
+    """
+    shape = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2}):([0-9]{2}):([0-9]{2})(\.[0-9]+)?(?:Z|([+-][0-9]{2}):([0-9]{2}))$"
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(s, shape, i)
+
+    def num(i: int) -> Column:
+        return F.coalesce(part(i).try_cast("bigint"), F.lit(0).cast("bigint"))
+
+    day = part(1).try_cast("date")
+    ok = day.isNotNull() & (num(2) < 24) & (num(3) < 60) & (num(4) <= 60) & (F.abs(num(6)) < 24) & (num(7) < 60)
+    ahead = num(6) * 3600 + F.when(num(6) < 0, -num(7)).otherwise(num(7)) * 60
+    total = F.date_diff(day, F.lit("1970-01-01").cast("date")).cast("bigint") * 86400 + num(2) * 3600 + num(3) * 60 + num(4) - ahead
+    left = F.pmod(total, F.lit(86400).cast("bigint"))
+    date = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(total / 86400).cast("int"))
+    time = F.concat_ws(":", *[F.lpad(x.cast("bigint").cast("string"), 2, "0") for x in (F.floor(left / 3600), F.floor(F.pmod(left, F.lit(3600)) / 60), F.pmod(left, F.lit(60)))])
+    unknown = F.endswith(s, F.lit("-00:00")) | (F.endswith(s, F.lit("Z")) & F.lit(z_is_unknown))
+    zone = F.when(unknown, "Z" if z_is_unknown else "-00:00").otherwise("+00:00")
+    return _stored(F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit("T"), time, part(5), zone), ok, "not a valid date-and-time")
 
 
 def store_union(*members: Column) -> Column:
@@ -134,8 +154,17 @@ def same_value(a: Column, b: Column) -> Column:
     return F.coalesce(a["ok"] & b["ok"] & (a["canon"] == b["canon"]), F.lit(False))
 
 
-def sort_key(canon: Column, kind: str) -> Column:
-    """Bytes whose order is the type's order: fixed-width numbers, texts as they are."""
+def sort_key(canon: Column, kind: str, values: dict[str, int] | None = None) -> Column:
+    """Bytes whose order is the type's order: fixed-width numbers, instants with their fraction, enumerations by their
+    ``values``, addresses by their octets, texts as they are."""
+    if kind == "date-and-time":
+        fraction = F.regexp_replace(F.regexp_extract(canon, r"\.([0-9]+)", 1), "0+$", "")
+        return F.encode(F.concat(F.substring(canon, 1, 19), F.lit("."), fraction), "UTF-8")
+    if kind == "enumeration":
+        pairs = [F.lit(x) for kv in (values or {}).items() for x in kv]
+        return F.encode(F.lpad((F.create_map(*pairs)[canon].cast("bigint") + (1 << 31)).cast("string"), 10, "0"), "UTF-8")
+    if kind == "ipv4-address":
+        return F.encode(F.lpad(_address(F.substring_index(canon, "%", 1))[1].cast("string"), 10, "0"), "UTF-8")
     if kind in INTEGERS:
         shifted = canon.cast("decimal(38,0)") + F.lit(str(1 << 64)).cast("decimal(38,0)")
         return F.encode(F.lpad(shifted.cast("string"), 21, "0"), "UTF-8")
@@ -145,6 +174,12 @@ def sort_key(canon: Column, kind: str) -> Column:
     return F.encode(canon, "UTF-8")
 
 
+def same_instant(a: Column, b: Column) -> Column:
+    """Whether two stored date-and-times are one instant; 0.5 and 0.50 seconds are the same, an unknown zone is another."""
+    known = F.endswith(a["canon"], F.lit("+00:00")) == F.endswith(b["canon"], F.lit("+00:00"))
+    return F.coalesce(a["ok"] & b["ok"] & known & (sort_key(a["canon"], "date-and-time") == sort_key(b["canon"], "date-and-time")), F.lit(False))
+
+
 def ranked(df: DataFrame, key: Column, out: str = "pos") -> DataFrame:
     """Numbers all rows from 1 in the order of ``key``: ranges are sorted apart, and each starts after the rows of
     those before it. Only one count per range meets in one place."""

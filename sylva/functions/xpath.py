@@ -16,9 +16,24 @@ def _text(s: Column) -> Column:
     return F.coalesce(s, F.lit(""))
 
 
+# What numbers look like after leading white space: decimal, hexadecimal with a binary exponent, infinite.
+DECIMAL = r"^[ \t\n\x0B\f\r]*([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)$"
+HEXADECIMAL = r"^[ \t\n\x0B\f\r]*([+-]?)0[xX](?=\.?[0-9a-fA-F])([0-9a-fA-F]*)(?:\.([0-9a-fA-F]*))?(?:[pP]([+-]?[0-9]+))?$"
+INFINITE = r"^[ \t\n\x0B\f\r]*([+-]?)(?i:inf|infinity)$"
+
+
 def number(s: Column) -> Column:
-    """NaN for text that is not a number."""
-    return F.coalesce(F.trim(s).try_cast("double"), F.lit(NAN))
+    """NaN for text that is not a number as a whole, or is one out of range. White space may stand before it only."""
+    def part(pattern: str, i: int) -> Column:
+        return F.regexp_extract(s, pattern, i)
+
+    plain = F.nullif(part(DECIMAL, 1), F.lit("")).try_cast("double")
+    plain = F.when(F.abs(plain) < float("inf"), plain)
+    digits = F.conv(F.concat(part(HEXADECIMAL, 2), part(HEXADECIMAL, 3)), 16, 10).try_cast("double")
+    power = F.coalesce(part(HEXADECIMAL, 4).try_cast("double"), F.lit(0.0)) - F.length(part(HEXADECIMAL, 3)) * 4
+    hexa = F.when(F.rlike(s, F.lit(HEXADECIMAL)), digits * F.pow(F.lit(2.0), power) * F.when(part(HEXADECIMAL, 1) == "-", -1.0).otherwise(1.0))
+    endless = F.when(F.rlike(s, F.lit(INFINITE)), F.when(part(INFINITE, 1) == "-", float("-inf")).otherwise(float("inf")))
+    return F.coalesce(plain, hexa, endless, F.lit(NAN))
 
 
 def boolean(x: Column) -> Column:

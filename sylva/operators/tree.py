@@ -123,9 +123,9 @@ def text(here: DataFrame) -> DataFrame:
     return here.where("kind = 'leaf'")
 
 
-def find(nodes: DataFrame, path: str) -> DataFrame:
-    """The node of a data path, or none."""
-    return nodes.where(F.col("node_id") == path)
+def find(nodes: DataFrame, path: str, tree: str | None = None) -> DataFrame:
+    """The node of a data path in one tree, or in each if none is named."""
+    return nodes.where((F.col("node_id") == path) & (F.lit(True) if tree is None else F.col("tree_id") == tree))
 
 
 def any_depth(nodes: DataFrame, name: str) -> DataFrame:

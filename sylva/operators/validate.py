@@ -42,10 +42,14 @@ def unique(df: DataFrame, name: str, leaves: list[str], within: list[str] = ())
     return _diagnostics(twice, "data-not-unique", path_of(name, [*within, *leaves]), F.concat(F.col("n").cast("string"), F.lit(" entries")))
 
 
-def leafref(df: DataFrame, name: str, keys: list[str], leaf: str, target: DataFrame, target_leaf: str) -> DataFrame:
-    """References without an instance: an anti join, so a missing target costs no more than a hit."""
-    there = target.select(F.col(target_leaf).alias("_t")).where("_t IS NOT NULL").distinct()
-    bad = df.where(F.col(leaf).isNotNull()).join(there, F.col(leaf) == F.col("_t"), "left_anti")
+def leafref(df: DataFrame, name: str, keys: list[str], leaf: str, target: DataFrame, target_leaf: str, within: list[str] = ()) -> DataFrame:
+    """References without an instance: an anti join, so a missing target costs no more than a hit. Columns ``within``, such
+    as a tree's id, must agree too."""
+    there = target.select(F.col(target_leaf).alias("_t"), *[F.col(c).alias(f"_w_{c}") for c in within]).where("_t IS NOT NULL").distinct()
+    same = F.col(leaf) == F.col("_t")
+    for c in within:
+        same &= F.col(c).eqNullSafe(F.col(f"_w_{c}"))
+    bad = df.where(F.col(leaf).isNotNull()).join(there, same, "left_anti")
     return _diagnostics(bad, "instance-required", path_of(name, keys), F.concat(F.lit(f"{leaf} refers to "), F.col(leaf).cast("string")))
 
 
@@ -141,8 +145,10 @@ def derived_from(df: DataFrame, leaf: str, closure: DataFrame, base: str, or_sel
 
 
 def instance_required(df: DataFrame, name: str, keys: list[str], leaf: str, nodes: DataFrame) -> DataFrame:
-    """Instance identifiers without a node: the leaf holds a data path."""
-    bad = df.where(F.col(leaf).isNotNull()).join(nodes.select(F.col("node_id").alias("_n")), F.col(leaf) == F.col("_n"), "left_anti")
+    """Instance identifiers without a node: the leaf holds a data path. Entries that name their tree_id need it in that tree."""
+    there = nodes.select(F.col("node_id").alias("_n"), F.col("tree_id").alias("_t"))
+    same = F.col("tree_id") == F.col("_t") if "tree_id" in df.columns else F.lit(True)
+    bad = df.where(F.col(leaf).isNotNull()).join(there, (F.col(leaf) == F.col("_n")) & same, "left_anti")
     return _diagnostics(bad, "instance-required", path_of(name, keys), F.concat(F.lit(f"{leaf} names no node: "), F.col(leaf)))
 
 

@@ -493,9 +493,9 @@ def e31(s, d):
     return V.derived_from(kinds, "kind", a22(s, d), "r2", or_self=True)
 
 
-@query("e33_bit_is_set", "SELECT p_partkey FROM part WHERE list_contains(string_split(p_type, ' '), 'BRASS')")
+@query("e33_bit_is_set", "SELECT p_partkey FROM part WHERE list_contains(string_split(p_type, ' '), 'PROMO')")
 def e33(s, d):
-    return _t(s, d, "part").where(X.bit_is_set(F.split("p_type", " "), "BRASS")).select("p_partkey")
+    return _t(s, d, "part").where(X.bit_is_set(F.split("p_type", " "), "PROMO")).select("p_partkey")
 
 
 @query("g6_pattern_anchors", "SELECT p_partkey, false AS anchored, true AS plain, p_size % 2 = 1 AS odd FROM part")

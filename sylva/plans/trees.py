@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylva.functions import types as Y
 from sylva.operators import contexts as N
+from sylva.operators import defaults as H
 from sylva.operators import diff as D
 from sylva.operators import fixpoint as P
 from sylva.operators import intervals as I
@@ -203,3 +205,43 @@ def f9_fold(s, d):
 def f9_applied(s, d):
     base = _t(s, d, "orders").select("o_orderkey", "o_totalprice")
     return D.apply_diff(base, f9_fold(s, d), ["o_orderkey"], ["o_totalprice"])
+
+
+def _judged(s: SparkSession, d: str) -> DataFrame:
+    """A tree a document: a container for its label, if it has any, beside the language."""
+    both = _t(s, d, "documents").select("doc_id", "lang").join(_t(s, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    text = F.to_json(F.struct(F.struct(F.coalesce("lang", F.lit("")).alias("lang"), F.when(F.col("quality").isNotNull(), F.struct("quality")).alias("judged")).alias("doc")))
+    nodes = C.shred_json(both.select("doc_id", text.alias("t")), F.col("doc_id"), "t", depth=3)
+    return H.implied(nodes, ["/doc/judged", "/doc/judged/limits", "/stats"], {"/doc/judged/quality": "0", "/doc/judged/limits/most": "5", "/stats/seen": "no"})
+
+
+@query("h6_implied_tree", "WITH d AS (SELECT d.doc_id::VARCHAR AS tree_id, coalesce(lang, '') AS lang, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) SELECT tree_id, '/doc' AS node_id, NULL AS canon, false AS implicit FROM d UNION ALL SELECT tree_id, '/doc/lang', lang, false FROM d UNION ALL SELECT tree_id, '/doc/judged', NULL, quality IS NULL FROM d UNION ALL SELECT tree_id, '/doc/judged/quality', coalesce(quality, 0)::VARCHAR, quality IS NULL FROM d UNION ALL SELECT tree_id, '/doc/judged/limits', NULL, true FROM d UNION ALL SELECT tree_id, '/doc/judged/limits/most', '5', true FROM d UNION ALL SELECT tree_id, '/stats', NULL, true FROM d UNION ALL SELECT tree_id, '/stats/seen', 'no', true FROM d")
+def h6_tree(s, d):
+    return _judged(s, d).select("tree_id", "node_id", "canon", "implicit")
+
+
+@query("h8_container_flags", "WITH d AS (SELECT d.doc_id::VARCHAR AS tree_id, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) SELECT tree_id, '/doc' AS node_id, false AS is_default FROM d UNION ALL SELECT tree_id, '/doc/judged', quality IS NULL FROM d UNION ALL SELECT tree_id, '/doc/judged/limits', true FROM d UNION ALL SELECT tree_id, '/stats', true FROM d")
+def h8(s, d):
+    return H.container_flags(_judged(s, d)).where("kind = 'container'").select("tree_id", "node_id", F.col("default").alias("is_default"))
+
+
+@query("g8_instants", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.50+00:00' AS canon, true AS equal, event_id % 2 = 0 AS before FROM events")
+def g8_instants(s, d):
+    # One instant in two zones and with two fractions of the same size, and another one a little earlier or later.
+    def written(moved: str, zone: str, fraction: str):
+        return F.concat(F.date_format(F.col("ts") + F.expr(moved), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(fraction + zone))
+
+    one, two = Y.store_date_and_time(written("INTERVAL 0 HOURS", "Z", ".50")), Y.store_date_and_time(written("INTERVAL 5 HOURS 30 MINUTES", "+05:30", ".5"))
+    other = Y.store_date_and_time(F.concat(F.date_format(F.col("ts") - F.expr("INTERVAL 3 HOURS"), "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 2 == 0, ".51-03:00").otherwise(".4999-03:00")))
+    before = Y.sort_key(one["canon"], "date-and-time") < Y.sort_key(other["canon"], "date-and-time")
+    return _t(s, d, "events").select("event_id", one["canon"].alias("canon"), Y.same_instant(one, two).alias("equal"), before.alias("before"))
+
+
+@query("d27_number_shapes", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey::DOUBLE WHEN 1 THEN (o_orderkey % 4096)::DOUBLE WHEN 2 THEN NULL WHEN 3 THEN o_orderkey * 100::DOUBLE ELSE NULL END AS value FROM orders")
+def d27_shapes(s, d):
+    from sylva.functions import xpath as X
+
+    k = F.col("o_orderkey")
+    text = F.when(k % 5 == 0, F.concat(F.lit(" "), k.cast("string"))).when(k % 5 == 1, F.concat(F.lit("0x"), F.hex(k % 4096))).when(k % 5 == 2, F.concat(k.cast("string"), F.lit("d"))).when(k % 5 == 3, F.concat(k.cast("string"), F.lit("e2"))).otherwise(F.concat(k.cast("string"), F.lit(" ")))
+    value = X.number(text)
+    return _t(s, d, "orders").select("o_orderkey", F.when(~F.isnan(value), value).alias("value"))

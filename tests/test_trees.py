@@ -271,3 +271,43 @@ def test_keys_in_paths_are_told_apart(spark):
     rows = spark.createDataFrame([("a", "x]/k[1"), ("a", "plain 1"), ("a'b", "y")], "p string, k string")
     ids = {r.node_id for r in R.shred(rows, F.lit("t"), [("p", "p"), ("k", "k")], []).collect()}
     assert ids == {"/p[a]/k['x]/k[1']", "/p[a]/k[plain 1]", "/p['a''b']/k[y]"}
+
+
+def test_numbers_and_instants_as_written(spark):
+    from sylva.functions import types as Y
+    from sylva.functions import xpath as X
+
+    nan, inf = float("nan"), float("inf")
+    cases = {"1d": nan, "0x1F": 31.0, "-0x1.8p1": -3.0, " 12": 12.0, "12 ": nan, "1e3": 1000.0, ".5": 0.5, "5.": 5.0, "": nan, "+7": 7.0, "inf": inf, "-Infinity": -inf, "1e999": nan, "0x": nan, "1_0": nan, "\t3": 3.0}
+    got = {r.s: r.n for r in spark.createDataFrame([(k,) for k in cases], "s string").select("s", X.number(F.col("s")).alias("n")).collect()}
+    assert {k: repr(v) for k, v in got.items()} == {k: repr(v) for k, v in cases.items()}
+    stamps = {
+        "2024-01-01T12:00:00+02:00": "2024-01-01T10:00:00+00:00", "2024-01-01T00:30:00.250+01:00": "2023-12-31T23:30:00.250+00:00", "2024-02-29T00:00:00Z": "2024-02-29T00:00:00+00:00", "2024-01-01T12:00:00-00:00": "2024-01-01T12:00:00-00:00",
+        "2024-01-01T00:00:00+99:99": None, "2023-02-29T00:00:00Z": None, "2024-12-31T23:59:60Z": "2025-01-01T00:00:00+00:00", "2024-01-01T12:00:00-03:30": "2024-01-01T15:30:00+00:00", "2024-01-01 12:00:00Z": None, "2024-01-01T24:00:00Z": None,
+    }
+    got = {r.s: r.c for r in spark.createDataFrame([(k,) for k in stamps], "s string").select("s", Y.store_date_and_time(F.col("s"))["canon"].alias("c")).collect()}
+    assert got == stamps
+    assert spark.range(1).select(Y.store_date_and_time(F.lit("2024-01-01T12:00:00Z"), z_is_unknown=True)["canon"]).first()[0] == "2024-01-01T12:00:00Z"
+    low, high = (Y.sort_key(F.lit(x), "enumeration", {"up": 5, "down": -3}) for x in ("down", "up"))
+    assert spark.range(1).select(low < high, Y.sort_key(F.lit("9.0.0.1"), "ipv4-address") < Y.sort_key(F.lit("10.0.0.1"), "ipv4-address")).first()[:] == (True, True)
+
+
+def test_other_trees_hold_no_instances(spark):
+    from sylva.operators import validate as V
+
+    nodes = spark.createDataFrame([("t1", "/a"), ("t2", "/b")], "tree_id string, node_id string")
+    refs = spark.createDataFrame([("t1", "1", "/a"), ("t1", "2", "/b"), ("t2", "3", "/b")], "tree_id string, k string, at string")
+    assert [r.path for r in V.instance_required(refs, "r", ["k"], "at", nodes).collect()] == ["/r[k='2']"]
+    assert [r.path for r in V.leafref(refs, "r", ["k"], "at", nodes, "node_id", ["tree_id"]).collect()] == ["/r[k='2']"]
+    assert R.find(nodes.withColumns({c: F.lit("") for c in R.COLUMNS if c not in nodes.columns}), "/b", "t1").count() == 0
+
+
+def test_flags_go_up_and_stop_at_what_was_set(spark):
+    from sylva.operators import defaults as H
+
+    docs = spark.createDataFrame([(1, '{"a":{"b":{"x":1}}}'), (2, '{"a":{}}'), (3, '{"l":[{"k":"1"}]}')], "id int, t string")
+    nodes = H.implied(C.shred_json(docs, F.col("id"), "t", C.Shape({"/l": ["k"]})), ["/a", "/a/b", "/a/b/c"], {"/a/b/x": "0", "/a/b/c/y": "9", "/l/z": "7"})
+    got = {(r.tree_id, r.node_id): (r.implicit, r.default) for r in H.container_flags(nodes).collect()}
+    assert got["1", "/a"] == (False, False) and got["1", "/a/b"] == (False, False) and got["1", "/a/b/c"] == (True, True) and got["1", "/a/b/c/y"] == (True, True) and got["1", "/a/b/x"] == (False, False)
+    assert got["2", "/a"] == (False, True) and got["2", "/a/b/x"] == (True, True) and got["3", "/a/b/c"] == (True, True) and got["3", "/l[k='1']/z"] == (True, True) and got["3", "/l[k='1']"] == (False, False)
+    assert H.container_flags(nodes, ["/a/b/c"]).where("tree_id = '2' AND node_id = '/a'").first().default is False
