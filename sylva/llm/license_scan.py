@@ -23,6 +23,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,11 @@ from .patience import align
 
 #: Share of a notice's words that must align.
 LEAST = 0.7
+#: Up to so many words a notice is short: one word makes it another license's. All of its telling words must align, and
+#: those that stand side by side must do so in the text.
+SHORT = 20
+# Words of short notices that do not tell one license from another.
+PLAIN_WORDS = frozenset("a at by code copy dedicated domain file form following in is licence license licensed of public released source subject terms the this to under v version with work".split()) - {"by"}
 
 # The notices, as their licenses word them.
 NOTICES = {
@@ -82,6 +89,11 @@ class Notices:
         for part in slices(texts):
             w = _words(*part)
             self.words += np.split(w.hash, w.bounds()[1:-1])
+        # Of short notices, which words tell.
+        self.telling = []
+        for n, own in zip(self.names, self.words):
+            parts = re.findall("[a-z0-9]+", notices[n].lower())
+            self.telling.append([p not in PLAIN_WORDS for p in parts] if len(own) <= SHORT else [])
         self.vocabulary = np.unique(np.concatenate(self.words))
         self.has = np.array([np.isin(self.vocabulary, w) for w in self.words])
         # At most the words not found at all are missing from an alignment, however often they occur.
@@ -122,6 +134,15 @@ def _full(words: np.ndarray, often: np.ndarray, size: int, least: float) -> np.n
     return np.array(out, np.int64)
 
 
+def _tells(telling: list[bool], pairs: list[tuple[int, int]]) -> bool:
+    """Whether all telling words of a notice are among the aligned ones, and neighbours among them are neighbours."""
+    place = {own: there for there, own in pairs}
+    for i, tells in enumerate(telling):
+        if tells and (i not in place or i and telling[i - 1] and place[i] != place[i - 1] + 1):
+            return False
+    return True
+
+
 def _scan(notices: Notices, hashes: np.ndarray, k: int) -> tuple[float, int, int]:
     """Best (coverage, first word, last word) of notice k in a text; coverage is 0 if none reaches the least."""
     own = notices.words[k]
@@ -147,6 +168,8 @@ def _scan(notices: Notices, hashes: np.ndarray, k: int) -> tuple[float, int, int
         if len(inside) < least or np.minimum(np.bincount(inside, minlength=len(often)), often).sum() < max(least, best[0] * size + 1e-9):
             continue
         pairs = align(hashes[a:b].tolist(), own.tolist())
+        if not _tells(notices.telling[k], pairs):
+            continue
         if pairs and len(pairs) / size > best[0]:
             best = (len(pairs) / size, a + pairs[0][0], a + pairs[-1][0])
     return best

@@ -291,4 +291,6 @@ def drop_near(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **opt
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"))
+    """Here kept says that a row has its component's id; ``near_groups`` keeps one row of a component, also where ids repeat."""
+    found = near_groups(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -214,3 +214,59 @@ def test_personal_data_query(spark, docs, empty):
         assert [(s.kind, s.start, s.end) for s in r.found if s.base] == slow_plain(t or "")
     assert got[made[0]].clean == "mail <email>, <ip>" and got[made[2]].clean == "<email> or é <email>" and got[made[1]].clean == ""
     assert personal_data.find_spans(empty).count() == 0
+
+
+def test_licenses_that_differ_by_a_word(spark):
+    from sylva.llm import license_scan
+
+    lines = {
+        "Released under the BSD License.": None, "Released under the ISC License.": None, "Licensed under CC BY-ND 4.0.": None, "Licensed under the Apache License, Version 1.1.": None,
+        "This work is licensed under the GNU General Public License, version 1.": None, "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0", "released under the  mit licence.": "MIT-short", "It is under the Apache license, version 2.0": "Apache-2.0",
+    }
+    df = spark.createDataFrame([(f"some words before\n{t}\nand after",) for t in lines], "doc_id string").withColumn("text", F.col("doc_id"))
+    got = {r.doc_id.split("\n")[1]: r for r in license_scan.scan_licenses(df).collect()}
+    assert {t: r.license for t, r in got.items()} == lines
+    assert all(r.notices == ([r.license] if r.license else []) for r in got.values())
+
+
+def test_short_notices_equal_a_slow_search(spark):
+    """Every one-word variant of every short notice, against all others by the longest common subsequence of words."""
+    from sylva.llm import license_scan
+
+    words = lambda t: re.findall("[a-z0-9]+", t.lower())
+    short = {n: words(t) for n, t in license_scan.NOTICES.items() if len(words(t)) <= license_scan.SHORT}
+    texts = [w for own in short.values() for w in [own, *[own[:i] + ["other"] + own[i + 1 :] for i in range(len(own))], *[own[:i] + own[i + 1 :] for i in range(len(own))]]]
+
+    def common(x, y):
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
+    for i, t in enumerate(texts):
+        for n, own in short.items():
+            telling = [w for w in own if w not in license_scan.PLAIN_WORDS]
+            if n in got[i].notices:
+                assert common(t, own) >= license_scan.LEAST * len(own) and common(t, telling) == len(telling)
+            elif t == own:
+                raise AssertionError(n)
+    # A changed telling word is noticed, a changed plain one is not.
+    for n, own in short.items():
+        for k, w in enumerate(own):
+            found = got[texts.index(own[:k] + ["other"] + own[k + 1 :])].notices
+            assert (n in found) == (w in license_scan.PLAIN_WORDS), (n, w)
+
+
+def test_near_query_keeps_the_component_s_id(spark, monkeypatch):
+    from sylva.llm import near_dedup
+
+    one = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, one), (1, one), (2, one), (3, "x y z a b c"), (4, None)], "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "table", lambda *_: df)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.op10_near_dedup(spark, "").collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (4, 4, True)]
+    assert near_dedup.drop_near(df).count() == 3
