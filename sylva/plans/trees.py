@@ -16,6 +16,7 @@ from sylva.operators import tree as R
 from sylva.operators import treediff as T
 from sylva.plans.catalog import _CP, _GEO, _MOVED, _NP, _geo, _ordered, _t, query
 from sylva.sources import documents as C
+from sylva.streaming import changelog as S
 
 _LINES = "l AS (SELECT l_orderkey AS k, l_suppkey AS s, min(l_linenumber) AS n, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL)"
 _SHAPE = C.Shape({"/order/line": ["supp"]})
@@ -245,3 +246,16 @@ def d27_shapes(s, d):
     text = F.when(k % 5 == 0, F.concat(F.lit(" "), k.cast("string"))).when(k % 5 == 1, F.concat(F.lit("0x"), F.hex(k % 4096))).when(k % 5 == 2, F.concat(k.cast("string"), F.lit("d"))).when(k % 5 == 3, F.concat(k.cast("string"), F.lit("e2"))).otherwise(F.concat(k.cast("string"), F.lit(" ")))
     value = X.number(text)
     return _t(s, d, "orders").select("o_orderkey", F.when(~F.isnan(value), value).alias("value"))
+
+
+@query("s3_replies", "SELECT q.event_id, r.event_id AS answer FROM events q LEFT JOIN events r ON r.event_id = q.event_id + 1 AND r.ts BETWEEN q.ts AND q.ts + INTERVAL 1 HOUR WHERE q.event_id % 2 = 0")
+def s3(s, d):
+    e = _t(s, d, "events").select("event_id", "ts", (F.col("event_id") - F.col("event_id") % 2).alias("message"))
+    out = S.replies(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "message", "ts", "1 HOUR")
+    return out.select("event_id", F.col("answer_event_id").alias("answer"))
+
+
+@query("s2_updates_folded", "SELECT user_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id HAVING arg_max(event_id % 7, event_id) <> 0")
+def s2_updates(s, d):
+    log = _t(s, d, "events").select("user_id", "event_id", "value", F.when(F.col("event_id") % 7 == 0, "delete").otherwise("replace").alias("op"))
+    return S.fold(S.updates(log, ["user_id"], ["value"], "event_id"), ["user_id"], ["value"], "event_id")

@@ -311,3 +311,45 @@ def test_flags_go_up_and_stop_at_what_was_set(spark):
     assert got["1", "/a"] == (False, False) and got["1", "/a/b"] == (False, False) and got["1", "/a/b/c"] == (True, True) and got["1", "/a/b/c/y"] == (True, True) and got["1", "/a/b/x"] == (False, False)
     assert got["2", "/a"] == (False, True) and got["2", "/a/b/x"] == (True, True) and got["3", "/a/b/c"] == (True, True) and got["3", "/l[k='1']/z"] == (True, True) and got["3", "/l[k='1']"] == (False, False)
     assert H.container_flags(nodes, ["/a/b/c"]).where("tree_id = '2' AND node_id = '/a'").first().default is False
+
+
+def test_streams_keep_state_by_key(spark, tmp_path):
+    from sylva.streaming import changelog as S
+
+    schema = "k int, op string, v int, seq int"
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+
+    def feed(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        S.keep_updates(stream, ["k"], ["v"], "seq", out, check).awaitTermination(120)
+
+    def state():
+        return {r.k: r.v for r in S.kept(spark, out, ["k"], ["v"], "seq").collect()}
+
+    feed([(k, "create", k, 1) for k in range(50)])
+    assert state() == {k: k for k in range(50)}
+    feed([(3, "replace", 33, 5), (4, "delete", None, 5)])  # another query from the same checkpoint: a restart
+    feed([(3, "replace", 7, 2), (4, "replace", 8, 3), (5, "replace", 55, 3)])  # older than what is known of 3 and 4
+    assert state() == {k: k for k in range(50) if k not in (3, 4, 5)} | {3: 33, 5: 55}
+    assert [spark.read.parquet(f"{out}/batch-{i}").count() for i in range(3)] == [50, 2, 3]
+
+
+def test_replies_in_streams_meet_their_requests(spark, tmp_path):
+    from sylva.streaming import changelog as S
+
+    schema = "id string, ts timestamp, what string"
+    at = lambda m: f"2024-01-01 00:{m:02d}:00"
+    asked = [("a", at(0), "get"), ("b", at(1), "get"), ("c", at(2), "get"), ("z", at(59), "get")]
+    given = [("a", at(3), "ok"), ("b", at(30), "late"), ("x", at(2), "none"), ("z", at(59), "ok")]
+    frames = []
+    for name, rows in (("q", asked), ("r", given)):
+        spark.createDataFrame([(i, t, w) for i, t, w in rows], "id string, ts string, what string").select("id", F.col("ts").cast("timestamp").alias("ts"), "what").write.parquet(str(tmp_path / name))
+        frames.append(spark.read.parquet(str(tmp_path / name)))
+    want = {("a", "ok"), ("b", None), ("c", None), ("z", "ok")}
+    assert {(r.id, r.answer_what) for r in S.replies(*frames, "id", "ts").collect()} == want
+    streams = [spark.readStream.schema(schema).parquet(str(tmp_path / x)) for x in ("q", "r")]
+    got: list = []
+    query = S.replies(*streams, "id", "ts").writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(lambda df, _: got.extend(df.collect())).start()
+    query.awaitTermination(120)
+    assert {(r.id, r.answer_what) for r in got} == want
