@@ -14,6 +14,7 @@ from sylva.operators import intervals as I
 from sylva.operators import moves as M
 from sylva.operators import tree as R
 from sylva.operators import treediff as T
+from sylva.plans import schema as K
 from sylva.plans.catalog import _CP, _GEO, _MOVED, _NP, _geo, _ordered, _t, query
 from sylva.sources import documents as C
 from sylva.streaming import changelog as S
@@ -259,3 +260,22 @@ def s3(s, d):
 def s2_updates(s, d):
     log = _t(s, d, "events").select("user_id", "event_id", "value", F.when(F.col("event_id") % 7 == 0, "delete").otherwise("replace").alias("op"))
     return S.fold(S.updates(log, ["user_id"], ["value"], "event_id"), ["user_id"], ["value"], "event_id")
+
+
+_SALES = K.Model(
+    K.ListNode("customer", ["c_custkey"], [K.Leaf("c_custkey", "int64", mandatory=True), K.Leaf("c_acctbal", "double", must="c_acctbal >= 0")]),
+    K.ListNode(
+        "orders", ["o_orderkey"], [K.Leaf("o_orderkey", "int64", mandatory=True), K.Leaf("o_custkey", "int64", leafref=("customer", "c_custkey")), K.Leaf("o_orderpriority", when="o_orderstatus = 'F'")],
+        parent=("customer", ["o_custkey"]), min_elements=1, max_elements=20,
+    ),
+)
+
+
+@query("h1_validate_model", """WITH c AS (SELECT * FROM customer WHERE c_custkey % 10 <> 0)
+SELECT 'must-violation' AS rule, '/customer[c_custkey=''' || c_custkey || ''']' AS path, 'must condition is false' AS message FROM c WHERE c_acctbal < 0
+UNION ALL SELECT 'instance-required', '/orders[o_orderkey=''' || o_orderkey || ''']', 'o_custkey refers to ' || o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM c)
+UNION ALL SELECT 'when-violation', '/orders[o_orderkey=''' || o_orderkey || ''']', 'o_orderpriority is present though its when is false' FROM orders WHERE o_orderstatus <> 'F'
+UNION ALL SELECT CASE WHEN n > 20 THEN 'too-many-elements' ELSE 'too-few-elements' END, '/customer[c_custkey=''' || c_custkey || ''']', n || ' entries' FROM (SELECT c_custkey, count(o_orderkey) AS n FROM c LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1) WHERE n < 1 OR n > 20""")
+def h1(s, d):
+    return _SALES.validate({"customer": _t(s, d, "customer").where("c_custkey % 10 <> 0"), "orders": _t(s, d, "orders")})
+
