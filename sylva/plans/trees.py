@@ -279,3 +279,11 @@ UNION ALL SELECT CASE WHEN n > 20 THEN 'too-many-elements' ELSE 'too-few-element
 def h1(s, d):
     return _SALES.validate({"customer": _t(s, d, "customer").where("c_custkey % 10 <> 0"), "orders": _t(s, d, "orders")})
 
+
+
+@query("c13_print_whole_tree", f"""WITH {_LINES} SELECT k::VARCHAR AS tree_id, '<order xmlns="urn:shop" id="' || k || '">' || string_agg('<line><supp>' || s || '</supp><q xmlns="urn:q">0' || q || '</q></line>', '' ORDER BY '<line><supp>' || s || '</supp><x:q>0' || q) || '</order>' AS document FROM l GROUP BY k""")
+def c13_tree(s, d):
+    line = F.concat(F.lit("<line><supp>"), F.col("l_suppkey").cast("string"), F.lit("</supp><x:q>0"), F.col("q").cast("string"), F.lit("</x:q></line>"))
+    docs = _lines(s, d).groupBy("l_orderkey").agg(F.concat_ws("", F.sort_array(F.collect_list(line))).alias("_l"))
+    text = F.concat(F.lit('<order xmlns="urn:shop" xmlns:x="urn:q" id="'), F.col("l_orderkey").cast("string"), F.lit('">'), "_l", F.lit("</order>"))
+    return C.print_xml(C.shred_xml(docs.select("l_orderkey", text.alias("t")), F.col("l_orderkey"), "t", _SHAPE))

@@ -294,3 +294,37 @@ def print_json(nodes: DataFrame, mode: str = "explicit", depth: int | None = Non
     if below is None:
         return trees.select("tree_id", F.coalesce("_whole", F.lit("{}")).alias("document"))
     return trees.join(below.where("parent_id IS NULL"), "tree_id", "left").select("tree_id", F.coalesce("_whole", "_inner", F.lit("{}")).alias("document"))
+
+
+def _xml_text(value: Column, quote: bool = False) -> Column:
+    out = F.replace(F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.replace(out, F.lit('"'), F.lit("&quot;")) if quote else out
+
+
+def print_xml(nodes: DataFrame, depth: int | None = None) -> DataFrame:
+    """(tree_id, document) of each tree of a node table as ``shred_xml`` gives it: elements in document order, annotations
+    as attributes, a namespace where it differs from the parent's, opaque nodes as they were. Deepest level first, as in
+    ``print_json``; a tree of several roots prints one after the other."""
+    above = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.col("module").alias("_above"))
+    rows = nodes.join(above, ["tree_id", "parent_id"], "left")
+    rows = settled(rows.select("tree_id", "node_id", "parent_id", F.size("anc_ids").alias("_d"), "doc_key", "name", "kind", "canon", "module", "_above"))
+    notes = rows.where("kind = 'annotation'").withColumn("_a", F.concat(F.lit(" "), F.substring("name", F.lit(2), F.length("name")), F.lit('="'), _xml_text(F.col("canon"), True), F.lit('"')))
+    notes = notes.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_key", "_a"))), lambda x: x["_a"]), "").alias("_notes"))
+    rows = rows.where("kind <> 'annotation'").join(notes, ["tree_id", "node_id"], "left")
+    space = F.when(F.col("module").isNotNull() & ~F.col("module").eqNullSafe(F.col("_above")), F.concat(F.lit(' xmlns="'), _xml_text(F.col("module"), True), F.lit('"'))).otherwise("")
+    if depth is None:
+        depth = rows.agg(F.max("_d")).first()[0]
+    below = None
+    for d in range(-1 if depth is None else depth, -1, -1):
+        here = rows.where(F.col("_d") == d)
+        inner = F.coalesce(_xml_text(F.col("canon")), F.lit(""))
+        if below is not None:
+            here = here.join(below.withColumnRenamed("parent_id", "node_id"), ["tree_id", "node_id"], "left")
+            inner = F.coalesce(F.col("_inner"), inner)
+        whole = F.concat(F.lit("<"), "name", space, F.coalesce("_notes", F.lit("")), F.lit(">"), inner, F.lit("</"), F.col("name"), F.lit(">"))
+        here = here.withColumn("_t", F.when(F.col("kind") == "opaque", F.col("canon")).otherwise(whole))
+        below = here.groupBy("tree_id", "parent_id").agg(F.array_sort(F.collect_list(F.struct("doc_key", "_t"))).alias("_m"))
+        below = below.select("tree_id", "parent_id", F.array_join(F.transform("_m", lambda m: m["_t"]), "").alias("_inner"))
+    if below is None:
+        return nodes.select("tree_id", F.lit("").alias("document")).limit(0)
+    return below.where("parent_id IS NULL").select("tree_id", F.col("_inner").alias("document"))

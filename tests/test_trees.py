@@ -353,3 +353,15 @@ def test_replies_in_streams_meet_their_requests(spark, tmp_path):
     query = S.replies(*streams, "id", "ts").writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(lambda df, _: got.extend(df.collect())).start()
     query.awaitTermination(120)
     assert {(r.id, r.answer_what) for r in got} == want
+
+
+def test_xml_goes_there_and_back(spark):
+    text = '<r xmlns="urn:r" xmlns:p="urn:p" a="1 &lt; &quot;2&quot;"><l><k>x\'y &amp; z</k><v>01</v></l><l><k>z</k></l><t>1.50</t><t>2</t><p:o><i/></p:o></r>'
+    docs = spark.createDataFrame([(1, text), (2, "<bad"), (3, None), (4, "<e/>")], "id int, t string")
+    shape = C.Shape({"/r/l": ["k"]})
+    nodes = C.shred_xml(docs, F.col("id"), "t", shape)
+    printed = C.print_xml(nodes)
+    got = {r.tree_id: r.document for r in printed.collect()}
+    assert set(got) == {"1", "2", "4"} and got["2"] == "<bad" and got["4"] == "<e></e>"
+    assert rows_of(C.shred_xml(printed, F.col("tree_id"), "document", shape), *nodes.columns) == rows_of(nodes, *nodes.columns)
+    assert C.print_xml(nodes.limit(0)).count() == 0
