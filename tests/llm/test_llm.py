@@ -549,7 +549,7 @@ def test_line_dedup_equals_alignment_with_all_earlier_documents(spark, monkeypat
                     if sum(size) >= 20:
                         may |= set(range(at[run[0][0]], at[run[-1][0]] + 1))
                         if theirs < mine:
-                            must |= {at[a] for n, (a, _) in enumerate(run) if sum(size[n:]) >= 20}
+                            must |= {at[a] for a, _ in run}
             # Cut lines are told by what is left: some choice of positions that lies between the two.
             left = t.split("\n")
             sure = [l for p, l in enumerate(left) if p not in may]
@@ -569,6 +569,24 @@ def test_line_dedup_equals_alignment_with_all_earlier_documents(spark, monkeypat
         assert got[len(data) - 1].n_cut == got[len(data) - 2].n_cut == 0  # short lines alone are no block
 
 
+def test_short_ends_of_blocks_go_with_them(spark):
+    long = "a line of more than twenty characters"
+    data = [
+        (1, long),
+        (2, f"{long}\nshort tail"),
+        (3, f"own words\n{long}\n\nshort tail\nx"),
+        (4, "ten of it\n{ }\nten to go"),
+        (5, "its own first\nten of it"),
+        (6, "ten to go\nits own last"),
+        (7, "its own first\nten of it\n{ }\nten to go\nits own last"),
+        (8, "-" * 24),
+        (9, f"{'-' * 24}\nx\n{'-' * 24}"),
+    ]
+    got = {r.doc_id: r.text for r in line_dedup.cut_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[1] == data[0][1] and got[2] == "short tail" and got[3] == "own words\nx"
+    assert got[7] == "" and [got[i] for i in (4, 5, 6, 8)] == [t for i, t in data if i in (4, 5, 6, 8)]
+
+
 def test_license_texts_are_told_apart(spark):
     rng = random.Random(3)
     filler = lambda n: " ".join("".join(rng.choice("bcdfgaeiou") for _ in range(7)) for _ in range(n))
