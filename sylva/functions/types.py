@@ -156,7 +156,7 @@ def same_value(a: Column, b: Column) -> Column:
 
 def sort_key(canon: Column, kind: str, values: dict[str, int] | None = None) -> Column:
     """Bytes whose order is the type's order: fixed-width numbers, instants with their fraction, enumerations by their
-    ``values``, addresses by their octets, texts as they are."""
+    ``values``, addresses by their octets and zones, texts as they are."""
     if kind == "date-and-time":
         fraction = F.regexp_replace(F.regexp_extract(canon, r"\.([0-9]+)", 1), "0+$", "")
         return F.encode(F.concat(F.substring(canon, 1, 19), F.lit("."), fraction), "UTF-8")
@@ -164,7 +164,12 @@ def sort_key(canon: Column, kind: str, values: dict[str, int] | None = None) ->
         pairs = [F.lit(x) for kv in (values or {}).items() for x in kv]
         return F.encode(F.lpad((F.create_map(*pairs)[canon].cast("bigint") + (1 << 31)).cast("string"), 10, "0"), "UTF-8")
     if kind == "ipv4-address":
-        return F.encode(F.lpad(_address(F.substring_index(canon, "%", 1))[1].cast("string"), 10, "0"), "UTF-8")
+        zone = F.regexp_extract(canon, "%.*$", 0)
+        return F.encode(F.concat(F.lpad(_address(F.substring_index(canon, "%", 1))[1].cast("string"), 10, "0"), zone), "UTF-8")
+    if kind in ("ipv6-address", "ipv6-prefix"):
+        from . import inet6
+
+        return inet6.sort_key(canon)
     if kind in INTEGERS:
         shifted = canon.cast("decimal(38,0)") + F.lit(str(1 << 64)).cast("decimal(38,0)")
         return F.encode(F.lpad(shifted.cast("string"), 21, "0"), "UTF-8")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylva.functions import inet6 as V
 from sylva.functions import types as Y
 from sylva.operators import contexts as N
 from sylva.operators import defaults as H
@@ -12,6 +13,7 @@ from sylva.operators import diff as D
 from sylva.operators import fixpoint as P
 from sylva.operators import intervals as I
 from sylva.operators import moves as M
+from sylva.operators import nodesets as E
 from sylva.operators import tree as R
 from sylva.operators import treediff as T
 from sylva.plans import schema as K
@@ -287,3 +289,64 @@ def c13_tree(s, d):
     docs = _lines(s, d).groupBy("l_orderkey").agg(F.concat_ws("", F.sort_array(F.collect_list(line))).alias("_l"))
     text = F.concat(F.lit('<order xmlns="urn:shop" xmlns:x="urn:q" id="'), F.col("l_orderkey").cast("string"), F.lit('">'), "_l", F.lit("</order>"))
     return C.print_xml(C.shred_xml(docs.select("l_orderkey", text.alias("t")), F.col("l_orderkey"), "t", _SHAPE))
+
+
+_OPS = ["=", "!=", "<", "<=", ">", ">="]
+
+
+@query("d24_node_sets", "WITH v AS (SELECT l_orderkey AS k, l_linenumber AS a, (l_quantity % 8)::BIGINT AS b FROM lineitem) SELECT DISTINCT '/order[' || x.k || ']' AS ctx_id, op FROM v x JOIN v y ON x.k = y.k, unnest(['=', '!=', '<', '<=', '>', '>=']) AS t(op) WHERE CASE op WHEN '=' THEN x.a = y.b WHEN '!=' THEN x.a <> y.b WHEN '<' THEN x.a < y.b WHEN '<=' THEN x.a <= y.b WHEN '>' THEN x.a > y.b ELSE x.a >= y.b END")
+def d24_sets(s, d):
+    lines = _t(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").alias("a"), (F.col("l_quantity") % 8).cast("long").alias("b"))
+    nodes = R.shred(lines, F.lit("sales"), [("order", "l_orderkey"), ("line", "l_linenumber")], ["a", "b"])
+
+    def values(name: str) -> DataFrame:
+        return nodes.where(F.col("name") == name).select(F.element_at("anc_ids", 1).alias("ctx_id"), *R.COLUMNS)
+
+    out = [E.compare_sets(values("a"), op, values("b")).select("ctx_id", F.lit(op).alias("op")) for op in _OPS]
+    first, *rest = out
+    for x in rest:
+        first = first.unionByName(x)
+    return first
+
+
+@query("d24_set_and_value", "SELECT '/order[' || l_orderkey || ']' AS ctx_id, '4.0' AS value FROM lineitem WHERE l_linenumber = 4 GROUP BY l_orderkey UNION ALL SELECT '/order[' || l_orderkey || ']', 'true' FROM lineitem GROUP BY l_orderkey UNION ALL SELECT '/order[' || l_orderkey || ']', 'not O' FROM lineitem WHERE l_linestatus <> 'O' GROUP BY l_orderkey")
+def d24_value(s, d):
+    lines = _t(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").alias("a"), F.col("l_linestatus").alias("status"))
+    nodes = R.shred(lines, F.lit("sales"), [("order", "l_orderkey"), ("line", "l_linenumber")], ["a", "status"])
+    sets = {n: nodes.where(F.col("name") == n).select(F.element_at("anc_ids", 1).alias("ctx_id"), *R.COLUMNS) for n in ("a", "status")}
+    number = E.compare_value(sets["a"], "=", 4.0).select("ctx_id", F.lit("4.0").alias("value"))
+    truth = E.compare_value(sets["a"], "=", True).select("ctx_id", F.lit("true").alias("value"))
+    return number.unionByName(truth).unionByName(E.compare_value(sets["status"], "!=", "O").select("ctx_id", F.lit("not O").alias("value")))
+
+
+@query("e14_lang_inherited", "SELECT doc_id::VARCHAR AS tree_id, '/doc/q/r' AS node_id FROM documents UNION ALL SELECT doc_id::VARCHAR, '/doc/p' FROM documents WHERE lang = 'fr' OR lang LIKE 'fr-%'")
+def e14_inherited(s, d):
+    own = F.when(F.col("lang").isNotNull(), F.concat(F.lit(' xml:lang="'), F.col("lang"), F.lit('"'))).otherwise("")
+    text = F.concat(F.lit("<doc"), own, F.lit('><p>x</p><q xml:lang="FR-ca"><r>y</r></q></doc>'))
+    nodes = C.shred_xml(_t(s, d, "documents").select("doc_id", text.alias("t")), F.col("doc_id"), "t")
+    return E.lang(R.context(nodes, F.col("kind") == "leaf"), nodes, "fr").select("tree_id", "node_id")
+
+
+@query("g1_ipv6_address", """WITH c AS (SELECT c_custkey, c_nationkey, c_custkey % 65536 AS x FROM customer)
+SELECT c_custkey, c_custkey % 4 < 3 AS ok, CASE c_custkey % 4 WHEN 0 THEN CASE WHEN x = 0 THEN '2001:db8::1' ELSE '2001:db8::' || printf('%x', x) || ':0:0:1' END WHEN 1 THEN 'fe80::' || printf('%x', x) || '%eth' || c_nationkey WHEN 2 THEN '::ffff:10.7.' || (x // 256) || '.' || (x % 256) END AS canon FROM c""")
+def g1_ipv6(s, d):
+    x = F.lpad(F.hex(F.col("c_custkey") % 65536), 4, "0")
+    kinds = [
+        F.concat(F.lit("2001:0DB8:0:000:"), x, F.lit(":0:00:0001")),
+        F.concat(F.lit("FE80:0::0:"), x, F.lit("%eth"), F.col("c_nationkey").cast("string")),
+        F.concat(F.lit("0:0:0:0::FFFF:0A07:"), x),
+        F.concat(F.lit("1:::"), x),
+    ]
+    out = _t(s, d, "customer").select("c_custkey", V.store_ipv6_address(F.element_at(F.array(*kinds), (F.col("c_custkey") % 4 + 1).cast("int"))).alias("v"))
+    return out.select("c_custkey", "v.ok", F.when(F.col("v.ok"), F.col("v.canon")).alias("canon"))
+
+
+@query("g9_ipv6_prefix_order", """WITH c AS (SELECT c_custkey, 32 + c_custkey % 17 AS n, c_custkey % 65536 AS x FROM customer), p AS (SELECT c_custkey, n, x - x % (1 << (48 - n)::INT) AS m FROM c)
+SELECT c_custkey, CASE WHEN m = 0 THEN '2001:db8::/' || n ELSE '2001:db8:' || printf('%x', m) || '::/' || n END AS canon, dense_rank() OVER (ORDER BY m, n) AS place FROM p""")
+def g9_ipv6(s, d):
+    n = (F.col("c_custkey") % 17 + 32).cast("string")
+    text = F.concat(F.lit("2001:DB8:"), F.hex(F.col("c_custkey") % 65536), F.lit(":1::9/"), n)
+    rows = _t(s, d, "customer").select("c_custkey", V.store_ipv6_prefix(text)["canon"].alias("canon"))
+    # Equal prefixes share a place, so the distinct ones are counted by ranges.
+    places = Y.ranked(rows.select("canon").distinct(), Y.sort_key(F.col("canon"), "ipv6-prefix"), "place")
+    return rows.join(places, "canon").select("c_custkey", "canon", F.col("place").cast("long").alias("place"))

@@ -365,3 +365,88 @@ def test_xml_goes_there_and_back(spark):
     assert set(got) == {"1", "2", "4"} and got["2"] == "<bad" and got["4"] == "<e></e>"
     assert rows_of(C.shred_xml(printed, F.col("tree_id"), "document", shape), *nodes.columns) == rows_of(nodes, *nodes.columns)
     assert C.print_xml(nodes.limit(0)).count() == 0
+
+
+def test_ipv6_forms_and_order(spark):
+    import ipaddress
+
+    from sylva.functions import inet6 as V
+    from sylva.functions import types as Y
+
+    rng = random.Random(9)
+    texts = []
+    for _ in range(300):
+        g = [rng.choice([0, 0, 0, 1, 0xFFFF, rng.randrange(65536)]) for _ in range(8)]
+        a = ipaddress.IPv6Address(b"".join(x.to_bytes(2, "big") for x in g))
+        texts += [str(a), a.exploded.upper(), ":".join(f"{x:x}" for x in g)]
+    texts += ["::", "::1", "1::", "::1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "::FFFF:1.2.3.4", "::0102:0304", "1:0:0:2:0:0:3:4", "1:0:2:3:4:5:6:7"]
+    bad = ["", ":", ":::", "1:::2", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1::2:3:4:5:6:7:8", "12345::", "g::", "1.2.3.4", "::1.2.3", "::1.2.3.04", "::1.2.3.4:5", "1:", ":1", " ::1", "::1 ", "%a"]
+
+    def slow(t):
+        a = ipaddress.IPv6Address(t)
+        b = a.packed
+        v4 = ".".join(map(str, b[12:]))
+        if a.ipv4_mapped:
+            return "::ffff:" + v4
+        return "::" + v4 if b[:12] == bytes(12) and b[12:14] != bytes(2) else a.compressed
+
+    df = spark.createDataFrame([(t,) for t in [*texts, *bad, None]], "t string")
+    rows = df.select("t", V.store_ipv6_address(F.col("t")).alias("v")).select("t", "v.ok", "v.canon", Y.sort_key(F.col("v.canon"), "ipv6-address").alias("key")).collect()
+    for r in rows:
+        if r.t in texts:
+            assert r.ok and r.canon == slow(r.t) and bytes(r.key)[:16] == ipaddress.IPv6Address(r.t).packed, r
+        else:
+            assert not r.ok, r
+    zones = ["::1", "::1%", "::1%a", "::1%a%b", "::2"]
+    df = spark.createDataFrame([(t,) for t in zones[::-1]], "t string").select(V.store_ipv6_address(F.col("t"))["canon"].alias("t"))
+    assert [r.t for r in df.orderBy(Y.sort_key(F.col("t"), "ipv6-address")).collect()] == zones
+    zoned = spark.createDataFrame([("FAAC:21:011:Da85::87:daaF%1",)], "t string")
+    a, b = zoned.select(V.store_ipv6_address(F.col("t")).alias("a"), V.store_ipv6_address(F.col("t"), zone=False).alias("b")).first()
+    assert a.ok and a.canon == "faac:21:11:da85::87:daaf%1" and not b.ok
+    some = [(t, n) for t in texts[:60] for n in (0, 1, 16, 33, 64, 111, 128)]
+    df = spark.createDataFrame([(f"{t}/{n}", n) for t, n in some] + [("::/129", -1), ("::", -1), ("::/", -1), ("::/1/1", -1)], "t string, n int")
+    for r in df.select("t", "n", V.store_ipv6_prefix(F.col("t")).alias("v")).collect():
+        assert r.v.ok == (r.n >= 0)
+        if r.v.ok:
+            net = ipaddress.IPv6Network(r.t, strict=False)
+            assert r.v.canon == f"{slow(str(net.network_address))}/{r.n}", r
+
+
+def test_node_sets_compare_by_some_pair(spark):
+    from sylva.operators import nodesets as E
+
+    rng = random.Random(4)
+    words = ["1", "1.0", "2", "-3", "x", "", "2.0000001", "7", None]
+    kind = "ctx_id string, tree_id string, canon string"
+    sides = [[(f"/c[{c}]", t, rng.choice(words)) for c in range(30) for t in ("t", "u") for _ in range(rng.randint(0, 3))] for _ in range(2)]
+    left, right = (spark.createDataFrame(x, kind) for x in sides)
+
+    def num(v):
+        try:
+            return round(float(v), 6)
+        except (TypeError, ValueError):
+            return None
+
+    def holds(a, op, b):
+        if op in ("=", "!="):
+            return ((a or "") == (b or "")) == (op == "=")
+        x, y = num(a), num(b)
+        return x is not None and y is not None and {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
+
+    for op in ("=", "!=", "<", "<=", ">", ">="):
+        want = {a[:2] for a in sides[0] for b in sides[1] if a[:2] == b[:2] and holds(a[2], op, b[2])}
+        got = [tuple(r) for r in E.compare_sets(left, op, right).collect()]
+        assert sorted(got) == sorted(want) and want, op
+        assert E.compare_sets(left, op, right.limit(0)).count() == 0
+    assert {tuple(r) for r in E.compare_value(left, "=", "x").collect()} == {a[:2] for a in sides[0] if a[2] == "x"}
+    assert {tuple(r) for r in E.compare_value(left, ">", 1.0).collect()} == {a[:2] for a in sides[0] if (num(a[2]) or 0) > 1}
+    assert E.compare_value(left, "=", False).count() == 0 and {tuple(r) for r in E.compare_value(left, "=", True).collect()} == {a[:2] for a in sides[0]}
+
+
+def test_languages_come_from_the_nearest_ancestor(spark):
+    from sylva.operators import nodesets as E
+
+    text = '<a xml:lang="en-GB"><b><c>1</c></b><d xml:lang="de"><e>2</e><f xml:lang="EN"><g>3</g></f></d><h xml:lang="english"><i>4</i></h></a>'
+    nodes = C.shred_xml(spark.createDataFrame([("t", text), ("u", "<a><c>1</c></a>")], "k string, t string"), F.col("k"), "t")
+    got = E.lang(R.context(nodes, F.col("kind") == "leaf"), nodes, "en").select("tree_id", "node_id").collect()
+    assert sorted(map(tuple, got)) == [("t", "/a/b/c"), ("t", "/a/d/f/g")]
