@@ -9,13 +9,17 @@ distinct words of the training documents, since the pieces spell words that are
 not known yet. ``lattice_score`` is the log10 of the lattice's probability alone:
 each word opened by the vocabulary's word mark, and one end.
 
-``score`` adds two arcs over the whole word to each lattice. One is weighted by
-how often training texts hold the word, less a discount (Kneser and Ney's). What
-the discounts save goes to the lattice: UNKNOWN of it to the vocabulary's piece
-for unknown words, which spans words that no training text holds, and the rest to
-the pieces, for all words. Unknown words so count as one type, as they do in
-``base_score``, and score and base can be compared; in ``lattice_score`` every
-word pays for its spelling.
+``text_score`` adds one arc over the whole word to each lattice, weighted by how
+often training texts hold the word, less a discount (Kneser and Ney's). What the
+discounts save goes to the pieces, for all words: words that no training text
+holds are paid for by their spelling alone. Every segmentation opens with a piece
+that has the word mark, and a word stops where the next such piece or the text's
+end would stand, so the lattice's probabilities of all words sum to at most 1,
+and so do those of ``text_score``: whole words have what the discounts leave,
+pieces what they save. ``score`` is the same model with all unknown words as one
+type, as ``base_score`` has them, so that these two can be compared: the type has
+what the lattice leaves to all words but the known ones, and the probabilities of
+known words, the unknown one and the end sum to 1.
 
 The work is done once per distinct word: a table of all words holds counts and
 log probabilities. Scoring needs the table beside every text. Its most
@@ -34,7 +38,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,9 +52,7 @@ ROUNDS = 3
 PRIOR = 0.05
 #: Distinct words that are spelled together.
 TOGETHER = 50_000
-#: Share of the piece for unknown words in what the lattice gets.
-UNKNOWN = 0.9
-#: Probability that a text ends, where no training text tells.
+#: Probability that a text ends, as one training token would tell it.
 END = 0.01
 #: Distinct words that a task gathers before it hands them on.
 GATHERED = 1 << 20
@@ -287,7 +288,8 @@ def train_model(words: DataFrame, lattice: Lattice, rounds: int = ROUNDS) -> np.
 
 def score_texts(docs: DataFrame, vocabulary: str | None = None, text: str = "text", id_col: str = "doc_id", modulus: int = 10,
                 hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score (all log10)."""
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, text_score and
+    lattice_score (all log10)."""
     path = vocabulary or default_vocabulary()
     source = docs.select(docs[id_col].alias("doc_id"), (crc_mod(id_col, modulus) == 0).alias("held_out"), docs[text].alias("text"))
     gathered = source.select("held_out", "text").mapInArrow(_gather, "hash long, word string, train long, total long")
@@ -302,7 +304,8 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, text: str = "tex
     discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
     lattice = Lattice(path)  # of the vocabulary's size, whatever the input
     logp = train_model(words, lattice, rounds)
-    going_on = float(np.log(1 - (n_train / tokens if tokens else END)))  # a word, and not the end
+    end = (n_train + END) / (tokens + 1)
+    going_on = float(np.log(1 - end))  # a word, and not the end
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _together(batches):
@@ -314,15 +317,16 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, text: str = "tex
     saved = float(np.log10(discount * kinds / tokens)) if tokens else 0.0
 
     def mixed(train: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        """log10 of the arcs over the whole word and its pieces together."""
-        with np.errstate(divide="ignore"):
-            whole = np.where(train > 0, np.log10(np.maximum(train - discount, 0) / max(tokens, 1)), saved + np.log10(UNKNOWN))
-        return np.logaddexp(whole * _LN10, (spelled + saved + np.log10(1 - UNKNOWN)) * _LN10) / _LN10
-
-    @F.pandas_udf("double")
-    def both(train: pd.Series, spelled: pd.Series) -> pd.Series:
-        return pd.Series(mixed(train.to_numpy(), spelled.to_numpy()))
+        """log10 of the arc over the whole word and its pieces together."""
+        spelled = spelled + saved
+        whole = np.maximum(train - discount, 0) / max(tokens, 1)
+        return np.where(train > 0, np.log10(np.where(train > 0, whole, 1) + 10.0**spelled), spelled)
 
+    spelling = F.col("spelled") + saved
+    both = F.when(F.col("train") > 0, F.log10((F.col("train") - discount) / max(tokens, 1) + F.pow(F.lit(10.0), spelling))).otherwise(spelling)
+    # What the lattice leaves to unknown words: they are one type in score.
+    spelled_known = scored.where("train > 0").agg(F.coalesce(F.sum(F.pow(F.lit(10.0), "spelled")), F.lit(0.0))).first()[0]
+    unknown = float(np.log10(max(1 - end - spelled_known, 1e-9))) + saved
 
     # The lowest count that at most ``hot`` words reach, from a histogram of counts.
     bins = scored.groupBy(F.floor(F.log2("total") * 8).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("total").alias("least"))
@@ -344,27 +348,28 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, text: str = "tex
                 at = np.minimum(np.searchsorted(key, h), max(len(key) - 1, 0))
                 hit = key[at] == h if len(key) else np.zeros(len(h), bool)
                 doc, where = words.doc[hit], at[hit]
-                add = lambda v: np.bincount(doc, v, words.docs)
+                add = lambda v: np.bincount(doc, v, words.docs).astype(float)  # noqa: E731; of no words at all it counts in integers
                 cold, row = h[~hit], words.doc[~hit]
                 cut = np.searchsorted(row, np.arange(words.docs + 1)).astype(np.int32)
                 ids = batch.column(0).slice(words.first, words.docs), batch.column(1).slice(words.first, words.docs)
-                values = [words.counts() + 1, add(known[where] > 0).astype(np.int64), add(base[where]), add(score[where]), add(pieces[where])]
+                values = [words.counts() + 1, add(known[where] > 0).astype(np.int64), add(base[where]), add(score[where]), add(np.where(known[where] > 0, score[where], 0.0)), add(pieces[where])]
                 rest = pa.ListArray.from_arrays(pa.array(cut), pa.array(cold))
-                yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, values), rest], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "pieces", "rest"])
+                yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, values), rest], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "seen", "pieces", "rest"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    first = source.mapInArrow(look_up, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, pieces double, rest array<bigint>")
+    first = source.mapInArrow(look_up, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, seen double, pieces double, rest array<bigint>")
     first = checkpointed(first.withColumn("_row", F.monotonically_increasing_id()))
     rare = first.select("_row", F.explode("rest").alias("hash")).join(scored.select("hash", "train", "spelled"), "hash")
     rare = rare.groupBy("_row").agg(
         F.sum((F.col("train") > 0).cast("long")).alias("k"),
         F.sum(F.log10(F.col("train") + 0.1) - below).alias("b"),
-        F.sum(both("train", "spelled")).alias("s"),
+        F.sum(both).alias("s"),
+        F.sum(F.when(F.col("train") > 0, both).otherwise(0.0)).alias("w"),
         F.sum("spelled").alias("p"),
     )
     end_base = float(np.log10(n_train + 0.1)) - below
-    end_pieces = float(np.log10(n_train / tokens if n_train else END))
-    end_score = float(np.log10((n_train - discount) / tokens if n_train else END))
+    end_score = float(np.log10(max(n_train - discount, 0) / max(tokens, 1) + 10.0**saved * end))
+    unseen = F.col("n_tokens") - 1 - F.col("known") - F.coalesce("k", F.lit(0))
     zero = F.lit(0.0)
     return first.join(rare, "_row", "left").select(
         "doc_id",
@@ -373,8 +378,9 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, text: str = "tex
         (F.col("known") + F.coalesce("k", F.lit(0)) + int(n_train > 0)).alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", zero) + end_base).alias("base_score"),
-        (F.col("score") + F.coalesce("s", zero) + end_score).alias("score"),
-        (F.col("pieces") + F.coalesce("p", zero) + end_pieces).alias("lattice_score"),
+        (F.col("seen") + F.coalesce("w", zero) + unseen * unknown + end_score).alias("score"),
+        (F.col("score") + F.coalesce("s", zero) + end_score).alias("text_score"),
+        (F.col("pieces") + F.coalesce("p", zero) + float(np.log10(end))).alias("lattice_score"),
     )
 
 
