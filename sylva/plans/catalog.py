@@ -804,4 +804,5 @@ def f10(s, d):
 
 
 # Queries on whole trees register themselves.
+from sylva.plans import checks as _checks  # noqa: E402, F401
 from sylva.plans import trees as _trees  # noqa: E402, F401
