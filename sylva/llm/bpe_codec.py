@@ -33,7 +33,9 @@ needs digests hands on neither ids nor texts.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +78,14 @@ def default_tokenizer() -> str:
 
 
 def _load(path: str):
+    """One tokenizer for all tasks of a worker: each that is loaded leaves memory behind in every thread it ran on."""
+    # Tasks are the parallelism; more threads in a worker would only keep memory of their own.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return _loaded(path, os.stat(path).st_mtime_ns)
+
+
+@lru_cache(1)
+def _loaded(path: str, changed: int):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -143,29 +153,44 @@ def _blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[pa.Re
         yield block
 
 
-def _word_lists(h: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, bytes]], bytes]:
-    """Numbers of the words at all positions, (bucket, words) of the distinct ones, and how these fall into ranks.
+def _lines(data: np.ndarray, start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Words one after the other, each with the line end after it, which no word holds and ``width`` counts."""
+    to = np.cumsum(width)
+    source = np.arange(to[-1] if len(to) else 0) - np.repeat(to - width - start, width)
+    joined = data[np.minimum(source, max(len(data) - 1, 0))]
+    joined[to - 1] = ord("\n")
+    return joined
+
+
+def _slice_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, count, width, lines) of a slice's distinct words by hash, and which of them stands at each position.
+
+    A block keeps this of a slice, in place of its text and an entry of some 20 bytes for each position.
+    """
+    distinct, at, number, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    width = end[at] - start[at] + 1
+    kind = np.uint16 if len(distinct) <= 1 << 16 else np.uint32
+    return distinct, count.astype(np.uint32), width.astype(np.uint32), _lines(data, start[at], width), number.astype(kind)
+
+
+def _word_lists(h: np.ndarray, count: np.ndarray, width: np.ndarray, data: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, bytes]], bytes]:
+    """Numbers of the slices' distinct words, (bucket, words) of the block's, and how these fall into ranks.
 
     Distinct words are ranked by the powers of two in their counts, frequent ones first, and numbered by rank, then by
     hash: frequent words have small numbers, which pack well. Buckets are ranges of hashes, and a bucket's words come by
     rank, then by hash; so the numbers follow from how many words of each rank each bucket has.
     """
-    distinct, at, number, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    power = np.frexp(count)[1] - 1
+    distinct, at, number = np.unique(h, return_index=True, return_inverse=True)
+    power = np.frexp(np.bincount(number, count, len(distinct)))[1] - 1
     rank = (power.max() if len(power) else 0) - power
     numbers = np.empty(len(distinct), np.uint32)
     numbers[np.argsort(rank, kind="stable")] = np.arange(len(distinct))
     bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     at = at[np.lexsort((rank, bucket))]
-    width = (end[at] - start[at]).astype(np.int64) + 1  # with the line end after it, which no word holds
-    to = np.cumsum(width)
-    source = np.arange(to[-1] if len(to) else 0) - np.repeat(to - width - start[at], width)
-    joined = data[np.minimum(source, max(len(data) - 1, 0))]
-    joined[to - 1] = ord("\n")
+    start, width = (np.cumsum(width, dtype=np.int64) - width)[at], width[at].astype(np.int64)
     edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-    begin = np.concatenate([[0], to])
     packer = zstandard.ZstdCompressor(level=9)
-    lists = [(int(bucket[a]), packer.compress(joined[begin[a] : begin[b] - 1].tobytes())) for a, b in zip(edges, edges[1:])]
+    lists = [(int(bucket[a]), packer.compress(_lines(data, start[a:b], width[a:b])[:-1].tobytes())) for a, b in zip(edges, edges[1:])]
     ranks = int(rank.max()) + 1 if len(rank) else 1
     shape = np.bincount(np.cumsum(np.diff(bucket, prepend=bucket[:1]) > 0) * ranks + rank, minlength=ranks * max(len(lists), 1))
     return numbers[number], lists, packer.compress(np.append(ranks, shape).astype("<u4").tobytes())
@@ -205,28 +230,31 @@ def _cut(text: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = TaskContext.get().partitionId() << 24
         for block in _blocks(batches, text):
-            found, rows, held = [], [], 0
-            for batch in block:
+            found, places, rows = [], [], []
+            while block:
+                batch = block.pop(0)
                 for first, data, offsets in slices(batch.column(text)):
                     data, start, end, doc, h = _pieces(data, offsets)
-                    kind = np.int32 if held + len(data) < 1 << 31 else np.int64
-                    found.append((h, (start + held).astype(kind), (end + held).astype(kind), data))
-                    held += len(data)
-                    rows.append((batch.slice(first, len(offsets) - 1), np.bincount(doc, minlength=len(offsets) - 1), len(data)))
-            number, lists, shape = _word_lists(*map(np.concatenate, zip(*found)), buckets)
-            del found
-            out, done = [*lists, (_SHAPE, shape)], 0
+                    *words, place = _slice_words(data, start, end, h)
+                    found.append(words)
+                    places.append(place)
+                    keep = batch.slice(first, len(offsets) - 1).select([*range(text)])
+                    rows.append((keep, np.bincount(doc, minlength=len(offsets) - 1), len(data)))
+            entry = np.cumsum([0, *[len(f[0]) for f in found]])
+            words = [np.concatenate(x) for x in zip(*found)]
+            del batch, data, start, end, doc, h, found
+            numbers, lists, shape = _word_lists(*words, buckets)
+            del words
+            out = [*lists, (_SHAPE, shape)]
             for at, portion in enumerate(_portions([r[2] for r in rows])):
                 count = np.concatenate([rows[i][1] for i in portion])
-                keep = pa.concat_batches([rows[i][0].select([*range(text)]) for i in portion]).columns if text else []
+                keep = pa.concat_batches([rows[i][0] for i in portion]).columns if text else []
                 kept = pa.RecordBatch.from_arrays([*keep, pa.array(count)], [f"_c{i}" for i in range(text + 1)])
-                to = done + int(count.sum())
-                out.append((_ROWS + at, _pack(kept, number[done:to])))
-                done = to
-            places = pa.array([p for p, _ in out], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), name)), places, pa.array([d for _, d in out], pa.binary())], ["block", "at", "data"])
+                out.append((_ROWS + at, _pack(kept, np.concatenate([numbers[entry[i] : entry[i + 1]][places[i]] for i in portion]))))
+            named = pa.array([p for p, _ in out], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), name)), named, pa.array([d for _, d in out], pa.binary())], ["block", "at", "data"])
             name += 1
-            del number, lists, rows, out
+            del numbers, places, lists, rows, out
             give_back()
 
     return run
@@ -274,7 +302,7 @@ def _encode_words(path: str):
                 width = np.fromiter(map(len, ids), np.int64, len(ids)) // size
                 out.append(packer.compress(np.append(len(ids), width).astype("<u4").tobytes() + b"".join(ids)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "at", "data"])
-        del known
+        known = words = fresh = some = ids = width = out = None
         give_back()
 
     return run
