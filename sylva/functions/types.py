@@ -121,24 +121,24 @@ def store_date_and_time(s: Column, z_is_unknown: bool = False) -> Column:
     known; it is kept apart, as -00:00 or Z. A zone has up to 23 hours and 59 minutes; the sign counts for hours only, so
     -00:30 is half an hour ahead. A 60th second is the next minute's first.
     """
-    shape = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2}):([0-9]{2}):([0-9]{2})(\.[0-9]+)?(?:Z|([+-][0-9]{2}):([0-9]{2}))$"
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(s, shape, i)
-
-    def num(i: int) -> Column:
-        return F.coalesce(part(i).try_cast("bigint"), F.lit(0).cast("bigint"))
-
-    day = part(1).try_cast("date")
-    ok = day.isNotNull() & (num(2) < 24) & (num(3) < 60) & (num(4) <= 60) & (F.abs(num(6)) < 24) & (num(7) < 60)
-    ahead = num(6) * 3600 + F.when(num(6) < 0, -num(7)).otherwise(num(7)) * 60
-    total = F.date_diff(day, F.lit("1970-01-01").cast("date")).cast("bigint") * 86400 + num(2) * 3600 + num(3) * 60 + num(4) - ahead
-    left = F.pmod(total, F.lit(86400).cast("bigint"))
-    date = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(total / 86400).cast("int"))
-    time = F.concat_ws(":", *[F.lpad(x.cast("bigint").cast("string"), 2, "0") for x in (F.floor(left / 3600), F.floor(F.pmod(left, F.lit(3600)) / 60), F.pmod(left, F.lit(60)))])
-    unknown = F.endswith(s, F.lit("-00:00")) | (F.endswith(s, F.lit("Z")) & F.lit(z_is_unknown))
+    # One pattern tells the shape; in it everything but the fraction has its place.
+    shape = F.rlike(s, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})\z"))
+    zulu = F.endswith(s, F.lit("Z"))
+
+    def num(at: int, size: int = 2) -> Column:
+        return F.substring(s, at, size).try_cast("bigint")
+
+    day = F.substring(s, 1, 10).try_cast("date")
+    hours, minutes = F.when(zulu, 0).otherwise(num(-6, 3)), F.when(zulu, 0).otherwise(num(-2))
+    ok = shape & day.isNotNull() & (num(12) < 24) & (num(15) < 60) & (num(18) <= 60) & (F.abs(hours) < 24) & (minutes < 60)
+    ahead = hours * 3600 + F.when(hours < 0, -minutes).otherwise(minutes) * 60
+    total = F.date_diff(day, F.lit("1970-01-01").cast("date")).cast("bigint") * 86400 + num(12) * 3600 + num(15) * 60 + num(18) - ahead
+    # Added to a timestamp without a zone, which no session's zone moves.
+    moment = (F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.expr("INTERVAL '1' SECOND") * total).cast("string")
+    fraction = F.substring(s, F.lit(20), F.length(s) - F.when(zulu, 20).otherwise(25))
+    unknown = F.endswith(s, F.lit("-00:00")) | (zulu & F.lit(z_is_unknown))
     zone = F.when(unknown, "Z" if z_is_unknown else "-00:00").otherwise("+00:00")
-    return _stored(F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit("T"), time, part(5), zone), ok, "not a valid date-and-time")
+    return _stored(F.concat(F.replace(moment, F.lit(" "), F.lit("T")), fraction, zone), ok, "not a valid date-and-time")
 
 
 def store_union(*members: Column) -> Column:
@@ -158,7 +158,7 @@ def sort_key(canon: Column, kind: str, values: dict[str, int] | None = None) ->
     """Bytes whose order is the type's order: fixed-width numbers, instants with their fraction, enumerations by their
     ``values``, addresses by their octets and zones, texts as they are."""
     if kind == "date-and-time":
-        fraction = F.regexp_replace(F.regexp_extract(canon, r"\.([0-9]+)", 1), "0+$", "")
+        fraction = F.rtrim(F.regexp_extract(canon, r"\.([0-9]+)", 1), F.lit("0"))
         return F.encode(F.concat(F.substring(canon, 1, 19), F.lit("."), fraction), "UTF-8")
     if kind == "enumeration":
         pairs = [F.lit(x) for kv in (values or {}).items() for x in kv]

@@ -235,10 +235,12 @@ def g8_instants(s, d):
     def written(moved: str, zone: str, fraction: str):
         return F.concat(F.date_format(F.col("ts") + F.expr(moved), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(fraction + zone))
 
-    one, two = Y.store_date_and_time(written("INTERVAL 0 HOURS", "Z", ".50")), Y.store_date_and_time(written("INTERVAL 5 HOURS 30 MINUTES", "+05:30", ".5"))
-    other = Y.store_date_and_time(F.concat(F.date_format(F.col("ts") - F.expr("INTERVAL 3 HOURS"), "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 2 == 0, ".51-03:00").otherwise(".4999-03:00")))
-    before = Y.sort_key(one["canon"], "date-and-time") < Y.sort_key(other["canon"], "date-and-time")
-    return _t(s, d, "events").select("event_id", one["canon"].alias("canon"), Y.same_instant(one, two).alias("equal"), before.alias("before"))
+    other = F.concat(F.date_format(F.col("ts") - F.expr("INTERVAL 3 HOURS"), "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 2 == 0, ".51-03:00").otherwise(".4999-03:00"))
+    # Texts, instants and keys are made once each, in steps.
+    rows = _t(s, d, "events").select("event_id", written("INTERVAL 0 HOURS", "Z", ".50").alias("one"), written("INTERVAL 5 HOURS 30 MINUTES", "+05:30", ".5").alias("two"), other.alias("other"))
+    rows = rows.select("event_id", *[Y.store_date_and_time(F.col(c)).alias(c) for c in ("one", "two", "other")])
+    before = Y.sort_key(F.col("one.canon"), "date-and-time") < Y.sort_key(F.col("other.canon"), "date-and-time")
+    return rows.select("event_id", F.col("one.canon").alias("canon"), Y.same_instant(F.col("one"), F.col("two")).alias("equal"), before.alias("before"))
 
 
 @query("d27_number_shapes", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey::DOUBLE WHEN 1 THEN (o_orderkey % 4096)::DOUBLE WHEN 2 THEN NULL WHEN 3 THEN o_orderkey * 100::DOUBLE ELSE NULL END AS value FROM orders")

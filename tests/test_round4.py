@@ -37,3 +37,15 @@ def test_nodes_of_one_place_keep_their_children(spark):
     rows = [row("/b", None, [], ["~"], "b", "container", None), row("/a", None, [], ["~"], "a", "container", None), row("/b/x", "/b", ["/b"], ["~", "1"], "x", "leaf", "1"), row("/a/y", "/a", ["/a"], ["~", "0"], "y", "leaf", "2"), row("/c", None, [], ["~!"], "c", "leaf", "3")]
     nodes = spark.createDataFrame(rows, C.SCHEMA)
     assert C.print_json(nodes).first().document == '{"a":{"y":2},"b":{"x":1},"c":3}'
+
+
+def test_instants_keep_their_places(spark):
+    from sylva.functions import types as Y
+
+    cases = {
+        "0001-01-01T00:00:00Z": "0001-01-01T00:00:00+00:00", "1969-12-31T23:59:59.123456789123-00:30": "1969-12-31T23:29:59.123456789123+00:00", "2024-03-31T02:30:00+00:00": "2024-03-31T02:30:00+00:00",
+        "2024-01-01T00:00:00.0Z": "2024-01-01T00:00:00.0+00:00", "2024-01-01T00:00:00.Z": None, "2024-01-01T00:00:00Z\n": None, "2024-01-01T00:00:00": None, "2024-01-01T00:60:00Z": None, "2024-01-01T00:00:00+24:00": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "s string").select("s", Y.store_date_and_time(F.col("s")).alias("v"))
+    assert {r.s: r.v.canon for r in rows.collect()} == cases
+    assert {r.s for r in rows.where(Y.sort_key(F.col("v.canon"), "date-and-time") < Y.sort_key(F.lit("2024-01-01T00:00:00.00+00:00"), "date-and-time")).collect()} == {"0001-01-01T00:00:00Z", "1969-12-31T23:59:59.123456789123-00:30"}
