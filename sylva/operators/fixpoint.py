@@ -6,7 +6,8 @@ conditions see. Rules say which names they read. They are ordered by that: a rul
 is evaluated when all rules that decide on what it reads are at rest. Rules that
 read each other, in a circle, are evaluated together in rounds and are reported;
 since nodes only go, the rounds end. Every round handles all nodes of all trees
-at once.
+at once. What is kept of a round is the ids of what went; the nodes themselves are
+read again, as far as a rule needs their columns, so give a table that is written.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tree as R
-from .rounds import settled
+from .rounds import stored
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,7 @@ def layers(rules: list[When]) -> list[list[When]]:
 def settle_whens(nodes: DataFrame, rules: list[When]) -> tuple[DataFrame, DataFrame, list[list[str]]]:
     """(nodes that stay, what went, circles): what went has round, name, tree_id and node_id of the governed nodes whose
     condition was false; circles are the names of rules that read each other."""
-    now, rounds, gone, circles = nodes, 0, None, []
+    now, rounds, gone, circles, lost = nodes, 0, None, [], None
     for layer in layers(rules):
         if len(layer) > 1 or layer[0].name in layer[0].reads:
             circles.append(sorted(r.name for r in layer))
@@ -64,13 +65,20 @@ def settle_whens(nodes: DataFrame, rules: list[When]) -> tuple[DataFrame, DataFr
             for r in layer:
                 governed = R.context(now, F.col("name") == r.name)
                 true = r.holds(governed, now).select("tree_id", "node_id").distinct()
-                bad = governed.join(true, ["tree_id", "node_id"], "left_anti").select(F.lit(rounds).alias("round"), F.lit(r.name).alias("name"), "tree_id", "node_id")
+                bad = governed.join(true, ["tree_id", "node_id"], "left_anti").select(F.lit(rounds).alias("round"), F.lit(r.name).alias("name"), "tree_id", "node_id", "kind")
                 false = bad if false is None else false.unionByName(bad)
-            false = settled(false)
+            false = stored(false)
             if false.isEmpty():
                 break
+            inner = false.where("kind <> 'leaf'").select("tree_id", F.col("node_id").alias("_up"))
+            false = false.drop("kind")
             gone = false if gone is None else gone.unionByName(false)
-            now = settled(R.remove(now, false))
+            ids = false.select("tree_id", "node_id")
+            if not inner.isEmpty():
+                below = now.select("tree_id", "node_id", F.explode("anc_ids").alias("_up")).join(inner, ["tree_id", "_up"], "left_semi")
+                ids = ids.unionByName(stored(below.select("tree_id", "node_id").distinct()))
+            lost = ids if lost is None else lost.unionByName(ids)
+            now = nodes.join(lost, ["tree_id", "node_id"], "left_anti").select(*nodes.columns)
             if len(layer) == 1 and layer[0].name not in layer[0].reads:
                 break
     if gone is None:

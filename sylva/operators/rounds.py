@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,6 +30,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As ``settled``, but as Parquet, which takes far less room for ids and paths. Files stay until the folder goes."""
+    _folder(df.sparkSession)
+    at = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 def running(df: DataFrame, order: list[Column | str], **sums: Column) -> DataFrame:
     """df in ranges of ``order``, with the inclusive running sum of each of ``sums`` over the whole of it.
 

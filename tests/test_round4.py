@@ -49,3 +49,21 @@ def test_instants_keep_their_places(spark):
     rows = spark.createDataFrame([(k,) for k in cases], "s string").select("s", Y.store_date_and_time(F.col("s")).alias("v"))
     assert {r.s: r.v.canon for r in rows.collect()} == cases
     assert {r.s for r in rows.where(Y.sort_key(F.col("v.canon"), "date-and-time") < Y.sort_key(F.lit("2024-01-01T00:00:00.00+00:00"), "date-and-time")).collect()} == {"0001-01-01T00:00:00Z", "1969-12-31T23:59:59.123456789123-00:30"}
+
+
+def test_rounds_of_whens_keep_ids_only(spark):
+    from sylva.operators import fixpoint as P
+    from sylva.operators import tree as R
+
+    rows = []
+    for t in ("x", "y"):
+        rows += [(t, "/a", None, [], ["0"], "a", "container", None), (t, "/a/b", "/a", ["/a"], ["0", "0"], "b", "leaf", t), (t, "/c", None, [], ["1"], "c", "container", None)]
+        rows += [(t, "/c/d", "/c", ["/c"], ["1", "0"], "d", "container", None), (t, "/c/d/e", "/c/d", ["/c", "/c/d"], ["1", "0", "0"], "e", "leaf", "1"), (t, "/f", None, [], ["2"], "f", "leaf", "1")]
+    nodes = spark.createDataFrame(rows, "tree_id string, node_id string, parent_id string, anc_ids array<string>, doc_key array<string>, name string, kind string, canon string")
+    has = lambda name, value: lambda ctx, left: ctx.join(left.where((F.col("name") == name) & (F.col("canon") == value)).select("tree_id"), "tree_id", "left_semi")
+    stay, gone, _ = P.settle_whens(nodes, [P.When("f", has("e", "1"), ("e", "c")), P.When("c", has("b", "x"), ("b",))])
+    assert {(r.tree_id, r.node_id) for r in stay.collect()} == {(t, n) for t in "xy" for n in ("/a", "/a/b")} | {("x", n) for n in ("/c", "/c/d", "/c/d/e", "/f")}
+    assert {(r.name, r.tree_id, r.node_id) for r in gone.collect()} == {("c", "y", "/c"), ("f", "y", "/f")} and stay.columns == R.COLUMNS
+    # No checkpoint of nodes: what was written holds ids.
+    files = [f.split("/")[-2] for f in stay.inputFiles()]
+    assert files and all(f.startswith("stored-") for f in files)
