@@ -12,7 +12,7 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rounds import grouped, settled
+from .rounds import grouped, stored
 
 
 def _sorted_runs(df: DataFrame, group: list[str], order: str, breaks: Column, out: str = "run") -> DataFrame:
@@ -59,7 +59,7 @@ def minimal_moves(first: DataFrame, second: DataFrame, group: list[str], key: st
     before = F.lag(key).over(w)
     a = first.select(*group, key, position, before.alias("orig_anchor"), F.row_number().over(w).alias("_old")).drop(position)
     b = second.select(*group, key, position, before.alias("anchor"), F.row_number().over(w).alias("_new")).drop(position)
-    both = settled(b.join(a, [*group, key], "full_outer"))
+    both = stored(b.join(a, [*group, key], "full_outer"))
     kept = both.where("_old IS NOT NULL AND _new IS NOT NULL")
     order = Window.partitionBy(*group).orderBy("_new")
     # Old places without the deleted entries, so that what a deletion parts still runs on.
@@ -87,12 +87,14 @@ def replay(rows: DataFrame, moves: DataFrame, group: list[str], key: str, positi
     left. move and create put an entry behind its anchor, or to the front if that is null; delete takes it away. What
     cannot be done (a move of an absent entry, an anchor that is not there, an entry made twice) fails the job.
 
-    Entries that no move names travel in runs, of which one row meets the moves of its list.
+    Entries that no move names travel in runs, of which one row meets the moves of its list. The moves are worked out
+    once and written: who is named, which lists are touched and what is played must be of the same ones.
     """
+    moves = stored(moves.select(*group, "seq", "op", key, "anchor"))
     named = moves.select(*group, F.explode(F.array(key, "anchor")).alias(key)).where(F.col(key).isNotNull()).distinct().withColumn("_named", F.lit(True))
     marked = rows.select(*group, key, position).join(named, [*group, key], "left")
     w = Window.partitionBy(*group).orderBy(position)
-    runs = settled(_sorted_runs(marked, group, position, F.col("_named").isNotNull() | F.lag("_named").over(w).isNotNull() | F.lag(key).over(w).isNull()))
+    runs = stored(_sorted_runs(marked, group, position, F.col("_named").isNotNull() | F.lag("_named").over(w).isNotNull() | F.lag(key).over(w).isNull()))
     inside = Window.partitionBy(*group, "run").orderBy(position)
     runs = runs.withColumn("_in", F.row_number().over(inside))
     text = rows.schema[key].dataType.simpleString()
@@ -145,7 +147,7 @@ def replay(rows: DataFrame, moves: DataFrame, group: list[str], key: str, positi
         return out
 
     every = units.unionByName(steps).select(*group, "run", "_size", "_key", "seq", "op", "anchor")
-    played = settled(grouped(every, group, ["seq", "run"], play, f"run long, _key {text}, _ahead long, _size long"))
+    played = stored(grouped(every, group, ["seq", "run"], play, f"run long, _key {text}, _ahead long, _size long"))
     moved = runs.join(played.where("run IS NOT NULL").select(*group, "run", "_ahead"), [*group, "run"]).select(*group, key, (F.col("_ahead") + F.col("_in")).cast("long").alias(position))
     made = played.where("run IS NULL").select(*group, F.col("_key").alias(key), (F.col("_ahead") + 1).cast("long").alias(position))
     still = rows.select(*group, key, position).join(touched, group, "left_anti")

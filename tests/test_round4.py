@@ -67,3 +67,17 @@ def test_rounds_of_whens_keep_ids_only(spark):
     # No checkpoint of nodes: what was written holds ids.
     files = [f.split("/")[-2] for f in stay.inputFiles()]
     assert files and all(f.startswith("stored-") for f in files)
+
+
+def test_moves_are_worked_out_once(spark):
+    import random
+
+    from sylva.operators import moves as M
+
+    rows = spark.createDataFrame([(g, k, i) for g in range(60) for i, k in enumerate("abcd")], "g int, k string, pos int")
+    drawn = F.udf(lambda k: random.choice("bcd"), "string").asNondeterministic()
+    moves = spark.range(60).select(F.col("id").cast("int").alias("g"), F.lit(1).alias("seq"), F.lit("move").alias("op"), drawn("id").alias("k"), F.lit(None).cast("string").alias("anchor"))
+    got = {}
+    for r in M.replay(rows, moves, ["g"], "k", "pos").orderBy("g", "pos").collect():
+        got.setdefault(r.g, []).append(r.k)
+    assert len(got) == 60 and {"".join(x) for x in got.values()} == {"bacd", "cabd", "dabc"}
