@@ -81,3 +81,14 @@ def test_moves_are_worked_out_once(spark):
     for r in M.replay(rows, moves, ["g"], "k", "pos").orderBy("g", "pos").collect():
         got.setdefault(r.g, []).append(r.k)
     assert len(got) == 60 and {"".join(x) for x in got.values()} == {"bacd", "cabd", "dabc"}
+
+
+def test_schema_tables_are_broadcast(spark):
+    from sylva.operators import diagnostics as G
+    from sylva.operators import schema_paths as A
+
+    schema = G.schema_table(spark, [G.SchemaNode("/a", "container"), G.SchemaNode("/a/l", "list", keys=["k"], min_elements=2), G.SchemaNode("/a/l/k"), G.SchemaNode("/a/x", status="obsolete", config=False)])
+    nodes = C.shred_json(spark.createDataFrame([(1, '{"a":{"l":[{"k":1}],"x":2,"y":3}}')], "id int, t string"), F.col("id"), "t", C.Shape({"/a/l": ["k"]}))
+    for rows in (G.unknown_nodes(nodes, schema), G.obsolete(nodes, schema), A.path_atoms(nodes, "node_id", schema.select("path"))[0]):
+        assert "hashpartitioning" not in plan_of(rows) and "BroadcastHashJoin" in plan_of(rows)
+    assert sorted(r.phase for r in G.validate(nodes, schema, state=False).collect()) == ["elements", "obsolete", "unexpected", "unknown"]
